@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from trellis.llm.chat import OP1_SQL, op1_chat_windows
+from trellis.llm.packing import op6_tiered_packing
 from trellis.llm.sharding import op7_rendezvous_sharding
+from trellis.llm.token_counts import op3_token_counts
 
 
 def queries():
-    return {f.__name__: f for f in (op1_chat_windows, op7_rendezvous_sharding)}
+    return {f.__name__: f for f in (op1_chat_windows, op3_token_counts, op6_tiered_packing, op7_rendezvous_sharding)}
 
 
 def oracle_sql():
