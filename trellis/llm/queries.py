@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 from trellis.llm.chat import OP1_SQL, op1_chat_windows
+from trellis.llm.decontamination import op4_spaced_seed_decontamination
+from trellis.llm.language_id import op2_byte_gru_language
 from trellis.llm.packing import op6_tiered_packing
+from trellis.llm.quality import op10_kneser_ney_quality
 from trellis.llm.sharding import op7_rendezvous_sharding
 from trellis.llm.token_counts import op3_token_counts
 
+OPERATORS = (
+    op1_chat_windows, op2_byte_gru_language, op3_token_counts, op4_spaced_seed_decontamination,
+    op6_tiered_packing, op7_rendezvous_sharding, op10_kneser_ney_quality,
+)
+
 
 def queries():
-    return {f.__name__: f for f in (op1_chat_windows, op3_token_counts, op6_tiered_packing, op7_rendezvous_sharding)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql():
