@@ -5,6 +5,7 @@ from __future__ import annotations
 from trellis.llm.chat import OP1_SQL, op1_chat_windows
 from trellis.llm.decontamination import op4_spaced_seed_decontamination
 from trellis.llm.embedding_dedup import OP9_SQL, op9_cover_tree_dedup
+from trellis.llm.jaccard_join import OP8_SQL, op8_set_relation_join
 from trellis.llm.language_id import op2_byte_gru_language
 from trellis.llm.packing import op6_tiered_packing
 from trellis.llm.quality import op10_kneser_ney_quality
@@ -13,7 +14,7 @@ from trellis.llm.token_counts import op3_token_counts
 
 OPERATORS = (
     op1_chat_windows, op2_byte_gru_language, op3_token_counts, op4_spaced_seed_decontamination,
-    op6_tiered_packing, op7_rendezvous_sharding, op9_cover_tree_dedup, op10_kneser_ney_quality,
+    op6_tiered_packing, op7_rendezvous_sharding, op8_set_relation_join, op9_cover_tree_dedup, op10_kneser_ney_quality,
 )
 
 
@@ -22,4 +23,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_chat_windows": OP1_SQL, "op9_cover_tree_dedup": OP9_SQL}
+    return {"op1_chat_windows": OP1_SQL, "op8_set_relation_join": OP8_SQL, "op9_cover_tree_dedup": OP9_SQL}
