@@ -10,10 +10,12 @@ from trellis.llm.language_id import op2_byte_gru_language
 from trellis.llm.packing import op6_tiered_packing
 from trellis.llm.quality import op10_kneser_ney_quality
 from trellis.llm.sharding import op7_rendezvous_sharding
+from trellis.llm.suffix_dedup import op5_suffix_dedup
 from trellis.llm.token_counts import op3_token_counts
 
 OPERATORS = (
     op1_chat_windows, op2_byte_gru_language, op3_token_counts, op4_spaced_seed_decontamination,
+    op5_suffix_dedup,
     op6_tiered_packing, op7_rendezvous_sharding, op8_set_relation_join, op9_cover_tree_dedup, op10_kneser_ney_quality,
 )
 
