@@ -284,7 +284,7 @@ def _sorted_runs(length: int, shards: int, run_bytes: int):
                 raw = _raw(part["text"])
                 text, first, last, anchor, h = intervals(raw, length)
                 begin = np.searchsorted(text, np.arange(len(raw)))
-                for k, (doc, tag, at, hot) in enumerate(zip(part["doc"].tolist(), part["tag"].tolist(), part["at"], part["hot"], strict=True)):
+                for k, (doc, tag, at, hot) in enumerate(zip(part["_doc"].tolist(), part["_tag"].tolist(), part["at"], part["hot"], strict=True)):
                     r, hot = raw[k], set(hot)
                     for n in at:
                         x = begin[k] + n
@@ -407,24 +407,24 @@ def _resolve(length: int):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """A document is known by its id and a hash of its text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    """docs with _doc and _tag: a document is known by its id and a hash of its text."""
+    return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_tag", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot_anchor: int = HOT_ANCHOR, shard_bytes: int = SHARD_BYTES, run_bytes: int = RUN_BYTES) -> DataFrame:
     """(doc, tag, start, end): byte ranges of repeated strings, not merged, for documents that
-    have any; doc and tag as _keyed gives them."""
+    have any; docs and its keys as _keyed gives them."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM} bytes")
-    rows = _keyed(docs)
+    rows = docs.select(F.col("_doc").alias("doc"), F.col("_tag").alias("tag"), "text")
     anchors = materialize(rows.mapInPandas(_anchors(length), "doc long, tag long, at int, anchor long"))
     shards = max(8, -(-anchors.count() * (length + 80) // shard_bytes))
     counts = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", (F.col("n") > hot_anchor).alias("hot"))
     shared = anchors.join(counts, "anchor").groupBy("doc", "tag").agg(
         F.collect_set("at").alias("at"), F.collect_set(F.when(F.col("hot"), F.col("at"))).alias("hot")
     )
-    carried = rows.join(shared, ["doc", "tag"]).select("doc", "tag", "text", "at", "hot")
+    # all columns of docs go along, so that the documents are shuffled once for both joins
+    carried = docs.join(shared, (docs["_doc"] == shared["doc"]) & (docs["_tag"] == shared["tag"])).select(*docs.columns, "at", "hot")
     runs = carried.mapInPandas(_sorted_runs(length, shards, run_bytes), _RUNS)
     return runs.groupBy("shard").applyInPandas(_resolve(length), "doc long, tag long, start long, end long")
 
@@ -442,11 +442,9 @@ def merged(spans) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     """docs, all columns, with removed (array of merged byte ranges [start, end), empty if
     none) and kept (the remaining bytes)."""
-    spans = repeated_spans(docs, **options)
-    per_doc = spans.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    left = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_tag", F.xxhash64(text))
-    both = left.join(per_doc, (left["_doc"] == per_doc["doc"]) & (left["_tag"] == per_doc["tag"]), "left").select(*left.columns, "_spans").drop("_doc", "_tag")
+    left = _keyed(docs)
+    per_doc = repeated_spans(left, **options).groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    both = left.join(per_doc, (left["_doc"] == per_doc["doc"]) & (left["_tag"] == per_doc["tag"]), "left").select(*docs.columns, "_spans")
     schema = T.StructType([*docs.schema.fields, T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
     return both.mapInPandas(_apply, schema)
 
