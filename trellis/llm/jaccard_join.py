@@ -12,7 +12,9 @@ its size class and the class below: the set with the fewest shingles before the
 answers of a leader then serve the sets similar to it: sets linked to it are in one component,
 and what they are linked to need not be found again. Only long lists that still hold several
 components are scanned for the pairs across them, in rounds with other leaders and in the end
-completely, so that no link between components is lost. Every pair is verified on the whole sets.
+completely, so that no link between components is lost. Candidates whose parity bits differ in
+more places than similar sets may are dropped (exact: sets differ in at least as many members);
+every other pair is verified on the whole sets.
 
 Frequent shingles are a summary over all documents: each task reports those that it saw in
 several documents, and the max_frequent with the highest sums form the end of the order. The
@@ -39,10 +41,14 @@ WORDS = 5
 #: Similarity as a fraction, so that tests on whole numbers are exact.
 SIMILAR = (75, 100)
 SHORT_LIST = 8
-LEADER_ROUNDS = 3
-MAX_FREQUENT = 100_000
-FREQUENT_IN_TASK = 4
+LEADER_ROUNDS = 1
+MAX_FREQUENT = 1_000_000
+FREQUENT_IN_TASK = 3
 BLOCK = 1_000_000
+#: Parities of a set that bound its difference from another.
+BITS = 1024
+#: Candidates up to this many are broadcast to the scan that builds their sets.
+BROADCAST_IDS = 500_000
 
 
 def shingle_sets(texts, words: int = WORDS) -> list[np.ndarray]:
@@ -80,27 +86,40 @@ def needed_overlap(x, y, similar=SIMILAR):
     return -(-(x + y) * p // (p + q))
 
 
+def parity_bits(s: np.ndarray) -> bytes:
+    """BITS parities of the members by hash. Sets differ in at least as many members as their
+    parities differ in bits."""
+    at = (mix64(s ^ U64(0x2545F4914F6CDD1D)) % U64(BITS)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
 def _summary(kind: str, words: int):
     def run(frames):
         tokens, counts = np.zeros(0, U64), np.zeros(0, np.int64)
+        seen = np.zeros(1 << 24, dtype=np.uint8)  # documents of this task by a token's first bits
         for frame in frames:
             texts, ids = frame["text"].tolist(), frame["doc_id"]
             for i, j in batches(texts, BLOCK):
                 sets = shingle_sets(texts[i:j], words)
                 marks = [set_marks(s) for s in sets]
-                yield pd.DataFrame({"doc_id": ids.iloc[i:j], "n": [len(s) for s in sets], "a": [m[0] for m in marks], "b": [m[1] for m in marks]})
+                yield pd.DataFrame({"doc_id": ids.iloc[i:j], "n": [len(s) for s in sets], "a": [m[0] for m in marks], "b": [m[1] for m in marks], "bits": [parity_bits(s) for s in sets]})
                 t, c = np.unique(np.concatenate(sets), return_counts=True)
-                more = c > 1
+                slot = (t >> U64(40)).astype(np.int64)
+                before = seen[slot].astype(np.int64)
+                seen[slot] = np.minimum(255, before + c)
+                more = before + c >= FREQUENT_IN_TASK
+                # what came before counts when a token gets here first
+                c = c + np.where(before < FREQUENT_IN_TASK, before, 0)
                 tokens, where = np.unique(np.concatenate([tokens, t[more]]), return_inverse=True)
                 counts = np.bincount(where, np.concatenate([counts, c[more]]), len(tokens)).astype(np.int64)
-                if len(tokens) > 200_000:
-                    high = np.argsort(counts)[-100_000:]
+                if len(tokens) > 600_000:
+                    high = np.argsort(counts)[-300_000:]
                     high.sort()
                     tokens, counts = tokens[high], counts[high]
         at = counts >= FREQUENT_IN_TASK
-        yield pd.DataFrame({"doc_id": pd.Series([None] * int(at.sum()), dtype=object), "n": -counts[at], "a": tokens[at].view(np.int64), "b": 0})
+        yield pd.DataFrame({"doc_id": pd.Series([None] * int(at.sum()), dtype=object), "n": -counts[at], "a": tokens[at].view(np.int64), "b": 0, "bits": None})
 
-    return run, f"doc_id {kind}, n long, a long, b long"
+    return run, f"doc_id {kind}, n long, a long, b long, bits binary"
 
 
 def ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -114,18 +133,24 @@ def ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 def _index(frequent, words: int, similar):
     def run(frames):
+        given: set = set()
         for frame in frames:
-            texts = frame["text"].tolist()
+            texts, ids = frame["text"].tolist(), frame["doc_id"].tolist()
             for i, j in batches(texts, BLOCK):
-                part, out = frame.iloc[i:j], []
-                for s, rep, a, b in zip(shingle_sets(texts[i:j], words), part["rep"].tolist(), part["a"].tolist(), part["b"].tolist(), strict=True):
-                    if len(s) and set_marks(s) == (a, b):
-                        p = ordered(s, frequent.value)[: prefix_length(len(s), similar)]
-                        out.append((p, np.full(len(p), rep), (len(s) << 32) + np.arange(len(p))))
+                out = []
+                for s, doc in zip(shingle_sets(texts[i:j], words), ids[i:j], strict=True):
+                    mark = set_marks(s)
+                    if not len(s) or mark in given:  # a copy of what this task has indexed
+                        continue
+                    if len(given) >= 500_000:
+                        given.clear()
+                    given.add(mark)
+                    p = ordered(s, frequent.value)[: prefix_length(len(s), similar)]
+                    out.append((p, np.full(len(p), doc), (len(s) << 32) + np.arange(len(p))))
                 if out:
-                    token, rep, place = (np.concatenate(x) for x in zip(*out, strict=True))
+                    token, doc, place = (np.concatenate(x) for x in zip(*out, strict=True))
                     for k in range(0, len(token), 50_000):
-                        yield pd.DataFrame({"token": token[k : k + 50_000].view(np.int64), "rep": rep[k : k + 50_000], "place": place[k : k + 50_000]})
+                        yield pd.DataFrame({"token": token[k : k + 50_000].view(np.int64), "rep": doc[k : k + 50_000], "place": place[k : k + 50_000]})
 
     return run
 
@@ -240,6 +265,19 @@ def _sets(words: int):
     return run
 
 
+def _near_bits(similar):
+    def run(frames):
+        for frame in frames:
+            if not len(frame):
+                continue
+            x, y = (np.frombuffer(b"".join(frame[c]), np.uint8).reshape(len(frame), -1) for c in ("xbits", "ybits"))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            total = frame["xn"].to_numpy() + frame["yn"].to_numpy()
+            yield frame.loc[differ <= total - 2 * needed_overlap(frame["xn"].to_numpy(), frame["yn"].to_numpy(), similar), ["a", "b"]]
+
+    return run
+
+
 def _verify(similar):
     p, q = similar
 
@@ -263,39 +301,51 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, similar=SIMILAR, sho
     run, schema = _summary("long", words)
     summary = materialize(texts.mapInPandas(run, schema))
     own = summary.filter("n >= 0")
-    top = summary.filter("n < 0").groupBy("a").agg(F.sum("n").alias("n")).orderBy("n", "a").limit(max_frequent)
-    frequent = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["a"] for r in top.select("a").toLocalIterator()], dtype=np.int64).view(U64)))
+    top = summary.filter("n < 0").groupBy("a").agg(F.sum("n").alias("n")).filter("n <= -6").orderBy("n", "a").limit(max_frequent)
+    frequent = docs.sparkSession.sparkContext.broadcast(np.sort(top.select("a").toPandas()["a"].to_numpy(np.int64).view(U64)))
     reps = own.filter("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("rep"))
-    carried = texts.join(reps, texts["doc_id"] == reps["rep"]).select("rep", "a", "b", "text")
-    entries = carried.mapInPandas(_index(frequent, words, similar), "token long, rep long, place long")
+    reps = materialize(reps)
+    known = own.filter("n > 0 and doc_id is not null").join(reps, ["a", "b"]).select("doc_id", "rep", "n", "bits")
+    known = materialize(known)
+    entries = texts.filter("doc_id is not null").mapInPandas(_index(frequent, words, similar), "token long, rep long, place long")
     lists = entries.repartition("token").sortWithinPartitions("token")
     columns = "kind int, a long, b long, token long"
     scanned = materialize(lists.mapInPandas(_scan(similar, short_list, 0), columns))
-    long_lists = scanned.filter("kind = 1").select("token", F.col("a").alias("rep"), F.col("b").alias("place"))
 
     def verified(candidates: DataFrame) -> DataFrame:
         pairs = candidates.filter("kind = 0").select("a", "b").distinct()
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        members = carried.join(ids, carried["rep"] == ids["id"], "left_semi").mapInPandas(_sets(words), "rep long, members binary")
-        x = pairs.join(members.select(F.col("rep").alias("a"), F.col("members").alias("x")), "a")
+        x = known.select(F.col("doc_id").alias("a"), F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("bits").alias("xbits"))
+        y = known.select(F.col("doc_id").alias("b"), F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("bits").alias("ybits"))
+        both = pairs.join(x, "a").join(y, "b").filter("x <> y")
+        both = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "xn", "yn", "xbits", "ybits")
+        near = materialize(both.mapInPandas(_near_bits(similar), "a long, b long").distinct())
+        ids = near.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps, "rep")
+        # few candidates are sent to the documents, many meet them in a shuffle
+        ids = F.broadcast(ids) if near.count() * 2 <= BROADCAST_IDS else ids
+        carried = texts.join(ids, texts["doc_id"] == ids["rep"]).select("rep", "a", "b", "text")
+        members = materialize(carried.mapInPandas(_sets(words), "rep long, members binary"))
+        x = near.join(members.select(F.col("rep").alias("a"), F.col("members").alias("x")), "a")
         both = x.join(members.select(F.col("rep").alias("b"), F.col("members").alias("y")), "b")
         return materialize(both.select("a", "b", "x", "y").mapInPandas(_verify(similar), "a long, b long"))
 
     links = verified(scanned)
     components = connected_components(links)
-    has_long = not long_lists.isEmpty()
-    for stage in [*range(1, leader_rounds + 1), -1] if has_long else []:
-        known = long_lists.join(components.withColumnRenamed("node", "rep"), "rep", "left")
-        known = known.select("token", "rep", "place", F.coalesce("component", "rep").alias("component"))
-        again = known.repartition("token").sortWithinPartitions("token")
-        found = materialize(again.mapInPandas(_scan(similar, short_list, stage), columns))
-        if found.isEmpty():
-            break
-        more = verified(found)
-        if more.isEmpty():
-            continue
-        links = links.unionByName(more)
-        components = connected_components(links)
+    long_lists = scanned.filter("kind = 1").select("token", F.col("a").alias("doc_id"), F.col("b").alias("place"))
+    if not long_lists.isEmpty():
+        long_lists = materialize(long_lists.join(known.select("doc_id", "rep"), "doc_id").select("token", "rep", "place").distinct())
+        for stage in [*range(1, leader_rounds + 1), -1]:
+            joined = long_lists.join(components.withColumnRenamed("node", "rep"), "rep", "left")
+            joined = joined.select("token", "rep", "place", F.coalesce("component", "rep").alias("component"))
+            again = joined.repartition("token").sortWithinPartitions("token")
+            found = materialize(again.mapInPandas(_scan(similar, short_list, stage), columns))
+            if found.isEmpty():
+                if stage > 0:
+                    continue
+                break
+            more = verified(found)
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                components = connected_components(links)
     group = reps.join(components, reps["rep"] == components["node"], "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
     grouped = own.filter("n > 0 and doc_id is not null").join(group, ["a", "b"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     alone = own.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
