@@ -7,7 +7,7 @@ import os
 import numpy as np
 
 #: Entries of a worker's memo; beyond that it starts anew, so its memory stays bounded.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 700_000
 
 
 def load(path: str):
