@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.llm.common import batches
-from trellis.llm.pieces import Encoder
+from trellis.llm.pieces import worker_encoder
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 32_768
@@ -110,7 +110,7 @@ class Packer:
 
 def _packed(path: str, closing: int, tiers, step_tokens: int, pool_tokens: int):
     def run(frames):
-        enc = Encoder(path)
+        enc = worker_encoder(path, "packing")
         packer, ids_of, count = Packer(tiers, step_tokens), {}, 0
         base = TaskContext.get().partitionId() << 40
         sequence, step = base, base

@@ -6,7 +6,7 @@ import os
 
 import numpy as np
 
-#: Entries of a worker's memo; beyond that it starts anew, so its memory stays bounded.
+#: Entries of a worker's memo; beyond that only those in use stay, so its memory is bounded.
 MEMO_ENTRIES = 700_000
 
 
@@ -56,10 +56,23 @@ class Encoder:
         """Bring keys into the memo: text(key) is encoded, value(ids) is kept."""
         new = keys - self.memo.keys()
         if len(self.memo) + len(new) > self.entries:
+            # common pieces are among these too and stay; the rare ones go
+            kept = {k: self.memo[k] for k in keys & self.memo.keys()}
             self.memo.clear()
-            new = keys
+            self.memo.update(kept)
         new = list(new)
         for a in range(0, len(new), 20_000):
             some = new[a : a + 20_000]
             self.memo.update(zip(some, map(value, self.encode([text(k) for k in some])), strict=True))
         return self.memo
+
+
+_ENCODERS: dict = {}
+
+
+def worker_encoder(path: str, use: str) -> Encoder:
+    """This worker's encoder for a use: the tokenizer and the bounded memo serve all tasks that
+    the worker runs, so common pieces are encoded once for each worker, not for each task."""
+    if (path, use) not in _ENCODERS:
+        _ENCODERS[path, use] = Encoder(path)
+    return _ENCODERS[path, use]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.llm.common import batches, materialize
-from trellis.llm.pieces import Encoder, load
+from trellis.llm.pieces import load, worker_encoder
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
@@ -36,7 +36,7 @@ def stable_places(text: str) -> list[int]:
 
 def _small(path: str):
     def run(frames):
-        enc = Encoder(path)
+        enc = worker_encoder(path, "counts")
         for frame in frames:
             for i, j in batches(frame["text"].tolist()):
                 part = frame.iloc[i:j]
