@@ -2,6 +2,7 @@ import pytest
 
 from trellis.functions import text as X
 from trellis.operators import graph as G
+from trellis.operators import names as N
 from trellis.operators import tables as T
 
 EDGES = "topic_id string, source_id string, target_id string, strength double"
@@ -66,3 +67,37 @@ def test_upsert_keeps_other_columns(spark):
     old = spark.createDataFrame([("a", "A", 1), ("b", "B", 2)], "id string, name string, difficulty int")
     new = spark.createDataFrame([("b", "X", 5), ("c", "C", 3)], "id string, name string, difficulty int")
     assert sorted(map(tuple, T.upsert(old, new, ["id"], ["difficulty"]).collect())) == [("a", "A", 1), ("b", "B", 5), ("c", "C", 3)]
+
+
+def test_cycle_witness(spark, school, ring):
+    assert G.detect_cycles(*school).count() == 0
+    assert [tuple(r.nodes) for r in G.detect_cycles(*ring).collect()] == [("a", "b", "c")]
+    pairs = [("p", "a", "b"), ("p", "b", "c"), ("p", "c", "d"), ("p", "d", "a"), ("p", "a", "x"), ("p", "x", "a"), ("q", "s", "s"), ("q", "s", "t")]
+    edges = spark.createDataFrame([(*e, 1.0) for e in pairs], EDGES)
+    concepts = spark.createDataFrame(sorted({(t, x) for t, *e in pairs for x in e}), "topic_id string, id string")
+    assert {r.topic_id: tuple(r.nodes) for r in G.detect_cycles(concepts, edges).collect()} == {"p": ("a", "x"), "q": ("s",)}
+
+
+def test_names(spark):
+    concepts = [("m", "c1", "Cell Division"), ("m", "c2", "Cell division"), ("m", "c3", "nuclear membrane"), ("m", "division", "Unit"), ("m", "c5", None), ("n", "c9", "Other")]
+    asked = ["cell division", "DIVISION", "membrane", "brane", "the nuclear membrane", "zzz", "", None, "it"]
+    got = N.resolve_names(spark.createDataFrame([("m", a) for a in asked], "topic_id string, name string"), spark.createDataFrame(concepts, "topic_id string, id string, name string"))
+
+    def slug(s):
+        return "-".join("".join(c for c in s.lower() if c.isalnum() or c in " -").split())
+
+    index = {}
+    for _, i, name in sorted((c for c in concepts if c[0] == "m" and c[2]), key=lambda c: (c[2], c[1])):
+        index[i] = i
+        index[slug(name)] = i
+        for w in name.lower().split():
+            if len(w) > 4:
+                index.setdefault(w, i)
+
+    def means(name):
+        if name is None:
+            return None
+        s = slug(name)
+        return index.get(s) or next((v for k, v in index.items() if s in k or k in s), None)
+
+    assert {r.name: r.id for r in got.collect()} == {a: means(a) for a in asked}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trellis.functions import text as X
 from trellis.jobs import views as V
 from trellis.operators import graph as G
+from trellis.operators import names as N
 from trellis.operators import tables as T
 from trellis.operators import vectors as E
 
@@ -461,6 +462,30 @@ def cycle_core(spark, d):
     return G.cycle_core(V.concepts(spark, d), V.edges_cyclic(spark, d))
 
 
+@query()
+def detect_cycles(spark, d):
+    found = G.detect_cycles(V.concepts(spark, d), V.edges_cyclic(spark, d))
+    return found.select("topic_id", F.size("nodes").cast("long").alias("n"), F.array_join("nodes", " > ").alias("cycle"))
+
+
+_SLUG = r"regexp_replace(trim(regexp_replace(lower({}), '[^a-z0-9\s-]', '', 'g')), '\s+', '-', 'g')"
+
+
+@query(W("SELECT topic_id, name, id FROM r", rf"""e AS (SELECT topic_id, id AS key, id, {{'n': name, 'i': id, 'k': 0, 'w': 0}} AS place FROM concepts
+UNION ALL SELECT topic_id, {_SLUG.format('name')}, id, {{'n': name, 'i': id, 'k': 1, 'w': 0}} FROM concepts
+UNION ALL SELECT topic_id, w[j], id, {{'n': name, 'i': id, 'k': 2, 'w': j}} FROM (SELECT *, unnest(generate_series(1, len(w))) AS j FROM (
+  SELECT *, list_filter(string_split_regex(lower(name), '\s+'), lambda x: length(x) > 4) AS w FROM concepts))),
+ix AS (SELECT topic_id, key, coalesce(arg_max(id, place) FILTER (place.k < 2), arg_min(id, place) FILTER (place.k = 2)) AS id, min(place) AS place FROM e GROUP BY topic_id, key),
+n AS (SELECT topic_id, name, {_SLUG.format('name')} AS slug FROM (SELECT p_brand AS topic_id, substr(p_name, 3, 9) AS name FROM part UNION SELECT p_brand, p_type FROM part)),
+r AS (SELECT n.topic_id, n.name, x.id FROM n LEFT JOIN ix x ON x.topic_id = n.topic_id AND (contains(x.key, n.slug) OR contains(n.slug, x.key))
+  QUALIFY row_number() OVER (PARTITION BY n.topic_id, n.name ORDER BY CASE WHEN x.key = n.slug THEN 0 ELSE 1 END, x.place) = 1)"""))
+def resolve_names(spark, d):
+    part = V.table(spark, d, "part")
+    names = part.select(F.col("p_brand").alias("topic_id"), F.substring("p_name", 3, 9).alias("name"))
+    names = names.union(part.select("p_brand", "p_type")).distinct()
+    return N.resolve_names(names, V.concepts(spark, d))
+
+
 @query()
 def resolve_cycles(spark, d):
     return G.resolve_cycles(V.concepts(spark, d), V.edges_cyclic(spark, d))

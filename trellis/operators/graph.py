@@ -93,6 +93,30 @@ def cycle_core(concepts: DataFrame, edges: DataFrame) -> DataFrame:
     return closure(back).filter("src = dst").select("topic_id", F.col("src").alias("id"))
 
 
+def detect_cycles(concepts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(topic_id, nodes) with one cycle of each topic that has any: a shortest one through the
+    topic's smallest concept on a cycle, the first of these in order. A search by levels for all
+    topics at once; every concept keeps one path, so a level has no more rows than concepts."""
+    core = written(cycle_core(concepts, edges))
+    steps = edges.select("topic_id", F.col("source_id").alias("id"), F.col("target_id").alias("next")).distinct()
+    steps = steps.join(core, ["topic_id", "id"], "left_semi").join(core.withColumnRenamed("id", "next"), ["topic_id", "next"], "left_semi")
+    steps = written(steps)
+    front = core.groupBy("topic_id").agg(F.min("id").alias("id")).withColumn("nodes", F.array("id"))
+    front, known, found = written(front), None, []
+    while not front.isEmpty():
+        known = front.select("topic_id", "id") if known is None else known.unionByName(front.select("topic_id", "id"))
+        reached = front.join(steps, ["topic_id", "id"]).groupBy("topic_id", F.col("next").alias("id")).agg(F.min("nodes").alias("nodes"))
+        reached = written(reached)
+        closed = reached.filter(F.col("id") == F.col("nodes")[0]).select("topic_id", "nodes")
+        found.append(closed)
+        further = reached.join(closed, "topic_id", "left_anti").join(known, ["topic_id", "id"], "left_anti")
+        front = written(further.select("topic_id", "id", F.concat("nodes", F.array("id")).alias("nodes")))
+    out = core.select("topic_id", F.array("id").alias("nodes")).limit(0)
+    for closed in found:
+        out = out.unionByName(closed)
+    return out
+
+
 def weakest_edges(cycles: DataFrame, edges: DataFrame) -> DataFrame:
     """The weakest edge of each cycle (cycle_id, nodes in order): by strength, source and
     target; the closing edge if none of the cycle's edges exists."""
