@@ -208,5 +208,26 @@ def test_quality(spark):
     assert first.tolist() == [0, 3, 3, 13] and at[2] == (7 * 48 + 8) * 48 + 9
 
 
+def test_quality_sees_unfolded_characters_and_few_bad_words(spark):
+    plain = ["the", "garden", "grows", "green", "trees", "and", "flowers"]
+    ja, other = "今日は天気がよいので庭で花を見ました。", "鬱蠢麤驫龘纛鑿饕餮魑魅魍魎蠱毒簒奪。"
+    good = [(i, " ".join(rng.choice(plain, 60)), "en", "s", 0) for i in range(120)] + [(200 + i, ja * 5, "ja", "s", 0) for i in range(60)]
+    rude = rng.choice(plain, 60).tolist()
+    rude[20], rude[40] = "xqzvk", "wjxqz"
+    df = spark.createDataFrame([*good, (500, " ".join(rude), "en", "s", 0), (501, other * 5, "ja", "s", 0)], DOC)
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in good], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.classify(df, labels).collect()}
+    assert all(got[r[0]].keep for r in good) and not got[500].keep and not got[501].keep
+    assert got[500].score <= got[500].limit or got[500].worst > got[500].worst_limit
+    assert got[501].perplexity > 5 * got[200].perplexity
+    for text in ("x" * 700 + " end", ja * 9, "a bc  def"):
+        own = [u[quality.ORDER - 1 :] for u in quality.units(text)]
+        assert "".join(own) == " ".join(text.split()) + " " and max(map(len, own)) <= quality.STRETCH
+    # units that are not broadcast are joined, with the same sums
+    known = quality.surprisals(df, df)
+    some, every = ({r.doc_id: (round(r.nats, 6), r.chars, r.units, r.odd) for r in quality.score(df, known, 2.0, frequent=n).collect()} for n in (3, 50_000))
+    assert some == every
+
+
 def test_digest_functions():
     assert zlib.crc32(b"") == 0 and hashlib.sha256(b"").hexdigest().startswith("e3b0")

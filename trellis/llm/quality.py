@@ -1,20 +1,29 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-Units are characters, folded to `symbols` symbols: the most frequent characters of the
-corpus have one each, the other characters share classes (upper case, digits, other
-marks, other letters, space, line end). So there are at most symbols ** order n-grams,
-however large the corpus is, and a table of their probabilities has a proven size.
-
-Training covers all trusted text. Each task counts the n-grams of its documents; the counts
-are summed by n-gram, and every order's discounted probabilities come from joins of the count
-table with the totals of its contexts, all sharded by key. Lower orders count the distinct
-symbols before an n-gram. The joined tables are bounded by symbols ** order rows; they are put
-into one dense array, broadcast, and give each document its perplexity where it lies.
-
-A document's score is its mean surprisal in nats for each character, with `prior` characters
-of the mean of its language's trusted documents added, which steadies short texts. It is kept
-if the score is at most `margin` times the `quantile` of the trusted documents' scores in its
-language; languages with fewer than min_trusted trusted documents use those of all languages.
+The model's n-grams are of unfolded characters, `order` of them; their number grows with the
+corpus, in sharded count tables that never pass through the driver or a broadcast.
+
+Text is read as units: each word with the space after it and the last `lead` characters of
+the word before it; a longer word, or text without white space, is read in stretches of
+`stretch` characters, each with the order - 1 characters before it. Runs of white space are
+one space. A unit fixes the n-gram that ends at each of its own characters, so it has one
+surprisal, wherever it stands.
+
+Training covers all trusted text: units are counted in the tasks, summed, and dealt out as
+n-grams; every order's discounted shares come from joins of the count table with the totals
+of its contexts. Lower orders count the distinct characters before an n-gram. The distinct
+n-grams of all documents get their probabilities from those tables order by order, distinct
+units get their surprisals from the n-grams, and each document's counted units are joined
+with them in a shuffle and summed. The most frequent units, `frequent` at most, are summed in
+the tasks that read the documents, which spares the shuffle the hot keys; results are equal.
+
+A document is judged by two measures, each against the quantile of the same measure in its
+language's trusted documents. The score is the mean surprisal in nats for each character,
+with `prior` characters of the mean of its language's trusted documents added, which steadies
+short texts; its limit is `margin` times the quantile. The worst measure is the share of the
+units whose mean surprisal is above `margin` times the `unit_quantile` of trusted units, so
+that a few strange words among many good ones show; its limit is `worst_margin` times the
+quantile. Languages with fewer than min_trusted trusted documents use those of all languages.
 
 Defined cases: null or empty text scores the mean of its language and is kept; a null lang is
 a language of its own; without trusted text every document is kept; repeated rows are scored
@@ -24,103 +33,70 @@ each; other columns are ignored.
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from trellis.llm.common import batches, materialize
+from trellis.llm.common import materialize
 
-ORDER = 4
-SYMBOLS = 48
+ORDER = 6
+LEAD = 2
+STRETCH = 16
+FREQUENT = 50_000
 QUANTILE = 0.99
 MARGIN = 1.1
 PRIOR = 40.0
+UNIT_QUANTILE = 0.999
+WORST_MARGIN = 1.5
 MIN_TRUSTED = 50
 #: Languages with limits of their own; all others share the limit of the whole.
 MAX_LANGUAGES = 1000
-#: Classes of characters without a symbol of their own; 0 is also the start of a text.
-EDGE, SPACE, LINE, DIGIT, UPPER, MARK, OTHER = range(7)
-_CODES = 0x3000
-
-
-def char_class(c: str) -> int:
-    if c in "\r\n  ":
-        return LINE
-    kind = unicodedata.category(c)
-    if c.isspace() or kind[0] == "Z":
-        return SPACE
-    return DIGIT if kind[0] == "N" else UPPER if kind in ("Lu", "Lt") else OTHER if kind[0] in "LM" else MARK
-
-
-def symbol_table(frequent: list[str], symbols: int = SYMBOLS) -> np.ndarray:
-    """Symbol of each code point below _CODES; those above are OTHER."""
-    table = np.array([char_class(chr(i)) for i in range(_CODES)] + [OTHER], dtype=np.uint32)
-    for k, c in enumerate(frequent[: symbols - OTHER - 1]):
-        table[ord(c)] = OTHER + 1 + k
-    return table
-
-
-def encode(texts, table: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of the texts, each with order - 1 edges before it, and their offsets."""
-    raw = [b"" if t is None else t.encode("utf-32-le", "replace") for t in texts]
-    size = np.zeros(len(raw) + 1, dtype=np.int64)
-    np.cumsum([len(r) // 4 + order - 1 for r in raw], out=size[1:])
-    lead = b"\0\0\0\0" * (order - 1)
-    codes = np.frombuffer(b"".join(x for r in raw for x in (lead, r)), dtype="<u4")
-    return table[np.minimum(codes, _CODES)], size
+#: Distinct units that a task gathers before it passes their counts on.
+_HELD = 300_000
 
 
-def ngrams(symbols: np.ndarray, offsets: np.ndarray, base: int, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each character, and the characters of each text before it."""
-    at = symbols.astype(np.int32)
-    for _ in range(1, order):  # at[i] is the number of the symbols i .. i + order - 1
-        at = at[:-1] * np.int32(base) + symbols[len(symbols) - len(at) + 1 :].astype(np.int32)
-    first = np.zeros(len(offsets), dtype=np.int64)
-    np.cumsum(np.diff(offsets) - (order - 1), out=first[1:])
-    # windows that reach into the next text end on its edges
-    keep = np.ones(len(at), dtype=bool)
-    for o in offsets[1:-1].tolist():
-        keep[o - order + 1 : o] = False
-    return at[keep], first
+def units(text: str | None, order: int = ORDER, lead: int = LEAD, stretch: int = STRETCH):
+    """Units of a text: the order - 1 characters before it, then its own characters."""
+    before = " " * (order - 1)
+    for w in (text or "").split():
+        own = w + " "
+        if len(own) <= stretch:
+            yield before + own
+        else:
+            whole = before + own
+            for i in range(0, len(own), stretch):
+                yield whole[i : i + order - 1 + stretch]
+        before = (" " * order + w[-lead:] + " ")[1 - order :] if lead else before
 
 
-def _frequent(corpus: DataFrame, symbols: int) -> list[str]:
-    """The most frequent lower-case letters and marks; Unicode bounds what is collected."""
+def _counts(texts: DataFrame, order: int) -> DataFrame:
+    """(unit, c) of all texts."""
 
     def count(frames):
-        total = np.zeros(_CODES + 1, dtype=np.int64)
+        held = Counter()
         for frame in frames:
-            for i, j in batches(frame["text"].tolist(), 2_000_000):
-                raw = "".join(t for t in frame["text"].iloc[i:j] if t).encode("utf-32-le", "replace")
-                total += np.bincount(np.minimum(np.frombuffer(raw, dtype="<u4"), _CODES), minlength=_CODES + 1)
-        at = np.flatnonzero(total[:_CODES])
-        yield pd.DataFrame({"code": at, "n": total[at]})
-
-    counts = corpus.select("text").mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    rows = [(-r["n"], chr(r["code"])) for r in counts.collect()]
-    return [c for _, c in sorted(rows) if char_class(c) in (OTHER, MARK)][: symbols - OTHER - 1]
+            for t in frame["text"]:
+                held.update(units(t, order))
+                if len(held) >= _HELD:
+                    yield pd.DataFrame({"unit": list(held.keys()), "c": list(held.values())})
+                    held = Counter()
+        if held:
+            yield pd.DataFrame({"unit": list(held.keys()), "c": list(held.values())})
 
+    return texts.select("text").mapInPandas(count, "unit string, c long").groupBy("unit").agg(F.sum("c").alias("c"))
 
-def _counts(trusted: DataFrame, table: np.ndarray, base: int, order: int) -> DataFrame:
-    def count(frames):
-        total = np.zeros(base**order, dtype=np.int32)
-        for frame in frames:
-            texts = frame["text"].tolist()
-            for i, j in batches(texts, 1_000_000):
-                at, _ = ngrams(*encode(texts[i:j], table, order), base, order)
-                seen, n = np.unique(at, return_counts=True)
-                total[seen] += n.astype(np.int32)
-        at = np.flatnonzero(total)
-        for a in range(0, len(at), 100_000):
-            some = at[a : a + 100_000]
-            yield pd.DataFrame({"gram": some, "c": total[some]})
 
-    return trusted.select("text").mapInPandas(count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+def _grams(unit_counts: DataFrame, order: int, *more: str) -> DataFrame:
+    at = F.expr(f"transform(sequence(1, length(unit) - {order - 1}), i -> substring(unit, i, {order}))")
+    return unit_counts.select(F.explode(at).alias("gram"), *more)
 
 
-def _discounted(counts: DataFrame, base: int) -> tuple[DataFrame, DataFrame]:
+def _discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(gram, share), what an n-gram has for itself, and (context, left), what its context
     leaves to the lower order: joins of the counts with their contexts' totals."""
     n = {r["k"]: r["n"] for r in counts.filter("c <= 4").groupBy(F.col("c").alias("k")).agg(F.count("*").alias("n")).collect()}
@@ -128,60 +104,93 @@ def _discounted(counts: DataFrame, base: int) -> tuple[DataFrame, DataFrame]:
     y = n1 / (n1 + 2 * n2) if n1 else 0.5
     d = [min(max(k - (k + 1) * y * b / a, 0.05), k - 0.05) if a and b else 0.5 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
     cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-    keyed = counts.withColumn("context", F.floor(F.col("gram") / base).cast("long")).withColumn("cut", cut)
+    keyed = counts.withColumn("context", F.expr("left(gram, length(gram) - 1)")).withColumn("cut", cut)
     totals = keyed.groupBy("context").agg(F.sum("c").alias("total"), F.sum("cut").alias("kept"))
     shares = keyed.join(totals, "context").select("gram", ((F.col("c") - F.col("cut")) / F.col("total")).alias("share"))
     return shares, totals.select("context", (F.col("kept") / F.col("total")).alias("left"))
 
 
-class Model:
-    """log p of each n-gram's last symbol after the others, as one array."""
-
-    def __init__(self, frequent: list[str], logp: np.ndarray, symbols: int, order: int):
-        self.table, self.logp, self.base, self.order = symbol_table(frequent, symbols), logp, symbols, order
-
-    def surprisal(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """Sum of -log p over each text, and its number of characters."""
-        at, first = ngrams(*encode(texts, self.table, self.order), self.base, self.order)
-        total = np.concatenate([[0.0], np.cumsum(self.logp[at], dtype=np.float64)])
-        return total[first[:-1]] - total[first[1:]], np.diff(first)
-
-
-def train(trusted: DataFrame, corpus: DataFrame, symbols: int = SYMBOLS, order: int = ORDER) -> Model:
-    """trusted, the text to learn from, and corpus, whose characters get the symbols, have a
-    text column. The arrays that reach the driver have symbols ** order entries at most."""
-    frequent = _frequent(corpus, symbols)
-    counts = materialize(_counts(trusted, symbol_table(frequent, symbols), symbols, order))
-    orders = [counts]
-    for n in range(order - 1, 0, -1):
-        orders.append(materialize(orders[-1].groupBy((F.col("gram") % symbols**n).alias("gram")).agg(F.count("*").alias("c"))))
-    p = np.full(1, 1.0 / symbols)
-    for n, c in enumerate(reversed(orders), 1):
-        shares, left = (x.toPandas() for x in _discounted(c, symbols))
-        rest = np.ones(symbols ** (n - 1))
-        rest[left["context"].to_numpy(np.int64)] = left["left"].to_numpy()
-        # the lower order's probabilities, of the last n - 1 symbols
-        lower = np.broadcast_to(p, symbols) if n == 1 else p
-        q = (rest.reshape(symbols, -1)[:, :, None] * lower.reshape(1, -1, symbols)).reshape(-1) if n > 1 else rest[0] * lower
-        q = np.ascontiguousarray(q, dtype=np.float64)
-        q[shares["gram"].to_numpy(np.int64)] += shares["share"].to_numpy()
-        p = q
-    return Model(frequent, np.log(np.maximum(p, 1e-12)).astype(np.float32), symbols, order)
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs' doc_id and lang with bits (sum of surprisals) and chars."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def surprisals(trusted: DataFrame, corpus: DataFrame, order: int = ORDER) -> DataFrame:
+    """(unit, c, good, nats, chars) of each unit of corpus, with its counts there and in
+    trusted and the sum of -log p over its own characters in the model of trusted; both have
+    a text column."""
+    learnt = materialize(_counts(trusted, order))
+    every = _counts(corpus, order).join(learnt.select("unit", F.col("c").alias("good")), "unit", "left")
+    every = materialize(every.fillna(0, ["good"]))
+    seen = materialize(_grams(learnt, order, "c").groupBy("gram").agg(F.sum("c").alias("c")))
+    asked = [materialize(_grams(every, order).distinct())]
+    counts = [seen]
+    for _ in range(order - 1):
+        counts.append(materialize(counts[-1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c"))))
+        asked.append(materialize(asked[-1].select(F.expr("substring(gram, 2)").alias("gram")).distinct()))
+    p = None
+    for c, a in zip(reversed(counts), reversed(asked), strict=True):
+        shares, left = _discounted(c)
+        rows = a.withColumn("context", F.expr("left(gram, length(gram) - 1)")).withColumn("lower", F.expr("substring(gram, 2)"))
+        if p is None:
+            rows = rows.withColumn("q", F.lit(1.0 / (1 + a.count())))
+        else:
+            rows = rows.join(p.select(F.col("gram").alias("lower"), F.col("p").alias("q")), "lower")
+        rows = rows.join(left, "context", "left").join(shares, "gram", "left")
+        p = materialize(rows.select("gram", (F.coalesce("share", F.lit(0.0)) + F.coalesce("left", F.lit(1.0)) * F.col("q")).alias("p")))
+    sums = _grams(every, order, "unit", "c", "good").join(p, "gram").groupBy("unit", "c", "good").agg(F.sum(-F.log("p")).alias("nats"), F.count("*").alias("chars"))
+    return materialize(sums)
+
+
+def strange_above(known: DataFrame, quantile: float = UNIT_QUANTILE) -> float:
+    """That quantile of trusted units' mean surprisals, in hundredths; infinite without any."""
+    mean = F.ceil(100 * F.col("nats") / F.col("chars"))
+    total, rows = 0, known.filter("good > 0").groupBy(mean.alias("mean")).agg(F.sum("good").alias("n")).orderBy("mean").collect()
+    for r in rows:
+        total += r["n"]
+        if total >= quantile * sum(x["n"] for x in rows):
+            return r["mean"] / 100
+    return float("inf")
+
+
+def score(docs: DataFrame, known: DataFrame, strange: float, order: int = ORDER, frequent: int = FREQUENT) -> DataFrame:
+    """docs' doc_id and lang with nats (sum of surprisals), chars, units, and odd, the units
+    whose mean surprisal is above strange; known is (unit, c, nats, chars)."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    top = known.orderBy(F.desc("c"), "unit").limit(frequent).select("unit", "nats", "chars").toPandas()
+    shared = docs.sparkSession.sparkContext.broadcast({u: (x, n, int(x > strange * n)) for u, x, n in zip(top["unit"], top["nats"], top["chars"], strict=True)})
+    schema = f"row long, doc_id {kinds['doc_id']}, lang {kinds['lang']}, head boolean, unit string, k long, nats double, chars long, odd long"
+    types = [pa.int64(), to_arrow_type(docs.schema["doc_id"].dataType), to_arrow_type(docs.schema["lang"].dataType), pa.bool_(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames):
+        table = shared.value
         for frame in frames:
-            texts = frame["text"].tolist()
-            for i, j in batches(texts, 1_000_000):
-                s, n = shared.value.surprisal(texts[i:j])
-                yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[i:j], "lang": frame["lang"].iloc[i:j], "nats": s, "chars": n})
+            out, frame = [], frame.to_pydict()
+            for row, doc, lang, text in zip(frame["row"], frame["doc_id"], frame["lang"], frame["text"], strict=True):
+                nats, chars, odd, size = 0.0, 0, 0, 0
+                for u, k in Counter(units(text, order)).items():
+                    size += k
+                    have = table.get(u)
+                    if have is None:
+                        out.append((row, None, None, False, u, k, None, None, None))
+                    else:
+                        nats, chars, odd = nats + k * have[0], chars + k * have[1], odd + k * have[2]
+                out.append((row, doc, lang, True, None, size, nats, chars, odd))
+                if len(out) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", "text").mapInArrow(run, schema)
+    rows = materialize(rows)
+    rest = rows.filter("not head").select("row", "unit", "k").join(known.select("unit", F.col("nats").alias("x"), F.col("chars").alias("n")), "unit")
+    rest = rest.groupBy("row").agg(
+        F.sum(F.col("k") * F.col("x")).alias("x"), F.sum(F.col("k") * F.col("n")).alias("n"),
+        F.sum(F.when(F.col("x") > strange * F.col("n"), F.col("k")).otherwise(0)).alias("o"),
+    )
+    heads = rows.filter("head").join(rest, "row", "left")
+
+    def plus(a, b):
+        return (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
 
-    return docs.select("doc_id", "lang", "text").mapInPandas(run, f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, nats double, chars long")
+    return heads.select("doc_id", "lang", plus("nats", "x"), plus("chars", "n"), F.col("k").alias("units"), plus("odd", "o"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -189,12 +198,12 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int")).alias("good")).filter("good = 1").select("doc_id")
 
 
-def classify(docs: DataFrame, labels: DataFrame, symbols: int = SYMBOLS, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, prior: float = PRIOR, min_trusted: int = MIN_TRUSTED, max_languages: int = MAX_LANGUAGES) -> DataFrame:
-    """A row per row of docs: doc_id, lang, perplexity, score, limit, keep."""
+def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, prior: float = PRIOR, min_trusted: int = MIN_TRUSTED, max_languages: int = MAX_LANGUAGES, unit_quantile: float = UNIT_QUANTILE, worst_margin: float = WORST_MARGIN) -> DataFrame:
+    """A row per row of docs: doc_id, lang, perplexity, score, limit, worst, worst_limit, keep."""
     good = trusted_ids(labels)
     # labels grow with the documents, so the ids are never broadcast: the same hash join at every size
-    model = train(docs.select("doc_id", "text").join(good.hint("shuffle_hash"), "doc_id", "left_semi"), docs, symbols, order)
-    scored = materialize(score(docs, model))
+    grams = surprisals(docs.select("doc_id", "text").join(good.hint("shuffle_hash"), "doc_id", "left_semi"), docs, order)
+    scored = materialize(score(docs, grams, margin * strange_above(grams, unit_quantile), order))
     known = scored.join(good, "doc_id", "left_semi").filter("chars > 0")
     # at most max_languages rows: those with most trusted documents
     means = known.groupBy("lang").agg((F.sum("nats") / F.sum("chars")).alias("mean"), F.count("*").alias("n"))
@@ -205,18 +214,21 @@ def classify(docs: DataFrame, labels: DataFrame, symbols: int = SYMBOLS, order:
     def with_score(rows: DataFrame) -> DataFrame:
         out = rows.join(m, rows["lang"].eqNullSafe(m["_lang"]), "left")
         mean = F.coalesce("mean", F.lit(float(all_mean)))
-        return out.withColumn("score", (F.col("nats") + prior * mean) / (F.col("chars") + prior)).drop("_lang")
+        out = out.withColumn("score", (F.col("nats") + prior * mean) / (F.col("chars") + prior)).drop("_lang")
+        return out.withColumn("worst", F.col("odd") / F.greatest(F.col("units"), F.lit(1)))
 
     ranked = with_score(known)
-    limits = ranked.filter("mean is not null").groupBy("lang").agg((F.percentile_approx("score", quantile, 10_000) * margin).alias("own_limit"))
-    overall = ranked.agg(F.percentile_approx("score", quantile, 10_000) * margin).first()[0]
+    tops = [F.percentile_approx("score", quantile, 10_000) * margin, F.percentile_approx("worst", quantile, 10_000) * worst_margin]
+    limits = ranked.filter("mean is not null").groupBy("lang").agg(tops[0].alias("own_limit"), tops[1].alias("own_worst"))
+    overall = ranked.agg(*tops).first()
     scores = with_score(scored).drop("mean")
-    at = F.broadcast(limits.select(F.col("lang").alias("_lang"), "own_limit"))
+    at = F.broadcast(limits.select(F.col("lang").alias("_lang"), "own_limit", "own_worst"))
     out = scores.join(at, scores["lang"].eqNullSafe(at["_lang"]), "left")
-    out = out.withColumn("limit", F.coalesce("own_limit", F.lit(overall).cast("double")))
+    out = out.withColumn("limit", F.coalesce("own_limit", F.lit(overall[0]).cast("double")))
+    out = out.withColumn("worst_limit", F.coalesce("own_worst", F.lit(overall[1]).cast("double")))
     return out.select(
-        "doc_id", "lang", F.exp(F.col("nats") / F.greatest(F.col("chars"), F.lit(1))).alias("perplexity"), "score", "limit",
-        F.coalesce(F.col("score") <= F.col("limit"), F.lit(True)).alias("keep"),
+        "doc_id", "lang", F.exp(F.col("nats") / F.greatest(F.col("chars"), F.lit(1))).alias("perplexity"), "score", "limit", "worst", "worst_limit",
+        F.coalesce((F.col("score") <= F.col("limit")) & (F.col("worst") <= F.col("worst_limit")), F.lit(True)).alias("keep"),
     )
 
 
@@ -230,3 +242,52 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def op10_kneser_ney_quality(spark, sf_dir: str) -> DataFrame:
     """Perplexity, score and verdict of every document."""
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+# ---- folded symbols: not used by the classifier, covered by tests --------------------------
+
+SYMBOLS = 48
+#: Classes of characters without a symbol of their own; 0 is also the start of a text.
+EDGE, SPACE, LINE, DIGIT, UPPER, MARK, OTHER = range(7)
+_CODES = 0x3000
+
+
+def char_class(c: str) -> int:
+    if c in "\r\n  ":
+        return LINE
+    kind = unicodedata.category(c)
+    if c.isspace() or kind[0] == "Z":
+        return SPACE
+    return DIGIT if kind[0] == "N" else UPPER if kind in ("Lu", "Lt") else OTHER if kind[0] in "LM" else MARK
+
+
+def symbol_table(frequent: list[str], symbols: int = SYMBOLS) -> np.ndarray:
+    """Symbol of each code point below _CODES; those above are OTHER."""
+    table = np.array([char_class(chr(i)) for i in range(_CODES)] + [OTHER], dtype=np.uint32)
+    for k, c in enumerate(frequent[: symbols - OTHER - 1]):
+        table[ord(c)] = OTHER + 1 + k
+    return table
+
+
+def encode(texts, table: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the texts, each with order - 1 edges before it, and their offsets."""
+    raw = [b"" if t is None else t.encode("utf-32-le", "replace") for t in texts]
+    size = np.zeros(len(raw) + 1, dtype=np.int64)
+    np.cumsum([len(r) // 4 + order - 1 for r in raw], out=size[1:])
+    lead = b"\0\0\0\0" * (order - 1)
+    codes = np.frombuffer(b"".join(x for r in raw for x in (lead, r)), dtype="<u4")
+    return table[np.minimum(codes, _CODES)], size
+
+
+def ngrams(symbols: np.ndarray, offsets: np.ndarray, base: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram that ends at each character, and the characters of each text before it."""
+    at = symbols.astype(np.int32)
+    for _ in range(1, order):  # at[i] is the number of the symbols i .. i + order - 1
+        at = at[:-1] * np.int32(base) + symbols[len(symbols) - len(at) + 1 :].astype(np.int32)
+    first = np.zeros(len(offsets), dtype=np.int64)
+    np.cumsum(np.diff(offsets) - (order - 1), out=first[1:])
+    # windows that reach into the next text end on its edges
+    keep = np.ones(len(at), dtype=bool)
+    for o in offsets[1:-1].tolist():
+        keep[o - order + 1 : o] = False
+    return at[keep], first
