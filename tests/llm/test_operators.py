@@ -84,6 +84,17 @@ def test_decontamination(spark):
     assert decontamination.contaminated(df, bench.limit(0)).count() == 0 and decontamination.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_finds_passages_of_long_items(spark):
+    own = np.random.default_rng(8)
+    item, middle = own.choice(WORDS, 300).tolist(), own.choice(WORDS, 59).tolist()
+    fill = [" ".join(own.choice(WORDS, 50)) for _ in range(4)]
+    texts = [" ".join([fill[0], *item[100:240], fill[1]]), " ".join([fill[2], *middle[20:48], fill[3]]), " ".join([fill[0], *item[50:60], fill[1]])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(middle))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench).collect()} == {(0, 0), (1, 1)}
+    assert {r.doc_id for r in decontamination.decontaminate(df, bench).collect()} == {2}
+
+
 @pytest.mark.parametrize("options", [{}, {"hot_anchor": 1, "run_bytes": 2000}])
 def test_suffix_dedup(docs, options):
     seen = defaultdict(int)

@@ -6,7 +6,8 @@ joined with those of the documents; each hit fixes an alignment of item and docu
 is verified word by word: along it the best run of words is found with +1 for an equal word
 and -1 for a replaced one. An item leaks into a document if the runs of its alignments cover
 at least `coverage` of its words with equal ones and have min_words such words, or all words
-of a shorter item. Items shorter than a mask are sought as a whole.
+of a shorter item, or if one run alone has run_words equal words, however long the item is.
+Items shorter than a mask are sought as a whole.
 
 The items' index is broadcast in blocks of at most block_words words (their number of hashes
 is at most len(masks) times that), one pass over the documents each; documents are never
@@ -31,6 +32,7 @@ from trellis.llm.words import ALNUM, windows_hash, word_hashes
 MASKS = ("1101100101", "1110010011", "1011010011")
 COVERAGE = 0.5
 MIN_WORDS = 8
+RUN_WORDS = 13
 BLOCK_WORDS = 400_000
 _FILTER_BITS = 22
 
@@ -88,7 +90,7 @@ def best_run(equal: np.ndarray) -> tuple[int, int]:
     return int(np.argmin(total[: b + 1])), b
 
 
-def leaks(index: SeedIndex, texts: list, coverage: float = COVERAGE, min_words: int = MIN_WORDS) -> list[tuple]:
+def leaks(index: SeedIndex, texts: list, coverage: float = COVERAGE, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> list[tuple]:
     """(text's place, item's place, equal words, item's words, first and last + 1 word of the
     text, alignments) of each item that leaks into a text."""
     words, first = word_hashes(texts, ALNUM)
@@ -97,16 +99,17 @@ def leaks(index: SeedIndex, texts: list, coverage: float = COVERAGE, min_words:
     for key in np.split(hits, np.flatnonzero((np.diff(hits[:, :2], axis=0) != 0).any(axis=1)) + 1) if len(hits) else []:
         d, t = int(key[0, 0]), int(key[0, 1])
         item = index.item_words(t)
-        have, low, high = np.zeros(len(item), dtype=bool), None, None
+        have, low, high, longest = np.zeros(len(item), dtype=bool), None, None, 0
         for start in key[:, 2].tolist():
             a, b = max(0, int(first[d]) - start), min(len(item), int(first[d + 1]) - start)
             equal = words[start + a : start + b] == item[a:b]
             x, y = best_run(equal)
             have[a + x : a + y] |= equal[x:y]
+            longest = max(longest, int(equal[x:y].sum()))
             low = min(start + a + x, start + a + x if low is None else low)
             high = max(start + a + y, start + a + y if high is None else high)
         n = int(have.sum())
-        if n >= coverage * len(item) and n >= min(min_words, len(item)):
+        if longest >= run_words or n >= coverage * len(item) and n >= min(min_words, len(item)):
             out.append((d, t, n, len(item), low - int(first[d]), high - int(first[d]), len(key)))
     return out
 
@@ -134,7 +137,7 @@ def _indexes(benchmark: DataFrame, masks, block_words: int):
 SCHEMA = "matched_words int, item_words int, first_word int, last_word int, alignments int"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, masks=MASKS, coverage: float = COVERAGE, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, masks=MASKS, coverage: float = COVERAGE, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """A row for each document (doc_id) and item (item_id) that leaks into it: equal words,
     the item's words, the words [first_word, last_word) of the document, alignments."""
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
@@ -146,14 +149,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks=MASKS, coverage: f
             for frame in frames:
                 texts, keys = frame["text"].tolist(), frame["doc_id"].tolist()
                 for i, j in batches(texts, 1_000_000):
-                    rows = [(keys[i + d], index.value.ids[t], *rest) for d, t, *rest in leaks(index.value, texts[i:j], coverage, min_words)]
+                    rows = [(keys[i + d], index.value.ids[t], *rest) for d, t, *rest in leaks(index.value, texts[i:j], coverage, min_words, run_words)]
                     yield pd.DataFrame(rows, columns=["doc_id", "item_id", *(c.split()[0] for c in SCHEMA.split(", "))])
 
         out = out.unionByName(docs.select("doc_id", "text").mapInPandas(run, schema))
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, masks=MASKS, coverage: float = COVERAGE, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, masks=MASKS, coverage: float = COVERAGE, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """docs, all columns, without the rows into whose text an item leaks."""
     for index in _indexes(benchmark, masks, block_words):
 
@@ -162,7 +165,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, masks=MASKS, coverage:
                 texts = frame["text"].tolist()
                 for i, j in batches(texts, 1_000_000):
                     keep = np.ones(j - i, dtype=bool)
-                    keep[[d for d, *_ in leaks(index.value, texts[i:j], coverage, min_words)]] = False
+                    keep[[d for d, *_ in leaks(index.value, texts[i:j], coverage, min_words, run_words)]] = False
                     yield frame.iloc[i:j][keep]
 
         docs = docs.mapInPandas(run, docs.schema)
