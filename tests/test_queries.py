@@ -35,3 +35,10 @@ def test_same_rows(spark, duck, name):
     assert sorted(columns) == names
     want = Counter(tuple(plain(r[columns.index(c)]) for c in names) for r in result.fetchall())
     assert Counter(tuple(map(plain, r)) for r in got.select(names).collect()) == want
+
+
+def test_merge_leaves_no_document_out(spark):
+    got = registry.queries()["materials_union_merge_whole"](spark, DATA)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    assert Counter(r.id for r in got.collect()) == Counter(r.doc_id for r in docs.select("doc_id").collect())
+    assert {r.batch for r in got.collect()} == {"first", "second"}

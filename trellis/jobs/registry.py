@@ -60,6 +60,15 @@ def materials_union_merge(spark, d):
     return T.merge_by_key(a, b, ["id"])
 
 
+@query("""SELECT doc_id AS id, CASE WHEN lang = 'en' THEN upper(source) ELSE source END AS source, CASE WHEN lang = 'en' THEN 'second' ELSE 'first' END AS batch FROM documents""")
+def materials_union_merge_whole(spark, d):
+    """All documents are there already; those in English come anew."""
+    docs = V.table(spark, d, "documents")
+    a = docs.select(F.col("doc_id").alias("id"), "source", F.lit("first").alias("batch"))
+    b = docs.filter("lang = 'en'").select(F.col("doc_id").alias("id"), F.upper("source").alias("source"), F.lit("second").alias("batch"))
+    return T.merge_by_key(a, b, ["id"])
+
+
 @query("""WITH c AS (SELECT source, doc_id, CASE WHEN lang = 'fr' THEN 0 WHEN lang = 'de' THEN 1 ELSE 2 END AS stage FROM documents)
 SELECT source, doc_id, CAST(stage AS BIGINT) AS stage FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY stage, doc_id) = 1""")
 def source_fallback(spark, d):
