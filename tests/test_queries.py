@@ -1,6 +1,8 @@
 """Every query with SQL gives the same rows as DuckDB on the smallest tables."""
 
 import os
+import re
+import unicodedata
 from collections import Counter
 
 import duckdb
@@ -42,3 +44,21 @@ def test_merge_leaves_no_document_out(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     assert Counter(r.id for r in got.collect()) == Counter(r.doc_id for r in docs.select("doc_id").collect())
     assert {r.batch for r in got.collect()} == {"first", "second"}
+
+
+def test_slugs_and_capitals_of_whole_texts(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+
+    def slug(t):
+        plain = "".join(c for c in unicodedata.normalize("NFD", t.lower()) if not unicodedata.combining(c))
+        return re.sub(r"\s+", "-", re.sub(r"[^a-z0-9\s-]", "", plain, flags=re.A).strip(" \t\n\r\f\v"), flags=re.A)
+
+    def capital(w):
+        return w if w == w.upper() and w != w.lower() else w[:1].upper() + w[1:].lower()
+
+    words = {i: re.findall(r"\S+", t.replace("ß", "ss"), flags=re.A) for i, t in texts.items() if t is not None}
+    assert any(len(t) > 200 for t in texts.values() if t)
+    got = {r.doc_id: r.slug for r in registry.queries()["slugify_texts"](spark, DATA).collect()}
+    assert got == {i: None if t is None else slug(t) for i, t in texts.items()}
+    got = {r.doc_id: (r.words, r.name) for r in registry.queries()["capitalise_texts"](spark, DATA).collect()}
+    assert all(got[i] == (len(w), " ".join(map(capital, w))) for i, w in words.items()) and got.keys() == texts.keys()

@@ -149,6 +149,17 @@ def capitalise_names(spark, d):
     return V.table(spark, d, "documents").select("doc_id", X.word_count(t).alias("words"), X.capitalise(t).alias("name"))
 
 
+@query()
+def slugify_texts(spark, d):
+    return V.table(spark, d, "documents").select("doc_id", X.slugify(F.col("text")).alias("slug"))
+
+
+@query()
+def capitalise_texts(spark, d):
+    t = F.replace("text", F.lit("ß"), F.lit("ss"))
+    return V.table(spark, d, "documents").select("doc_id", X.word_count(t).alias("words"), X.capitalise(t).alias("name"))
+
+
 @query("""SELECT doc_id, CASE WHEN l LIKE '%attribution-noncommercial-noderivatives%' THEN 'CC BY-NC-ND' WHEN l LIKE '%attribution-noncommercial-sharealike%' THEN 'CC BY-NC-SA'
 WHEN l LIKE '%attribution-noncommercial%' THEN 'CC BY-NC' WHEN l LIKE '%attribution-noderivatives%' THEN 'CC BY-ND' WHEN l LIKE '%attribution-sharealike%' THEN 'CC BY-SA'
 WHEN l LIKE '%attribution%' THEN 'CC BY' WHEN l LIKE '%public domain%' THEN 'Public Domain' WHEN l LIKE '%cc0%' THEN 'CC0' ELSE trim(r) END AS license,
