@@ -1,8 +1,6 @@
 """The operators against brute force on small fixtures with nulls, ties, repeats and empty tables."""
 
-import hashlib
-import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -204,41 +202,85 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), 50: 50, 60: 50}
 
 
+def kneser_ney(trusted, order):
+    """Surprisal of an n-gram of `order` characters by the textbook formulas, from dictionaries."""
+    top = Counter()
+    for t in trusted:
+        for w in t.split():
+            w = f" {w} "
+            top.update(w[max(0, i - order + 1) : i + 1] for i in range(1, len(w)))
+    before = defaultdict(set)
+    for g in top:
+        for k in range(1, len(g)):
+            before[g[k:]].add(g[k - 1 :])
+    counts = {**{g: len(v) for g, v in before.items()}, **top}
+    discount, total, kept = {}, Counter(), Counter()
+    for n in range(1, order + 1):
+        have = Counter(c for g, c in counts.items() if len(g) == n)
+        y = have[1] / (have[1] + 2 * have[2]) if have[1] else 0.5
+        for k in (1, 2, 3):
+            discount[n, k] = min(max(k - (k + 1) * y * have[k + 1] / have[k], 0.05), k - 0.05) if have[k] and have[k + 1] else 0.5
+    for g, c in counts.items():
+        total[g[:-1], len(g)] += c
+        kept[g[:-1], len(g)] += discount[len(g), min(c, 3)]
+
+    def p(g, letters):
+        low = p(g[1:], letters) if len(g) > 1 else 1 / (1 + letters)
+        key = g[:-1], len(g)
+        own = (counts[g] - discount[len(g), min(counts[g], 3)]) / total[key] if g in counts else 0.0
+        return own + (kept[key] / total[key] if key in total else 1.0) * low
+
+    return p
+
+
+def test_quality_model_against_dictionaries(spark):
+    texts = [t for t in TEXTS if t] + ["aa ab abc abcd abcde " * 3]
+    learnt = spark.createDataFrame([(t,) for t in texts[::2]], "text string")
+    every = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "text string")
+    got = {r.gram: r.nats for r in quality.surprisals(quality.gram_counts(learnt, 4), quality.gram_counts(every, 4), 4).collect()}
+    p = kneser_ney(texts[::2], 4)
+    letters = len({g[-1] for g in got})
+    assert len(got) > 100 and all(abs(x + np.log(p(g, letters))) < 1e-9 for g, x in got.items())
+    # sums of whole texts, with and without the broadcast n-grams
+    df = spark.createDataFrame([(2**60 + 1, t, None) for t in texts], "doc_id long, text string, lang string").withColumn("row", F.lit(1))
+    known = quality.surprisals(quality.gram_counts(learnt, 4), quality.gram_counts(every, 4), 4)
+    want = []
+    for t in texts:
+        grams = [f" {w} "[max(0, i - 3) : i + 1] for w in t.split() for i in range(1, len(w) + 2)]
+        want.append((2**60 + 1, round(sum(got[g] for g in grams), 6), len(grams)))
+    for n in (0, 20, 10_000):
+        rows = quality.score(df, known, 4, frequent=n).collect()
+        assert sorted((r.doc_id, round(r.nats, 6), r.chars) for r in rows) == sorted(want)
+        strange = sorted(sorted((s.level, s.many) for r in rows for s in r.strange if s is not None))
+        total = Counter()
+        for level, m in strange:
+            total[level] += m
+        first = total if not n else first
+        assert total == first
+
+
 def test_quality(spark):
-    good = [(i, " ".join(rng.choice(["the", "garden", "grows", "green", "trees", "and", "flowers"], 30)), "en", "s", 0) for i in range(150)]
-    bad = [(500 + i, "".join(chr(c) for c in rng.integers(33, 126, 150)), "en", "s", 0) for i in range(5)]
-    df = spark.createDataFrame([*good, *bad, (900, None, None, "s", 0), (901, "", "xx", "s", 0)], DOC)
-    labels = spark.createDataFrame([(i, 1, None if i % 3 else 0) for i in range(120)] + [(500, 0, 1)], "doc_id long, quality int, toxic int")
+    own = np.random.default_rng(3)
+    good = [(i, " ".join(own.choice(["the", "garden", "grows", "green", "trees", "and", "flowers"], 30)), "en", "s", 0) for i in range(300)]
+    bad = [(500 + i, "".join(chr(c) for c in own.integers(33, 126, 150)), "en", "s", 0) for i in range(5)]
+    df = spark.createDataFrame([*good, *bad, (900, None, None, "s", 0), (901, "", "xx", "s", 0), (None, "the garden", "en", "s", 0)], DOC)
+    labels = spark.createDataFrame([(i, 1, None if i % 3 else 0) for i in range(240)] + [(500, 0, 1), (None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
     keep = {r.doc_id: r.keep for r in quality.classify(df, labels).collect()}
-    assert not any(keep[500 + i] for i in range(5)) and sum(keep[i] for i in range(150)) >= 149 and keep[900] and keep[901]
-    assert all(r.keep for r in quality.classify(df, labels.limit(0)).collect())
+    assert not any(keep[500 + i] for i in range(5)) and sum(keep[i] for i in range(300)) >= 297 and keep[900] and keep[901] and keep[None]
+    assert all(r.keep for r in quality.classify(df, labels.limit(0)).collect()) and quality.classify(df.limit(0), labels).count() == 0
     assert quality.keep_good(df, labels).columns == df.columns
-    texts = ["abc", None, "the garden"]
-    table = quality.symbol_table(list("abc"))
-    at, first = quality.ngrams(*quality.encode(texts, table, 3), 48, 3)
-    assert first.tolist() == [0, 3, 3, 13] and at[2] == (7 * 48 + 8) * 48 + 9
 
 
-def test_quality_sees_unfolded_characters_and_few_bad_words(spark):
+def test_quality_limits_by_language_and_few_strange_words(spark):
+    own = np.random.default_rng(4)
     plain = ["the", "garden", "grows", "green", "trees", "and", "flowers"]
     ja, other = "今日は天気がよいので庭で花を見ました。", "鬱蠢麤驫龘纛鑿饕餮魑魅魍魎蠱毒簒奪。"
-    good = [(i, " ".join(rng.choice(plain, 60)), "en", "s", 0) for i in range(120)] + [(200 + i, ja * 5, "ja", "s", 0) for i in range(60)]
-    rude = rng.choice(plain, 60).tolist()
+    good = [(i, " ".join(own.choice(plain, 60)), "en", "s", 0) for i in range(240)] + [(1000 + i, ja * 5, "ja", "s", 0) for i in range(240)]
+    rude = own.choice(plain, 60).tolist()
     rude[20], rude[40] = "xqzvk", "wjxqz"
-    df = spark.createDataFrame([*good, (500, " ".join(rude), "en", "s", 0), (501, other * 5, "ja", "s", 0)], DOC)
+    df = spark.createDataFrame([*good, (5000, " ".join(rude), "en", "s", 0), (5001, other * 5, "ja", "s", 0), *good[:2]], DOC)
     labels = spark.createDataFrame([(r[0], 1, 0) for r in good], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in quality.classify(df, labels).collect()}
-    assert all(got[r[0]].keep for r in good) and not got[500].keep and not got[501].keep
-    assert got[500].score <= got[500].limit or got[500].worst > got[500].worst_limit
-    assert got[501].perplexity > 5 * got[200].perplexity
-    for text in ("x" * 700 + " end", ja * 9, "a bc  def"):
-        own = [u[quality.ORDER - 1 :] for u in quality.units(text)]
-        assert "".join(own) == " ".join(text.split()) + " " and max(map(len, own)) <= quality.STRETCH
-    # units that are not broadcast are joined, with the same sums
-    known = quality.surprisals(df, df)
-    some, every = ({r.doc_id: (round(r.nats, 6), r.chars, r.units, r.odd) for r in quality.score(df, known, 2.0, frequent=n).collect()} for n in (3, 50_000))
-    assert some == every
-
-
-def test_digest_functions():
-    assert zlib.crc32(b"") == 0 and hashlib.sha256(b"").hexdigest().startswith("e3b0")
+    got = {r.doc_id: r for r in quality.classify(df, labels, min_trusted=20).collect()}
+    assert all(got[r[0]].keep for r in good) and not got[5000].keep and not got[5001].keep
+    assert got[5000].worst > got[5000].worst_limit
+    assert got[5001].perplexity > 5 * got[1000].perplexity and got[0].limit != got[1000].limit
