@@ -14,7 +14,8 @@ besides one batch; nothing is shuffled. Windows are numbered from the partition'
 a task that runs again gives the same numbers.
 
 Defined cases: null text counts as empty and gives a piece with the closing id alone;
-repeated rows are packed one by one; an empty table gives no rows; other columns are ignored.
+repeated rows are packed one by one; keys, null ones too, are given back as they are; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ from __future__ import annotations
 from bisect import bisect_right, insort
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from trellis.llm.common import batches
-from trellis.llm.pieces import worker_encoder
+from trellis.llm.pieces import WordEncoder, worker_encoder
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 32_768
@@ -108,9 +110,9 @@ class Packer:
         return out
 
 
-def _packed(path: str, closing: int, tiers, step_tokens: int, pool_tokens: int):
+def _packed(path: str, closing: int, tiers, step_tokens: int, pool_tokens: int, names: list[str], types: list):
     def run(frames):
-        enc = worker_encoder(path, "packing")
+        enc = worker_encoder(path, WordEncoder)
         packer, ids_of, count = Packer(tiers, step_tokens), {}, 0
         base = TaskContext.get().partitionId() << 40
         sequence, step = base, base
@@ -132,23 +134,25 @@ def _packed(path: str, closing: int, tiers, step_tokens: int, pool_tokens: int):
             kept = {d for _, w in packer.windows for *_, d in w} | {d for *_, d in packer.rests}
             for d in ids_of.keys() - kept:
                 del ids_of[d]
-            return pd.DataFrame(rows, columns=["rid", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "step_group"])
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         for frame in frames:
-            for i, j in batches(frame["text"].tolist(), 2_000_000):
-                part = frame.iloc[i:j]
+            rids, texts = frame["rid"].to_pylist(), frame["text"].to_pylist()
+            for i, j in batches(texts, 2_000_000):
                 words = []
-                for t in part["text"]:
+                for t in texts[i:j]:
                     raw = (t or "").encode("utf-8")
                     words.append((raw if b"<|" in raw else raw.lower()).split())
                 memo = enc.learn(set().union(*words), bytes.decode, np.ndarray.tobytes)
-                for rid, ws in zip(part["rid"], words, strict=True):
+                for rid, ws in zip(rids[i:j], words, strict=True):
                     ids_of[count] = (rid, b"".join(map(memo.__getitem__, ws)) + end)
                     packer.add(count, len(ids_of[count][1]) // 4)
                     count += 1
                 if packer.size > pool_tokens or len(packer.windows) > 256:
                     yield given(False)
         yield given(True)
+        enc.release()
 
     return run
 
@@ -158,13 +162,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", te
     (with the closing id), sequence_id, offset, sequence_tokens (its window's size) and
     step_group. The tokenizer must drop white space, lower its input and split at it, so a
     text's ids are those of its words."""
-    kind = docs.schema[key].dataType.simpleString()
+    kind = docs.schema[key].dataType
+    fields = [("rid", kind.simpleString(), to_arrow_type(kind)), ("start", "long", pa.int64()), ("length", "long", pa.int64()), ("ids", "binary", pa.binary())]
+    fields += [(n, "long", pa.int64()) for n in ("doc_tokens", "sequence_id", "offset", "sequence_tokens", "step_group")]
     rows = docs.select(F.col(key).alias("rid"), F.col(text).alias("text"))
-    out = rows.mapInPandas(
-        _packed(tokenizer_path, closing, tuple(tiers), step_tokens, pool_tokens),
-        f"rid {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long, step_group long",
-    )
-    return out.withColumnRenamed("rid", key)
+    run = _packed(tokenizer_path, closing, tuple(tiers), step_tokens, pool_tokens, [n for n, _, _ in fields], [t for _, _, t in fields])
+    return rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k, _ in fields)).withColumnRenamed("rid", key)
 
 
 def packed_digest(docs: DataFrame) -> DataFrame:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 
-#: Entries of a worker's memo; beyond that only those in use stay, so its memory is bounded.
-MEMO_ENTRIES = 700_000
+#: Entries of a worker's memo, and bytes of its keys; beyond either only those in use stay.
+MEMO_ENTRIES = 300_000
+MEMO_BYTES = 32_000_000
+#: Entries that outlive a task, those that its last batches had in common.
+KEPT_ENTRIES = 20_000
 
 
 def load(path: str):
@@ -24,13 +28,14 @@ class Encoder:
     Unknown pieces are encoded in one call, parted by a special token, which the library
     takes out before anything else; pieces that might hold such a token go one by one."""
 
-    def __init__(self, path: str, entries: int = MEMO_ENTRIES):
+    def __init__(self, path: str, entries: int = MEMO_ENTRIES, most_bytes: int = MEMO_BYTES):
         self.tokenizer = load(path)
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
         self.mark_id, self.mark = special[0]
         self.first = [c[0] for _, c in special]
-        self.entries = entries
+        self.entries, self.most_bytes, self.bytes = entries, most_bytes, 0
         self.memo: dict = {}
+        self.common: set = set()  # keys of the last batch that were known before
 
     def _risky(self, piece: str) -> bool:
         return any(c in piece for c in self.first)
@@ -54,27 +59,93 @@ class Encoder:
                 out[i] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, dtype="<u4")
         return out
 
+    def _keep(self, keys) -> None:
+        kept = {k: self.memo[k] for k in keys}
+        self.memo.clear()
+        self.memo.update(kept)
+        self.bytes = sum(map(len, kept))
+
     def learn(self, keys: set, text, value) -> dict:
         """Bring keys into the memo: text(key) is encoded, value(ids) is kept."""
-        new = keys - self.memo.keys()
-        if len(self.memo) + len(new) > self.entries:
-            # common pieces are among these too and stay; the rare ones go
-            kept = {k: self.memo[k] for k in keys & self.memo.keys()}
-            self.memo.clear()
-            self.memo.update(kept)
-        new = list(new)
+        new = list(keys - self.memo.keys())
+        self.common = keys.difference(new)
+        if len(self.memo) + len(new) > self.entries or self.bytes > self.most_bytes:
+            self._keep(self.common)  # common pieces are among these too and stay; the rare ones go
         for a in range(0, len(new), 20_000):
             some = new[a : a + 20_000]
-            self.memo.update(zip(some, map(value, self.encode([text(k) for k in some])), strict=True))
+            self.memo.update(zip(some, map(value, self.encode(list(map(text, some)))), strict=True))
+        self.bytes += sum(map(len, new))
         return self.memo
 
+    def release(self, kept: int = KEPT_ENTRIES) -> None:
+        """At the end of a task: all but the common pieces go."""
+        self._keep(list(self.common & self.memo.keys())[:kept])
+        self.common = set()
+
+
+#: ASCII punctuation of which a run is a piece of its own after a letter; the apostrophe is not.
+_TAIL = ".,;:!?|*&%$#\"()"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary has for each byte: printable ones stand for
+    themselves, the others are numbered from 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class WordEncoder(Encoder):
+    """An encoder of words for a tokenizer that lowers its input, takes runs of letters and
+    runs of other marks as pieces, and spells pieces in bytes. Such pieces go to the library's
+    model without the steps before it; all other words, and all words of a tokenizer that
+    differs on a few probes, are encoded as Encoder does it."""
+
+    def __init__(self, path: str, **options):
+        super().__init__(path, **options)
+        self.letters = _byte_letters()
+        self.direct = True
+        probes = ["a", "word", "word.", "näher", "été,", "über||", "слово", "日本", "the)", "don", "ll", "s", "re.", "!!", "$$$", "ß", "ñandú"]
+        exact = super().encode(probes)
+        got = [self._direct(p) for p in probes]
+        self.direct = all(g is not None and np.array_equal(g, e) for g, e in zip(got, exact, strict=True))
+
+    def _direct(self, word: str) -> np.ndarray | None:
+        tokenize, tail = self.tokenizer.model.tokenize, ""
+        if not word.isalpha():
+            core = word.rstrip(_TAIL)
+            word, tail = core, word[len(core) :]
+            if core and not core.isalpha():
+                return None
+        if not word.isascii():
+            if word.lower() != word or not unicodedata.is_normalized("NFC", word):
+                return None
+            word = word.encode("utf-8").decode("latin-1").translate(self.letters)
+        elif word and not word.islower():
+            return None
+        ids = [t.id for t in tokenize(word)] if word else []
+        if tail:
+            ids += [t.id for t in tokenize(tail)]
+        return np.array(ids, dtype="<u4")
+
+    def encode(self, pieces: list[str]) -> list[np.ndarray]:
+        if not self.direct:
+            return super().encode(pieces)
+        out = list(map(self._direct, pieces))
+        left = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(left, super().encode([pieces[i] for i in left]), strict=True):
+            out[i] = ids
+        return out
+
 
 _ENCODERS: dict = {}
 
 
-def worker_encoder(path: str, use: str) -> Encoder:
-    """This worker's encoder for a use: the tokenizer and the bounded memo serve all tasks that
-    the worker runs, so common pieces are encoded once for each worker, not for each task."""
-    if (path, use) not in _ENCODERS:
-        _ENCODERS[path, use] = Encoder(path)
-    return _ENCODERS[path, use]
+def worker_encoder(path: str, kind: type = Encoder) -> Encoder:
+    """This worker's encoder of a kind. The tokenizer serves all tasks that the worker runs;
+    a task ends with release(), after which the memo holds common pieces alone. Another
+    tokenizer or kind replaces it, so a worker never holds two."""
+    if (path, kind) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, kind] = kind(path)
+    return _ENCODERS[path, kind]
