@@ -35,6 +35,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,7 +102,9 @@ def _dealt(held: Counter, order: int):
     words, counts = list(held), np.fromiter(held.values(), np.int64, len(held))
     if words:
         grams = Grams(words, order)
-        _, first, where = np.unique(grams.hashes, return_index=True, return_inverse=True)
+        where, distinct = pd.factorize(grams.hashes)
+        first = np.empty(len(distinct), dtype=np.int64)
+        first[where[::-1]] = np.arange(len(where))[::-1]
         c = np.bincount(where, counts[grams.word]).astype(np.int64)
         for a in range(0, len(first), 50_000):
             some = first[a : a + 50_000].tolist()
@@ -194,7 +197,7 @@ def _scored(table, order: int, stretch: int, names, types):
         for frame in frames:
             ids, docs, langs, texts = (frame[c] for c in ("row", "doc_id", "lang", "text"))
             texts = texts.to_pylist()
-            for i, j in batches(texts, 1_000_000):
+            for i, j in batches(texts, 2_000_000):
                 place: dict[str, int] = {}
                 tokens, ends = [], []
                 for t in texts[i:j]:
@@ -214,7 +217,7 @@ def _scored(table, order: int, stretch: int, names, types):
                     whole = np.add.reduceat(hit.astype(np.int64), new) == chars
                     of = g.word[new]  # each stretch's word
                     first = np.searchsorted(of, np.arange(len(words) + 1))
-                    spoken = np.fromiter((any(c.isalpha() for c in w) and not any(c.isdigit() for c in w) for w in words), bool, len(words))
+                    spoken = np.fromiter(map(_spoken, words), bool, len(words))
                     fine = np.bincount(of, np.where(whole, sums, 0.0), len(words)), np.bincount(of, np.where(whole, chars, 0), len(words))
                     mean = sums / chars
                     tokens = np.array(tokens, dtype=np.int64)
@@ -258,17 +261,35 @@ def _scored(table, order: int, stretch: int, names, types):
     return run
 
 
+def _spoken(word: str) -> bool:
+    """Holds a letter and no digit."""
+    return word.isalpha() or (any(map(str.isalpha, word)) and not any(map(str.isdigit, word)))
+
+
 def _ranges(sizes: np.ndarray) -> np.ndarray:
     """0 .. n - 1 for each n of sizes."""
     end = np.cumsum(sizes)
     return np.arange(end[-1] if len(end) else 0) - np.repeat(end - sizes, sizes)
 
 
+def _most_frequent(known: DataFrame, most: int) -> DataFrame:
+    """The n-grams above a count, most of them or fewer: a histogram of counts in steps of a
+    sixteenth of an octave, some hundred rows, says which count. No sort."""
+    step = F.floor(16 * F.log2("c"))
+    rows, total, least = known.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect(), 0, None
+    for r in rows:
+        total += r["n"]
+        if total > most:
+            break
+        least = r["step"]
+    return known.filter(step >= least) if least is not None else known.limit(0)
+
+
 def score(docs: DataFrame, known: DataFrame, order: int = ORDER, frequent: int = FREQUENT, stretch: int = STRETCH) -> DataFrame:
     """docs' doc_id and lang with nats (sum of surprisals), chars, units (stretches of words
     with a letter and no digit), and strange: their mean surprisals in hundredths, rounded up,
     as an array of (level, times)."""
-    top = known.orderBy(F.desc("c"), "gram").limit(frequent).select("gram", "nats").toPandas()  # frequent rows at most
+    top = _most_frequent(known, frequent).select("gram", "nats").toPandas()  # frequent rows at most
     hashes = gram_hash(top["gram"].tolist(), order)
     by = np.argsort(hashes)
     table = docs.sparkSession.sparkContext.broadcast((hashes[by], top["nats"].to_numpy(float)[by]))
