@@ -140,13 +140,10 @@ def _packed(path: str, closing: int, tiers, step_tokens: int, pool_tokens: int,
         for frame in frames:
             rids, texts = frame["rid"].to_pylist(), frame["text"].to_pylist()
             for i, j in batches(texts, 2_000_000):
-                words = []
-                for t in texts[i:j]:
+                for rid, t in zip(rids[i:j], texts[i:j], strict=True):
                     raw = (t or "").encode("utf-8")
-                    words.append((raw if b"<|" in raw else raw.lower()).split())
-                memo = enc.learn(set().union(*words), bytes.decode, np.ndarray.tobytes)
-                for rid, ws in zip(rids[i:j], words, strict=True):
-                    ids_of[count] = (rid, b"".join(map(memo.__getitem__, ws)) + end)
+                    # the tokenizer lowers letters, but takes special strings as they are
+                    ids_of[count] = (rid, enc.ids((raw if b"<|" in raw else raw.lower()).split()) + end)
                     packer.add(count, len(ids_of[count][1]) // 4)
                     count += 1
                 if packer.size > pool_tokens or len(packer.windows) > 256:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from itertools import islice
 
 import numpy as np
 
 #: Entries of a worker's memo, and bytes of its keys; beyond either only those in use stay.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 400_000
 MEMO_BYTES = 32_000_000
 #: Entries that outlive a task, those that its last batches had in common.
 KEPT_ENTRIES = 20_000
@@ -85,6 +86,7 @@ class Encoder:
 
 #: ASCII punctuation of which a run is a piece of its own after a letter; the apostrophe is not.
 _TAIL = ".,;:!?|*&%$#\"()"
+_TAIL_BYTES = _TAIL.encode()
 
 
 def _byte_letters() -> dict[int, str]:
@@ -99,11 +101,13 @@ class WordEncoder(Encoder):
     """An encoder of words for a tokenizer that lowers its input, takes runs of letters and
     runs of other marks as pieces, and spells pieces in bytes. Such pieces go to the library's
     model without the steps before it; all other words, and all words of a tokenizer that
-    differs on a few probes, are encoded as Encoder does it."""
+    differs on a few probes, are encoded as Encoder does it. Its memo has two generations of
+    half the entries each."""
 
     def __init__(self, path: str, **options):
         super().__init__(path, **options)
         self.letters = _byte_letters()
+        self.tokenize, self.older = self.tokenizer.model.tokenize, {}
         self.direct = True
         probes = ["a", "word", "word.", "näher", "été,", "über||", "слово", "日本", "the)", "don", "ll", "s", "re.", "!!", "$$$", "ß", "ñandú"]
         exact = super().encode(probes)
@@ -111,7 +115,7 @@ class WordEncoder(Encoder):
         self.direct = all(g is not None and np.array_equal(g, e) for g, e in zip(got, exact, strict=True))
 
     def _direct(self, word: str) -> np.ndarray | None:
-        tokenize, tail = self.tokenizer.model.tokenize, ""
+        tail = ""
         if not word.isalpha():
             core = word.rstrip(_TAIL)
             word, tail = core, word[len(core) :]
@@ -123,9 +127,9 @@ class WordEncoder(Encoder):
             word = word.encode("utf-8").decode("latin-1").translate(self.letters)
         elif word and not word.islower():
             return None
-        ids = [t.id for t in tokenize(word)] if word else []
+        ids = [t.id for t in self.tokenize(word)] if word else []
         if tail:
-            ids += [t.id for t in tokenize(tail)]
+            ids += [t.id for t in self.tokenize(tail)]
         return np.array(ids, dtype="<u4")
 
     def encode(self, pieces: list[str]) -> list[np.ndarray]:
@@ -137,6 +141,37 @@ class WordEncoder(Encoder):
             out[i] = ids
         return out
 
+    def ids(self, words: list[bytes]) -> bytes:
+        """The little-endian unsigned 32-bit ids of UTF-8 words."""
+        found = list(map(self.memo.get, words))
+        if None in found:
+            for k, v in enumerate(found):
+                if v is None:
+                    found[k] = self._learnt(words[k])
+        return b"".join(found)
+
+    def _learnt(self, word: bytes) -> bytes:
+        ids = self.memo.get(word)
+        if ids is None:
+            ids = self.older.get(word)
+        else:
+            return ids
+        if ids is None:
+            core = word.rstrip(_TAIL_BYTES)
+            if core and len(core) < len(word) and self.direct and core.decode("utf-8").isalpha():
+                ids = self._learnt(core) + self._learnt(word[len(core) :])
+            else:
+                ids = self.encode([word.decode("utf-8")])[0].tobytes()
+        if len(self.memo) >= self.entries // 2:
+            self.older, self.memo = self.memo, {}
+        self.memo[word] = ids
+        return ids
+
+    def release(self, kept: int = KEPT_ENTRIES) -> None:
+        """At the end of a task: a bounded number of the first words since the last turn stays,
+        as frequent words come first."""
+        self.memo, self.older = dict(islice(self.memo.items(), kept)), {}
+
 
 _ENCODERS: dict = {}
 
