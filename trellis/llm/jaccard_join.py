@@ -1,24 +1,29 @@
 """Exact n-gram Jaccard join by set relations: block-skipping lists and derived answers.
 
-A document's set is that of its word shingles, as 64-bit hashes. Copies of a set are counted
-as one. All sets are put in one order of shingles, those that are frequent in the corpus
-last, and each set is indexed by its prefix: two sets that are similar enough share a shingle
-in their prefixes. The lists of the index are sorted by set size and position, so that a
-scan skips, block by block, the entries whose size or position rules a similar pair out.
-
-Index-level relations bound what a list costs. A short list (at most short_list entries)
-gives all pairs that pass. In a longer one every set is first paired only with the leaders of
-its size class and the class below: the set with the fewest shingles before the list's. The
-answers of a leader then serve the sets similar to it: sets linked to it are in one component,
-and what they are linked to need not be found again. Only long lists that still hold several
-components are scanned for the pairs across them, in rounds with other leaders and in the end
-completely, so that no link between components is lost. Candidates whose parity bits differ in
-more places than similar sets may are dropped (exact: sets differ in at least as many members);
-every other pair is verified on the whole sets.
-
-Frequent shingles are a summary over all documents: each task reports those that it saw in
-several documents, and the max_frequent with the highest sums form the end of the order. The
-order only matters for speed; any order gives the same links.
+A document's set is that of its word shingles, as 64-bit hashes. Equal sets are one class,
+known by a 64-bit hash of the set, its mark. All sets are put in one order of shingles, rare
+ones first, and each set is indexed by its prefix: two sets that are similar enough share a
+shingle in their prefixes. The order comes from counts of all documents: each task counts its
+sets' shingles in a fixed number of buckets, and the sums of all tasks are the order's levels.
+So it does not depend on how the rows are cut into tasks, and any order gives the same links.
+
+Index-level relations. The entries of a list are sorted by set size and by the shingle's
+position in its set. A block holds the entries of one size; from a block and another one only
+the entries up to a position can be similar, as what lies behind the position bounds the
+overlap, so the rest of either block is skipped, and so are all blocks of too different sizes.
+Short lists (at most short_list entries) give all pairs that are left. In a longer list each
+set is first paired only with the leaders of its size grade and of the grade below: the set
+with the smallest mark, which is the same one in most lists of a family of near copies.
+
+Answer-level relations. The overlap of a set with its leader is a computed answer. Long lists
+whose sets are not all in one component by then are read once more, for pairs across
+components. From such a pair's leaders l and m, whose overlap is computed once for all sets
+that follow them, the pair's own follows up to what the sets differ from their leaders:
+|l & m| - |l - x| - |m - y| <= |x & y| <= |l & m| + |x - l| + |y - m|. Where that decides, the
+answer is derived; only pairs that it leaves open are verified on the sets themselves.
+
+Sets are read from the texts again for the classes that candidates name; a bitmap of bounded
+size keeps most others from being sent, and a join drops what it lets through.
 
 Defined cases: null text and texts without words have the empty set, which links with nothing;
 texts with fewer words than a shingle have their whole word sequence as one; a null doc_id
@@ -28,8 +33,10 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,14 +48,13 @@ WORDS = 5
 #: Similarity as a fraction, so that tests on whole numbers are exact.
 SIMILAR = (75, 100)
 SHORT_LIST = 8
-LEADER_ROUNDS = 1
-MAX_FREQUENT = 1_000_000
-FREQUENT_IN_TASK = 3
 BLOCK = 1_000_000
-#: Parities of a set that bound its difference from another.
-BITS = 1024
-#: Candidates up to this many are broadcast to the scan that builds their sets.
-BROADCAST_IDS = 500_000
+#: Buckets of the shingle counts: 2 ** BUCKET_BITS, in slices of 2 ** SLICE_BITS.
+BUCKET_BITS, SLICE_BITS = 22, 14
+#: Places of the bitmap of classes whose sets are asked for: 2 ** ASKED_BITS.
+ASKED_BITS = 24
+#: Entries of a list that are held at once when leaders are sought.
+HELD_ENTRIES = 500_000
 
 
 def shingle_sets(texts, words: int = WORDS) -> list[np.ndarray]:
@@ -66,12 +72,11 @@ def shingle_sets(texts, words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def set_marks(s: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit hashes of a set."""
+def set_mark(s: np.ndarray) -> int:
+    """A 64-bit hash of a set."""
     with np.errstate(over="ignore"):
-        a = mix64(s).sum(dtype=U64)
-        b = (mix64(s ^ U64(0x5851F42D4C957F2D)) * (s | U64(1))).sum(dtype=U64)
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
+        a = mix64(s).sum(dtype=U64) * U64(0x9E3779B97F4A7C15) + (mix64(s ^ U64(0x5851F42D4C957F2D)) * (s | U64(1))).sum(dtype=U64)
+    return int(mix64(np.array([a + U64(len(s))], dtype=U64)).view(np.int64)[0])
 
 
 def prefix_length(size: int, similar=SIMILAR) -> int:
@@ -86,269 +91,370 @@ def needed_overlap(x, y, similar=SIMILAR):
     return -(-(x + y) * p // (p + q))
 
 
-def parity_bits(s: np.ndarray) -> bytes:
-    """BITS parities of the members by hash. Sets differ in at least as many members as their
-    parities differ in bits."""
-    at = (mix64(s ^ U64(0x2545F4914F6CDD1D)) % U64(BITS)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=BITS).astype(np.uint8) & 1).tobytes()
+def _needed(x: str, y: str, similar):
+    p, q = similar
+    return F.expr(f"(({x} + {y}) * {p} + {p + q - 1}) div {p + q}")
+
 
+def _summary(words: int):
+    """Size and mark of each row's set, and at the end this task's counts by bucket."""
 
-def _summary(kind: str, words: int):
     def run(frames):
-        tokens, counts = np.zeros(0, U64), np.zeros(0, np.int64)
-        seen = np.zeros(1 << 24, dtype=np.uint8)  # documents of this task by a token's first bits
+        counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
         for frame in frames:
-            texts, ids = frame["text"].tolist(), frame["doc_id"]
+            texts, ids = frame["text"].to_pylist(), frame["doc_id"]
             for i, j in batches(texts, BLOCK):
                 sets = shingle_sets(texts[i:j], words)
-                marks = [set_marks(s) for s in sets]
-                yield pd.DataFrame({"doc_id": ids.iloc[i:j], "n": [len(s) for s in sets], "a": [m[0] for m in marks], "b": [m[1] for m in marks], "bits": [parity_bits(s) for s in sets]})
-                t, c = np.unique(np.concatenate(sets), return_counts=True)
-                slot = (t >> U64(40)).astype(np.int64)
-                before = seen[slot].astype(np.int64)
-                seen[slot] = np.minimum(255, before + c)
-                more = before + c >= FREQUENT_IN_TASK
-                # what came before counts when a token gets here first
-                c = c + np.where(before < FREQUENT_IN_TASK, before, 0)
-                tokens, where = np.unique(np.concatenate([tokens, t[more]]), return_inverse=True)
-                counts = np.bincount(where, np.concatenate([counts, c[more]]), len(tokens)).astype(np.int64)
-                if len(tokens) > 600_000:
-                    high = np.argsort(counts)[-300_000:]
-                    high.sort()
-                    tokens, counts = tokens[high], counts[high]
-        at = counts >= FREQUENT_IN_TASK
-        yield pd.DataFrame({"doc_id": pd.Series([None] * int(at.sum()), dtype=object), "n": -counts[at], "a": tokens[at].view(np.int64), "b": 0, "bits": None})
-
-    return run, f"doc_id {kind}, n long, a long, b long, bits binary"
-
-
-def ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The set in the common order: by hash, frequent ones last."""
-    if not len(frequent):
-        return s
-    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-    late = frequent[at] == s
-    return np.concatenate([s[~late], s[late]])
-
-
-def _index(frequent, words: int, similar):
+                np.add.at(counts, (np.concatenate(sets) >> U64(64 - BUCKET_BITS)).astype(np.int64), 1)
+                none = pa.nulls(j - i, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_mark(s) for s in sets], pa.int64()), none, pa.nulls(j - i, pa.binary())],
+                    ["doc_id", "n", "mark", "slice", "counts"],
+                )
+        if counts.any():
+            # most counts are small: a byte each, and the rest of those that are not
+            low, high = np.minimum(counts, 255).astype(np.uint8), np.flatnonzero(counts > 255)
+            size = 1 << SLICE_BITS
+            blobs = []
+            for k in range(len(counts) // size):
+                more = high[(high >= k * size) & (high < (k + 1) * size)]
+                blobs.append(zlib.compress(low[k * size : (k + 1) * size].tobytes() + (more - k * size).astype("<i8").tobytes() + counts[more].astype("<i8").tobytes(), 1))
+            n = len(blobs)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, ids.type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "n", "mark", "slice", "counts"])
+
+    return run
+
+
+def _levels(frames):
+    """Level of each bucket of a slice: its count in eighths of an octave."""
+    size, sums = 1 << SLICE_BITS, {}
+    for frame in frames:
+        for k, blob in zip(frame["slice"].to_pylist(), frame["counts"].to_pylist(), strict=True):
+            raw = zlib.decompress(blob)
+            own = sums.setdefault(k, np.zeros(size, dtype=np.int64))
+            low = np.frombuffer(raw, np.uint8, size)
+            at, many = np.frombuffer(raw, "<i8", offset=size).reshape(2, -1)
+            own += low
+            own[at] += many - 255
+    for k, own in sums.items():
+        level = np.minimum(255, np.floor(8 * np.log2(1.0 + own))).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["slice", "level"])
+
+
+def order_levels(summary: DataFrame) -> np.ndarray:
+    """The level of every bucket, 2 ** BUCKET_BITS bytes, from the counts of all tasks."""
+    sliced = summary.filter("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(_levels, "slice int, level binary")
+    out = np.zeros((1 << (BUCKET_BITS - SLICE_BITS), 1 << SLICE_BITS), dtype=np.uint8)
+    for r in sliced.collect():
+        out[r["slice"]] = np.frombuffer(r["level"], np.uint8)
+    return out.ravel()
+
+
+def ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The set in the common order: by the level of a shingle's bucket, then by hash."""
+    return s[np.argsort(levels[(s >> U64(64 - BUCKET_BITS)).astype(np.int64)], kind="stable")]
+
+
+def _index(levels, words: int, similar):
     def run(frames):
         given: set = set()
         for frame in frames:
-            texts, ids = frame["text"].tolist(), frame["doc_id"].tolist()
+            texts = frame["text"].to_pylist()
             for i, j in batches(texts, BLOCK):
                 out = []
-                for s, doc in zip(shingle_sets(texts[i:j], words), ids[i:j], strict=True):
-                    mark = set_marks(s)
-                    if not len(s) or mark in given:  # a copy of what this task has indexed
+                for s in shingle_sets(texts[i:j], words):
+                    if not len(s):
+                        continue
+                    mark = set_mark(s)
+                    if mark in given:  # a copy of what this task has indexed
                         continue
-                    if len(given) >= 500_000:
+                    if len(given) >= 300_000:
                         given.clear()
                     given.add(mark)
-                    p = ordered(s, frequent.value)[: prefix_length(len(s), similar)]
-                    out.append((p, np.full(len(p), doc), (len(s) << 32) + np.arange(len(p))))
+                    p = ordered(s, levels.value)[: prefix_length(len(s), similar)]
+                    out.append((p, np.full(len(p), mark), (len(s) << 32) + np.arange(len(p))))
                 if out:
-                    token, doc, place = (np.concatenate(x) for x in zip(*out, strict=True))
+                    token, mark, place = (np.concatenate(x) for x in zip(*out, strict=True))
                     for k in range(0, len(token), 50_000):
-                        yield pd.DataFrame({"token": token[k : k + 50_000].view(np.int64), "rep": doc[k : k + 50_000], "place": place[k : k + 50_000]})
+                        yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in (token.view(np.int64), mark, place)], ["token", "mark", "place"])
 
     return run
 
 
-def passing_pairs(size: np.ndarray, pos: np.ndarray, similar=SIMILAR, component=None):
-    """Blocks of pairs (i, j), i < j, of a list sorted by (size, pos) that may be similar.
-    For each i the block of larger sets ends where sizes rule it out; positions rule out more."""
+def block_pairs(size: np.ndarray, pos: np.ndarray, similar=SIMILAR, component=None):
+    """Pairs (i, j) of a list sorted by (size, pos) that may be similar, in arrays. A block is a
+    run of one size. With component only pairs across components."""
     p, q = similar
-    end = np.searchsorted(size * p, size * q, side="right")
-    for i in range(len(size) - 1):
-        j = np.arange(i + 1, end[i])
-        if component is not None:
-            j = j[component[j] != component[i]]
-        rest = 1 + np.minimum(size[i] - pos[i], size[j] - pos[j]) - 1
-        j = j[rest >= needed_overlap(size[i], size[j], similar)]
-        if len(j):
-            yield np.full(len(j), i), j
-
-
-def leader_pairs(size: np.ndarray, pos: np.ndarray, similar=SIMILAR, skip: int = 0):
-    """Pairs (i, leader) with the leaders of i's own size class and the next smaller one."""
+    sizes, first = np.unique(size, return_index=True)
+    end = np.append(first[1:], len(size))
+    last = np.searchsorted(sizes * p, sizes * q, side="right")
+    for u in range(len(sizes)):
+        need = needed_overlap(sizes[u], sizes[u : last[u]], similar)
+        # positions up to size - need are left, a beginning of each block
+        left = first[u] + np.searchsorted(pos[first[u] : end[u]], sizes[u] - need, side="right")
+        for v in np.flatnonzero(left > first[u]).tolist():
+            w = u + v
+            right = first[w] + int(np.searchsorted(pos[first[w] : end[w]], sizes[w] - need[v], side="right"))
+            i, j = np.arange(first[u], left[v]), np.arange(first[w], right)
+            if not len(j):
+                continue
+            if component is None:
+                a, b = np.repeat(i, len(j)), np.tile(j, len(i))
+            else:
+                j = j[np.argsort(component[j], kind="stable")]
+                low, high = (np.searchsorted(component[j], component[i], side=s) for s in ("left", "right"))
+                many = low + len(j) - high
+                a = np.repeat(i, many)
+                at = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)
+                at += np.where(at >= np.repeat(low, many), np.repeat(high - low, many), 0)
+                b = j[at]
+            if v == 0:
+                a, b = a[a < b], b[a < b]
+            if len(a):
+                yield a, b
+
+
+def leader_pairs(mark: np.ndarray, size: np.ndarray, pos: np.ndarray, similar=SIMILAR, held: dict | None = None):
+    """Pairs (mark, size, pos of i; of the leader) with the leaders of i's own size grade and the
+    grade below. held keeps the leaders of a list that comes in parts."""
     p, q = similar
+    held = {} if held is None else held
     grade = np.floor(np.log(size) / np.log(q / p) + 1e-9).astype(np.int64)
-    leader = {}
-    for g in np.unique(grade):
-        at = np.flatnonzero(grade == g)
-        by = at[np.argsort(pos[at], kind="stable")]
-        leader[int(g)] = by[skip % len(by)]
+    by = np.lexsort((mark, grade))
+    grades, first = np.unique(grade[by], return_index=True)
+    for g, k in zip(grades.tolist(), by[first].tolist(), strict=True):
+        mine = (int(mark[k]), int(size[k]), int(pos[k]))
+        held[g] = min(held.get(g, mine), mine)
+    none = (0, 0, 0)
     for d in (0, 1):
-        at = np.array([leader.get(int(g) - d, -1) for g in grade])
-        i = np.flatnonzero((at >= 0) & (at != np.arange(len(at))))
-        m = at[i]
-        low, high = np.minimum(size[i], size[m]), np.maximum(size[i], size[m])
-        ok = (low * q >= high * p) & (np.minimum(size[i] - pos[i], size[m] - pos[m]) >= needed_overlap(size[i], size[m], similar))
-        yield i[ok], m[ok]
+        lead = np.array([held.get(g - d, none) for g in grades.tolist()], dtype=np.int64)[np.searchsorted(grades, grade)]
+        low, high = np.minimum(size, lead[:, 1]), np.maximum(size, lead[:, 1])
+        ok = (lead[:, 1] > 0) & (lead[:, 0] != mark) & (low * q >= high * p)
+        ok &= np.minimum(size - pos, lead[:, 1] - lead[:, 2]) >= needed_overlap(size, lead[:, 1], similar)
+        yield mark[ok], lead[ok, 0]
 
 
-def _runs(frames, columns):
-    """Whole lists (equal token) of a stream sorted by token; a list may span batches."""
-    held = None
+def _lists(frames, columns):
+    """(arrays, whole): what a stream sorted by token holds of whole lists, and parts of lists
+    of more than HELD_ENTRIES, each class once in a list. whole is False for such parts."""
+    held, long = None, False
     for frame in frames:
-        data = [frame[c].to_numpy() for c in columns]
+        data = [frame[c].to_numpy(zero_copy_only=False) for c in columns]
         if held is not None:
             data = [np.concatenate([h, d]) for h, d in zip(held, data, strict=True)]
-        cut = np.flatnonzero(data[0][1:] != data[0][:-1]) + 1
-        if not len(cut):
+        if len(data[0]) > 1:
+            new = np.concatenate([[True], (data[0][1:] != data[0][:-1]) | (data[1][1:] != data[1][:-1])])
+            data = [d[new] for d in data]
+        token = data[0]
+        cut = int(np.searchsorted(token == token[-1], True)) if len(token) else 0
+        if cut:
+            if long:  # the rest of the list that came in parts
+                end = int(np.argmax(token != token[0])) if token[-1] != token[0] else len(token)
+                yield [d[:end] for d in data], False
+                data = [d[end:] for d in data]
+                cut, long = cut - end, False
+            if cut:
+                yield [d[:cut] for d in data], True
+            held = [d[cut:] for d in data]
+        elif len(token) > HELD_ENTRIES:
+            yield data, False
+            held, long = [d[-1:] for d in data], True
+        else:
             held = data
-            continue
-        bounds = np.concatenate([[0], cut])
-        for k in np.flatnonzero(np.diff(bounds) > 1):
-            yield [d[bounds[k] : bounds[k + 1]] for d in data]
-        held = [d[cut[-1] :] for d in data]
-    if held is not None and len(held[0]) > 1:
-        yield held
+    if held is not None and len(held[0]):
+        yield held, not long
 
 
-def _scan(similar, short_list: int, stage: int):
-    """Candidates of sorted lists: kind 0 (a, b), and the entries of long lists: kind 1
-    (a: rep, b: place, token). stage 0: the whole index. Later stages know components and look
-    only across them: with other leaders, or (stage -1) for every pair."""
+def _scan(similar, short_list: int):
+    """Candidates of the index: kind 0 (a, b), marks; and the entries of long lists: kind 1
+    (a: mark, b: place, token)."""
+    p, q = similar
 
     def run(frames):
-        out, held = [], 0
+        out, rows = [], 0
 
-        def frame_of(rows):
-            return pd.DataFrame({c: np.concatenate([r[k] for r in rows]) for k, c in enumerate(("kind", "a", "b", "token"))})
+        def pairs(a, b):
+            return np.zeros(len(a), np.int32), np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64)
 
-        for data in _runs(frames, ["token", "rep", "place"] + (["component"] if stage else [])):
-            token, rep, place = data[:3]
+        def batch():
+            kind, a, b, token = (np.concatenate(x) for x in zip(*out, strict=True))
+            # a pair is sent once of all lists held
+            order = np.lexsort((token, b, a, kind))
+            kind, a, b, token = kind[order], a[order], b[order], token[order]
+            new = np.concatenate([[True], (kind[1:] == 1) | (kind[1:] != kind[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            return pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (kind, a, b, token)], ["kind", "a", "b", "token"])
+
+        leaders: dict = {}
+        for (token, mark, place), whole in _lists(frames, ["token", "mark", "place"]):
             size, pos = place >> 32, place & 0xFFFFFFFF
-            order = np.lexsort((rep, pos, size))
-            rep, size, pos, place = rep[order], size[order], pos[order], place[order]
-            component = data[3][order] if stage else None
-            if stage and (component == component[0]).all():
-                continue
-            if stage == -1 or (not stage and len(rep) <= short_list):
-                pairs = passing_pairs(size, pos, similar, component)
+            bounds = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+            length = np.diff(bounds)
+            if not whole:
+                out += [pairs(*x) for x in leader_pairs(mark, size, pos, similar, leaders)]
+                out.append((np.ones(len(mark), np.int32), mark, place, token))
             else:
-                pairs = leader_pairs(size, pos, similar, skip=stage)
-                if not stage:
-                    out.append((np.ones(len(rep), np.int32), rep, place, token))
-                    held += len(rep)
-            for i, j in pairs:
-                if component is not None:
-                    other = component[i] != component[j]
-                    i, j = i[other], j[other]
-                a, b = rep[i], rep[j]
-                out.append((np.zeros(len(a), np.int32), np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64)))
-                held += len(a)
-                if held > 100_000:
-                    yield frame_of(out)
-                    out, held = [], 0
+                leaders = {}
+                of = np.repeat(length, length)
+                for d in range(1, short_list):  # all pairs of short lists, d entries apart
+                    if d >= len(token):
+                        break
+                    i = np.flatnonzero((token[d:] == token[:-d]) & (of[d:] <= short_list))
+                    j = i + d
+                    ok = (size[j] * p <= size[i] * q) & (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= needed_overlap(size[i], size[j], similar))
+                    out.append(pairs(mark[i[ok]], mark[j[ok]]))
+                for k in np.flatnonzero(length > short_list).tolist():
+                    s = slice(bounds[k], bounds[k + 1])
+                    out += [pairs(*x) for x in leader_pairs(mark[s], size[s], pos[s], similar)]
+                    out.append((np.ones(length[k], np.int32), mark[s], place[s], token[s]))
+            rows = sum(len(x[0]) for x in out)
+            if rows > 300_000:
+                yield batch()
+                out = []
         if out:
-            yield frame_of(out)
+            yield batch()
 
     return run
 
 
-def _sets(words: int):
-    def run(frames):
-        for frame in frames:
-            texts = frame["text"].tolist()
-            for i, j in batches(texts, BLOCK):
-                part = frame.iloc[i:j]
-                rows = [
-                    (rep, s.tobytes())
-                    for s, rep, a, b in zip(shingle_sets(texts[i:j], words), part["rep"].tolist(), part["a"].tolist(), part["b"].tolist(), strict=True)
-                    if set_marks(s) == (a, b)
-                ]
-                yield pd.DataFrame(rows, columns=["rep", "members"])
+def _across(similar):
+    """Pairs across components of whole long lists."""
 
-    return run
+    def run(frames):
+        held = None
 
+        def given(token, mark, place, component):
+            bounds = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+            for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if (component[x:y] == component[x]).all():
+                    continue
+                for i, j in block_pairs(place[x:y] >> 32, place[x:y] & 0xFFFFFFFF, similar, component[x:y]):
+                    a, b = mark[x + i], mark[x + j]
+                    for k in range(0, len(a), 100_000):
+                        s = slice(k, k + 100_000)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[s], b[s])), pa.array(np.maximum(a[s], b[s]))], ["a", "b"])
 
-def _near_bits(similar):
-    def run(frames):
         for frame in frames:
-            if not len(frame):
-                continue
-            x, y = (np.frombuffer(b"".join(frame[c]), np.uint8).reshape(len(frame), -1) for c in ("xbits", "ybits"))
-            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            total = frame["xn"].to_numpy() + frame["yn"].to_numpy()
-            yield frame.loc[differ <= total - 2 * needed_overlap(frame["xn"].to_numpy(), frame["yn"].to_numpy(), similar), ["a", "b"]]
+            data = [frame[c].to_numpy(zero_copy_only=False) for c in ("token", "mark", "place", "component")]
+            if held is not None:
+                data = [np.concatenate([h, d]) for h, d in zip(held, data, strict=True)]
+            cut = int(np.searchsorted(data[0] == data[0][-1], True)) if len(data[0]) else 0
+            if cut:
+                yield from given(*(d[:cut] for d in data))
+            held = [d[cut:] for d in data]
+        if held is not None and len(held[0]):
+            yield from given(*held)
 
     return run
 
 
-def _verify(similar):
-    p, q = similar
-
+def _sets(words: int, asked):
     def run(frames):
+        given: set = set()
         for frame in frames:
-            keep = np.zeros(len(frame), dtype=bool)
-            for k, (x, y) in enumerate(zip(frame["x"], frame["y"], strict=True)):
-                s, t = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                at = np.minimum(np.searchsorted(t, s), len(t) - 1)
-                common = int((t[at] == s).sum())
-                keep[k] = q * common >= p * (len(s) + len(t) - common)
-            yield frame.loc[keep, ["a", "b"]]
+            texts = frame["text"].to_pylist()
+            for i, j in batches(texts, BLOCK):
+                marks, members = [], []
+                for s in shingle_sets(texts[i:j], words):
+                    if len(s):
+                        mark = set_mark(s)
+                        at = (mark & 0xFFFFFFFFFFFFFFFF) >> (64 - ASKED_BITS)
+                        if asked.value[at >> 3] >> (at & 7) & 1 and mark not in given:
+                            if len(given) >= 300_000:
+                                given.clear()
+                            given.add(mark)
+                            marks.append(mark)
+                            members.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(members, pa.binary())], ["mark", "members"])
 
     return run
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, similar=SIMILAR, short_list: int = SHORT_LIST, max_frequent: int = MAX_FREQUENT, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
+def asked_bitmap(marks: DataFrame) -> np.ndarray:
+    """Bits of the first ASKED_BITS bits of marks; at most 2 ** ASKED_BITS small numbers come
+    to the driver, however many marks there are."""
+    at = marks.select(F.shiftrightunsigned("mark", 64 - ASKED_BITS).cast("int").alias("at")).distinct()
+    rows = at.groupBy(F.shiftright("at", 15).alias("high")).agg(F.collect_list((F.col("at") % (1 << 15)).cast("short")).alias("low"))
+    bits = np.zeros(1 << ASKED_BITS, dtype=bool)
+    for r in rows.toLocalIterator():
+        bits[(r["high"] << 15) + np.array(r["low"], dtype=np.int64)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def _overlaps(frames):
+    for frame in frames:
+        x, y = frame["x"].to_pylist(), frame["y"].to_pylist()
+        an, bn, common = [], [], []
+        for s, t in zip(x, y, strict=True):
+            s, t = np.frombuffer(s, U64), np.frombuffer(t, U64)
+            at = np.minimum(np.searchsorted(t, s), len(t) - 1)
+            an.append(len(s))
+            bn.append(len(t))
+            common.append(int((t[at] == s).sum()))
+        yield pa.RecordBatch.from_arrays([frame["a"], frame["b"], *(pa.array(c, pa.int64()) for c in (an, bn, common))], ["a", "b", "an", "bn", "common"])
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, similar=SIMILAR, short_list: int = SHORT_LIST) -> DataFrame:
     """A row per row of docs (doc_id, text): doc_id, n_shingles, component_id, the smallest
     doc_id reachable by links of similar sets."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    run, schema = _summary("long", words)
-    summary = materialize(texts.mapInPandas(run, schema))
-    own = summary.filter("n >= 0")
-    top = summary.filter("n < 0").groupBy("a").agg(F.sum("n").alias("n")).filter("n <= -6").orderBy("n", "a").limit(max_frequent)
-    frequent = docs.sparkSession.sparkContext.broadcast(np.sort(top.select("a").toPandas()["a"].to_numpy(np.int64).view(U64)))
-    reps = own.filter("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("rep"))
-    reps = materialize(reps)
-    known = own.filter("n > 0 and doc_id is not null").join(reps, ["a", "b"]).select("doc_id", "rep", "n", "bits")
-    known = materialize(known)
-    entries = texts.filter("doc_id is not null").mapInPandas(_index(frequent, words, similar), "token long, rep long, place long")
-    lists = entries.repartition("token").sortWithinPartitions("token")
-    columns = "kind int, a long, b long, token long"
-    scanned = materialize(lists.mapInPandas(_scan(similar, short_list, 0), columns))
-
-    def verified(candidates: DataFrame) -> DataFrame:
-        pairs = candidates.filter("kind = 0").select("a", "b").distinct()
-        x = known.select(F.col("doc_id").alias("a"), F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("bits").alias("xbits"))
-        y = known.select(F.col("doc_id").alias("b"), F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("bits").alias("ybits"))
-        both = pairs.join(x, "a").join(y, "b").filter("x <> y")
-        both = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "xn", "yn", "xbits", "ybits")
-        near = materialize(both.mapInPandas(_near_bits(similar), "a long, b long").distinct())
-        ids = near.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps, "rep")
-        # few candidates are sent to the documents, many meet them in a shuffle
-        ids = F.broadcast(ids) if near.count() * 2 <= BROADCAST_IDS else ids
-        carried = texts.join(ids, texts["doc_id"] == ids["rep"]).select("rep", "a", "b", "text")
-        members = materialize(carried.mapInPandas(_sets(words), "rep long, members binary"))
-        x = near.join(members.select(F.col("rep").alias("a"), F.col("members").alias("x")), "a")
-        both = x.join(members.select(F.col("rep").alias("b"), F.col("members").alias("y")), "b")
-        return materialize(both.select("a", "b", "x", "y").mapInPandas(_verify(similar), "a long, b long"))
-
-    links = verified(scanned)
-    components = connected_components(links)
-    long_lists = scanned.filter("kind = 1").select("token", F.col("a").alias("doc_id"), F.col("b").alias("place"))
-    if not long_lists.isEmpty():
-        long_lists = materialize(long_lists.join(known.select("doc_id", "rep"), "doc_id").select("token", "rep", "place").distinct())
-        for stage in [*range(1, leader_rounds + 1), -1]:
-            joined = long_lists.join(components.withColumnRenamed("node", "rep"), "rep", "left")
-            joined = joined.select("token", "rep", "place", F.coalesce("component", "rep").alias("component"))
-            again = joined.repartition("token").sortWithinPartitions("token")
-            found = materialize(again.mapInPandas(_scan(similar, short_list, stage), columns))
-            if found.isEmpty():
-                if stage > 0:
-                    continue
-                break
-            more = verified(found)
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                components = connected_components(links)
-    group = reps.join(components, reps["rep"] == components["node"], "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
-    grouped = own.filter("n > 0 and doc_id is not null").join(group, ["a", "b"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    alone = own.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    context = docs.sparkSession.sparkContext
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", "text")
+    summary = materialize(texts.mapInArrow(_summary(words), f"doc_id {kind}, n long, mark long, slice int, counts binary"))
+    levels = context.broadcast(order_levels(summary))
+    own = summary.filter("slice is null").select("doc_id", "n", "mark")
+    classes = materialize(own.filter("n > 0 and doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
+    known = texts.filter("doc_id is not null").select("text")
+    entries = known.mapInArrow(_index(levels, words, similar), "token long, mark long, place long")
+    lists = entries.repartition("token").sortWithinPartitions("token", "place", "mark")
+    lists = lists.select("token", "mark", "place")
+    scanned = materialize(lists.mapInArrow(_scan(similar, short_list), "kind int, a long, b long, token long"))
+    candidates = scanned.filter("kind = 0").select("a", "b").distinct()
+    long_lists = scanned.filter("kind = 1").select("token", F.col("a").alias("mark"), F.col("b").alias("place"))
+    asked = scanned.filter("kind = 0").select(F.explode(F.array("a", "b")).alias("mark")).unionByName(long_lists.select("mark"))
+    bits = context.broadcast(asked_bitmap(asked))
+    sets = known.mapInArrow(_sets(words, bits), "mark long, members binary")
+    sets = materialize(sets.groupBy("mark").agg(F.first("members").alias("members")))
+
+    def overlaps(pairs: DataFrame) -> DataFrame:
+        """(a, b, an, bn, common): the pairs' sizes and overlaps, from the sets."""
+        x = pairs.join(sets.select(F.col("mark").alias("b"), F.col("members").alias("x")), "b")
+        both = x.join(sets.select(F.col("mark").alias("a"), F.col("members").alias("y")), "a")
+        out = both.select("a", "b", F.col("y").alias("x"), F.col("x").alias("y")).mapInArrow(_overlaps, "a long, b long, an long, bn long, common long")
+        return materialize(out)
+
+    answers = overlaps(candidates)
+    links = answers.filter(F.col("common") >= _needed("an", "bn", similar)).select("a", "b", "an", "bn", "common")
+    components = connected_components(links.select("a", "b"))
+    # lists whose sets are not all in one component
+    parted = long_lists.join(components.withColumnRenamed("node", "mark"), "mark", "left").withColumn("component", F.coalesce("component", "mark"))
+    parted = materialize(parted.select("token", "mark", "place", "component"))
+    mixed = parted.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("token")
+    again = parted.join(mixed, "token", "left_semi").select("token", "mark", "place", "component")
+    again = again.repartition("token").sortWithinPartitions("token", "place", "mark")
+    cross = materialize(again.mapInArrow(_across(similar), "a long, b long").distinct())
+    if not cross.isEmpty():
+        # a set's leader: of the smaller marks that it is linked with, the one with most in common
+        best = links.groupBy(F.col("b").alias("mark")).agg(F.max(F.struct("common", (-F.col("a")).alias("back"), "an")).alias("m"))
+        homes = classes.select("mark", "n").join(best, "mark", "left").select(
+            "mark", "n", F.coalesce(-F.col("m.back"), F.col("mark")).alias("leader"),
+            F.coalesce(F.col("n") - F.col("m.common"), F.lit(0)).alias("own"), F.coalesce(F.col("m.an") - F.col("m.common"), F.lit(0)).alias("lost"),
+        )
+        both = cross.join(homes.select(F.col("mark").alias("a"), F.col("n").alias("an"), F.col("leader").alias("l"), F.col("own").alias("aown"), F.col("lost").alias("alost")), "a")
+        both = both.join(homes.select(F.col("mark").alias("b"), F.col("n").alias("bn"), F.col("leader").alias("m"), F.col("own").alias("bown"), F.col("lost").alias("blost")), "b")
+        both = materialize(both.withColumn("p", F.least("l", "m")).withColumn("q", F.greatest("l", "m")))
+        led = overlaps(both.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct())
+        bound = both.join(led.select(F.col("a").alias("p"), F.col("b").alias("q"), "common"), ["p", "q"])
+        bound = bound.withColumn("need", _needed("an", "bn", similar)).withColumn("least", F.expr("common - alost - blost")).withColumn("most", F.expr("common + aown + bown"))
+        bound = materialize(bound.select("a", "b", "need", "least", "most"))
+        open_ = overlaps(bound.filter("least < need and most >= need").select("a", "b"))
+        more = bound.filter("least >= need").select("a", "b").unionByName(open_.filter(F.col("common") >= _needed("an", "bn", similar)).select("a", "b"))
+        components = connected_components(links.select("a", "b").unionByName(more))
+    placed = classes.join(components.withColumnRenamed("node", "mark"), "mark", "left").withColumn("component", F.coalesce("component", "mark"))
+    placed = materialize(placed.select("mark", "rep", "component"))
+    group = placed.join(placed.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("mark", "component_id")
+    linked = F.col("n") > 0
+    grouped = own.filter(linked & F.col("doc_id").isNotNull()).join(group, "mark").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = own.filter(~linked | F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return grouped.unionByName(alone)
 
 
