@@ -13,7 +13,8 @@ the entries up to a position can be similar, as what lies behind the position bo
 overlap, so the rest of either block is skipped, and so are all blocks of too different sizes.
 Short lists (at most short_list entries) give all pairs that are left. In a longer list each
 set is first paired only with the leaders of its size grade and of the grade below: the set
-with the smallest mark, which is the same one in most lists of a family of near copies.
+with the fewest shingles before the list's (of equals the smallest mark). In a family of edited
+copies that is the text they were made from, as edits are rare shingles and come first.
 
 Answer-level relations. The overlap of a set with its leader is a computed answer. Long lists
 whose sets are not all in one component by then are read once more, for pairs across
@@ -220,18 +221,19 @@ def leader_pairs(mark: np.ndarray, size: np.ndarray, pos: np.ndarray, similar=SI
     p, q = similar
     held = {} if held is None else held
     grade = np.floor(np.log(size) / np.log(q / p) + 1e-9).astype(np.int64)
-    by = np.lexsort((mark, grade))
+    by = np.lexsort((mark, pos, grade))
     grades, first = np.unique(grade[by], return_index=True)
     for g, k in zip(grades.tolist(), by[first].tolist(), strict=True):
-        mine = (int(mark[k]), int(size[k]), int(pos[k]))
+        mine = (int(pos[k]), int(mark[k]), int(size[k]))
         held[g] = min(held.get(g, mine), mine)
     none = (0, 0, 0)
     for d in (0, 1):
         lead = np.array([held.get(g - d, none) for g in grades.tolist()], dtype=np.int64)[np.searchsorted(grades, grade)]
-        low, high = np.minimum(size, lead[:, 1]), np.maximum(size, lead[:, 1])
-        ok = (lead[:, 1] > 0) & (lead[:, 0] != mark) & (low * q >= high * p)
-        ok &= np.minimum(size - pos, lead[:, 1] - lead[:, 2]) >= needed_overlap(size, lead[:, 1], similar)
-        yield mark[ok], lead[ok, 0]
+        at, by, of = lead.T
+        low, high = np.minimum(size, of), np.maximum(size, of)
+        ok = (of > 0) & (by != mark) & (low * q >= high * p)
+        ok &= np.minimum(size - pos, of - at) >= needed_overlap(size, of, similar)
+        yield mark[ok], by[ok]
 
 
 def _lists(frames, columns):
@@ -408,9 +410,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, similar=SIMILAR, sho
     lists = entries.repartition("token").sortWithinPartitions("token", "place", "mark")
     lists = lists.select("token", "mark", "place")
     scanned = materialize(lists.mapInArrow(_scan(similar, short_list), "kind int, a long, b long, token long"))
-    candidates = scanned.filter("kind = 0").select("a", "b").distinct()
+    candidates = materialize(scanned.filter("kind = 0").select("a", "b").distinct())
     long_lists = scanned.filter("kind = 1").select("token", F.col("a").alias("mark"), F.col("b").alias("place"))
-    asked = scanned.filter("kind = 0").select(F.explode(F.array("a", "b")).alias("mark")).unionByName(long_lists.select("mark"))
+    asked = candidates.select(F.col("a").alias("mark")).unionByName(candidates.select("b")).unionByName(long_lists.select("mark"))
     bits = context.broadcast(asked_bitmap(asked))
     sets = known.mapInArrow(_sets(words, bits), "mark long, members binary")
     sets = materialize(sets.groupBy("mark").agg(F.first("members").alias("members")))
