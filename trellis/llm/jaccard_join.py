@@ -412,7 +412,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, similar=SIMILAR, sho
     scanned = materialize(lists.mapInArrow(_scan(similar, short_list), "kind int, a long, b long, token long"))
     candidates = materialize(scanned.filter("kind = 0").select("a", "b").distinct())
     long_lists = scanned.filter("kind = 1").select("token", F.col("a").alias("mark"), F.col("b").alias("place"))
-    asked = candidates.select(F.col("a").alias("mark")).unionByName(candidates.select("b")).unionByName(long_lists.select("mark"))
+    asked = candidates.select(F.col("a").alias("mark")).union(candidates.select("b")).union(long_lists.select("mark"))
     bits = context.broadcast(asked_bitmap(asked))
     sets = known.mapInArrow(_sets(words, bits), "mark long, members binary")
     sets = materialize(sets.groupBy("mark").agg(F.first("members").alias("members")))
