@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -14,7 +15,9 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/trellis-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="trellis-")  # one machine, so every task sees it
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -39,14 +42,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def utf8(texts) -> tuple[np.ndarray, np.ndarray]:
-    """Texts (None: empty) as one uint8 buffer and the offsets of each, n + 1 of them."""
-    raw = [b"" if t is None else t.encode("utf-8") for t in texts]
-    offsets = np.zeros(len(raw) + 1, dtype=np.int64)
-    np.cumsum([len(r) for r in raw], out=offsets[1:])
-    return np.frombuffer(b"".join(raw), dtype=np.uint8), offsets
-
-
 def batches(texts, most_bytes: int = 4_000_000):
     """Index ranges (i, j) of consecutive texts whose UTF-8 size stays about most_bytes;
     a longer single text is a range of its own."""
@@ -59,7 +54,3 @@ def batches(texts, most_bytes: int = 4_000_000):
         size += n
     if i < len(texts):
         yield i, len(texts)
-
-
-def docs_table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -22,9 +22,9 @@ item_id is reported as null; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from trellis.llm.common import batches
 from trellis.llm.words import ALNUM, windows_hash, word_hashes
@@ -142,17 +142,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks=MASKS, coverage: f
     the item's words, the words [first_word, last_word) of the document, alignments."""
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {doc_kind}, item_id {item_kind}, {SCHEMA}"
+    names = ["doc_id", "item_id", *(c.split()[0] for c in SCHEMA.split(", "))]
+    types = [to_arrow_type(docs.schema["doc_id"].dataType), to_arrow_type(benchmark.schema["item_id"].dataType)] + [pa.int32()] * (len(names) - 2)
     out = docs.sparkSession.createDataFrame([], schema)
     for index in _indexes(benchmark, masks, block_words):
 
         def run(frames, index=index):
             for frame in frames:
-                texts, keys = frame["text"].tolist(), frame["doc_id"].tolist()
+                texts, keys = frame["text"].to_pylist(), frame["doc_id"].to_pylist()
                 for i, j in batches(texts, 1_000_000):
                     rows = [(keys[i + d], index.value.ids[t], *rest) for d, t, *rest in leaks(index.value, texts[i:j], coverage, min_words, run_words)]
-                    yield pd.DataFrame(rows, columns=["doc_id", "item_id", *(c.split()[0] for c in SCHEMA.split(", "))])
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-        out = out.unionByName(docs.select("doc_id", "text").mapInPandas(run, schema))
+        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(run, schema))
     return out
 
 
@@ -162,13 +165,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, masks=MASKS, coverage:
 
         def run(frames, index=index):
             for frame in frames:
-                texts = frame["text"].tolist()
+                texts = frame["text"].to_pylist()
                 for i, j in batches(texts, 1_000_000):
                     keep = np.ones(j - i, dtype=bool)
                     keep[[d for d, *_ in leaks(index.value, texts[i:j], coverage, min_words, run_words)]] = False
-                    yield frame.iloc[i:j][keep]
+                    yield frame.slice(i, j - i).filter(pa.array(keep))
 
-        docs = docs.mapInPandas(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
     return docs
 
 

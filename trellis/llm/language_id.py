@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -193,7 +193,7 @@ def predict(docs: DataFrame, net: ByteNetwork | None, memo_runs: int = MEMO_RUNS
         memo: dict[bytes, int] = {}
         table = None if net is None else np.zeros((0, len(net.languages) + 1), dtype=np.float32)
         for frame in frames:
-            texts = frame["text"].tolist()
+            texts = frame["text"].to_pylist()
             for i, j in batches(texts, 2_000_000):
                 part = texts[i:j]
                 known = [bool(t and _LETTER.search(t)) for t in part]
@@ -217,9 +217,9 @@ def predict(docs: DataFrame, net: ByteNetwork | None, memo_runs: int = MEMO_RUNS
                     for k, best in enumerate(p.argmax(axis=1)):
                         if known[k]:
                             lang[k], score[k] = net.languages[best], p[k, best]
-                yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[i:j], "lang_pred": lang, "score": score})
+                yield pa.RecordBatch.from_arrays([frame["doc_id"].slice(i, j - i), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
 def op2_byte_gru_language(spark, sf_dir: str) -> DataFrame:

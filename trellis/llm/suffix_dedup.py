@@ -26,7 +26,7 @@ frequent passage with many surroundings is spread over the shards.
 
 Defined cases: null text counts as empty; texts shorter than length lose nothing by
 themselves; repeated rows repeat each other; a null doc_id is an id like others; an empty table
-gives no rows; other columns are ignored.
+gives no rows; other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -271,20 +272,19 @@ def _sorted_runs(length: int, shards: int, run_bytes: int):
                         anchor.append(rows[i][4])
                     i = j
                 shared, rest, rests = front_code(keys)
-                yield pd.DataFrame(
-                    [(shard, shared.tobytes(), rest.tobytes(), rests, np.array(right, np.uint32).tobytes(), np.array(many, np.uint8).tobytes(),
-                      *(np.array(x, np.int64).tobytes() for x in (doc, tag, anchor)), np.array(known, np.int64).tobytes())],
-                    columns=_COLUMNS,
-                )
+                blobs = [shared.tobytes(), rest.tobytes(), rests, np.array(right, np.uint32).tobytes(), np.array(many, np.uint8).tobytes()]
+                blobs += [np.array(x, np.int64).tobytes() for x in (doc, tag, anchor, known)]
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([b], pa.binary()) for b in blobs)], _COLUMNS)
             held.clear()
 
         for frame in frames:
+            texts = frame["row"].field("text")
             for i in range(0, len(frame), 500):
-                part = frame.iloc[i : i + 500]
-                raw = _raw(part["text"])
+                raw = _raw(texts.slice(i, 500).to_pylist())
                 text, first, last, anchor, h = intervals(raw, length)
                 begin = np.searchsorted(text, np.arange(len(raw)))
-                for k, (doc, tag, at, hot) in enumerate(zip(part["_doc"].tolist(), part["_tag"].tolist(), part["at"], part["hot"], strict=True)):
+                keys = (frame[c].slice(i, 500).to_pylist() for c in ("doc", "tag", "at", "hot"))
+                for k, (doc, tag, at, hot) in enumerate(zip(*keys, strict=True)):
                     r, hot = raw[k], set(hot)
                     for n in at:
                         x = begin[k] + n
@@ -407,25 +407,27 @@ def _resolve(length: int):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with _doc and _tag: a document is known by its id and a hash of its text."""
-    return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_tag", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    """(row, doc, tag): all columns of docs as one, whatever their names, and what a document
+    is known by, its id and a hash of its text."""
+    tag = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), tag.alias("tag"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, hot_anchor: int = HOT_ANCHOR, shard_bytes: int = SHARD_BYTES, run_bytes: int = RUN_BYTES) -> DataFrame:
+def repeated_spans(keyed: DataFrame, length: int = LENGTH, hot_anchor: int = HOT_ANCHOR, shard_bytes: int = SHARD_BYTES, run_bytes: int = RUN_BYTES) -> DataFrame:
     """(doc, tag, start, end): byte ranges of repeated strings, not merged, for documents that
-    have any; docs and its keys as _keyed gives them."""
+    have any, of rows as _keyed gives them."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM} bytes")
-    rows = docs.select(F.col("_doc").alias("doc"), F.col("_tag").alias("tag"), "text")
+    rows = keyed.select("doc", "tag", F.col("row.text").alias("text"))
     anchors = materialize(rows.mapInPandas(_anchors(length), "doc long, tag long, at int, anchor long"))
     shards = max(8, -(-anchors.count() * (length + 80) // shard_bytes))
     counts = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", (F.col("n") > hot_anchor).alias("hot"))
     shared = anchors.join(counts, "anchor").groupBy("doc", "tag").agg(
         F.collect_set("at").alias("at"), F.collect_set(F.when(F.col("hot"), F.col("at"))).alias("hot")
     )
-    # all columns of docs go along, so that the documents are shuffled once for both joins
-    carried = docs.join(shared, (docs["_doc"] == shared["doc"]) & (docs["_tag"] == shared["tag"])).select(*docs.columns, "at", "hot")
-    runs = carried.mapInPandas(_sorted_runs(length, shards, run_bytes), _RUNS)
+    # whole rows go along, so that the documents are shuffled once for both joins
+    carried = keyed.join(shared, ["doc", "tag"]).select("row", "doc", "tag", "at", "hot")
+    runs = carried.mapInArrow(_sorted_runs(length, shards, run_bytes), _RUNS)
     return runs.groupBy("shard").applyInPandas(_resolve(length), "doc long, tag long, start long, end long")
 
 
@@ -439,46 +441,54 @@ def merged(spans) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def remove_repeats(docs: DataFrame, **options) -> DataFrame:
-    """docs, all columns, with removed (array of merged byte ranges [start, end), empty if
-    none) and kept (the remaining bytes)."""
-    left = _keyed(docs)
-    per_doc = repeated_spans(left, **options).groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
-    both = left.join(per_doc, (left["_doc"] == per_doc["doc"]) & (left["_tag"] == per_doc["tag"]), "left").select(*docs.columns, "_spans")
-    schema = T.StructType([*docs.schema.fields, T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
-    return both.mapInPandas(_apply, schema)
+def _removed(docs: DataFrame, **options) -> DataFrame:
+    """(row, removed, kept) of each row of docs."""
+    keyed = _keyed(docs)
+    spans = repeated_spans(keyed, **options).groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    both = keyed.join(spans, ["doc", "tag"], "left").select("row", "spans")
+    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    fields = [T.StructField("row", keyed.schema["row"].dataType), T.StructField("removed", span), T.StructField("kept", T.BinaryType())]
+    return both.mapInArrow(_apply, T.StructType(fields))
 
 
 def _apply(frames):
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for frame in frames:
         removed, kept = [], []
-        for r, spans in zip(_raw(frame["text"]), frame["_spans"], strict=True):
-            ranges = merged([] if spans is None else [(s["start"], s["end"]) for s in spans])
+        for r, spans in zip(_raw(frame["row"].field("text").to_pylist()), frame["spans"].to_pylist(), strict=True):
+            ranges = merged([(s["start"], s["end"]) for s in spans or ()])
             at, out = 0, []
             for s, e in ranges:
                 out.append(r[at:s])
                 at = e
             removed.append([{"start": s, "end": e} for s, e in ranges])
             kept.append(b"".join([*out, r[at:]]))
-        yield frame.drop(columns=["_spans"]).assign(removed=removed, kept=kept)
+        yield pa.RecordBatch.from_arrays([frame["row"], pa.array(removed, kind), pa.array(kept, pa.binary())], ["row", "removed", "kept"])
+
+
+def remove_repeats(docs: DataFrame, **options) -> DataFrame:
+    """docs, all columns, with removed (array of merged byte ranges [start, end), empty if
+    none) and kept (the remaining bytes), which replace columns of these names."""
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("removed", "kept")]
+    return _removed(docs, **options).select(*own, "removed", "kept")
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """docs, all columns, with the repeats cut out of text; a character that a cut went through
-    goes as a whole. n_chars, if there, is counted anew."""
-    out = remove_repeats(docs, **options)
-    names = docs.columns
+    goes as a whole. n_chars, if there, is counted anew where text was cut."""
+    out = _removed(docs, **options)
+    kept = out.select("row", (F.size("removed") > 0).alias("cut"), "kept").mapInArrow(_decoded, T.StructType([out.schema["row"], T.StructField("cut", T.BooleanType()), T.StructField("text", T.StringType())]))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    row = F.col("row")
+    return kept.select(*[F.when(F.col("cut"), new[c]).otherwise(row.getField(c)).alias(c) if c in new else row.getField(c).alias(c) for c in docs.columns])
 
-    def decode(frames):
-        for frame in frames:
-            cut = frame["removed"].map(len) > 0
-            text = frame["text"].where(~cut, frame["kept"].map(lambda b: bytes(b).decode("utf-8", "ignore")))
-            frame = frame.assign(text=text)
-            if "n_chars" in names:
-                frame["n_chars"] = frame["n_chars"].where(~cut, text.map(lambda t: 0 if t is None else len(t)))
-            yield frame[names]
-
-    return out.mapInPandas(decode, docs.schema)
+
+def _decoded(frames):
+    for frame in frames:
+        texts = [b.decode("utf-8", "ignore") if cut else None for cut, b in zip(frame["cut"].to_pylist(), frame["kept"].to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([frame["row"], frame["cut"], pa.array(texts, pa.string())], ["row", "cut", "text"])
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
