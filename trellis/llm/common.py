@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -31,6 +33,38 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch that goes to a Python worker; texts are far larger than the numbers that the
+#: default is made for, and both ends hold a batch in memory.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, with no more than BATCH_ROWS rows in a batch for Python workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return spark
+
+
+def tidy(run):
+    """run, a function of batches, after which its worker gives freed memory back: workers
+    outlive their tasks, and what they hold counts against the executor."""
+
+    def tidied(frames):
+        yield from run(frames)
+        gc.collect()
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return tidied
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash: every input bit reaches every output bit."""
     x = x.astype(U64, copy=True)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
-from trellis.llm.common import batches
+from trellis.llm.common import batches, small_batches, tidy
 from trellis.llm.words import ALNUM, windows_hash, word_hashes
 
 MASKS = ("1101100101", "1110010011", "1011010011")
@@ -145,6 +145,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks=MASKS, coverage: f
     names = ["doc_id", "item_id", *(c.split()[0] for c in SCHEMA.split(", "))]
     types = [to_arrow_type(docs.schema["doc_id"].dataType), to_arrow_type(benchmark.schema["item_id"].dataType)] + [pa.int32()] * (len(names) - 2)
     out = docs.sparkSession.createDataFrame([], schema)
+    small_batches(docs.sparkSession)
     for index in _indexes(benchmark, masks, block_words):
 
         def run(frames, index=index):
@@ -155,12 +156,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks=MASKS, coverage: f
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(run, schema))
+        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(tidy(run), schema))
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, masks=MASKS, coverage: float = COVERAGE, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """docs, all columns, without the rows into whose text an item leaks."""
+    small_batches(docs.sparkSession)
     for index in _indexes(benchmark, masks, block_words):
 
         def run(frames, index=index):
@@ -171,7 +173,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, masks=MASKS, coverage:
                     keep[[d for d, *_ in leaks(index.value, texts[i:j], coverage, min_words, run_words)]] = False
                     yield frame.slice(i, j - i).filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs
 
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import U64, batches, materialize, mix64
+from trellis.llm.common import U64, batches, materialize, mix64, small_batches, tidy
 from trellis.llm.components import connected_components
 from trellis.llm.words import SPACED, windows_hash, word_hashes
 
@@ -398,33 +398,31 @@ def _overlaps(frames):
 def jaccard_components(docs: DataFrame, words: int = WORDS, similar=SIMILAR, short_list: int = SHORT_LIST) -> DataFrame:
     """A row per row of docs (doc_id, text): doc_id, n_shingles, component_id, the smallest
     doc_id reachable by links of similar sets."""
-    context = docs.sparkSession.sparkContext
+    context = small_batches(docs.sparkSession).sparkContext
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text")
-    summary = materialize(texts.mapInArrow(_summary(words), f"doc_id {kind}, n long, mark long, slice int, counts binary"))
+    summary = materialize(texts.mapInArrow(tidy(_summary(words)), f"doc_id {kind}, n long, mark long, slice int, counts binary"))
     levels = context.broadcast(order_levels(summary))
     own = summary.filter("slice is null").select("doc_id", "n", "mark")
     classes = materialize(own.filter("n > 0 and doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
     known = texts.filter("doc_id is not null").select("text")
-    entries = known.mapInArrow(_index(levels, words, similar), "token long, mark long, place long")
+    entries = known.mapInArrow(tidy(_index(levels, words, similar)), "token long, mark long, place long")
     lists = entries.repartition("token").sortWithinPartitions("token", "place", "mark")
     lists = lists.select("token", "mark", "place")
-    scanned = materialize(lists.mapInArrow(_scan(similar, short_list), "kind int, a long, b long, token long"))
+    scanned = materialize(lists.mapInArrow(tidy(_scan(similar, short_list)), "kind int, a long, b long, token long"))
     candidates = materialize(scanned.filter("kind = 0").select("a", "b").distinct())
     long_lists = scanned.filter("kind = 1").select("token", F.col("a").alias("mark"), F.col("b").alias("place"))
-    asked = candidates.select(F.col("a").alias("mark")).union(candidates.select("b")).union(long_lists.select("mark"))
-    bits = context.broadcast(asked_bitmap(asked))
-    sets = known.mapInArrow(_sets(words, bits), "mark long, members binary")
-    sets = materialize(sets.groupBy("mark").agg(F.first("members").alias("members")))
-
-    def overlaps(pairs: DataFrame) -> DataFrame:
-        """(a, b, an, bn, common): the pairs' sizes and overlaps, from the sets."""
-        x = pairs.join(sets.select(F.col("mark").alias("b"), F.col("members").alias("x")), "b")
-        both = x.join(sets.select(F.col("mark").alias("a"), F.col("members").alias("y")), "a")
-        out = both.select("a", "b", F.col("y").alias("x"), F.col("x").alias("y")).mapInArrow(_overlaps, "a long, b long, an long, bn long, common long")
-        return materialize(out)
-
-    answers = overlaps(candidates)
+
+    def overlaps(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+        """(a, b, an, bn, common): the pairs' sizes and overlaps, from the sets of marks, which
+        are shuffled once: both joins start from the same exchange."""
+        bits = context.broadcast(asked_bitmap(marks))
+        sets = known.mapInArrow(tidy(_sets(words, bits)), "mark long, members binary").groupBy("mark").agg(F.first("members").alias("members"))
+        x = pairs.join(sets.select(F.col("mark").alias("b"), F.col("members").alias("y")), "b")
+        both = x.join(sets.select(F.col("mark").alias("a"), F.col("members").alias("x")), "a")
+        return materialize(both.select("a", "b", "x", "y").mapInArrow(tidy(_overlaps), "a long, b long, an long, bn long, common long"))
+
+    answers = overlaps(candidates, candidates.select(F.explode(F.array("a", "b")).alias("mark")))
     links = answers.filter(F.col("common") >= _needed("an", "bn", similar)).select("a", "b", "an", "bn", "common")
     components = connected_components(links.select("a", "b"))
     # lists whose sets are not all in one component
@@ -433,7 +431,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, similar=SIMILAR, sho
     mixed = parted.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("token")
     again = parted.join(mixed, "token", "left_semi").select("token", "mark", "place", "component")
     again = again.repartition("token").sortWithinPartitions("token", "place", "mark")
-    cross = materialize(again.mapInArrow(_across(similar), "a long, b long").distinct())
+    cross = materialize(again.mapInArrow(tidy(_across(similar)), "a long, b long").distinct())
     if not cross.isEmpty():
         # a set's leader: of the smaller marks that it is linked with, the one with most in common
         best = links.groupBy(F.col("b").alias("mark")).agg(F.max(F.struct("common", (-F.col("a")).alias("back"), "an")).alias("m"))
@@ -444,11 +442,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, similar=SIMILAR, sho
         both = cross.join(homes.select(F.col("mark").alias("a"), F.col("n").alias("an"), F.col("leader").alias("l"), F.col("own").alias("aown"), F.col("lost").alias("alost")), "a")
         both = both.join(homes.select(F.col("mark").alias("b"), F.col("n").alias("bn"), F.col("leader").alias("m"), F.col("own").alias("bown"), F.col("lost").alias("blost")), "b")
         both = materialize(both.withColumn("p", F.least("l", "m")).withColumn("q", F.greatest("l", "m")))
-        led = overlaps(both.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct())
+        led = both.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
+        led = overlaps(led, led.select(F.explode(F.array("a", "b")).alias("mark")))
         bound = both.join(led.select(F.col("a").alias("p"), F.col("b").alias("q"), "common"), ["p", "q"])
         bound = bound.withColumn("need", _needed("an", "bn", similar)).withColumn("least", F.expr("common - alost - blost")).withColumn("most", F.expr("common + aown + bown"))
         bound = materialize(bound.select("a", "b", "need", "least", "most"))
-        open_ = overlaps(bound.filter("least < need and most >= need").select("a", "b"))
+        open_ = bound.filter("least < need and most >= need").select("a", "b")
+        open_ = overlaps(open_, open_.select(F.explode(F.array("a", "b")).alias("mark")))
         more = bound.filter("least >= need").select("a", "b").unionByName(open_.filter(F.col("common") >= _needed("an", "bn", similar)).select("a", "b"))
         components = connected_components(links.select("a", "b").unionByName(more))
     placed = classes.join(components.withColumnRenamed("node", "mark"), "mark", "left").withColumn("component", F.coalesce("component", "mark"))

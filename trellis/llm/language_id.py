@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import batches
+from trellis.llm.common import batches, small_batches, tidy
 
 MAX_RUN = 32
 HIDDEN = 24
@@ -186,7 +186,7 @@ def learn(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, slice
 def predict(docs: DataFrame, net: ByteNetwork | None, memo_runs: int = MEMO_RUNS) -> DataFrame:
     """docs' doc_id with lang_pred and score. Only text is looked at."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = small_batches(docs.sparkSession).sparkContext.broadcast(net)
 
     def run(frames):
         net = shared.value
@@ -219,7 +219,7 @@ def predict(docs: DataFrame, net: ByteNetwork | None, memo_runs: int = MEMO_RUNS
                             lang[k], score[k] = net.languages[best], p[k, best]
                 yield pa.RecordBatch.from_arrays([frame["doc_id"].slice(i, j - i), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, lang_pred string, score double")
 
 
 def op2_byte_gru_language(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from trellis.llm.common import batches
+from trellis.llm.common import batches, small_batches, tidy
 from trellis.llm.pieces import WordEncoder, worker_encoder
 
 TIERS = (256, 512, 1024, 2048)
@@ -164,7 +164,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", te
     fields += [(n, "long", pa.int64()) for n in ("doc_tokens", "sequence_id", "offset", "sequence_tokens", "step_group")]
     rows = docs.select(F.col(key).alias("rid"), F.col(text).alias("text"))
     run = _packed(tokenizer_path, closing, tuple(tiers), step_tokens, pool_tokens, [n for n, _, _ in fields], [t for _, _, t in fields])
-    return rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k, _ in fields)).withColumnRenamed("rid", key)
+    small_batches(docs.sparkSession)
+    return rows.mapInArrow(tidy(run), ", ".join(f"{n} {k}" for n, k, _ in fields)).withColumnRenamed("rid", key)
 
 
 def packed_digest(docs: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from trellis.llm.common import U64, batches, materialize, mix64
+from trellis.llm.common import U64, batches, materialize, mix64, small_batches, tidy
 
 ORDER = 5
 STRETCH = 32
@@ -55,7 +55,7 @@ WORST_PRIOR = 20.0
 WORST_MARGIN = 1.25
 MIN_TRUSTED = 50
 #: Distinct words that a task gathers before it passes their n-grams on.
-_HELD = 200_000
+_HELD = 100_000
 _MULTIPLY = 0x9E3779B97F4A7C15
 
 
@@ -148,7 +148,7 @@ def _read_bags(frame):
 def gram_counts(rows: DataFrame, order: int = ORDER, bags: bool = False) -> DataFrame:
     """(gram, c) of all rows: texts, or bags of words."""
     run = _summed(_read_bags if bags else _read_texts, order)
-    return rows.mapInArrow(run, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    return rows.mapInArrow(tidy(run), "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 def _suffixes(grams: DataFrame) -> DataFrame:
@@ -298,7 +298,7 @@ def score(docs: DataFrame, known: DataFrame, order: int = ORDER, frequent: int =
               ("level", "array<int>"), ("many", "array<int>"), ("unit", "long"), ("times", "long"), ("spoken", "boolean"), ("grams", "array<string>")]
     types = [pa.int64(), *map(to_arrow_type, kinds)]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", "text")
-    rows = materialize(rows.mapInArrow(_scored(table, order, stretch, [n for n, _ in fields], types), ", ".join(f"`{n}` {k}" for n, k in fields)))
+    rows = materialize(rows.mapInArrow(tidy(_scored(table, order, stretch, [n for n, _ in fields], types)), ", ".join(f"`{n}` {k}" for n, k in fields)))
     rest = rows.filter("not head").select("row", "unit", "times", "nats", "chars", "spoken", F.explode(F.arrays_zip("grams", "many")).alias("g"))
     rest = rest.select("row", "unit", "times", "nats", "chars", "spoken", F.col("g.grams").alias("gram"), F.col("g.many").alias("many"))
     rest = rest.join(known.select("gram", F.col("nats").alias("x")), "gram").groupBy("row", "unit", "times", "nats", "chars", "spoken").agg(F.sum(F.col("x") * F.col("many")).alias("x"))
@@ -326,11 +326,12 @@ def classify(
     unit_quantile: float = UNIT_QUANTILE, worst_prior: float = WORST_PRIOR, worst_margin: float = WORST_MARGIN, frequent: int = FREQUENT,
 ) -> DataFrame:
     """A row per row of docs: doc_id, lang, perplexity, score, limit, worst, worst_limit, keep."""
+    small_batches(docs.sparkSession)
     good = trusted_ids(labels)
     apart = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(calibration)) == 0
     # labels grow with the documents, so the ids are never broadcast: the same hash join at every size
     kind = docs.schema["doc_id"].dataType.simpleString()
-    bags = docs.select("doc_id", "text").mapInArrow(_bags, f"doc_id {kind}, words string, counts binary")
+    bags = docs.select("doc_id", "text").mapInArrow(tidy(_bags), f"doc_id {kind}, words string, counts binary")
     taught = bags.join(good.filter(~apart).hint("shuffle_hash"), "doc_id", "left_semi")
     learnt = materialize(gram_counts(taught, order, bags=True))
     known = surprisals(learnt, materialize(gram_counts(docs.select("text"), order)), order)

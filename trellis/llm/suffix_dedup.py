@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trellis.llm.common import U64, materialize, mix64
+from trellis.llm.common import U64, materialize, mix64, small_batches, tidy
 
 LENGTH = 200
 GRAM = 32
@@ -419,7 +419,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, hot_anchor: int = HOT
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM} bytes")
     rows = keyed.select("doc", "tag", F.col("row.text").alias("text"))
-    anchors = materialize(rows.mapInPandas(_anchors(length), "doc long, tag long, at int, anchor long"))
+    anchors = materialize(rows.mapInPandas(tidy(_anchors(length)), "doc long, tag long, at int, anchor long"))
     shards = max(8, -(-anchors.count() * (length + 80) // shard_bytes))
     counts = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", (F.col("n") > hot_anchor).alias("hot"))
     shared = anchors.join(counts, "anchor").groupBy("doc", "tag").agg(
@@ -427,7 +427,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, hot_anchor: int = HOT
     )
     # whole rows go along, so that the documents are shuffled once for both joins
     carried = keyed.join(shared, ["doc", "tag"]).select("row", "doc", "tag", "at", "hot")
-    runs = carried.mapInArrow(_sorted_runs(length, shards, run_bytes), _RUNS)
+    runs = carried.mapInArrow(tidy(_sorted_runs(length, shards, run_bytes)), _RUNS)
     return runs.groupBy("shard").applyInPandas(_resolve(length), "doc long, tag long, start long, end long")
 
 
@@ -442,19 +442,20 @@ def merged(spans) -> list[tuple[int, int]]:
 
 
 def _removed(docs: DataFrame, **options) -> DataFrame:
-    """(row, removed, kept) of each row of docs."""
+    """(row, removed, kept, cut text) of each row of docs; the last is null where nothing goes."""
+    small_batches(docs.sparkSession)
     keyed = _keyed(docs)
     spans = repeated_spans(keyed, **options).groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     both = keyed.join(spans, ["doc", "tag"], "left").select("row", "spans")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    fields = [T.StructField("row", keyed.schema["row"].dataType), T.StructField("removed", span), T.StructField("kept", T.BinaryType())]
-    return both.mapInArrow(_apply, T.StructType(fields))
+    fields = [T.StructField("row", keyed.schema["row"].dataType), T.StructField("removed", span), T.StructField("kept", T.BinaryType()), T.StructField("cut", T.StringType())]
+    return both.mapInArrow(tidy(_apply), T.StructType(fields))
 
 
 def _apply(frames):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for frame in frames:
-        removed, kept = [], []
+        removed, kept, cut = [], [], []
         for r, spans in zip(_raw(frame["row"].field("text").to_pylist()), frame["spans"].to_pylist(), strict=True):
             ranges = merged([(s["start"], s["end"]) for s in spans or ()])
             at, out = 0, []
@@ -463,7 +464,8 @@ def _apply(frames):
                 at = e
             removed.append([{"start": s, "end": e} for s, e in ranges])
             kept.append(b"".join([*out, r[at:]]))
-        yield pa.RecordBatch.from_arrays([frame["row"], pa.array(removed, kind), pa.array(kept, pa.binary())], ["row", "removed", "kept"])
+            cut.append(kept[-1].decode("utf-8", "ignore") if ranges else None)
+        yield pa.RecordBatch.from_arrays([frame["row"], pa.array(removed, kind), pa.array(kept, pa.binary()), pa.array(cut, pa.string())], ["row", "removed", "kept", "cut"])
 
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
@@ -477,18 +479,11 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """docs, all columns, with the repeats cut out of text; a character that a cut went through
     goes as a whole. n_chars, if there, is counted anew where text was cut."""
     out = _removed(docs, **options)
-    kept = out.select("row", (F.size("removed") > 0).alias("cut"), "kept").mapInArrow(_decoded, T.StructType([out.schema["row"], T.StructField("cut", T.BooleanType()), T.StructField("text", T.StringType())]))
-    new = {"text": F.col("text")}
+    new = {"text": F.col("cut")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.length("cut").cast(docs.schema["n_chars"].dataType)
     row = F.col("row")
-    return kept.select(*[F.when(F.col("cut"), new[c]).otherwise(row.getField(c)).alias(c) if c in new else row.getField(c).alias(c) for c in docs.columns])
-
-
-def _decoded(frames):
-    for frame in frames:
-        texts = [b.decode("utf-8", "ignore") if cut else None for cut, b in zip(frame["cut"].to_pylist(), frame["kept"].to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([frame["row"], frame["cut"], pa.array(texts, pa.string())], ["row", "cut", "text"])
+    return out.select(*[F.coalesce(new[c], row.getField(c)).alias(c) if c in new else row.getField(c).alias(c) for c in docs.columns])
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import batches, materialize
+from trellis.llm.common import batches, materialize, small_batches, tidy
 from trellis.llm.pieces import load, worker_encoder
 
 CHUNK_CHARS = 32_768
@@ -93,9 +93,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text
     """A row per row of docs: key, n_bytes and n_tokens (long). Texts of more than chunk code
     points go by overlapping chunks, dealt over the tasks by (key, chunk)."""
     kind = docs.schema[key].dataType.simpleString()
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     small = rows.filter(F.length("text") <= chunk).select("rid", F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    counted = small.mapInArrow(_small(tokenizer_path), f"rid {kind}, n_bytes long, n_tokens long")
+    counted = small.mapInArrow(tidy(_small(tokenizer_path)), f"rid {kind}, n_bytes long, n_tokens long")
     # copies of a huge text with the same key are counted once and given back as often
     huge = rows.filter(F.length("text") > chunk).groupBy("rid", "text").agg(F.count("*").alias("copies"))
     huge = materialize(huge.withColumn("no", F.monotonically_increasing_id()))
