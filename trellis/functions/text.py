@@ -3,6 +3,8 @@ otherwise; white space is ASCII white space."""
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,9 +35,9 @@ LICENSES = {
     "public domain": "Public Domain",
     "cc0": "CC0",
 }
-#: Letters with accents and the letters they are written on, in order.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Lower-case letters with accents and the ASCII letters that they decompose to.
+_DECOMPOSED = [(c, d[0]) for c, d in ((chr(i), unicodedata.normalize("NFD", chr(i))) for i in range(128, 0x2000)) if c == c.lower() and d[0].isascii() and d[0].isalpha()]
+ACCENTED, PLAIN = map("".join, zip(*_DECOMPOSED, strict=True))
 
 
 def slugify(name: Column) -> Column:

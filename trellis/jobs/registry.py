@@ -5,35 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trellis.functions import text as X
+from trellis.jobs import build_queries, extract_queries, source_queries  # noqa: F401
 from trellis.jobs import views as V
+from trellis.jobs.register import oracle_sql, queries, query  # noqa: F401
 from trellis.operators import graph as G
 from trellis.operators import names as N
 from trellis.operators import tables as T
 from trellis.operators import vectors as E
+from trellis.operators.storage import written
 
-_queries: dict = {}
-_oracle: dict = {}
 STOP_WORDS = "the a an of in and or for to with by is are was were be it this that as on at from not".split()
 
 
-def query(sql: str | None = None):
-    def add(f):
-        _queries[f.__name__] = f
-        if sql:
-            _oracle[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries():
-    return dict(_queries)
-
-
-def oracle_sql():
-    return dict(_oracle)
-
-
 W = V.with_views
 
 
@@ -50,13 +33,12 @@ def materials_scan(spark, d):
     return m.filter("content is not null and length(content) > 200").select("id", "topic_id", "source", F.length("content").cast("long").alias("n"))
 
 
-@query("""WITH a AS (SELECT doc_id AS id, source, 'first' AS batch FROM documents WHERE doc_id % 3 <> 0),
-b AS (SELECT doc_id AS id, upper(source) AS source, 'second' AS batch FROM documents WHERE doc_id % 2 = 0)
-SELECT * FROM a WHERE id NOT IN (SELECT id FROM b) UNION ALL SELECT * FROM b""")
+@query("""SELECT doc_id AS id, CASE WHEN length(text) > 1000 THEN upper(source) ELSE source END AS source, CASE WHEN length(text) > 1000 THEN 'second' ELSE 'first' END AS batch FROM documents""")
 def materials_union_merge(spark, d):
+    """All documents are there already; those of more than 1000 characters come anew."""
     docs = V.table(spark, d, "documents")
-    a = docs.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), "source", F.lit("first").alias("batch"))
-    b = docs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.upper("source").alias("source"), F.lit("second").alias("batch"))
+    a = docs.select(F.col("doc_id").alias("id"), "source", F.lit("first").alias("batch"))
+    b = docs.filter(F.length("text") > 1000).select(F.col("doc_id").alias("id"), F.upper("source").alias("source"), F.lit("second").alias("batch"))
     return T.merge_by_key(a, b, ["id"])
 
 
@@ -136,16 +118,16 @@ def chunk_text(spark, d):
     return V.table(spark, d, "documents").select("doc_id", F.explode(X.chunks(F.col("text"), r"\n+")).alias("chunk"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(trim(regexp_replace(translate(lower(left(text, 80)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9\s-]', '', 'g'), chr(32) || chr(9) || chr(10) || chr(13)), '\s+', '-', 'g') AS slug FROM documents""")
+@query(r"""SELECT doc_id, regexp_replace(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9\s-]', '', 'g'), chr(32) || chr(9) || chr(10) || chr(13)), '\s+', '-', 'g') AS slug FROM documents""")
 def slugify_names(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", X.slugify(F.substring("text", 1, 80)).alias("slug"))
+    return V.table(spark, d, "documents").select("doc_id", X.slugify(F.col("text")).alias("slug"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, string_split_regex(regexp_replace(replace(left(text, 200), 'ß', 'ss'), '^\s+|\s+$', '', 'g'), '\s+') AS w FROM documents)
+@query(r"""WITH w AS (SELECT doc_id, string_split_regex(regexp_replace(replace(text, 'ß', 'ss'), '^\s+|\s+$', '', 'g'), '\s+') AS w FROM documents)
 SELECT doc_id, CAST(len(list_filter(w, lambda x: x <> '')) AS BIGINT) AS words, array_to_string(list_transform(list_filter(w, lambda x: x <> ''),
 lambda x: CASE WHEN x = upper(x) AND x <> lower(x) THEN x ELSE upper(x[1]) || lower(x[2:]) END), ' ') AS name FROM w""")
 def capitalise_names(spark, d):
-    t = F.replace(F.substring("text", 1, 200), F.lit("ß"), F.lit("ss"))
+    t = F.replace("text", F.lit("ß"), F.lit("ss"))
     return V.table(spark, d, "documents").select("doc_id", X.word_count(t).alias("words"), X.capitalise(t).alias("name"))
 
 
@@ -261,7 +243,7 @@ def tier_context_topk(spark, d):
     c = V.concepts(spark, d).withColumn("tier", X.tier_band(F.col("difficulty")).cast("long"))
     t = c.select("topic_id", F.col("tier").alias("at")).distinct()
     w = Window.partitionBy("topic_id", "at").orderBy(F.desc("difficulty"), "name", "id")
-    ranked = c.join(F.broadcast(t), "topic_id").filter("tier < at").withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 40")
+    ranked = c.join(t, "topic_id").filter("tier < at").withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 40")
     return ranked.select("topic_id", F.col("at").alias("tier"), "id", "rank")
 
 
@@ -278,8 +260,9 @@ def quiz_avg(spark, d):
 SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), t), 4) AS similarity FROM embeddings, t WHERE list_dot_product(CAST(embedding AS DOUBLE[]), t) >= 0.2""")
 def relevance_filter(spark, d):
     e = V.table(spark, d, "embeddings").select("vec_id", "embedding")
-    topic = e.filter("vec_id = 0").select("embedding").first()[0]
-    return E.relevance(e, topic, 0.2).select("vec_id", F.round("similarity", 4).alias("similarity"))
+    topic = e.filter("vec_id = 0").select(F.col("embedding").alias("topic")).limit(1)  # one row, none if vector 0 is missing
+    near = e.join(F.broadcast(topic)).withColumn("similarity", E.dot(F.col("embedding"), F.col("topic"))).filter("similarity >= 0.2")
+    return near.select("vec_id", F.round("similarity", 4).alias("similarity"))
 
 
 _PAIRS = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -458,7 +441,7 @@ SELECT *, CASE tier WHEN 'CORE' THEN 0 WHEN 'IMPORTANT' THEN 1 WHEN 'STANDARD' T
 CAST(0.6 AS DOUBLE) + pow(fanout / greatest(max(fanout) OVER (PARTITION BY topic_id), 1), 0.4) * CAST(0.8 AS DOUBLE) AS scale FROM nodes))
 WINDOW w AS (PARTITION BY topic_id, layer ORDER BY o, name, id)""", _GRAPH, True))
 def layer_layout(spark, d):
-    nodes = criticality_graph(spark, d)
+    nodes = written(criticality_graph(spark, d))  # read twice below
     most = nodes.groupBy("topic_id").agg(F.greatest(F.max("fanout"), F.lit(1)).alias("max_fanout"))
     return G.layer_layout(nodes, most)
 
@@ -519,3 +502,11 @@ def weakest_edge(spark, d):
     pair = e.groupBy("topic_id").agg(F.min(F.struct("source_id", "target_id")).alias("m"))
     cycles = pair.select(F.col("topic_id").alias("cycle_id"), F.array("m.source_id", "m.target_id").alias("nodes"))
     return G.weakest_edges(cycles, e)
+
+
+@query()
+def weakest_cycle_edge(spark, d):
+    """The weakest edge of the cycle that detect_cycles finds in each topic."""
+    e = written(V.edges_cyclic(spark, d))
+    cycles = G.detect_cycles(V.concepts(spark, d), e).select(F.col("topic_id").alias("cycle_id"), "nodes")
+    return G.weakest_edges(written(cycles), e)

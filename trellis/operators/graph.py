@@ -35,9 +35,9 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """(topic_id, src, dst): dst is reached from src by one edge or more, for all src or those
     in seeds (topic_id, src). Each round joins only what the last one found; src = dst appears
     if src lies on a cycle."""
-    steps = edges.select("topic_id", F.col("source_id").alias("src"), F.col("target_id").alias("dst")).distinct()
+    steps = written(edges.select("topic_id", F.col("source_id").alias("src"), F.col("target_id").alias("dst")).distinct())
     known = steps if seeds is None else steps.join(seeds, ["topic_id", "src"], "left_semi")
-    known = front = written(known)
+    known = front = steps if seeds is None else written(known)
     hop = steps.select("topic_id", F.col("src").alias("dst"), F.col("dst").alias("next"))
     while True:
         new = front.join(hop, ["topic_id", "dst"]).select("topic_id", "src", F.col("next").alias("dst")).distinct()
@@ -182,6 +182,7 @@ def resolve_cycles(concepts: DataFrame, edges: DataFrame) -> DataFrame:
 def criticality(concepts: DataFrame, edges: DataFrame, progress: DataFrame) -> DataFrame:
     """The node table of the graph: fan-out, score (umbrella names with a fan-out of 5 or more
     count 0.3), tier by order statistics of the topic's scores, layer, status."""
+    edges = written(edges.select("topic_id", "source_id", "target_id").distinct())
     n = fan_out(concepts, edges)
     levels, _ = layers(concepts, edges)
     umbrella = F.arrays_overlap(tokens(F.lower("name")), F.array(*map(F.lit, UMBRELLA_WORDS))) & (F.col("fanout") >= 5)
