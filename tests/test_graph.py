@@ -47,6 +47,15 @@ def test_cycles(spark, ring):
     assert weakest == {"k": ("gale", "ebb"), "none": ("z", "x")}
 
 
+def test_chosen_edges(spark, ring):
+    _, edges = ring
+    concepts = spark.createDataFrame([(x, x.title()) for x in ("ebb", "flow", "gale", "haze")], "id string, name string")
+    cycles = spark.createDataFrame([(k, ["ebb", "flow", "gale"]) for k in range(4)], "cycle_id int, nodes array<string>")
+    choices = spark.createDataFrame([(0, "Flow", "Gale"), (1, "Gale", "Flow"), (2, "Gale", "Haze")], "cycle_id int, source string, target string")
+    got = {r.cycle_id: (r.source_id, r.target_id) for r in G.chosen_edges(cycles, choices, concepts, edges).collect()}
+    assert got == {0: ("flow", "gale"), **dict.fromkeys((1, 2, 3), ("gale", "ebb"))}
+
+
 def test_slugs_and_chunks(spark):
     rows = spark.createDataFrame([("Tide Pool",), ("GPS signals (civil use)",), ("  salt \t marsh ",), ("Ľahký vőgy ğa",)], "s string")
     assert [r[0] for r in rows.select(X.slugify(rows.s)).collect()] == ["tide-pool", "gps-signals-civil-use", "salt-marsh", "lahky-vogy-ga"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trellis.functions import text as X
-from trellis.jobs import build_queries, extract_queries, source_queries  # noqa: F401
+from trellis.jobs import build_queries, extract_queries, source_queries, topic_queries  # noqa: F401
 from trellis.jobs import views as V
 from trellis.jobs.register import oracle_sql, queries, query  # noqa: F401
 from trellis.operators import graph as G

@@ -128,6 +128,18 @@ def weakest_edges(cycles: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("cycle_id", F.coalesce("b.source_id", "last").alias("source_id"), F.coalesce("b.target_id", "head").alias("target_id"))
 
 
+def chosen_edges(cycles: DataFrame, choices: DataFrame, concepts: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edge of each cycle (cycle_id, nodes) to remove: the one that choices (cycle_id, source,
+    target) name, if both names are those of nodes of the cycle and the edge exists, else the
+    weakest. Of nodes with one name the last by id counts."""
+    nodes = cycles.select("cycle_id", F.explode("nodes").alias("id")).join(concepts.select("id", "name"), "id")
+    named = nodes.groupBy("cycle_id", "name").agg(F.max("id").alias("id"))
+    a, b = (named.select("cycle_id", F.col("name").alias(k), F.col("id").alias(f"{k}_id")) for k in ("source", "target"))
+    chosen = choices.join(a, ["cycle_id", "source"]).join(b, ["cycle_id", "target"]).select("cycle_id", "source_id", "target_id")
+    chosen = chosen.join(edges.select("source_id", "target_id").distinct(), ["source_id", "target_id"], "left_semi").select("cycle_id", "source_id", "target_id")
+    return chosen.unionByName(weakest_edges(cycles.join(chosen, "cycle_id", "left_anti"), edges))
+
+
 def _find_cycle(after: dict) -> list:
     """A cycle of a graph of sets as a list of nodes, or []; smallest nodes first."""
     state: dict = {}
