@@ -137,7 +137,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell_rows:
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     valid = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
     good = rows.filter(valid)
-    grouped = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    grouped = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    # distinct vectors are known by numbers of their own: a vec_id may come with several
+    grouped = grouped.withColumn("rep", F.monotonically_increasing_id())
     # 1/sqrt(d) times alternating signs: a unit vector
     size = F.size("embedding")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
@@ -171,12 +173,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell_rows:
     )
     links = found.groupBy("rep").agg(F.sum("links").alias("other_links"))
     components = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    known = (
-        reps.select("rep", "copies", "label", "embedding")
-        .join(links, "rep", "left")
-        .join(components.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("label", "embedding", (F.col("copies") - 1 + F.coalesce("other_links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
+    known = reps.join(links, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
+    known = known.withColumn("component", F.coalesce("component", "rep"))
+    known = materialize(known.select("label", "embedding", "component", "least", (F.col("copies") - 1 + F.coalesce("other_links", F.lit(0))).alias("n_links")))
+    first = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = known.join(first, "component").select("label", "embedding", "n_links", "component_id")
     counted = good.join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter(~valid).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return counted.unionByName(alone)

@@ -7,13 +7,14 @@ geometric mean. As a run's labels do not depend on its neighbours, a worker read
 distinct run once and keeps its sums in a bounded memo.
 
 It is trained in numpy by backpropagation through time (Adam, cross-entropy at every byte) on
-a bounded sample of the labelled documents: about docs_per_language documents of each of at
-most max_languages languages, chosen by hash of doc_id, and of each a stretch of slice_chars
-characters at a hashed place. Only text and lang of the sample are learned from.
+a bounded sample of the labelled documents: about docs_per_language documents of each language,
+chosen by hash of doc_id, and of each a stretch of slice_chars characters at a hashed place. The
+network has an output for each language; more than max_languages of them are an error. Only text and lang of the sample are learned from.
 
 Defined cases: null text and texts without letters give `und` with score 0, as do all texts if
 there is nothing to learn from; repeated rows give a row each; an empty table gives no rows;
-other columns are ignored.
+keys, null ones too,
+are given back as they are; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ HIDDEN = 24
 MEMO_RUNS = 200_000
 DOCS_PER_LANGUAGE = 400
 SLICE_CHARS = 1500
-MAX_LANGUAGES = 200
+MAX_LANGUAGES = 1000
 STEPS, BATCH, RATE = 500, 256, 0.01
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -163,14 +164,16 @@ def runs_of(text: str | None) -> list[bytes]:
 def learn(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, slice_chars: int = SLICE_CHARS, max_languages: int = MAX_LANGUAGES) -> ByteNetwork | None:
     """A network from labelled (doc_id, text, lang); None if nothing can be learned."""
     good = labelled.filter("lang is not null and text is not null")
-    counts = good.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    counts = good.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()
     if not counts:
         return None
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages: the network has an output for each")
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(docs_per_language / r["n"]))])
     start = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.lit(1), F.length("text") - slice_chars + 1))
-    sample = good.filter(F.col("lang").isin([r["lang"] for r in counts])).filter(draw < share[F.col("lang")])
-    rows = sample.select("lang", F.substring(F.col("text"), start.cast("int") + 1, F.lit(slice_chars)).alias("text")).limit(2 * docs_per_language * len(counts)).collect()
+    sample = good.filter(draw < share[F.col("lang")])
+    rows = sample.select("lang", F.substring(F.col("text"), start.cast("int") + 1, F.lit(slice_chars)).alias("text")).collect()
     runs: dict[str, list[bytes]] = {}
     for lang, text in sorted((r["lang"], r["text"]) for r in rows):
         runs.setdefault(lang, []).extend(r for r in runs_of(text) if _LETTER.search(r.decode("utf-8", "ignore")))

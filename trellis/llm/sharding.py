@@ -35,24 +35,21 @@ def rendezvous_shard(key: Column, weights: Sequence[float]) -> Column:
     return (F.least(*ranked) if len(ranked) > 1 else ranked[0])["shard"]
 
 
-def number_slots(rows: DataFrame, shard: str, order: Sequence[str], slot: str = "slot", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Number the rows of each shard from 0 without gaps.
+def number_slots(rows: DataFrame, shard: str, shards: int, order: Sequence[str], slot: str = "slot", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Number the rows of each of `shards` shards from 0 without gaps.
 
     A shard may hold far more rows than a task should sort, so rows are dealt by
     (shard, hash bucket), numbered there, and moved up by the size of the buckets before."""
-    shards = max(1, rows.select(F.max(shard)).first()[0] or 0) + 1
     buckets = max(1, rows.count() // (shards * rows_per_bucket))
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    sizes = rows.groupBy(shard, "_bucket").agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(shard, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(shard, "_bucket").orderBy(*order)
-    numbered = rows.withColumn("_at", F.row_number().over(within) - 1)
-    return (
-        numbered.join(starts, [shard, "_bucket"])
-        .withColumn(slot, (F.col("_start") + F.col("_at")).cast("long"))
-        .drop("_bucket", "_at", "_start")
-    )
+    # rows travel as one column, so that none of theirs clashes with what is added here
+    keyed = rows.select(F.struct("*").alias("row"), F.col(shard).alias("shard"), F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int").alias("bucket"))
+    sizes = keyed.groupBy("shard", "bucket").agg(F.count("*").alias("rows"))
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("shard", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("shard", "bucket").orderBy(*(F.col("row").getField(c) for c in order))
+    numbered = keyed.withColumn("at", F.row_number().over(within) - 1).join(starts, ["shard", "bucket"])
+    kept = [F.col("row").getField(c).alias(c) for c in rows.columns if c != slot]
+    return numbered.select(*kept, (F.col("start") + F.col("at")).cast("long").alias(slot))
 
 
 def shard_records(rows: DataFrame, key: str, weights: Sequence[float], grown_weight: float = 1.0, order: Sequence[str] = ()) -> DataFrame:
@@ -60,7 +57,7 @@ def shard_records(rows: DataFrame, key: str, weights: Sequence[float], grown_wei
     shard of weight grown_weight were added."""
     out = rows.withColumn("shard", rendezvous_shard(F.col(key), weights).cast("int"))
     out = out.withColumn("grown_shard", rendezvous_shard(F.col(key), [*weights, grown_weight]).cast("int"))
-    return number_slots(out, "shard", [key, *order])
+    return number_slots(out, "shard", len(weights), [key, *order])
 
 
 def op7_rendezvous_sharding(spark, sf_dir: str, shards: int = 40) -> DataFrame:
