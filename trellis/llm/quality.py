@@ -55,7 +55,7 @@ WORST_PRIOR = 20.0
 WORST_MARGIN = 1.25
 MIN_TRUSTED = 50
 #: Distinct words that a task gathers before it passes their n-grams on.
-_HELD = 100_000
+_HELD = 200_000
 _MULTIPLY = 0x9E3779B97F4A7C15
 
 
@@ -194,22 +194,22 @@ def _scored(table, order: int, stretch: int, names, types):
 
     def run(frames):
         hashes, nats_of = table.value
+        starts = np.searchsorted(hashes, np.arange(1 << 20, dtype=U64) << U64(44))
         for frame in frames:
             ids, docs, langs, texts = (frame[c] for c in ("row", "doc_id", "lang", "text"))
             texts = texts.to_pylist()
             for i, j in batches(texts, 2_000_000):
-                place: dict[str, int] = {}
-                tokens, ends = [], []
+                said, ends = [], []
                 for t in texts[i:j]:
-                    tokens += [place.setdefault(w, len(place)) for w in (t or "").split()]
-                    ends.append(len(tokens))
+                    said += (t or "").split()
+                    ends.append(len(said))
+                place = {w: k for k, w in enumerate(dict.fromkeys(said))}
                 heads = np.zeros((5, j - i))
                 rest = []
                 if place:
                     words = list(place)
                     g = Grams(words, order)
-                    k = np.minimum(np.searchsorted(hashes, g.hashes), max(len(hashes) - 1, 0))
-                    hit = hashes[k] == g.hashes if len(hashes) else np.zeros(len(g.hashes), bool)
+                    k, hit = _found(hashes, starts, g.hashes)
                     nats = np.where(hit, nats_of[k], 0.0) if len(hashes) else np.zeros(len(g.hashes))
                     part = (g.back - 1) // stretch
                     new = np.flatnonzero(np.concatenate([[True], (g.word[1:] != g.word[:-1]) | (part[1:] != part[:-1])]))
@@ -220,7 +220,7 @@ def _scored(table, order: int, stretch: int, names, types):
                     spoken = np.fromiter(map(_spoken, words), bool, len(words))
                     fine = np.bincount(of, np.where(whole, sums, 0.0), len(words)), np.bincount(of, np.where(whole, chars, 0), len(words))
                     mean = sums / chars
-                    tokens = np.array(tokens, dtype=np.int64)
+                    tokens = np.fromiter(map(place.__getitem__, said), np.int64, len(said))
                     doc_of = np.repeat(np.arange(j - i), np.diff([0, *ends]))
                     heads[0] = np.bincount(doc_of, fine[0][tokens], j - i)
                     heads[1] = np.bincount(doc_of, fine[1][tokens], j - i)
@@ -266,6 +266,19 @@ def _spoken(word: str) -> bool:
     return word.isalpha() or (any(map(str.isalpha, word)) and not any(map(str.isdigit, word)))
 
 
+def _found(hashes: np.ndarray, starts: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of asked in the sorted hashes, and whether they are there; starts has the first place
+    of each value of the first 20 bits, behind which few hashes lie."""
+    first = starts[(asked >> U64(44)).astype(np.int64)]
+    at, hit = np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    for j in range(int(np.diff(np.append(starts, len(hashes))).max()) if len(hashes) else 0):
+        k = np.minimum(first + j, len(hashes) - 1)
+        same = hashes[k] == asked
+        at = np.where(same, k, at)
+        hit |= same
+    return at, hit
+
+
 def _ranges(sizes: np.ndarray) -> np.ndarray:
     """0 .. n - 1 for each n of sizes."""
     end = np.cumsum(sizes)
