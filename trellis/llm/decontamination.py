@@ -9,10 +9,12 @@ at least `coverage` of its words with equal ones and have min_words such words,
 of a shorter item, or if one run alone has run_words equal words, however long the item is.
 Items shorter than a mask are sought as a whole.
 
-The items' index is broadcast in blocks of at most block_words words (their number of hashes
-is at most len(masks) times that), one pass over the documents each; documents are never
-shuffled. Both sides match by lower-case words of ASCII letters, digits and all other
-characters beyond ASCII.
+Both sides are hashed in tasks. A bitmap of fixed size of the items' hashes is broadcast and
+keeps most hashes of the documents from being shuffled; the rest are made distinct and joined
+with the items' on the hash, salted, so a passage that many documents or items share is spread
+over SALTS tasks. Texts are known by their digest: copies of a document or an item are
+verified once. Only texts with a hit are read again. Both sides match by lower-case words of
+ASCII letters, digits and all other characters beyond ASCII.
 
 Defined cases: null or empty text on either side has no words and matches nothing; equal
 items are reported each; repeated rows are reported each; empty tables give no rows; a null
@@ -23,63 +25,55 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from trellis.llm.common import batches, small_batches, tidy
+from trellis.llm.common import batches, materialize, small_batches, tidy
 from trellis.llm.words import ALNUM, windows_hash, word_hashes
 
 MASKS = ("1101100101", "1110010011", "1011010011")
 COVERAGE = 0.5
 MIN_WORDS = 8
 RUN_WORDS = 13
+#: Characters of items hashed at once in a task are twice as many.
 BLOCK_WORDS = 400_000
-_FILTER_BITS = 22
-
-
-class SeedIndex:
-    """Seed hashes of a block of items."""
-
-    def __init__(self, ids: list, texts: list, masks=MASKS):
-        self.ids = ids
-        self.words, self.first = word_hashes(texts, ALNUM)
-        sizes = np.diff(self.first)
-        spans = sorted({len(m) for m in masks})
-        self.masks = [tuple(i for i, c in enumerate(m) if c == "1") for m in masks]
-        short = sorted({int(n) for n in sizes if 0 < n < spans[0]})
-        self.masks += [tuple(range(n)) for n in short]
-        item_of = np.repeat(np.arange(len(ids)), sizes)
-        parts = []
-        for k, mask in enumerate(self.masks):
-            h = windows_hash(self.words, mask)
+#: Parts that the documents of one hash are dealt to.
+SALTS = 16
+_FILTER_BITS = 24
+_SEEDS = "text_key binary, seed long, mask int, place int"
+
+
+def _key(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def _places(masks) -> list[tuple]:
+    """Places that count, of each mask and then of the masks for whole items that are shorter."""
+    span = min(len(m) for m in masks)
+    return [tuple(i for i, c in enumerate(m) if c == "1") for m in masks] + [tuple(range(n)) for n in range(1, span)]
+
+
+def _seeds(keys: pa.Array, texts: list, places: list[tuple], used: list[int], whole_from: int, seen=None):
+    """Batches of (text_key, seed, mask, place) of the windows of texts under the masks in used;
+    under those from whole_from on only windows that are the whole text if seen is None, else
+    only windows whose bit in seen is set."""
+    words, first = word_hashes(texts, ALNUM)
+    sizes = np.diff(first)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    for k in used:
+        h = windows_hash(words, places[k]) + np.uint64(k)
+        if seen is None:
             at = np.arange(len(h))
-            ok = item_of[at] == item_of[at + mask[-1]]
-            if k >= len(masks):  # whole short items only
-                ok &= sizes[item_of[at]] == len(mask)
-            parts.append((h[ok] + np.uint64(k), item_of[at[ok]], (at - self.first[item_of[at]])[ok]))
-        h, item, place = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64),) * 3
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.item, self.place = h[order], item[order].astype(np.int64), place[order].astype(np.int64)
-        self.seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
-        self.seen[(self.hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-
-    def hits(self, words: np.ndarray, doc_of: np.ndarray):
-        """Distinct (document, item, place in words of the item's first word)."""
-        found = []
-        for k, mask in enumerate(self.masks):
-            h = windows_hash(words, mask) + np.uint64(k)
-            at = np.flatnonzero(self.seen[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-            at = at[doc_of[at] == doc_of[at + mask[-1]]]
-            a, b = np.searchsorted(self.hashes, h[at]), np.searchsorted(self.hashes, h[at], side="right")
-            n = b - a
-            at, a = np.repeat(at, n), np.repeat(a, n)
-            e = a + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.stack([doc_of[at], self.item[e], at - self.place[e]], axis=1))
-        every = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-        return np.unique(every, axis=0) if len(every) else every
-
-    def item_words(self, t: int) -> np.ndarray:
-        return self.words[self.first[t] : self.first[t + 1]]
+            if k >= whole_from:
+                at = at[sizes[owner[at]] == len(places[k])]
+        else:
+            bit = (h >> np.uint64(64 - _FILTER_BITS)) & np.uint64(63)
+            word = (h >> np.uint64(64 - _FILTER_BITS + 6)).astype(np.int64)
+            at = np.flatnonzero((seen[word] >> bit) & np.uint64(1))
+        at = at[owner[at] == owner[at + places[k][-1]]]
+        if len(at):
+            columns = [keys.take(pa.array(owner[at])), pa.array(h[at].view(np.int64)), pa.array(np.full(len(at), k, np.int32)), pa.array((at - first[owner[at]]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["text_key", "seed", "mask", "place"])
 
 
 def best_run(equal: np.ndarray) -> tuple[int, int]:
@@ -90,91 +84,104 @@ def best_run(equal: np.ndarray) -> tuple[int, int]:
     return int(np.argmin(total[: b + 1])), b
 
 
-def leaks(index: SeedIndex, texts: list, coverage: float = COVERAGE, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> list[tuple]:
-    """(text's place, item's place, equal words, item's words, first and last + 1 word of the
-    text, alignments) of each item that leaks into a text."""
-    words, first = word_hashes(texts, ALNUM)
-    doc_of = np.repeat(np.arange(len(texts)), np.diff(first))
-    out, hits = [], index.hits(words, doc_of)
-    for key in np.split(hits, np.flatnonzero((np.diff(hits[:, :2], axis=0) != 0).any(axis=1)) + 1) if len(hits) else []:
-        d, t = int(key[0, 0]), int(key[0, 1])
-        item = index.item_words(t)
-        have, low, high, longest = np.zeros(len(item), dtype=bool), None, None, 0
-        for start in key[:, 2].tolist():
-            a, b = max(0, int(first[d]) - start), min(len(item), int(first[d + 1]) - start)
-            equal = words[start + a : start + b] == item[a:b]
-            x, y = best_run(equal)
-            have[a + x : a + y] |= equal[x:y]
-            longest = max(longest, int(equal[x:y].sum()))
-            low = min(start + a + x, start + a + x if low is None else low)
-            high = max(start + a + y, start + a + y if high is None else high)
-        n = int(have.sum())
-        if longest >= run_words or n >= coverage * len(item) and n >= min(min_words, len(item)):
-            out.append((d, t, n, len(item), low - int(first[d]), high - int(first[d]), len(key)))
+def _verified(words: np.ndarray, item: np.ndarray, starts, coverage: float, min_words: int, run_words: int):
+    """(equal words, item's words, first and last + 1 word of the text, alignments) if the item
+    leaks into the text with these words, else None."""
+    have, low, high, longest = np.zeros(len(item), dtype=bool), None, None, 0
+    for start in starts:
+        a, b = max(0, -start), min(len(item), len(words) - start)
+        equal = words[start + a : start + b] == item[a:b]
+        x, y = best_run(equal)
+        have[a + x : a + y] |= equal[x:y]
+        longest = max(longest, int(equal[x:y].sum()))
+        low = start + a + x if low is None else min(low, start + a + x)
+        high = start + a + y if high is None else max(high, start + a + y)
+    n = int(have.sum())
+    if longest >= run_words or n >= coverage * len(item) and n >= min(min_words, len(item)):
+        return n, len(item), low, high, len(starts)
+    return None
+
+
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """Which leading _FILTER_BITS bits the seeds have, 64 to a word; its size does not depend
+    on the number of seeds."""
+    bits = seeds.select(F.shiftrightunsigned("seed", 64 - _FILTER_BITS).alias("bits"))
+    words = bits.groupBy(F.shiftright("bits", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(bits & 63L)))").alias("held")).toPandas()
+    out = np.zeros(1 << (_FILTER_BITS - 6), dtype=np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["held"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
-def _blocks(benchmark: DataFrame, block_words: int):
-    """Blocks of (item ids, texts); each is bounded by words, however many items there are."""
-    ids, texts, size = [], [], 0
-    for r in benchmark.select("item_id", "text").toLocalIterator():
-        ids.append(r["item_id"])
-        texts.append(r["text"])
-        size += (len(r["text"]) if r["text"] else 0) // 2 + 1
-        if size >= block_words:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
-
-
-def _indexes(benchmark: DataFrame, masks, block_words: int):
-    context = benchmark.sparkSession.sparkContext
-    for ids, texts in _blocks(benchmark, block_words):
-        yield context.broadcast(SeedIndex(ids, texts, masks))
+SCHEMA = "matched_words int, item_words int, first_word int, last_word int, alignments int"
 
 
-SCHEMA = "matched_words int, item_words int, first_word int, last_word int, alignments int"
+def leaking_texts(docs: DataFrame, benchmark: DataFrame, masks=MASKS, coverage: float = COVERAGE, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+    """(doc_key, item_key, figures), a row for each distinct text of docs and of benchmark of
+    which the second leaks into the first; keys are digests of the texts. Written."""
+    spark = small_batches(docs.sparkSession)
+    places, n_masks = _places(masks), len(masks)
+    texts = docs.filter("text is not null").select(_key(F.col("text")).alias("text_key"), "text")
+    items = benchmark.filter("text is not null").select("text").distinct().select(_key(F.col("text")).alias("text_key"), "text")
+
+    def of_items(frames):
+        for frame in frames:
+            keys, them = frame.column("text_key"), frame.column("text").to_pylist()
+            for i, j in batches(them, 2 * block_words):
+                yield from _seeds(keys.slice(i, j - i), them[i:j], places, range(len(places)), n_masks)
+
+    item_seeds = materialize(items.mapInArrow(tidy(of_items), _SEEDS))
+    used = sorted(r["mask"] for r in item_seeds.select("mask").distinct().collect())  # one for each mask at most
+    seen = spark.sparkContext.broadcast(_bitmap(item_seeds))
+
+    def of_docs(frames):
+        for frame in frames:
+            keys, them = frame.column("text_key"), frame.column("text").to_pylist()
+            for i, j in batches(them, 1_000_000):
+                yield from _seeds(keys.slice(i, j - i), them[i:j], places, used, n_masks, seen.value)
+
+    found = texts.mapInArrow(tidy(of_docs), _SEEDS).select(F.col("text_key").alias("doc_key"), "seed", F.col("place").alias("at")).distinct()
+    found = found.withColumn("salt", F.pmod(F.xxhash64("doc_key", "at"), F.lit(SALTS)).cast("int"))
+    sought = item_seeds.select(F.col("text_key").alias("item_key"), "seed", "place", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    hits = found.join(sought, ["seed", "salt"]).groupBy("doc_key", "item_key").agg(F.collect_set(F.col("at") - F.col("place")).alias("starts"))
+    hits = materialize(hits)
+
+    hit = texts.withColumnRenamed("text_key", "doc_key").join(hits.select("doc_key").distinct(), "doc_key", "left_semi")
+    hit = hit.groupBy("doc_key").agg(F.first("text").alias("doc_text"))
+    pairs = hits.join(hit, "doc_key").join(items.select(F.col("text_key").alias("item_key"), F.col("text").alias("item_text")), "item_key")
+
+    def verify(frames):
+        for frame in frames:
+            doc_texts, item_texts, starts = (frame.column(c).to_pylist() for c in ("doc_text", "item_text", "starts"))
+            for i, j in batches(doc_texts, 1_000_000):
+                words, first = word_hashes(doc_texts[i:j], ALNUM)
+                item_words, item_first = word_hashes(item_texts[i:j], ALNUM)
+                rows = []
+                for k in range(j - i):
+                    got = _verified(words[first[k] : first[k + 1]], item_words[item_first[k] : item_first[k + 1]], starts[i + k], coverage, min_words, run_words)
+                    if got:
+                        rows.append((i + k, *got))
+                if rows:
+                    at, *figures = zip(*rows, strict=True)
+                    kept = [frame.column(c).take(pa.array(at)) for c in ("doc_key", "item_key")]
+                    yield pa.RecordBatch.from_arrays([*kept, *(pa.array(f, pa.int32()) for f in figures)], ["doc_key", "item_key", *(c.split()[0] for c in SCHEMA.split(", "))])
+
+    pairs = pairs.select("doc_key", "item_key", "starts", "doc_text", "item_text")
+    return materialize(pairs.mapInArrow(tidy(verify), f"doc_key binary, item_key binary, {SCHEMA}"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, masks=MASKS, coverage: float = COVERAGE, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """A row for each document (doc_id) and item (item_id) that leaks into it: equal words,
     the item's words, the words [first_word, last_word) of the document, alignments."""
-    doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {doc_kind}, item_id {item_kind}, {SCHEMA}"
-    names = ["doc_id", "item_id", *(c.split()[0] for c in SCHEMA.split(", "))]
-    types = [to_arrow_type(docs.schema["doc_id"].dataType), to_arrow_type(benchmark.schema["item_id"].dataType)] + [pa.int32()] * (len(names) - 2)
-    out = docs.sparkSession.createDataFrame([], schema)
-    small_batches(docs.sparkSession)
-    for index in _indexes(benchmark, masks, block_words):
-
-        def run(frames, index=index):
-            for frame in frames:
-                texts, keys = frame["text"].to_pylist(), frame["doc_id"].to_pylist()
-                for i, j in batches(texts, 1_000_000):
-                    rows = [(keys[i + d], index.value.ids[t], *rest) for d, t, *rest in leaks(index.value, texts[i:j], coverage, min_words, run_words)]
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(tidy(run), schema))
-    return out
+    pairs = leaking_texts(docs, benchmark, masks, coverage, min_words, block_words, run_words)
+    ids = docs.select(_key(F.col("text")).alias("doc_key"), "doc_id")
+    item_ids = benchmark.select(_key(F.col("text")).alias("item_key"), "item_id")
+    return ids.join(pairs, "doc_key").join(item_ids, "item_key").select("doc_id", "item_id", *(c.split()[0] for c in SCHEMA.split(", ")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, masks=MASKS, coverage: float = COVERAGE, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """docs, all columns, without the rows into whose text an item leaks."""
-    small_batches(docs.sparkSession)
-    for index in _indexes(benchmark, masks, block_words):
-
-        def run(frames, index=index):
-            for frame in frames:
-                texts = frame["text"].to_pylist()
-                for i, j in batches(texts, 1_000_000):
-                    keep = np.ones(j - i, dtype=bool)
-                    keep[[d for d, *_ in leaks(index.value, texts[i:j], coverage, min_words, run_words)]] = False
-                    yield frame.slice(i, j - i).filter(pa.array(keep))
-
-        docs = docs.mapInArrow(tidy(run), docs.schema)
-    return docs
+    gone = leaking_texts(docs, benchmark, masks, coverage, min_words, block_words, run_words).select("doc_key").distinct()
+    return docs.join(gone, _key(docs["text"]) == gone["doc_key"], "left_anti")
 
 
 def op4_spaced_seed_decontamination(spark, sf_dir: str) -> DataFrame:
