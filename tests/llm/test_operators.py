@@ -1,9 +1,11 @@
 """The operators against brute force on small fixtures with nulls, ties, repeats and empty tables."""
 
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from trellis.llm import chat, decontamination, embedding_dedup, jaccard_join, language_id, packing, quality, sharding, suffix_dedup, token_counts
@@ -153,6 +155,39 @@ def test_sharding(spark, docs):
     assert {r.s: round(r["count"] / 5000) for r in many} == {0: 1, 1: 1, 2: 2}
 
 
+def test_sharding_against_recomputed_scores(spark):
+    keys = [0, 1, 7, 2**60 + 1, -5, None, 12345678901]
+    weights = [1.0, 0.0, 2.5, 1.0]
+
+    def best(key, weights):
+        first = xxhash.xxh64_intdigest(("\x00null" if key is None else str(key)).encode(), seed=42)
+        draws = []
+        for s, w in enumerate(weights):
+            if w > 0:
+                # shard names continue the key's hash, of which the first 53 bits are kept
+                h = xxhash.xxh64_intdigest(f"shard-{s}".encode(), seed=first) >> 11
+                draws.append((-math.log((h + 0.5) / 2.0**53) / w, s))
+        return min(draws)[1]
+
+    df = spark.createDataFrame([(k,) for k in keys + list(range(20, 320))], "doc_id long").withColumn("at", F.lit("clash")).withColumn("shard", F.lit("clash"))
+    got = sharding.shard_records(df, "doc_id", weights).collect()
+    assert len(got) == len(keys) + 300 and all(r.at == "clash" for r in got)
+    assert all((r.shard, r.grown_shard) == (best(r.doc_id, weights), best(r.doc_id, [*weights, 1.0])) for r in got)
+    assert sharding.shard_records(df.limit(0), "doc_id", weights).count() == 0
+
+
+def test_decontamination_of_shared_passages(spark):
+    passage, other = words(60), words(40)
+    texts = [passage + f" x{i % 3}" for i in range(300)] + [passage] * 200 + [words(50) for _ in range(20)] + [other + " " + passage, None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("seed", F.lit("clash")).withColumn("doc_key", F.lit("clash"))
+    bench = spark.createDataFrame([(0, passage), (1, passage), (2, passage.upper()), (3, other), (4, None), (None, other)], "item_id long, text string").withColumn("text_key", F.lit("clash"))
+    got = [(r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench).collect()]
+    want = [(d, i) for d in range(500) for i in (0, 1, 2)] + [(520, i) for i in (0, 1, 2, 3, None)]
+    assert Counter(got) == Counter(want)
+    kept = decontamination.decontaminate(df, bench)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {*range(500, 520), 521, 522}
+
+
 def test_jaccard(spark):
     texts = [t if t is None else t.replace("\n", " ") for t in TEXTS]
     for k in range(25):  # a family of near copies and copies with a common passage
