@@ -7,6 +7,7 @@ from trellis.llm.decontamination import op4_spaced_seed_decontamination
 from trellis.llm.embedding_dedup import OP9_SQL, op9_cover_tree_dedup
 from trellis.llm.jaccard_join import OP8_SQL, op8_set_relation_join
 from trellis.llm.language_id import op2_byte_gru_language
+from trellis.llm.lexical import OP13_SQL, op13_bag_dedup_search
 from trellis.llm.merkle import OP12_SQL, op12_veb_merkle_manifest
 from trellis.llm.packing import op6_tiered_packing
 from trellis.llm.quality import op10_kneser_ney_quality
@@ -18,7 +19,7 @@ OPERATORS = (
     op1_chat_windows, op2_byte_gru_language, op3_token_counts, op4_spaced_seed_decontamination,
     op5_suffix_dedup,
     op6_tiered_packing, op7_rendezvous_sharding, op8_set_relation_join, op9_cover_tree_dedup, op10_kneser_ney_quality,
-    op12_veb_merkle_manifest,
+    op12_veb_merkle_manifest, op13_bag_dedup_search,
 )
 
 
@@ -27,4 +28,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_chat_windows": OP1_SQL, "op8_set_relation_join": OP8_SQL, "op9_cover_tree_dedup": OP9_SQL, "op12_veb_merkle_manifest": OP12_SQL}
+    return {"op1_chat_windows": OP1_SQL, "op8_set_relation_join": OP8_SQL, "op9_cover_tree_dedup": OP9_SQL, "op12_veb_merkle_manifest": OP12_SQL, "op13_bag_dedup_search": OP13_SQL}
