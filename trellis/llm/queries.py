@@ -5,6 +5,7 @@ from __future__ import annotations
 from trellis.llm.chat import OP1_SQL, op1_chat_windows
 from trellis.llm.decontamination import op4_spaced_seed_decontamination
 from trellis.llm.embedding_dedup import OP9_SQL, op9_cover_tree_dedup
+from trellis.llm.forest import op11_projection_forest_search
 from trellis.llm.jaccard_join import OP8_SQL, op8_set_relation_join
 from trellis.llm.language_id import op2_byte_gru_language
 from trellis.llm.lexical import OP13_SQL, op13_bag_dedup_search
@@ -19,7 +20,7 @@ OPERATORS = (
     op1_chat_windows, op2_byte_gru_language, op3_token_counts, op4_spaced_seed_decontamination,
     op5_suffix_dedup,
     op6_tiered_packing, op7_rendezvous_sharding, op8_set_relation_join, op9_cover_tree_dedup, op10_kneser_ney_quality,
-    op12_veb_merkle_manifest, op13_bag_dedup_search,
+    op11_projection_forest_search, op12_veb_merkle_manifest, op13_bag_dedup_search,
 )
 
 
