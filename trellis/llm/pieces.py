@@ -97,6 +97,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _letters_stay(core: bytes) -> bool:
+    """Whether a core is letters that end in a letter after lowering and normalising, too: marks
+    behind a letter that is taken apart would belong to the same piece."""
+    if core.isalpha():  # of bytes: ASCII letters
+        return True
+    text = core.decode("utf-8")
+    return text.isalpha() and text.lower() == text and unicodedata.is_normalized("NFC", text)
+
+
 class WordEncoder(Encoder):
     """An encoder of words for a tokenizer that lowers its input, takes runs of letters and
     runs of other marks as pieces, and spells pieces in bytes. Such pieces go to the library's
@@ -158,7 +167,7 @@ class WordEncoder(Encoder):
             return ids
         if ids is None:
             core = word.rstrip(_TAIL_BYTES)
-            if core and len(core) < len(word) and self.direct and core.decode("utf-8").isalpha():
+            if core and len(core) < len(word) and self.direct and _letters_stay(core):
                 ids = self._learnt(core) + self._learnt(word[len(core) :])
             else:
                 ids = self.encode([word.decode("utf-8")])[0].tobytes()
