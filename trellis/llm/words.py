@@ -11,12 +11,13 @@ BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _CODE = mix64(np.arange(1, 257, dtype=U64)) | U64(1)
 
-#: Folding tables: the byte a word has for it, 0 where it parts words.
+#: Folding tables: the byte a word has for it, GAP where it parts words; no UTF-8 text has that byte.
+GAP = 0xFF
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 SPACED = _LOWER.copy()
-SPACED[[9, 10, 11, 12, 13, 32]] = 0
-ALNUM = np.zeros(256, dtype=np.uint8)
+SPACED[[9, 10, 11, 12, 13, 32]] = GAP
+ALNUM = np.full(256, GAP, dtype=np.uint8)
 ALNUM[128:] = _LOWER[128:]
 for _a, _b in ((48, 58), (65, 91), (97, 123)):
     ALNUM[_a:_b] = _LOWER[_a:_b]
@@ -38,7 +39,7 @@ def _power(n: int, base: int) -> np.ndarray:
 def _hashed(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of folded bytes, and where they begin."""
     inside = np.zeros(len(b) + 2, dtype=bool)
-    inside[1:-1] = b != 0
+    inside[1:-1] = b != GAP
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edge[::2], edge[1::2]
     sums = np.zeros(len(b) + 1, dtype=U64)
@@ -59,10 +60,10 @@ def word_hashes(texts, fold: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarra
     while at < len(b):
         end = min(len(b), at + BLOCK)
         if end < len(b):
-            gaps = np.flatnonzero(b[at:end] == 0)
+            gaps = np.flatnonzero(b[at:end] == GAP)
             while not len(gaps) and end < len(b):
                 at_end, end = end, min(len(b), end + BLOCK)
-                gaps = np.flatnonzero(b[at_end:end] == 0) + (at_end - at)
+                gaps = np.flatnonzero(b[at_end:end] == GAP) + (at_end - at)
             end = at + int(gaps[-1]) + 1 if len(gaps) else end
         h, starts = _hashed(b[at:end])
         out.append(h)
