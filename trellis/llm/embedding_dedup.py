@@ -29,6 +29,8 @@ from trellis.llm.components import connected_components, spanning_links
 THRESHOLD = 0.98
 CELL_ROWS = 1024
 RANGES = 256
+#: Angles up to this are not told apart: near 0 the arc cosine of a double is off by some 1e-8.
+ROUNDING = 1e-6
 
 
 def unit(rows) -> np.ndarray:
@@ -52,17 +54,18 @@ class Node:
 
 def cover_tree(x: np.ndarray, leaf: int = 32) -> Node:
     """Nested levels: a node's first child has its centre, every child's vectors lie within
-    half the level's radius of the child's centre. Nodes of up to leaf vectors stay whole."""
+    half the level's radius of the child's centre. Nodes of up to leaf vectors stay whole, and so
+    do those whose radius is not far above the rounding of an angle."""
 
     def build(at: int, rows: np.ndarray, angle: np.ndarray, level: float) -> Node:
         radius = float(angle.max())
-        if len(rows) <= leaf or radius == 0.0:
+        if len(rows) <= leaf or radius <= ROUNDING:
             return Node(at, radius, rows, [])
         while level / 2 >= radius:
             level /= 2
         children, left, d, centre = [], rows, angle, at
         while len(left):
-            near = d <= level / 2
+            near = (d <= level / 2) | (left == centre)  # by number: its own angle may be rounded up
             children.append((centre, left[near], d[near]))
             left = left[~near]
             if len(left):
