@@ -1,6 +1,6 @@
 """Language of whole texts by a bidirectional gated recurrent network over bytes.
 
-The network reads the UTF-8 bytes of each run without white space (cut after `MAX_RUN` bytes)
+The network reads the UTF-8 bytes of each run without white space (longer ones in parts of at most `MAX_RUN` bytes)
 in both directions, starting anew at each run, and labels every byte with a distribution over
 the languages. A document's probabilities pool those of all its bytes: the normalised
 geometric mean. As a run's labels do not depend on its neighbours, a worker reads each
@@ -8,8 +8,9 @@ distinct run once and keeps its sums in a bounded memo.
 
 It is trained in numpy by backpropagation through time (Adam, cross-entropy at every byte) on
 a bounded sample of the labelled documents: about docs_per_language documents of each language,
-chosen by hash of doc_id, and of each a stretch of slice_chars characters at a hashed place. The
-network has an output for each language; more than max_languages of them are an error. Only text and lang of the sample are learned from.
+chosen by hash of doc_id, and of each a stretch of slice_chars characters at a hashed place; with more
+than sample_docs / docs_per_language languages there are fewer of each. Only text and lang of the
+sample are learned from.
 
 Defined cases: null text and texts without letters give `und` with score 0, as do all texts if
 there is nothing to learn from; repeated rows give a row each; an empty table gives no rows;
@@ -19,8 +20,6 @@ are given back as they are; other columns are ignored.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,9 +32,9 @@ HIDDEN = 24
 MEMO_RUNS = 200_000
 DOCS_PER_LANGUAGE = 400
 SLICE_CHARS = 1500
-MAX_LANGUAGES = 1000
+#: Documents learned from in all: with very many languages there are fewer of each.
+SAMPLE_DOCS = 40_000
 STEPS, BATCH, RATE = 500, 256, 0.01
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _sigmoid(x):
@@ -154,21 +153,36 @@ class ByteNetwork:
 
 
 def runs_of(text: str | None) -> list[bytes]:
-    """Bytes between white space, cut after MAX_RUN bytes."""
+    """Bytes between white space, in parts of at most MAX_RUN bytes."""
     runs = (text or "").encode("utf-8", "replace").split()
     if any(len(r) > MAX_RUN for r in runs):
-        runs = [r[i : i + MAX_RUN] for r in runs for i in range(0, len(r), MAX_RUN)]
+        runs = [part for r in runs for part in ([r] if len(r) <= MAX_RUN else _cut(r))]
     return runs
 
 
-def learn(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, slice_chars: int = SLICE_CHARS, max_languages: int = MAX_LANGUAGES) -> ByteNetwork | None:
+def _cut(run: bytes) -> list[bytes]:
+    """Parts of at most MAX_RUN bytes that end with a whole character."""
+    parts, a = [], 0
+    while a < len(run):
+        b = min(len(run), a + MAX_RUN)
+        while b < len(run) and run[b] & 0xC0 == 0x80:  # inside a character
+            b -= 1
+        parts.append(run[a:b])
+        a = b
+    return parts
+
+
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
+def learn(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, slice_chars: int = SLICE_CHARS, sample_docs: int = SAMPLE_DOCS) -> ByteNetwork | None:
     """A network from labelled (doc_id, text, lang); None if nothing can be learned."""
     good = labelled.filter("lang is not null and text is not null")
-    counts = good.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()
+    counts = good.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return None
-    if len(counts) > max_languages:
-        raise ValueError(f"more than {max_languages} languages: the network has an output for each")
+    docs_per_language = min(docs_per_language, max(1, sample_docs // len(counts)))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(docs_per_language / r["n"]))])
     start = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.lit(1), F.length("text") - slice_chars + 1))
@@ -176,7 +190,7 @@ def learn(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, slice
     rows = sample.select("lang", F.substring(F.col("text"), start.cast("int") + 1, F.lit(slice_chars)).alias("text")).collect()
     runs: dict[str, list[bytes]] = {}
     for lang, text in sorted((r["lang"], r["text"]) for r in rows):
-        runs.setdefault(lang, []).extend(r for r in runs_of(text) if _LETTER.search(r.decode("utf-8", "ignore")))
+        runs.setdefault(lang, []).extend(r for r in runs_of(text) if has_letter(r.decode("utf-8", "ignore")))
     languages = sorted(k for k, v in runs.items() if v)
     if not languages:
         return None
@@ -199,7 +213,7 @@ def predict(docs: DataFrame, net: ByteNetwork | None, memo_runs: int = MEMO_RUNS
             texts = frame["text"].to_pylist()
             for i, j in batches(texts, 2_000_000):
                 part = texts[i:j]
-                known = [bool(t and _LETTER.search(t)) for t in part]
+                known = list(map(has_letter, part))
                 lang, score = ["und"] * len(part), np.zeros(len(part))
                 if net is not None and any(known):
                     runs = [runs_of(t) for t in part]
