@@ -216,9 +216,10 @@ def measured_budget(classes: DataFrame, queries: DataFrame, dealt: DataFrame, fo
     shared = classes.sparkSession.sparkContext.broadcast((ids, q))
     near = classes.select("class", "embedding").mapInArrow(_nearest_of_all(shared, k), "q int, class long, score double")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "class")
-    near = near.filter(F.col("score") > float("-inf")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("q", "class")
-    found = near.join(dealt.select("class", "leaves"), "class").toPandas()
+    near = near.filter(F.col("score") > float("-inf")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("q", "class", "r")
+    found = near.join(dealt, "class").join(classes.select("class", "copies"), "class").toPandas().sort_values(["q", "r"])
     margins, ranks = forest.margins(np.concatenate([q / norm, np.zeros((len(q), 1))], axis=1)), []
+    weights = []  # a class counts as often as it is among the k nearest rows
     for i, rows in found.groupby("q"):
         order = np.fromiter(forest.walk(margins[i]), dtype=np.int64)
         place = np.empty(forest.leaves, dtype=np.int64)
@@ -226,9 +227,13 @@ def measured_budget(classes: DataFrame, queries: DataFrame, dealt: DataFrame, fo
         seen = np.concatenate([[0], np.cumsum(sizes[order])])
         # all rows of the leaves before the first one that holds it: the walk stops behind them
         ranks += [seen[place[np.asarray(leaves)].min()] + 1 for leaves in rows["leaves"]]
+        upto = np.minimum(k, rows["copies"].cumsum().to_numpy())
+        weights.append(np.diff(upto, prepend=0))
     if not ranks:
         return float("inf")
-    return float(np.sort(ranks)[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)])
+    order = np.argsort(ranks)
+    share = np.cumsum(np.concatenate(weights)[order])
+    return float(np.asarray(ranks)[order][np.searchsorted(share, recall * share[-1])])
 
 
 def _searched(k: int):
@@ -354,7 +359,7 @@ def nearest(
     for which is_query holds, among all others. budget: rows to see, in place of measuring it."""
     options = {"trees": trees, "leaf_rows": leaf_rows, "sample": sample, "recall": recall, "calibration": calibration, "budget": budget, "shard_numbers": shard_numbers, "group_queries": group_queries}
     rows = vectors.filter(valid("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(is_query, F.lit(False)).alias("asks"))
-    groups = rows.groupBy("embedding").agg(F.max("asks").alias("asks"))
+    groups = rows.groupBy("embedding").agg(F.max("asks").alias("asks"), F.count("*").alias("copies"))
     classes = materialize(groups.withColumn("class", F.monotonically_increasing_id()).withColumn("dim", F.size("embedding")))
     out = None
     for dim in sorted(r["dim"] for r in classes.select("dim").distinct().collect()):
