@@ -283,7 +283,7 @@ def _scan(similar, short_list: int):
             # a pair is sent once of all lists held
             order = np.lexsort((token, b, a, kind))
             kind, a, b, token = kind[order], a[order], b[order], token[order]
-            new = np.concatenate([[True], (kind[1:] == 1) | (kind[1:] != kind[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            new = np.concatenate([[True], (kind[1:] == 1) | (kind[1:] != kind[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(kind)]
             return pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (kind, a, b, token)], ["kind", "a", "b", "token"])
 
         leaders: dict = {}
