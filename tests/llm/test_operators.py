@@ -324,3 +324,87 @@ def test_quality_limits_by_language_and_few_strange_words(spark):
     assert all(got[r[0]].keep for r in good) and not got[5000].keep and not got[5001].keep
     assert got[5000].worst > got[5000].worst_limit
     assert got[5001].perplexity > 5 * got[1000].perplexity and got[0].limit != got[1000].limit
+
+
+def test_cover_trees_of_near_equal_vectors_end(spark):
+    base = rng.standard_normal(64).astype(np.float32)
+    near = np.repeat(base[None, :], 200, axis=0)
+    near[np.arange(200), np.arange(200) % 64] = np.nextafter(near[np.arange(200), np.arange(200) % 64], np.float32(9))
+    near[64:] *= np.float32(1.0000001)
+    x = np.concatenate([near, rng.standard_normal((30, 64)).astype(np.float32)])
+    i, j = embedding_dedup.linked_pairs(embedding_dedup.unit(x), None, 0.98)
+    assert len(i) == 200 * 199 // 2 and max(j) == 199
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(x.astype(float))]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {k: (199, 0) if k < 200 else (0, k) for k in range(len(x))}
+
+
+def test_pieces_of_every_letter_before_a_mark():
+    from trellis.llm import pieces
+
+    path = tokenizers.path("word_bpe_49k.json")
+    encoder, library = pieces.WordEncoder(path), pieces.load(path)
+    assert encoder.direct
+    letters = [chr(c) for c in range(0x80, 0x30000) if chr(c).isalpha()]
+    for some in (letters[a : a + 2000] for a in range(0, len(letters), 2000)):
+        for word, exact in zip((x + "." for x in some), library.encode_batch([x + "." for x in some], add_special_tokens=False), strict=True):
+            got = np.frombuffer(encoder.ids([word.encode()]), dtype="<u4").tolist()
+            assert got == exact.ids, (word, hex(ord(word[0])))
+    for word in ("पढ़.", "aक़,", "İ.", "STRASSE!", "Éa..", "ΑΣ."):
+        assert np.frombuffer(encoder.ids([word.encode()]), dtype="<u4").tolist() == library.encode(word, add_special_tokens=False).ids
+
+
+def test_nul_is_a_byte_of_a_word(spark):
+    rows = [(1, "a\0b c d e f g"), (2, "a\0b c d e f g"), (3, "a b c d e f g"), (4, "\0"), (None, "a\0b c d e f g")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.n_shingles for r in got if r.doc_id in (1, 3, 4)), reverse=True) == [3, 2, 1]
+    assert {r.component_id for r in got if r.doc_id in (1, 2)} == {1}
+
+
+def test_texts_without_letters_and_parts_of_runs(spark):
+    assert not any(map(language_id.has_letter, ("²½③Ⅳ 12", "", None, "́"))) and language_id.has_letter("²é")
+    run = "日本語のテキスト" * 20
+    parts = language_id.runs_of(run)
+    assert b"".join(parts).decode() == run and all(len(p) <= language_id.MAX_RUN for p in parts) and all(p.decode() for p in parts)
+    df = spark.createDataFrame([(1, "²½③"), (2, "und"), (3, "x" * 2_000_000), (4, run * 1000)], "doc_id long, text string")
+    net = language_id.ByteNetwork(["de", "en"])
+    got = {r.doc_id: r for r in language_id.predict(df, net).collect()}
+    assert (got[1].lang_pred, got[1].score) == ("und", 0.0) and all(got[i].lang_pred in net.languages for i in (2, 3, 4))
+    assert language_id.predict(df.limit(0), net).count() == 0
+
+
+def test_network_against_plain_loops_and_finite_differences():
+    net = language_id.ByteNetwork(["a", "b", "c"], hidden=5, seed=3)
+    run = np.frombuffer("héllo wörld".encode(), dtype=np.uint8)
+
+    def states(way, seq):
+        h, out = np.zeros(way.h), []
+        for b in seq:
+            x, n = way.p["x"][b].astype(float), way.h
+            z, r = (1 / (1 + np.exp(-(x[k * n : k * n + n] + h @ way.p["u"][:, k * n : k * n + n]))) for k in (0, 1))
+            c = np.tanh(x[2 * n :] + (r * h) @ way.p["c"])
+            h = (1 - z) * h + z * c
+            out.append(h)
+        return np.array(out)
+
+    def by_hand(seq):
+        both = np.concatenate([states(net.ways[0], seq), states(net.ways[1], seq[::-1])[::-1]], axis=1)
+        x = both @ net.out["w"] + net.out["b"]
+        return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+
+    assert np.allclose(net.labels(run[:, None])[:, 0], by_hand(run), atol=1e-5)
+    sums = net.run_sums([bytes(run)])
+    assert np.allclose(sums[0, :-1], by_hand(run).sum(axis=0), atol=1e-4) and sums[0, -1] == len(run)
+    way = net.ways[0]
+    for n in way.p:
+        way.p[n] = way.p[n].astype(np.float64)
+    weights = rng.standard_normal((len(run), 1, way.h))
+    _, cache = way.forward(run[:, None], True)
+    grads = way.backward(cache, weights)
+    for name, at in (("x", (run[2], 3)), ("x", (run[0], 12)), ("u", (1, 7)), ("c", (2, 4))):
+        keep, step, value = way.p[name][at], 1e-2, []
+        for d in (step, -step):
+            way.p[name][at] = keep + d
+            value.append((states(way, run) * weights[:, 0]).sum())
+        way.p[name][at] = keep
+        assert grads[name][at] == pytest.approx((value[0] - value[1]) / (2 * step), rel=0.02, abs=2e-3)
