@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -25,6 +25,13 @@ UMBRELLA_WORDS = (
     "resources habitats populations communities dynamics variations changes effects impacts"
 ).split()
 SKIP_SECTIONS = ["References", "Further reading", "External links", "See also", "Notes", "Citations", "Bibliography", "Footnotes", "Gallery"]
+#: Words that end a candidate phrase, by language.
+STOP_WORDS = {
+    "en": "the a an of in and or for to with by is are was were be it this that as on at from not".split(),
+    "de": "der die das den dem des ein eine einen einem einer und oder in im von vom zu zum zur mit auf für ist sind war nicht als auch es an bei aus".split(),
+    "fr": "le la les l un une des du de d et ou en dans pour par avec sur est sont était ne pas que qui ce cette à au aux il elle".split(),
+    "es": "el la los las un una unos unas de del y o en para por con sobre es son era no que se su al lo como más".split(),
+}
 LICENSES = {
     "attribution-noncommercial-noderivatives": "CC BY-NC-ND",
     "attribution-noncommercial-sharealike": "CC BY-NC-SA",
@@ -78,6 +85,26 @@ def strip_tags(html: Column) -> Column:
     return collapse(F.regexp_replace(bare, "<[^>]+>", " "))
 
 
+def stop_words(lang: Column) -> Column:
+    """The stop words of a language, those of English for any other."""
+    words = lambda k: F.array(*map(F.lit, STOP_WORDS[k]))
+    out = F
+    for k in STOP_WORDS:
+        if k != "en":
+            out = out.when(lang == k, words(k))
+    return out.otherwise(words("en"))
+
+
+def page_summary(extract: Column, length: Column, least: int = 80) -> Column:
+    """{description, difficulty} of a page's intro and length: its first two sentences of more than 20
+    characters, cut at 500; null if they have fewer than `least`."""
+    flat = F.regexp_replace(F.replace(F.coalesce(extract, F.lit("")), F.lit("\n"), F.lit(" ")), r"^\s+|\s+$", "")
+    kept = F.filter(F.transform(F.split(flat, r"(?<=[.!?])\s+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) > 20)
+    text = F.array_join(F.slice(kept, 1, 2), " ")
+    made = F.struct(F.substring(text, 1, 500).alias("description"), difficulty_from_length(F.coalesce(length, F.lit(0))).alias("difficulty"))
+    return F.when(F.length(text) >= least, made)
+
+
 def summary(text: Column, sentences: int = 2, least: int = 20, most: int = 500) -> Column:
     """The first sentences of more than `least` characters, joined and cut."""
     kept = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.length(s) > least)
@@ -174,12 +201,21 @@ def json_items(raw: Column, key: str, item: str) -> Column:
     )
 
 
-def phrase_candidates(text: Column, stop_words: list[str], least: int = 2, most: int = 6) -> Column:
-    """Candidate concept names: runs of words between stop words and marks, lower case, a
-    leading determiner off, of `least` to `most` words, not a generic pair."""
-    stops = "|".join(sorted(stop_words))
-    marked = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z\s]+", "|"), rf"\b({stops})\b", "|")
-    names = F.transform(F.split(marked, r"\|"), lambda p: strip_determiner(collapse(p)))
-    generic = lambda p: (F.size(F.split(p, " ")) == 2) & F.split(p, " ")[0].isin(GENERIC_LEADS) & F.split(p, " ")[1].isin(GENERIC_TAILS)
-    ok = lambda p: (p != "") & F.size(F.split(p, " ")).between(least, most) & ~generic(p)
-    return F.array_distinct(F.filter(names, ok))
+def phrase_parts(text: Column, stop_words: Column) -> Column:
+    """Runs of words between stop words and marks, lower case, as an array: words are letters of any
+    script. stop_words is an array of lower-case words."""
+    bare = collapse(F.regexp_replace(F.lower(text), r"[^\p{L}\s]+", " | "))
+    marked = F.array_join(F.transform(F.split(bare, " "), lambda w: F.when(F.array_contains(stop_words, w), "|").otherwise(w)), " ")
+    return F.split(marked, r"\|")
+
+
+def phrase_candidates(docs: DataFrame, text: str, stop_words: Column, least: int = 2, most: int = 6) -> DataFrame:
+    """docs without text, a row for each distinct candidate `name` of each: runs of words between stop
+    words and marks, a leading determiner off, of `least` to `most` words, not a generic pair. Null
+    and blank texts have none."""
+    parts = docs.withColumn("name", F.explode(phrase_parts(F.col(text), stop_words))).drop(text)
+    named = parts.withColumn("name", strip_determiner(F.trim("name"))).filter("name <> ''")
+    n = F.length("name") - F.length(F.replace("name", F.lit(" "))) + 1  # blanks are single
+    first, last = F.substring_index("name", " ", 1), F.substring_index("name", " ", -1)
+    generic = (n == 2) & first.isin(GENERIC_LEADS) & last.isin(GENERIC_TAILS)
+    return named.filter(n.between(least, most) & ~generic).distinct()

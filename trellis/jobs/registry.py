@@ -14,9 +14,6 @@ from trellis.operators import tables as T
 from trellis.operators import vectors as E
 from trellis.operators.storage import written
 
-STOP_WORDS = "the a an of in and or for to with by is are was were be it this that as on at from not".split()
-
-
 W = V.with_views
 
 
@@ -180,26 +177,19 @@ def llm_json_parse(spark, d):
 
 # ---- candidates ------------------------------------------------------------------------
 
-_MARK = "\\b(" + "|".join(sorted(STOP_WORDS)) + ")\\b"
-_DET = "^(" + "|".join(X.DETERMINERS) + ")\\s+"
-_CANDIDATES = f"""n AS (SELECT DISTINCT doc_id, regexp_replace(trim(regexp_replace(unnest(string_split(regexp_replace(regexp_replace(lower(text), '[^a-z\\s]+', '|', 'g'), '{_MARK}', '|', 'g'), '|')), '\\s+', ' ', 'g')), '{_DET}', '') AS name FROM documents WHERE lang = 'en'),
-c AS (SELECT doc_id, name, string_split(name, ' ') AS w FROM n WHERE name <> ''),
-k AS (SELECT doc_id, name FROM c WHERE len(w) BETWEEN 2 AND 6 AND NOT (len(w) = 2 AND w[1] IN ({", ".join(repr(x) for x in X.GENERIC_LEADS)}) AND w[2] IN ({", ".join(repr(x) for x in X.GENERIC_TAILS)})))"""
-
-
-def _candidates(spark, d):
-    docs = V.table(spark, d, "documents").filter("lang = 'en'")
-    return docs.select("doc_id", F.explode(X.phrase_candidates(F.col("text"), STOP_WORDS)).alias("name"))
+_CANDIDATES = V.phrases_sql()
 
 
-@query(f"WITH {_CANDIDATES} SELECT doc_id, name FROM k")
+@query(f"WITH {_CANDIDATES} SELECT doc_id, name FROM phrases")
 def np_candidates(spark, d):
-    return _candidates(spark, d)
+    return V.phrases(spark, d).select("doc_id", "name")
 
 
-@query(f"WITH {_CANDIDATES} SELECT replace(name, ' ', '-') AS slug, CAST(count(DISTINCT doc_id) AS BIGINT) AS docs FROM k GROUP BY slug HAVING count(DISTINCT doc_id) >= 2")
+@query(rf"""WITH {_CANDIDATES}, s AS (SELECT DISTINCT doc_id, regexp_replace(trim(regexp_replace(strip_accents(name), '[^a-z0-9\s-]', '', 'g')), '\s+', '-', 'g') AS slug FROM phrases)
+SELECT slug, CAST(count(*) AS BIGINT) AS docs FROM s GROUP BY slug HAVING count(*) >= 2""")
 def cross_doc_frequency(spark, d):
-    c = _candidates(spark, d).select("doc_id", X.slugify(F.col("name")).alias("slug")).distinct()
+    names = V.phrases(spark, d).select("doc_id", "name")
+    c = names.select("doc_id", X.slugify(F.col("name")).alias("slug")).distinct()
     return c.groupBy("slug").agg(F.count("*").alias("docs")).filter("docs >= 2")
 
 
@@ -402,6 +392,29 @@ def transitive_fanout(spark, d):
     return G.fan_out(V.concepts(spark, d), V.edges(spark, d))
 
 
+_PAIRS_ASKED = "asked AS (SELECT topic_id, id AS src, lag(id, 7) OVER w AS dst FROM concepts WINDOW w AS (PARTITION BY topic_id ORDER BY difficulty DESC, id) UNION SELECT topic_id, source_id, target_id FROM edges UNION SELECT a.topic_id, a.source_id, b.target_id FROM edges a JOIN edges b ON b.source_id = a.target_id)"
+
+
+@query(W("SELECT topic_id, src, dst, EXISTS (SELECT 1 FROM closure c WHERE c.src = a.src AND c.dst = a.dst) AS reached FROM asked a WHERE dst IS NOT NULL", f"{_CLOSURE}, {_PAIRS_ASKED}", True))
+def reachable_pairs(spark, d):
+    """Whether one concept leads to another, for pairs: neighbours, neighbours' neighbours, and others."""
+    from pyspark.sql import Window
+
+    e = written(V.edges(spark, d).select("topic_id", "source_id", "target_id"))
+    other = V.concepts(spark, d).select("topic_id", F.col("id").alias("src"), F.lag("id", 7).over(Window.partitionBy("topic_id").orderBy(F.desc("difficulty"), "id")).alias("dst"))
+    near = e.select("topic_id", F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
+    second = near.withColumnRenamed("dst", "mid").join(near.withColumnRenamed("src", "mid"), ["topic_id", "mid"]).select("topic_id", "src", "dst")
+    pairs = written(other.filter("dst is not null").union(near).union(second).distinct())
+    return G.reaches(e, pairs)
+
+
+@query(W("SELECT topic_id, id, CAST(count(DISTINCT dst) FILTER (dst <> id) AS BIGINT) AS fanout FROM (SELECT c.topic_id, c.id, r.dst FROM concepts c LEFT JOIN reach r ON r.src = c.id) GROUP BY topic_id, id",
+"reach AS (SELECT topic_id, source_id AS src, target_id AS dst FROM edges_cyclic UNION SELECT c.topic_id, c.src, e.target_id FROM reach c JOIN edges_cyclic e ON e.source_id = c.dst)", True))
+def cyclic_fanout(spark, d):
+    """Fan-out where the edges have cycles: components are contracted first."""
+    return G.fan_out(V.concepts(spark, d), V.edges_cyclic(spark, d))
+
+
 @query(W("SELECT c.topic_id, c.id, l.layer FROM concepts c JOIN levels l USING (id)", _LAYERS, True))
 def longest_path_layers(spark, d):
     return G.layers(V.concepts(spark, d), V.edges(spark, d))[0]
@@ -489,11 +502,6 @@ def resolve_names(spark, d):
     return N.resolve_names(names, V.concepts(spark, d))
 
 
-@query()
-def resolve_cycles(spark, d):
-    return G.resolve_cycles(V.concepts(spark, d), V.edges_cyclic(spark, d))
-
-
 @query(W("""SELECT topic_id AS cycle_id, arg_min(source_id, k) AS source_id, arg_min(target_id, k) AS target_id FROM (SELECT *, {'x': strength, 's': source_id, 't': target_id} AS k FROM (
 SELECT a.topic_id, e.source_id, e.target_id, e.strength FROM (SELECT topic_id, list(source_id ORDER BY source_id, target_id)[1] AS a, list(target_id ORDER BY source_id, target_id)[1] AS b FROM edges_cyclic GROUP BY topic_id) a
 JOIN edges_cyclic e ON (e.source_id = a.a AND e.target_id = a.b) OR (e.source_id = a.b AND e.target_id = a.a))) GROUP BY topic_id"""))

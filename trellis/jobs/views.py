@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trellis.functions import text as X
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,6 +18,21 @@ def raw_materials(spark, sf_dir) -> DataFrame:
     )
 
 
+def phrases(spark, sf_dir) -> DataFrame:
+    """(doc_id, lang, n, name): candidate phrases of all documents, whole texts in all languages."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").alias("n"), "text")
+    return X.phrase_candidates(docs, "text", X.stop_words(F.col("lang")))
+
+
+def phrases_sql() -> str:
+    quoted = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+    stops = " ".join(f"WHEN '{k}' THEN [{quoted(w)}]" for k, w in X.STOP_WORDS.items() if k != "en")
+    return f"""w AS (SELECT doc_id, lang, length(text) AS n, string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{{L}}\\s]+', ' | ', 'g'), '\\s+', ' ', 'g')), ' ') AS w,
+  CASE lang {stops} ELSE [{quoted(X.STOP_WORDS["en"])}] END AS stop FROM documents),
+parts AS (SELECT DISTINCT doc_id, lang, n, regexp_replace(trim(unnest(string_split(array_to_string(list_transform(w, lambda x: CASE WHEN list_contains(stop, x) THEN '|' ELSE x END), ' '), '|'))), '(?i)^({"|".join(X.DETERMINERS)})\\s+', '') AS name FROM w),
+phrases AS (SELECT doc_id, lang, n, name FROM (SELECT *, string_split(name, ' ') AS p FROM parts WHERE name <> '') WHERE len(p) BETWEEN 2 AND 6 AND NOT (len(p) = 2 AND p[1] IN ({quoted(X.GENERIC_LEADS)}) AND p[2] IN ({quoted(X.GENERIC_TAILS)})))"""
+
+
 def concepts(spark, sf_dir) -> DataFrame:
     name = F.when(F.col("p_partkey") % 7 == 0, F.concat("p_name", F.lit(" systems"))).otherwise(F.col("p_name"))
     return table(spark, sf_dir, "part").select(

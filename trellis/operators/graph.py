@@ -4,11 +4,15 @@ all topics at once; no topic and no neighbourhood is gathered in one task unless
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.functions.text import UMBRELLA_WORDS, tokens
+from trellis.operators.components import LOCAL_EDGES, closing_edges, strong_components, union
 from trellis.operators.storage import written
+from trellis.operators.tables import ranked
 
 
 def topic_edges(edges: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -47,31 +51,171 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
         known = known.unionByName(front)
 
 
-def fan_out(concepts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Number of concepts that depend on each one, directly or not, itself left out."""
-    n = closure(edges).filter("src <> dst").groupBy("topic_id", F.col("src").alias("id")).agg(F.count("*").alias("fanout"))
-    return concepts.select("topic_id", "id").join(n, ["topic_id", "id"], "left").select("topic_id", "id", F.coalesce("fanout", F.lit(0)).alias("fanout"))
+def peeled(edges: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Distinct edges (topic_id, source_id, target_id, ...) by the layer of their source, a table for
+    each layer from 0, and those left over on or behind cycles. A round takes the edges whose source
+    is no target any more; it is one written table and one count."""
+    left, out = edges, []
+    while True:
+        targets = left.select("topic_id", F.col("target_id").alias("source_id"), F.lit(False).alias("free")).distinct()
+        state = written(left.join(targets, ["topic_id", "source_id"], "left").withColumn("free", F.coalesce("free", F.lit(True))))
+        n, free = state.agg(F.count("*"), F.count(F.when(F.col("free"), True))).first()
+        left = state.filter(~F.col("free")).drop("free")
+        if free:
+            out.append(state.filter("free").drop("free"))
+        if not free or free == n:
+            return out, left
 
 
 def layers(concepts: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(topic_id, id, layer) and the edges left over. The layer is the length of the longest
-    path from a root: each round takes the nodes without open prerequisites and closes their
-    edges. Nodes on or behind a cycle are left over and have layer 0."""
-    left = written(edges.select("topic_id", "source_id", "target_id").distinct())
+    path from a root. Nodes on or behind a cycle are left over and have layer 0."""
+    found, left = peeled(edges.select("topic_id", "source_id", "target_id").distinct())
+    return _layers(concepts, found, left), left
+
+
+def _layers(concepts: DataFrame, found: list[DataFrame], left: DataFrame) -> DataFrame:
     nodes = concepts.select("topic_id", "id")
-    open_nodes, done, level = nodes, None, 0
-    while True:
-        targets = left.select("topic_id", F.col("target_id").alias("id"))
-        ready = written(open_nodes.join(targets, ["topic_id", "id"], "left_anti"))
-        if ready.isEmpty():
-            break
-        with_level = ready.withColumn("layer", F.lit(level).cast("long"))
-        done = with_level if done is None else done.unionByName(with_level)
-        open_nodes = written(open_nodes.join(ready, ["topic_id", "id"], "left_anti"))
-        left = written(left.join(ready.withColumnRenamed("id", "source_id"), ["topic_id", "source_id"], "left_anti"))
-        level += 1
-    rest = open_nodes.withColumn("layer", F.lit(0).cast("long"))
-    return (rest if done is None else done.unionByName(rest)), left
+    if not found:
+        return nodes.withColumn("layer", F.lit(0).cast("long"))
+    steps = union([e.select("topic_id", F.col("target_id").alias("id"), F.lit(k + 1).cast("long").alias("layer")) for k, e in enumerate(found)])
+    steps = steps.unionByName(left.select("topic_id", F.col("target_id").alias("id"), F.lit(-1).cast("long").alias("layer")))
+    far = steps.groupBy("topic_id", "id").agg(F.when(F.min("layer") < 0, 0).otherwise(F.max("layer")).cast("long").alias("layer"))
+    return nodes.join(far, ["topic_id", "id"], "left").select("topic_id", "id", F.coalesce("layer", F.lit(0)).alias("layer"))
+
+
+def condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct edges (topic_id, source_id, target_id) between components, and (topic_id, id, head) of
+    the nodes of components with a cycle: head, their smallest node, stands for them."""
+    rows, nodes = numbered(edges)
+    found = written(strong_components(rows.select("g", "s", "t")))
+    names = nodes.select(F.col("n").alias("component"), F.col("id").alias("head"))
+    members = written(found.join(nodes, "n").join(names, "component").select("topic_id", "id", "head"))
+    out = edges.select("topic_id", "source_id", "target_id")
+    for end in ("source_id", "target_id"):
+        out = out.join(members.select("topic_id", F.col("id").alias(end), "head"), ["topic_id", end], "left").withColumn(end, F.coalesce("head", end)).drop("head")
+    return out.filter("source_id <> target_id").distinct(), members
+
+
+def numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges with their ends as numbers s and t in one graph g, and the nodes (topic_id, id, n)."""
+    nodes = written(ranked(_ends(edges), ["topic_id", "id"], "n"))
+    a, b = (nodes.select("topic_id", F.col("id").alias(f"{k}_id"), F.col("n").alias(k[0])) for k in ("source", "target"))
+    return written(edges.join(a, ["topic_id", "source_id"]).join(b, ["topic_id", "target_id"]).withColumn("g", F.lit(0).cast("long"))), nodes
+
+
+class Reach:
+    """What each node reaches, as blocks of 64 bits: bit k of block b stands for the node with number
+    64 b + k. Nodes are numbered by topic and layer, so that what one reaches lies close together.
+    Blocks are pushed from the deepest layer upwards, where those of a node's targets are or-ed
+    together; each edge is joined once, and no pair of nodes is ever a row."""
+
+    def __init__(self, found: list[DataFrame], nodes: DataFrame):
+        """found: edges by layer of their source (peeled); nodes (topic_id, id, layer) of all ends."""
+        self.numbers = written(ranked(nodes.select("topic_id", "id", "layer"), ["topic_id", "layer", "id"], "n").drop("layer"))
+        own = self.numbers.select("topic_id", "id", *_bit())
+        levels: list[DataFrame] = []
+        for edges in reversed(found):
+            # a target's own bit and what it reaches itself
+            known = union([own, *levels]).withColumnRenamed("id", "target_id")
+            pushed = edges.select("topic_id", "source_id", "target_id").join(known, ["topic_id", "target_id"])
+            levels.append(written(pushed.groupBy("topic_id", F.col("source_id").alias("id"), "block").agg(F.bit_or("bits").alias("bits"))))
+        self.blocks = union(levels) if levels else own.limit(0)
+
+    def counts(self) -> DataFrame:
+        """(topic_id, id, fanout) of the nodes that reach any."""
+        return self.blocks.groupBy("topic_id", "id").agg(F.sum(F.bit_count("bits")).alias("fanout"))
+
+    def holds(self, pairs: DataFrame) -> DataFrame:
+        """pairs (topic_id, src, dst) with `reached`, whether dst's bit is set in src's blocks."""
+        bits = self.numbers.select("topic_id", F.col("id").alias("dst"), *_bit("block", "bit"))
+        asked = pairs.join(bits, ["topic_id", "dst"], "left")
+        found = asked.join(self.blocks.withColumnRenamed("id", "src"), ["topic_id", "src", "block"], "left")
+        return found.select(*pairs.columns, F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False)).alias("reached"))
+
+
+def _bit(block: str = "block", bits: str = "bits") -> list[Column]:
+    return [F.shiftright("n", 6).alias(block), F.expr("shiftleft(1L, cast(n & 63 AS INT))").alias(bits)]
+
+
+def _graph_of(edges: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame | None]:
+    """Edges by layer and nodes (topic_id, id, layer), with components contracted where there are
+    cycles; their members are given then."""
+    edges = edges.select("topic_id", "source_id", "target_id").distinct()
+    found, left = peeled(edges)
+    members = None
+    if not left.isEmpty():
+        edges, members = condensed(edges)
+        found, left = peeled(edges)
+    return found, written(_layers(_ends(edges), found, left)), members
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select("topic_id", F.col("source_id").alias("id")).union(edges.select("topic_id", "target_id")).distinct()
+
+
+def fan_out(concepts: DataFrame, edges: DataFrame) -> DataFrame:
+    """Number of concepts that depend on each one, directly or not, itself left out."""
+    found, nodes, members = _graph_of(edges)
+    return _fan_out(concepts, found, nodes, members)
+
+
+def _fan_out(concepts: DataFrame, found: list[DataFrame], nodes: DataFrame, members: DataFrame | None) -> DataFrame:
+    ids = concepts.select("topic_id", "id")
+    if members is None:
+        n = Reach(found, nodes).counts()
+    else:
+        # a component's members reach what its head does, and each other: heads weigh their members
+        sizes = members.groupBy("topic_id", F.col("head").alias("id")).agg((F.count("*") - 1).alias("more"))
+        reach = Reach(found, nodes.unionByName(members.select("topic_id", F.col("head").alias("id"), F.lit(0).cast("long").alias("layer"))).dropDuplicates(["topic_id", "id"]))
+        heavy = reach.numbers.join(sizes, ["topic_id", "id"]).select("topic_id", *_bit("block", "bit"), "more")
+        extra = reach.blocks.join(heavy, ["topic_id", "block"]).filter(F.col("bits").bitwiseAND(F.col("bit")) != 0).groupBy("topic_id", "id").agg(F.sum("more").alias("extra"))
+        by_head = reach.counts().join(extra, ["topic_id", "id"], "full_outer").join(sizes, ["topic_id", "id"], "full_outer").fillna(0, ["fanout", "extra", "more"])
+        by_head = by_head.select("topic_id", "id", (F.col("fanout") + F.col("extra") + F.col("more")).alias("fanout"))
+        inside = members.join(by_head.withColumnRenamed("id", "head"), ["topic_id", "head"]).select("topic_id", "id", "fanout")
+        n = by_head.join(members.select("topic_id", "id"), ["topic_id", "id"], "left_anti").unionByName(inside)
+    return ids.join(n, ["topic_id", "id"], "left").select("topic_id", "id", F.coalesce("fanout", F.lit(0)).alias("fanout"))
+
+
+def reaches(edges: DataFrame, pairs: DataFrame, labels: int = 4) -> DataFrame:
+    """pairs (topic_id, src, dst) with `reached`, whether a path of one edge or more leads from src to
+    dst, without a closure. Every node is labelled with its layer and, for some random orders of the
+    nodes, the smallest place among those it reaches and itself: a node that reaches another has a
+    smaller layer and no label above the other's. A search for all pairs at once takes only steps to
+    nodes whose labels still allow the goal; a pair that is found is not searched on."""
+    found, nodes, members = _graph_of(edges)
+    asked = pairs.select("topic_id", "src", "dst").distinct()
+    ends = asked.withColumn("a", F.col("src")).withColumn("b", F.col("dst"))
+    if members is not None:
+        for end in ("a", "b"):
+            ends = ends.join(members.select("topic_id", F.col("id").alias(end), "head"), ["topic_id", end], "left").withColumn(end, F.coalesce("head", end)).withColumn(f"{end}_cycle", F.col("head").isNotNull()).drop("head")
+        same = ends.filter("a = b and a_cycle").select("topic_id", "src", "dst")
+    else:
+        same = asked.limit(0)
+    ends = written(ends.filter("a <> b").select("topic_id", "src", "dst", "a", "b"))
+    places = [F.xxhash64("topic_id", "id", F.lit(k)).alias(f"l{k}") for k in range(labels)]
+    names = [f"l{k}" for k in range(labels)]
+    own, levels = nodes.select("topic_id", "id", *places), []
+    for step in reversed(found):
+        below = own.unionByName(union([x.select(own.columns) for x in levels])) if levels else own
+        low = step.select("topic_id", F.col("source_id").alias("id"), "target_id").join(below.withColumnRenamed("id", "target_id"), ["topic_id", "target_id"]).drop("target_id")
+        levels.append(written(low.groupBy("topic_id", "id").agg(*(F.min(k).alias(k) for k in names))))
+    lows = union([own, *levels]).groupBy("topic_id", "id").agg(*(F.min(k).alias(k) for k in names))
+    lows = written(lows.join(nodes, ["topic_id", "id"]))
+    goal = lows.select("topic_id", F.col("id").alias("b"), F.col("layer").alias("b_layer"), *(F.col(k).alias(f"b_{k}") for k in names))
+    allowed = reduce(Column.__and__, [F.col(k) <= F.col(f"b_{k}") for k in names], F.col("layer") < F.col("b_layer"))
+    fits = lambda front: front.join(lows.withColumnRenamed("id", "a"), ["topic_id", "a"]).filter((F.col("a") == F.col("b")) | allowed).drop("layer", *names)
+    hops = union([e.select("topic_id", F.col("source_id").alias("a"), F.col("target_id").alias("next")) for e in found]) if found else None
+    front = written(fits(ends.join(goal, ["topic_id", "b"])))
+    hits = [same]
+    while hops is not None and not front.isEmpty():
+        step = front.join(hops, ["topic_id", "a"]).drop("a").withColumnRenamed("next", "a").distinct()
+        step = written(fits(step))
+        done = step.filter("a = b").select("topic_id", "src", "dst").distinct()
+        hits.append(done)
+        front = written(step.join(done, ["topic_id", "src", "dst"], "left_anti"))
+    reached = union([x.select("topic_id", "src", "dst") for x in hits]).withColumn("reached", F.lit(True))
+    return pairs.join(reached, ["topic_id", "src", "dst"], "left").withColumn("reached", F.coalesce("reached", F.lit(False)))
 
 
 def topological_order(concepts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -84,13 +228,9 @@ def topological_order(concepts: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cycle_core(concepts: DataFrame, edges: DataFrame) -> DataFrame:
-    """(topic_id, id) of all concepts on a cycle: sources and sinks are peeled off, then those
-    that reach themselves remain."""
-    _, left = layers(concepts, edges)
-    turned = left.select("topic_id", F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
-    _, core = layers(concepts, turned)
-    back = core.select("topic_id", F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
-    return closure(back).filter("src = dst").select("topic_id", F.col("src").alias("id"))
+    """(topic_id, id) of all concepts on a cycle."""
+    rows, nodes = numbered(topic_edges(edges, concepts).select("topic_id", "source_id", "target_id").distinct())
+    return strong_components(rows.select("g", "s", "t")).join(nodes, "n").select("topic_id", "id")
 
 
 def detect_cycles(concepts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -140,63 +280,50 @@ def chosen_edges(cycles: DataFrame, choices: DataFrame, concepts: DataFrame, edg
     return chosen.unionByName(weakest_edges(cycles.join(chosen, "cycle_id", "left_anti"), edges))
 
 
-def _find_cycle(after: dict) -> list:
-    """A cycle of a graph of sets as a list of nodes, or []; smallest nodes first."""
-    state: dict = {}
-    for root in sorted(after):
-        if root in state:
-            continue
-        path, stack = [root], [iter(sorted(after[root]))]
-        state[root] = 1
-        while stack:
-            node = next(stack[-1], None)
-            if node is None:
-                state[path.pop()] = 2
-                stack.pop()
-            elif state.get(node) == 1:
-                return path[path.index(node) :]
-            elif node not in state:
-                state[node] = 1
-                path.append(node)
-                stack.append(iter(sorted(after.get(node, ()))))
-    return []
-
-
-def resolve_cycles(concepts: DataFrame, edges: DataFrame) -> DataFrame:
-    """(topic_id, source_id, target_id) of edges to remove so that no cycle is left: the weakest
-    edge of one cycle after the other. Only a topic's edges between concepts that cycles can
-    reach in both directions are gathered in a task, with the others peeled off before."""
-    import pandas as pd
-
-    _, left = layers(concepts, edges)
-    turned = left.select("topic_id", F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
-    _, core = layers(concepts, turned)
-    core = core.select("topic_id", F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
-    core = core.join(edges.groupBy("topic_id", "source_id", "target_id").agg(F.max("strength").cast("double").alias("strength")), ["topic_id", "source_id", "target_id"])
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        after: dict = {}
-        strength = {}
-        for s, t, x in frame[["source_id", "target_id", "strength"]].itertuples(index=False):
-            after.setdefault(s, set()).add(t)
-            strength[s, t] = x
-        gone = []
-        while cycle := _find_cycle(after):
-            pairs = list(zip(cycle, [*cycle[1:], cycle[0]], strict=True))
-            s, t = min(pairs, key=lambda p: (strength[p], p))
-            after[s].discard(t)
-            gone.append((frame["topic_id"].iloc[0], s, t))
-        return pd.DataFrame(gone, columns=["topic_id", "source_id", "target_id"])
-
-    return core.groupBy("topic_id").applyInPandas(solve, "topic_id string, source_id string, target_id string")
+def resolve_cycles(concepts: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(topic_id, source_id, target_id) of edges to remove so that no cycle is left: each edge that is
+    the weakest of some cycle, by strength, source and target (of repeated edges the strongest
+    counts)."""
+    strength = F.max(F.coalesce(F.col("strength").cast("double"), F.lit(1.0))).alias("strength")
+    once = topic_edges(edges, concepts).groupBy("topic_id", "source_id", "target_id").agg(strength)
+    rows, _ = numbered(once)
+    rows = written(ranked(rows, [F.desc("strength"), F.desc("source_id"), F.desc("target_id"), "topic_id"], "r"))
+    gone = closing_edges(rows.select("g", "r", "s", "t"), local_edges).select("r")
+    return rows.join(gone, "r", "left_semi").select("topic_id", "source_id", "target_id")
+
+
+def cycle_questions(cycles: DataFrame, concepts: DataFrame, edges: DataFrame) -> DataFrame:
+    """What a model is asked about cycles (cycle_id, topic_id, nodes): (cycle_id, topic_id, key, names,
+    lines), the names in order, a line for each edge of the cycle, and the key of the answer."""
+    spots = cycles.select("cycle_id", "topic_id", F.posexplode("nodes").alias("pos", "id"), F.col("nodes"))
+    spots = spots.select("cycle_id", "topic_id", "pos", "id", F.coalesce(F.get("nodes", F.col("pos") + 1), F.col("nodes")[0]).alias("next"))
+    names = concepts.select("topic_id", "id", "name")
+    rows = spots.join(names, ["topic_id", "id"], "left").join(names.withColumnsRenamed({"id": "next", "name": "next_name"}), ["topic_id", "next"], "left")
+    known = edges.groupBy("topic_id", F.col("source_id").alias("id"), F.col("target_id").alias("next")).agg(F.max(F.struct("strength", F.coalesce("rationale", F.lit("")).alias("rationale"))).alias("e"))
+    rows = rows.join(known, ["topic_id", "id", "next"], "left").withColumn("name", F.coalesce("name", "id")).withColumn("next_name", F.coalesce("next_name", "next"))
+    line = F.format_string("  %s → %s (strength=%.2f, rationale='%s')", "name", "next_name", F.col("e.strength").cast("double"), "e.rationale")
+    cell = F.struct("pos", "name", F.when(F.col("e").isNotNull(), line).alias("line"))
+    out = rows.groupBy("cycle_id", "topic_id").agg(F.sort_array(F.collect_list(cell)).alias("c"))
+    out = out.withColumn("names", F.array_join(F.transform("c", lambda x: x["name"]), " → ")).withColumn("lines", F.array_join(F.transform("c", lambda x: x["line"]), "\n"))
+    return out.select("cycle_id", "topic_id", F.sha2(F.concat(F.lit("cycle||"), "topic_id", F.lit("||"), "names", F.lit("||"), "lines"), 256).alias("key"), "names", "lines")
+
+
+def answered_cycles(cycles: DataFrame, answers: DataFrame, concepts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(topic_id, source_id, target_id): the edge of each cycle (cycle_id, topic_id, nodes) that answers
+    (key, response_json) name, else its weakest."""
+    said = cycle_questions(cycles, concepts, edges).join(answers, "key").select("cycle_id", F.from_json("response_json", "remove_source string, remove_target string").alias("r"))
+    choices = said.select("cycle_id", F.col("r.remove_source").alias("source"), F.col("r.remove_target").alias("target")).dropDuplicates(["cycle_id"])
+    chosen = chosen_edges(cycles.select("cycle_id", "nodes"), choices, concepts, edges)
+    return chosen.join(cycles.select("cycle_id", "topic_id"), "cycle_id").select("topic_id", "source_id", "target_id")
 
 
 def criticality(concepts: DataFrame, edges: DataFrame, progress: DataFrame) -> DataFrame:
     """The node table of the graph: fan-out, score (umbrella names with a fan-out of 5 or more
     count 0.3), tier by order statistics of the topic's scores, layer, status."""
     edges = written(edges.select("topic_id", "source_id", "target_id").distinct())
-    n = fan_out(concepts, edges)
-    levels, _ = layers(concepts, edges)
+    found, left = peeled(edges)
+    levels = _layers(concepts, found, left)
+    n = fan_out(concepts, edges) if not left.isEmpty() else _fan_out(concepts, found, written(_layers(_ends(edges), found, left)), None)
     umbrella = F.arrays_overlap(tokens(F.lower("name")), F.array(*map(F.lit, UMBRELLA_WORDS))) & (F.col("fanout") >= 5)
     nodes = concepts.join(n, ["topic_id", "id"]).withColumn("score", F.col("fanout") * F.when(umbrella, 0.3).otherwise(1.0))
     # scores repeat: ranks are counted over the distinct ones, which are few and pre-aggregated

@@ -5,6 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellis.operators.storage import written
+
+
+def ranked(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """rows, as a written table, with the place of each in the given order, from 0, as column `name`:
+    sorted by range, so that no task holds more than its share. The order should be total."""
+    spots = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each partition
+    starts = spots.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    out = spots.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_before")
+
 
 def first_wins(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in the given order, which must be total."""
