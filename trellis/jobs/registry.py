@@ -8,6 +8,7 @@ from trellis.functions import text as X
 from trellis.jobs import build_queries, extract_queries, source_queries, topic_queries  # noqa: F401
 from trellis.jobs import views as V
 from trellis.jobs.register import oracle_sql, queries, query  # noqa: F401
+from trellis.operators import build as B
 from trellis.operators import graph as G
 from trellis.operators import names as N
 from trellis.operators import tables as T
@@ -91,7 +92,7 @@ def markdown_document(spark, d):
 p AS (SELECT doc_id, ['Introduction'] || regexp_extract_all(t, '\n==+ *([^=\n]+?) *==+\n', 1) AS titles, string_split_regex(t, '\n==+ *[^=\n]+? *==+\n') AS parts FROM t),
 u AS (SELECT doc_id, unnest(titles) AS title, trim(regexp_replace(unnest(parts), '\s+', ' ', 'g')) AS content FROM p)
 SELECT doc_id, title, CAST(length(content) AS BIGINT) AS n FROM u WHERE (title = 'Introduction' AND length(content) > 50)
-OR (title <> 'Introduction' AND title NOT IN ('References', 'Further reading', 'External links', 'See also', 'Notes', 'Citations', 'Bibliography', 'Footnotes', 'Gallery') AND length(content) >= 60)""")
+OR (title <> 'Introduction' AND title NOT IN (""" + ", ".join(map(repr, X.SKIP_SECTIONS)) + ") AND length(content) >= 60)")
 def sections_split(spark, d):
     t = V.table(spark, d, "documents")
     text = F.concat_ws("\n", "text", F.lit("== References =="), "text", F.concat(F.lit("== "), "source", F.lit(" ==")), "text")
@@ -228,13 +229,7 @@ def prompt_lines(spark, d):
 FROM (SELECT DISTINCT topic_id, CAST(CASE WHEN difficulty <= 2 THEN 1 WHEN difficulty = 3 THEN 2 ELSE 3 END AS BIGINT) AS tier FROM concepts) t
 JOIN (SELECT *, CASE WHEN difficulty <= 2 THEN 1 WHEN difficulty = 3 THEN 2 ELSE 3 END AS tier FROM concepts) c ON c.topic_id = t.topic_id AND c.tier < t.tier QUALIFY rank <= 40"""))
 def tier_context_topk(spark, d):
-    from pyspark.sql import Window
-
-    c = V.concepts(spark, d).withColumn("tier", X.tier_band(F.col("difficulty")).cast("long"))
-    t = c.select("topic_id", F.col("tier").alias("at")).distinct()
-    w = Window.partitionBy("topic_id", "at").orderBy(F.desc("difficulty"), "name", "id")
-    ranked = c.join(t, "topic_id").filter("tier < at").withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 40")
-    return ranked.select("topic_id", F.col("at").alias("tier"), "id", "rank")
+    return B.tier_context(V.concepts(spark, d))
 
 
 @query("""SELECT source, CAST(avg(quality) AS DOUBLE) AS avg_score FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""".replace("CAST(avg(quality) AS DOUBLE)", "coalesce(avg(quality), 0.0)"))
@@ -463,11 +458,45 @@ def layer_layout(spark, d):
 FROM concepts c LEFT JOIN progress p ON p.concept_id = c.id LEFT JOIN (SELECT id FROM concepts WHERE id NOT IN (SELECT concept_id FROM progress WHERE status = 'mastered')
 AND id NOT IN (SELECT target_id FROM edges WHERE source_id NOT IN (SELECT concept_id FROM progress WHERE status = 'mastered'))) u ON u.id = c.id"""))
 def graph_serializable(spark, d):
-    c, p = V.concepts(spark, d), V.progress(spark, d)
-    mastered = p.filter("status = 'mastered'").select("topic_id", F.col("concept_id").alias("id"), F.lit("mastered").alias("m"))
-    unlocked = G.unlock_candidates(c, V.edges(spark, d), mastered.drop("m")).withColumn("u", F.lit("unlocked"))
-    t = c.join(mastered, ["topic_id", "id"], "left").join(unlocked, ["topic_id", "id"], "left")
-    return t.select("topic_id", "id", "name", "difficulty", F.coalesce("m", "u", F.lit("locked")).alias("status"))
+    nodes, _ = _serializable(spark, d)
+    return nodes.select("topic_id", "id", "data.name", "data.difficulty", "data.status")
+
+
+def _described(spark, d):
+    return V.concepts(spark, d).withColumn("description", F.when(F.col("difficulty") > 2, F.concat_ws(" of ", "name", "topic_id")))
+
+
+def _reasons(spark, d):
+    e = V.edges(spark, d)
+    return e.withColumn("rationale", F.when(F.col("strength") < 0.5, F.concat_ws(" before ", "source_id", "target_id")))
+
+
+def _serializable(spark, d):
+    c, e = _described(spark, d), _reasons(spark, d)
+    mastered = V.progress(spark, d).filter("status = 'mastered'").select("topic_id", F.col("concept_id").alias("id"))
+    return G.serializable(c, e, mastered, G.unlock_candidates(c, e, mastered))
+
+
+@query(W("""SELECT topic_id, source_id || '->' || target_id AS id, source_id AS source, target_id AS target, CAST(strength AS DOUBLE) AS strength,
+CASE WHEN strength < 0.5 THEN source_id || ' before ' || target_id ELSE '' END AS rationale FROM edges"""))
+def graph_serializable_edges(spark, d):
+    return _serializable(spark, d)[1].select("topic_id", "id", "source", "target", "data.strength", "data.rationale")
+
+
+_DESCRIBED = "CASE WHEN n.difficulty > 2 THEN n.name || ' of ' || n.topic_id ELSE '' END"
+
+
+@query(W(f"""SELECT n.topic_id, 'node' AS kind, row_number() OVER (PARTITION BY topic_id ORDER BY name, id) AS place, id AS a, name AS b, {_DESCRIBED} AS text, CAST(fanout AS DOUBLE) AS x, score AS y, tier || ' ' || layer || ' ' || status AS more FROM nodes n
+UNION ALL SELECT topic_id, 'edge', row_number() OVER (PARTITION BY topic_id ORDER BY source_id, target_id), source_id, target_id, CASE WHEN strength < 0.5 THEN source_id || ' before ' || target_id ELSE '' END, round(CAST(strength AS DOUBLE), 3), NULL, NULL FROM edges""", _GRAPH, True))
+def graph_payload(spark, d):
+    """The graph as a page reads it, nodes and edges of a topic in one value, taken apart again."""
+    g = written(G.graph_payload(_described(spark, d), _reasons(spark, d), V.progress(spark, d)))
+    place = (F.col("place") + 1).cast("long").alias("place")
+    n = g.select("topic_id", F.posexplode("nodes").alias("place", "n"))
+    n = n.select("topic_id", F.lit("node").alias("kind"), place, F.col("n.id").alias("a"), F.col("n.name").alias("b"), F.col("n.description").alias("text"), F.col("n.transitive_fanout").cast("double").alias("x"), F.col("n.criticality_score").alias("y"), F.concat_ws(" ", "n.tier", "n.layer", "n.status").alias("more"))
+    e = g.select("topic_id", F.posexplode("edges").alias("place", "e"))
+    none = F.lit(None)
+    return n.unionByName(e.select("topic_id", F.lit("edge").alias("kind"), place, F.col("e.source").alias("a"), F.col("e.target").alias("b"), F.col("e.rationale").alias("text"), F.col("e.strength").alias("x"), none.cast("double").alias("y"), none.cast("string").alias("more")))
 
 
 _CYCLES = "reach AS (SELECT topic_id, source_id AS src, target_id AS dst FROM edges_cyclic UNION SELECT c.topic_id, c.src, e.target_id FROM reach c JOIN edges_cyclic e ON e.source_id = c.dst)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trellis.jobs import views as V
@@ -45,8 +46,6 @@ f AS (SELECT p_brand AS topic, p_type AS heading, row_number() OVER (PARTITION B
 u AS (SELECT s.topic, title, section, hit FROM s JOIN f USING (topic, heading) WHERE hit <= 2 AND title NOT LIKE 'List of%' QUALIFY row_number() OVER (PARTITION BY s.topic, lower(title) ORDER BY section, hit) = 1)
 SELECT topic, title, row_number() OVER (PARTITION BY topic ORDER BY section, hit) AS place FROM u QUALIFY place <= 8""")
 def related_titles(spark, d):
-    from pyspark.sql import Window
-
     p = V.table(spark, d, "part")
     notes = F.concat("p_type", F.when(F.col("p_type") == "SMALL", " Notes").otherwise(""))
     headings = p.select(F.col("p_brand").alias("topic"), notes.alias("heading")).distinct().withColumn("section", F.row_number().over(Window.partitionBy("topic").orderBy("heading")))
@@ -59,8 +58,6 @@ def related_titles(spark, d):
 f AS (SELECT *, lower(source || ' ' || regexp_replace(text, '<[^>]+>', '', 'g')) AS low FROM h WHERE hit < 18 QUALIFY row_number() OVER (PARTITION BY topic, source ORDER BY hit) = 1)
 SELECT topic, source AS root, row_number() OVER (PARTITION BY topic ORDER BY hit) AS place FROM f WHERE contains(low, 'tion') QUALIFY place <= 3""")
 def book_roots(spark, d):
-    from pyspark.sql import Window
-
     t = V.table(spark, d, "documents")
     hit = (F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1).alias("hit")
     topic = F.concat(F.lit("The "), "lang", F.lit(" of tion")).alias("topic")
@@ -77,12 +74,16 @@ c AS (SELECT root, title FROM k WHERE title NOT LIKE '%/Index' AND title NOT LIK
 @query(rf"""WITH {_PAGES}, r AS (SELECT root, title FROM c UNION ALL SELECT DISTINCT lang, lang FROM documents)
 SELECT r.root, r.title, CAST(length(regexp_replace(p.text, '^\s+|\s+$', '', 'g')) AS BIGINT) AS n FROM r JOIN p USING (title) WHERE n >= 400""")
 def book_rows(spark, d):
+    return _book_rows(spark, d).select("root", "title", F.length("text").cast("long").alias("n"))
+
+
+def _book_rows(spark, d):
     t = V.table(spark, d, "documents")
     leaf = F.when(F.length("text") < 300, "Index").otherwise(F.concat_ws(" ", F.lit("part"), "doc_id"))
     pages = t.select(F.concat("source", F.lit("/"), leaf, F.when(F.col("lang") == "de", "/deep").otherwise("")).alias("title"), "text")
     pages = pages.unionByName(t.groupBy(F.col("lang").alias("title")).agg(F.max("text").alias("text")))
     roots = t.select(F.col("source").alias("root")).union(t.select("lang"))
-    return B.book_rows(pages, roots, 20).select("root", "title", F.length("text").cast("long").alias("n"))
+    return B.book_rows(pages, roots, 20)
 
 
 def _collections(spark, d):
@@ -104,6 +105,56 @@ def xml_toc(spark, d):
     return c.select("book", "unit", "chapter", F.size("modules").cast("long").alias("n_modules"), F.array_join("modules", " ").alias("modules"))
 
 
+def _modules(spark, d):
+    """Modules in XML, one of each document: a fifth of them is broken off."""
+    esc = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    head = F.concat(F.lit('<document xmlns="http://cnx.rice.edu/cnxml"><title> '), "source", F.lit("</title><content><para>\n"), F.coalesce(esc, F.lit("")), F.lit(" <emphasis>"), "lang")
+    tail = F.lit('</emphasis> after</para><note>gone <para>deep</para></note> lost <media><image src="x"/></media> too<section><title>End</title> rest </section></content>')
+    broken = F.length(F.coalesce("text", F.lit(""))) % 5 == 0
+    return V.table(spark, d, "documents").select("doc_id", F.concat(head, tail, F.when(broken, "").otherwise("</document>")).alias("payload"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN length(coalesce(text, '')) % 5 = 0 THEN '' ELSE trim(regexp_replace(source || ' ' || coalesce(text, '') || ' ' || lang || ' after End rest', '\s+', ' ', 'g')) END AS text FROM documents""")
+def module_texts(spark, d):
+    return M.module_texts(_modules(spark, d))
+
+
+@query(r"""WITH t AS (SELECT DISTINCT p_type || ' ' || p_name AS topic FROM part), w AS (SELECT topic, unnest(string_split(topic, ' ')) AS w, unnest(range(len(string_split(topic, ' ')))) AS i FROM t),
+pages AS (SELECT DISTINCT p_type || ' ' || p_name AS title FROM part WHERE p_size = 50 UNION SELECT DISTINCT upper(w[1]) || lower(w[2:]) FROM w WHERE length(w) BETWEEN 6 AND 7 OR (length(w) = 4 AND topic LIKE 'SMALL%')
+  UNION SELECT DISTINCT 'Page ' || p_brand FROM part WHERE p_brand NOT LIKE '%5' UNION SELECT DISTINCT 'List of ' || p_brand FROM part),
+hits AS (SELECT p_type || ' ' || p_name AS topic, row_number() OVER (PARTITION BY p_type || ' ' || p_name ORDER BY p_partkey) - 1 AS hit, CASE WHEN p_size % 3 = 0 THEN 'List of ' ELSE 'Page ' END || p_brand AS title FROM part),
+c AS (SELECT topic, 0 AS stage, 0 AS rank, topic AS title FROM t UNION ALL SELECT topic, 1, CASE WHEN i = 0 THEN -10000 ELSE i - 100 * length(w) END, upper(w[1]) || lower(w[2:]) FROM w WHERE length(w) >= 3 UNION ALL SELECT topic, 2, hit, title FROM hits WHERE hit < 5 AND title NOT LIKE 'List of%')
+SELECT topic, CAST(stage AS INT) AS stage, title FROM c WHERE title IN (SELECT title FROM pages) QUALIFY row_number() OVER (PARTITION BY topic ORDER BY stage, rank, title) = 1""")
+def resolved_roots(spark, d):
+    """The root article of every topic: its own, that of a word, or that of a search hit."""
+    p = V.table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_type", "p_name").alias("topic"), "p_brand", "p_size")
+    words = p.select("topic", F.explode(F.split("topic", " ")).alias("w")).filter(F.length("w").between(6, 7) | ((F.length("w") == 4) & F.col("topic").startswith("SMALL")))
+    titles = p.filter("p_size = 50").select(F.col("topic").alias("title")).union(words.select(F.initcap("w")))
+    titles = titles.union(p.filter("p_brand not like '%5'").select(F.concat(F.lit("Page "), "p_brand"))).union(p.select(F.concat(F.lit("List of "), "p_brand")))
+    hit = (F.row_number().over(Window.partitionBy("topic").orderBy("p_partkey")) - 1).alias("hit")
+    hits = p.select("topic", hit, F.concat(F.when(F.col("p_size") % 3 == 0, "List of ").otherwise("Page "), "p_brand").alias("title"))
+    return E.resolved_roots(p.select("topic"), titles, hits)
+
+
+@query(r"""WITH s AS (SELECT doc_id, lang, source || '/' || doc_id AS title, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM documents)
+SELECT 'wiki_' || lower(replace(title, '/', '_')) AS id, lang AS topic_id, title, md5(trim('# ' || title || chr(10) || chr(10) || CASE WHEN length(x) > 50 THEN '## Introduction' || chr(10) || x || chr(10) || chr(10) ELSE '' END
+|| CASE WHEN length(x) >= 60 THEN '## Threats' || chr(10) || x || chr(10) ELSE '' END, chr(10) || ' ')) AS digest FROM s""")
+def article_documents(spark, d):
+    t = V.table(spark, d, "documents")
+    extract = F.concat_ws("\n", "text", F.lit("== Threats =="), "text", F.lit("== See also =="), "text")
+    page = F.struct(F.concat_ws("/", "source", "doc_id").alias("title"), F.lit("u").alias("fullurl"), extract.alias("extract"))
+    landed = t.select(F.col("lang").alias("topic"), F.to_json(F.struct(F.struct(F.create_map(F.lit("1"), page).alias("pages")).alias("query"))).alias("payload"))
+    return E.article_documents(E.articles(landed)).select("id", "topic_id", "title", F.md5("content").alias("digest"))
+
+
+@query(rf"""WITH {_PAGES}, r AS (SELECT root, title FROM c UNION ALL SELECT DISTINCT lang, lang FROM documents), x AS (SELECT r.root, r.title, regexp_replace(p.text, '^\s+|\s+$', '', 'g') AS text, CASE WHEN contains(r.title, '/') THEN regexp_replace(r.title, '^[^/]*/', '') ELSE r.title END AS chapter FROM r JOIN p USING (title))
+SELECT 'wikibooks_' || replace(replace(lower(title), ' ', '_'), '/', '__') AS id, root AS topic_id, 'https://en.wikibooks.org/wiki/' || replace(replace(title, ' ', '_'), '/', '%2F') AS url,
+CASE WHEN chapter <> root THEN root || ' — ' || chapter ELSE root END AS title, md5('# ' || root || ': ' || chapter || chr(10) || chr(10) || text) AS digest FROM x WHERE length(text) >= 400""")
+def book_documents(spark, d):
+    rows = _book_rows(spark, d).withColumn("topic", F.col("root"))
+    return B.book_documents(rows).select("id", "topic_id", "url", "title", F.md5("content").alias("digest"))
+
+
 _BOOK = """t AS (SELECT p_type AS book, p_brand AS unit, p_name AS chapter, string_agg(text, chr(10) || chr(10) ORDER BY p_partkey) AS text FROM part JOIN documents ON doc_id = p_partkey WHERE text <> '' GROUP BY ALL),
 r AS (SELECT book, unit, chapter, '# ' || book || ' — ' || unit || ': ' || chapter || chr(10) || chr(10) || text AS content FROM t WHERE length(text) >= 100)"""
 
@@ -168,8 +219,10 @@ def open_book_catalogue(spark, d):
     pairs = [F.struct(F.lit(a).alias("key"), b.cast("string").alias("value")) for a, b in items.items()]
     pairs.append(F.struct(F.lit("dc.title").alias("key"), F.concat_ws(" ", "source", "doc_id").alias("value")))
     book = F.struct(F.substring(F.md5("text"), 1, 12).alias("uuid"), F.concat(F.lit("20.500/"), "doc_id").alias("handle"), F.array(*pairs).alias("metadata"))
-    landed = t.select(F.col("source").alias("topic"), "doc_id", F.to_json(book).alias("payload"))
-    return C.open_book_rows(landed, "doc_id").select("topic", "id", "url", "title", "license", F.md5("content").alias("digest"))
+    books = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.to_json(book).alias("b")))), lambda x: x["b"])
+    landed = t.groupBy(F.col("source").alias("topic")).agg(F.concat(F.lit("["), F.array_join(books, ", "), F.lit("]")).alias("payload"))
+    landed = landed.union(spark.createDataFrame([("bad", '{"error": 1}'), ("worse", "<html>"), ("none", None), ("mixed", '[1, "x", null]')], "topic string, payload string"))
+    return C.open_book_rows(C.response_items(landed), "place").select("topic", "id", "url", "title", "license", F.md5("content").alias("digest"))
 
 
 @query(r"""WITH b AS (SELECT doc_id, lang, source, regexp_replace(text, '^\s+|\s+$', '', 'g') AS a, length(text) % 3 AS k FROM documents WHERE doc_id <> 0),
@@ -186,5 +239,9 @@ def textbook_catalogue(spark, d):
         F.when(k == 0, "Attribution-NonCommercial").when(k == 1, " Attribution ").otherwise(" own terms ").alias("license"), F.array(form("PDF", "http://b.example.org/", 1), form("Online", "http://a.example.org/", 0)).alias("formats"),
         F.array(one(F.col("source")), one(F.col("lang"))).alias("publishers"), F.array(one(F.col("lang")), one(F.lit("")), one(F.col("source"))).alias("subjects"),
     )
-    landed = t.select(F.concat_ws("/", "lang", "source").alias("topic"), "doc_id", F.to_json(book).alias("payload"))
-    return C.textbook_rows(landed, "doc_id", 4).select("topic", "id", "url", "title", "license", F.md5("content").alias("digest"))
+    books = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.to_json(book).alias("b")))), lambda x: x["b"])
+    listed = F.concat(F.lit("["), F.array_join(books, ","), F.lit("]"))
+    wrapped = F.when(F.col("lang") == "en", F.concat(F.lit('{"links": {"next": null}, "data": '), listed, F.lit("}"))).otherwise(listed)
+    landed = t.groupBy("lang", "source").agg(wrapped.alias("payload")).select(F.concat_ws("/", "lang", "source").alias("topic"), "payload")
+    landed = landed.union(spark.createDataFrame([("bad", '{"error": 1}'), ("worse", "<html>"), ("none", None)], "topic string, payload string"))
+    return C.textbook_rows(C.response_items(landed, "data"), "place", 4).select("topic", "id", "url", "title", "license", F.md5("content").alias("digest"))

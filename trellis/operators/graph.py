@@ -355,3 +355,38 @@ def layer_layout(nodes: DataFrame, most: DataFrame) -> DataFrame:
     total = F.sum(F.col("h") + 10).over(column)
     above = F.coalesce(F.sum(F.col("h") + 10).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return t.select("topic_id", "id", "layer", F.row_number().over(ordered).cast("long").alias("rank"), "w", "h", (F.col("layer") * 240).alias("x"), (28 - total / 2 + above).alias("y"))
+
+
+def graph_edges(edges: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(topic_id, source, target, strength, rationale) of the edges whose ends are both in their topic."""
+    e = topic_edges(edges, concepts)
+    return e.select("topic_id", F.col("source_id").alias("source"), F.col("target_id").alias("target"), F.round("strength", 3).alias("strength"), F.coalesce("rationale", F.lit("")).alias("rationale"))
+
+
+def graph_payload(concepts: DataFrame, edges: DataFrame, progress: DataFrame) -> DataFrame:
+    """(topic_id, nodes, edges) of each topic that has concepts, as a page shows it: nodes by name and id
+    with description, status, fan-out, score, tier and layer, and the edges between them. A topic's
+    graph is one value, as the page reads it whole."""
+    nodes = criticality(concepts, edges, progress).join(concepts.select("topic_id", "id", F.coalesce("description", F.lit("")).alias("description")), ["topic_id", "id"])
+    cell = F.struct("name", "id", "description", "difficulty", "status", F.col("fanout").alias("transitive_fanout"), F.col("score").alias("criticality_score"), "tier", "layer")
+    a = nodes.groupBy("topic_id").agg(F.sort_array(F.collect_list(cell)).alias("nodes"))
+    e = graph_edges(edges, concepts)
+    b = e.groupBy("topic_id").agg(F.sort_array(F.collect_list(F.struct("source", "target", "strength", "rationale"))).alias("edges"))
+    none = F.array().cast(b.schema["edges"].dataType)
+    return a.join(b, "topic_id", "left").select("topic_id", "nodes", F.coalesce("edges", none).alias("edges"))
+
+
+def serializable(concepts: DataFrame, edges: DataFrame, mastered: DataFrame, unlocked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of topics: nodes (topic_id, id, data {name, description, difficulty, status}) with the
+    id for a missing name and 3 for a missing difficulty, mastered before unlocked before locked;
+    edges (topic_id, id, source, target, data {strength, rationale})."""
+    m = mastered.select("topic_id", "id", F.lit("mastered").alias("m")).distinct()
+    u = unlocked.select("topic_id", "id", F.lit("unlocked").alias("u")).distinct()
+    t = concepts.join(m, ["topic_id", "id"], "left").join(u, ["topic_id", "id"], "left")
+    status = F.coalesce("m", "u", F.lit("locked")).alias("status")
+    data = F.struct(
+        F.coalesce(F.nullif("name", F.lit("")), "id").alias("name"), F.coalesce("description", F.lit("")).alias("description"), F.coalesce(F.nullif("difficulty", F.lit(0)), F.lit(3)).alias("difficulty"), status,
+    )
+    e = topic_edges(edges, concepts)
+    link = F.struct("strength", F.coalesce("rationale", F.lit("")).alias("rationale"))
+    return t.select("topic_id", "id", data.alias("data")), e.select("topic_id", F.concat_ws("->", "source_id", "target_id").alias("id"), F.col("source_id").alias("source"), F.col("target_id").alias("target"), link.alias("data"))

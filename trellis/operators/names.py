@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.functions.text import slugify, tokens
 from trellis.operators.storage import written
+from trellis.operators.tables import ranked
 
-GRAM = 3
+#: Keys or slugs of a shard.
+SHARD = 20_000
 
 
 def name_index(concepts: DataFrame, word_length: int = 4) -> DataFrame:
@@ -30,26 +33,61 @@ def name_index(concepts: DataFrame, word_length: int = 4) -> DataFrame:
     return grouped.select("topic_id", "key", F.coalesce("last.id", "first.id").alias("id"), "place")
 
 
-def _grams(text: Column) -> Column:
-    """The empty string and all substrings of up to GRAM characters."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    parts = F.transform(starts, lambda i: F.array(*(F.substring(text, i, F.lit(n)) for n in range(1, GRAM + 1))))
-    return F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(parts)))
+def _searched(keys: pd.DataFrame, slugs: pd.DataFrame) -> pd.DataFrame:
+    """The first key of a shard that each slug of another holds or lies in: one automaton over the keys
+    reads every slug, one over the slugs every key, so the work follows the length of both."""
+    import ahocorasick
 
+    out: dict = {}
+    if len(keys) and len(slugs):
+        rank, names = keys["rank"].tolist(), keys["key"].tolist()
+        of_key = dict(zip(names, rank, strict=True))
+        sought = slugs["slug"].tolist()
+        if "" in of_key:  # the empty key lies in every slug
+            out = dict.fromkeys(sought, of_key[""])
+        if "" in sought:  # and the empty slug in every key
+            out[""] = min(rank)
 
-def resolve_names(names: DataFrame, concepts: DataFrame) -> DataFrame:
+        def automaton(words):
+            a = ahocorasick.Automaton()
+            for w in words:
+                if w:
+                    a.add_word(w, w)
+            if len(a):
+                a.make_automaton()
+            return a
+
+        inside = automaton(names)
+        for slug in sought if len(inside) else ():
+            for _, key in inside.iter(slug):
+                if slug not in out or of_key[key] < out[slug]:
+                    out[slug] = of_key[key]
+        around = automaton(sought)
+        for key, r in of_key.items() if len(around) else ():
+            for _, slug in around.iter(key):
+                if slug not in out or r < out[slug]:
+                    out[slug] = r
+    topic = slugs["topic_id"].iloc[0] if len(slugs) else None
+    return pd.DataFrame({"topic_id": topic, "slug": list(out), "rank": pd.Series(list(out.values()), dtype="int64")})
+
+
+def resolve_names(names: DataFrame, concepts: DataFrame, shard: int = SHARD) -> DataFrame:
     """names (topic_id, name) with the id of the concept each one means: that of the key equal
-    to its slug, else of the first key that contains the slug or lies in it, else null. A string
-    lies in another only if its first GRAM characters do, so the partial matches are equi joins
-    on these, and each distinct slug is sought once."""
-    index = written(name_index(concepts))
+    to its slug, else of the first key that contains the slug or lies in it, else null. Distinct slugs
+    without an equal key are sought once; a topic's keys and slugs are dealt to shards of about
+    `shard` each, by hash, and every pair of shards is one task's work."""
+    index = written(ranked(name_index(concepts), ["place", "topic_id", "key"], "rank"))
     sought = names.select("topic_id", "name", slugify(F.col("name")).alias("slug"))
-    slugs = written(sought.filter("slug is not null").select("topic_id", "slug").distinct())
+    slugs = written(sought.filter("slug is not null and topic_id is not null").select("topic_id", "slug").distinct())
     same = slugs.join(index.withColumnRenamed("key", "slug"), ["topic_id", "slug"]).select("topic_id", "slug", "id")
-    rest = slugs.join(index.select("topic_id", F.col("key").alias("slug")), ["topic_id", "slug"], "left_anti")
-    head = lambda c: F.substring(c, 1, GRAM)
-    within = rest.withColumn("gram", F.explode(_grams(F.col("slug")))).join(index.withColumn("gram", head("key")), ["topic_id", "gram"])
-    around = rest.withColumn("gram", head("slug")).join(index.withColumn("gram", F.explode(_grams(F.col("key")))), ["topic_id", "gram"])
-    part = within.filter(F.contains("slug", "key")).unionByName(around.filter(F.contains("key", "slug")))
-    part = part.groupBy("topic_id", "slug").agg(F.min(F.struct("place", F.col("id").alias("found"))).alias("b")).select("topic_id", "slug", F.col("b.found").alias("id"))
-    return sought.join(same.unionByName(part), ["topic_id", "slug"], "left").select("topic_id", "name", "id")
+    rest = written(slugs.join(index.select("topic_id", F.col("key").alias("slug")), ["topic_id", "slug"], "left_anti"))
+    size = lambda rows, name: rows.groupBy("topic_id").agg(F.ceil(F.count("*") / shard).cast("int").alias(name))
+    plan = size(index, "keys").join(size(rest, "slugs"), "topic_id")
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = index.join(plan, "topic_id").select("topic_id", "key", "rank", part("key", "keys").alias("p"), every("slugs").alias("q"))
+    right = rest.join(plan, "topic_id").select("topic_id", "slug", part("slug", "slugs").alias("q"), every("keys").alias("p"))
+    by = ["topic_id", "p", "q"]
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_searched, "topic_id string, slug string, rank long")
+    best = found.groupBy("topic_id", "slug").agg(F.min("rank").alias("rank")).join(index.select("rank", "id"), "rank").select("topic_id", "slug", "id")
+    return sought.join(same.unionByName(best), ["topic_id", "slug"], "left").select("topic_id", "name", "id")

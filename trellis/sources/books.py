@@ -57,3 +57,17 @@ def book_rows(pages: DataFrame, roots: DataFrame, max_chapters: int, least: int
     alone = roots.select("root").distinct().join(chapters, "root", "left_anti").select("root", F.col("root").alias("title"))
     text = F.regexp_replace("text", r"^\s+|\s+$", "")
     return chapters.unionByName(alone).join(pages.select("title", text.alias("text")), "title").filter(F.length("text") >= least).select("root", "title", "text")
+
+
+def book_documents(rows: DataFrame) -> DataFrame:
+    """Book pages (topic, root, title, text) as materials: id, url and title by the page's title, of which
+    the part behind the first slash names the chapter; a root's own page is named by the root."""
+    chapter = F.when(F.contains("title", F.lit("/")), F.regexp_replace("title", "^[^/]*/", "")).otherwise(F.col("title"))
+    swap = lambda c, a, b: F.replace(c, F.lit(a), F.lit(b))
+    return rows.withColumn("chapter", chapter).select(
+        F.concat(F.lit("wikibooks_"), swap(swap(F.lower("title"), " ", "_"), "/", "__")).alias("id"), F.col("topic").alias("topic_id"), F.lit("wikibooks").alias("source"),
+        F.concat(F.lit("https://en.wikibooks.org/wiki/"), swap(swap(F.col("title"), " ", "_"), "/", "%2F")).alias("url"),
+        F.when(F.col("chapter") != F.col("root"), F.concat("root", F.lit(" — "), "chapter")).otherwise(F.col("root")).alias("title"),
+        F.concat(F.lit("# "), "root", F.lit(": "), "chapter", F.lit("\n\n"), "text").alias("content"),
+        F.lit("Wikibooks contributors").alias("authors"), F.lit("Wikibooks").alias("publisher"),
+    )

@@ -40,6 +40,18 @@ def license_name(rights: Column, url: Column) -> Column:
     return named.when(F.contains(low, F.lit("open access")), "Open Access").otherwise(rights)
 
 
+def response_items(responses: DataFrame, key: str | None = None, payload: str = "payload") -> DataFrame:
+    """responses exploded to (place, payload), a row for each object of a response: of a JSON list, or, with
+    key, of the list under that key of an object. Other responses give no row."""
+    items = F.from_json(payload, "array<string>")
+    if key is not None:
+        under = F.from_json(F.get_json_object(payload, f"$.{key}"), "array<string>")
+        items = F.when(F.trim(payload).startswith("{"), under).otherwise(items)
+    rows = responses.withColumn("_items", F.when(F.trim(payload).startswith("[") | F.lit(key is not None), items))
+    rest = [c for c in responses.columns if c != payload]
+    return rows.select(*rest, F.posexplode("_items").alias("place", payload)).filter(F.col(payload).startswith("{"))
+
+
 def _line(label: str, value: Column) -> Column:
     """A line of the content, null where there is no value."""
     return F.when(value != "", F.concat(F.lit(f"**{label}:** "), value))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.functions.text import kept_sections, sections
+from trellis.operators.components import union
+from trellis.operators.storage import written
+from trellis.operators.topics import search_words
 
 # Fixed values.
 SKIP_HEADING_WORDS = ["history", "references", "further", "see", "notes"]
@@ -36,6 +41,42 @@ def articles(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     return rows.withColumns({"title": F.col("page.title"), "url": F.col("page.fullurl"), "n_chars": total}).drop("page", payload)
 
 
+def first_stage(topics: DataFrame, stages: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """(topic, stage, rank, title): for each of topics (topic) the first candidate of the first stage that has
+    one. A stage is given the topics that are still open and returns (topic, rank, title); it is not
+    asked when none is left."""
+    still, out = topics.select("topic").distinct(), []
+    for k, stage in enumerate(stages):
+        best = stage(still).groupBy("topic").agg(F.min(F.struct("rank", "title")).alias("b"))
+        out.append(written(best.select("topic", F.lit(k).alias("stage"), "b.rank", "b.title")))
+        still = written(still.join(out[-1].select("topic"), "topic", "left_anti"))
+        if still.isEmpty():
+            break
+    return union(out)
+
+
+def resolved_roots(topics: DataFrame, pages: DataFrame, hits: DataFrame, most_hits: int = 5) -> DataFrame:
+    """(topic, stage, title): the root article of each topic among the titles of pages: the topic itself,
+    else one of its words (search_words, in order), else the first of its hits (topic, hit, title) that is
+    no list page; topics without any are left out."""
+    titles = pages.select("title").distinct()
+    there = lambda rows: rows.join(titles, "title", "left_semi").select("topic", "rank", "title")
+    exact = lambda t: there(t.select("topic", F.lit(0).alias("rank"), F.col("topic").alias("title")))
+    words = lambda t: there(t.select("topic", F.posexplode(search_words(F.col("topic"))).alias("rank", "title")))
+    good = hits.filter((F.col("hit") < most_hits) & ~is_list_page(F.col("title")))
+    found = lambda t: there(good.join(t, "topic", "left_semi").select("topic", F.col("hit").cast("int").alias("rank"), "title"))
+    return first_stage(topics, [exact, words, found]).select("topic", "stage", "title")
+
+
+def article_documents(rows: DataFrame) -> DataFrame:
+    """Articles (topic, title, url, sections) as materials (id, topic_id, source, url, title, content): a
+    heading for the title and for each section."""
+    parts = F.flatten(F.transform("sections", lambda s: F.array(F.concat(F.lit("## "), s["title"]), s["content"], F.lit(""))))
+    content = F.regexp_replace(F.array_join(F.concat(F.array(F.concat(F.lit("# "), "title"), F.lit("")), parts), "\n"), r"^\s+|\s+$", "")
+    slug = F.replace(F.replace(F.lower("title"), F.lit(" "), F.lit("_")), F.lit("/"), F.lit("_"))
+    return rows.select(F.concat(F.lit("wiki_"), slug).alias("id"), F.col("topic").alias("topic_id"), F.lit("wikipedia").alias("source"), "url", "title", content.alias("content"))
+
+
 def linked_articles(rows: DataFrame, root: Column, least: int = 300) -> DataFrame:
     """Articles of which roots stay whatever their length, and others with enough text."""
     return rows.filter(root | (F.col("n_chars") >= least))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 COLLECTION = "{http://cnx.rice.edu/collxml}"
 METADATA = "{http://cnx.rice.edu/mdml}"
 ATOM = "{http://www.w3.org/2005/Atom}"
+SKIP_TAGS = ["image", "media", "figure", "subfigure", "caption", "note", "glossary"]
 SURVEY_WORDS = ["survey", "review", "introduction", "tutorial"]
 
 
@@ -27,18 +28,108 @@ def _text(element) -> str | None:
     return None if element is None else (element.text or "").strip()
 
 
+class _Contents:
+    """Reads a table of contents in one pass: a stack of open elements, of which subcollections are
+    books of their own with a title, their modules and the unit right above them."""
+
+    def __init__(self):
+        self.open, self.books = [], []
+
+    def start(self, tag, attributes):
+        book = None
+        if tag == f"{COLLECTION}subcollection" and self.open:  # the root is no unit
+            unit = self.open[-2][1] if len(self.open) > 1 and self.open[-1][0] == f"{COLLECTION}content" else None
+            book = {"title": None, "modules": [], "unit": unit, "order": len(self.books)}
+            self.books.append(book)
+        if tag == f"{COLLECTION}module" and attributes.get("document"):
+            for _, above, _ in self.open:
+                if above is not None:
+                    above["modules"].append(attributes["document"])
+        self.open.append((tag, book, []))
+
+    def data(self, text):
+        # a title's text ends where its first child begins
+        if self.open and self.open[-1][0] == f"{METADATA}title" and self.open[-1][2][:1] != [None]:
+            self.open[-1][2].append(text)
+
+    def end(self, tag):
+        _, _, parts = self.open.pop()
+        above = self.open[-1] if self.open else None
+        if above and above[0] == f"{METADATA}title":
+            above[2].insert(0, None)
+        elif tag == f"{METADATA}title" and above and above[1] is not None and above[1]["title"] is None:
+            above[1]["title"] = "".join(x for x in parts if x).strip()
+
+    def close(self):
+        found = [b for b in self.books if b["unit"] is not None and b["title"] and b["modules"]]
+        found.sort(key=lambda b: (b["unit"]["order"], b["order"]))
+        return [{"unit": b["unit"]["title"] or "", "chapter": b["title"], "modules": b["modules"]} for b in found]
+
+
 def _chapters(payload: str | None) -> list[dict]:
-    root, out = _parsed(payload), []
-    for unit in () if root is None else root.iter(f"{COLLECTION}subcollection"):
-        if unit is root:
-            continue
-        for content in unit.findall(f"{COLLECTION}content"):
-            for chapter in content.findall(f"{COLLECTION}subcollection"):
-                modules = [m.get("document") for m in chapter.iter(f"{COLLECTION}module") if m.get("document")]
-                title = _text(chapter.find(f"{METADATA}title"))
-                if title and modules:
-                    out.append({"unit": _text(unit.find(f"{METADATA}title")) or "", "chapter": title, "modules": modules})
-    return out
+    return _read(payload, _Contents()) or []
+
+
+class _ModuleText:
+    """Reads the plain text of a module: pieces between tags, stripped, one blank apart. An element that
+    is skipped takes what is inside it and the text right behind it along."""
+
+    def __init__(self):
+        self.open, self.hidden, self.pieces, self.text = [], 0, [], []
+
+    def _piece(self):
+        piece = "".join(self.text).strip()
+        self.text = []
+        if piece:
+            self.pieces.append(piece)
+
+    def start(self, tag, attributes):
+        self._piece()
+        skip = tag.rpartition("}")[2] in SKIP_TAGS
+        if skip and not self.hidden:
+            self.hidden = len(self.open) + 1
+        self.open.append([skip and self.hidden == len(self.open) + 1, False])
+
+    def data(self, text):
+        if not self.hidden and not (self.open and self.open[-1][1]):
+            self.text.append(text)
+
+    def end(self, tag):
+        self._piece()
+        skipped, _ = self.open.pop()
+        if skipped:
+            self.hidden = 0
+        if self.open:
+            self.open[-1][1] = skipped  # the text behind a skipped element is its tail
+
+    def close(self):
+        return " ".join(" ".join(self.pieces).split())
+
+
+def _read(payload: str | None, target):
+    """What a target makes of the events of a payload; None for null and what is no XML."""
+    if not payload:
+        return None
+    parser = ElementTree.XMLParser(target=target)
+    try:
+        parser.feed(payload)
+        return parser.close()
+    except ElementTree.ParseError:
+        return None
+
+
+def module_text(payload: str) -> Column:
+    """Plain text of module XML; empty for null and for what is no XML."""
+
+    def parse(payloads: pd.Series) -> pd.Series:
+        return payloads.map(lambda x: _read(x, _ModuleText()) or "")
+
+    return F.pandas_udf(parse, "string")(payload)
+
+
+def module_texts(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """payloads (module, ...) with text in place of the payload."""
+    return payloads.withColumn("text", module_text(payload)).drop(payload)
 
 
 def _entries(payload: str | None) -> list[dict]:
