@@ -12,8 +12,10 @@ Items shorter than a mask are sought as a whole.
 Both sides are hashed in tasks. A bitmap of fixed size of the items' hashes is broadcast and
 keeps most hashes of the documents from being shuffled; the rest are made distinct and joined
 with the items' on the hash, salted, so a passage that many documents or items share is spread
-over SALTS tasks. Texts are known by their digest: copies of a document or an item are
-verified once. Only texts with a hit are read again. Both sides match by lower-case words of
+over SALTS tasks. A hash that returns at a constant distance in a text, as in one repeated word, is
+a run, one row, on either side, and a pair of runs stands for all its alignments. Texts are known
+by their digest: copies of a document or an item are verified once. Only texts with a hit are
+read again, and sent once with all items that hit them, in parts of PART_ITEMS. Both sides match by lower-case words of
 ASCII letters, digits and all other characters beyond ASCII.
 
 Defined cases: null or empty text on either side has no words and matches nothing; equal
@@ -40,7 +42,10 @@ BLOCK_WORDS = 400_000
 #: Parts that the documents of one hash are dealt to.
 SALTS = 16
 _FILTER_BITS = 24
-_SEEDS = "text_key binary, seed long, mask int, place int"
+#: Items that are verified against a text at once; a text is sent once for each such part.
+PART_ITEMS = 1000
+_SEEDS = "text_key binary, seed long, mask int, place int, step int, many int"
+_RUN = ["place", "step", "many"]
 
 
 def _key(text: Column) -> Column:
@@ -53,8 +58,25 @@ def _places(masks) -> list[tuple]:
     return [tuple(i for i, c in enumerate(m) if c == "1") for m in masks] + [tuple(range(n)) for n in range(1, span)]
 
 
+def _runs(owner: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places with one owner and hash as arithmetic runs: where each starts in `at` and its step and
+    length. A text that repeats itself at a constant distance has one run for each hash."""
+    order = np.lexsort((at, h, owner))
+    owner, h, at = owner[order], h[order], at[order]
+    first = np.ones(len(at), dtype=bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
+    step = np.zeros(len(at), dtype=np.int64)
+    step[1:] = at[1:] - at[:-1]
+    new = first.copy()
+    new[2:] |= ~first[1:-1] & (step[2:] != step[1:-1])
+    begins = np.flatnonzero(new)
+    many = np.diff(np.append(begins, len(at)))
+    second = np.minimum(begins + 1, max(0, len(at) - 1))
+    return order[begins], np.where(many > 1, step[second], 0), many
+
+
 def _seeds(keys: pa.Array, texts: list, places: list[tuple], used: list[int], whole_from: int, seen=None):
-    """Batches of (text_key, seed, mask, place) of the windows of texts under the masks in used;
+    """Batches of (text_key, seed, mask, place, step, many) of the windows of texts under the masks in used, as runs;
     under those from whole_from on only windows that are the whole text if seen is None, else
     only windows whose bit in seen is set."""
     words, first = word_hashes(texts, ALNUM)
@@ -72,8 +94,10 @@ def _seeds(keys: pa.Array, texts: list, places: list[tuple], used: list[int], wh
             at = np.flatnonzero((seen[word] >> bit) & np.uint64(1))
         at = at[owner[at] == owner[at + places[k][-1]]]
         if len(at):
-            columns = [keys.take(pa.array(owner[at])), pa.array(h[at].view(np.int64)), pa.array(np.full(len(at), k, np.int32)), pa.array((at - first[owner[at]]).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["text_key", "seed", "mask", "place"])
+            begins, step, many = _runs(owner[at], h[at], at)
+            at = at[begins]
+            columns = [keys.take(pa.array(owner[at])), pa.array(h[at].view(np.int64)), pa.array(np.full(len(at), k, np.int32)), *(pa.array(x.astype(np.int32)) for x in (at - first[owner[at]], step, many))]
+            yield pa.RecordBatch.from_arrays(columns, ["text_key", "seed", "mask", *_RUN])
 
 
 def best_run(equal: np.ndarray) -> tuple[int, int]:
@@ -84,6 +108,19 @@ def best_run(equal: np.ndarray) -> tuple[int, int]:
     return int(np.argmin(total[: b + 1])), b
 
 
+def alignments(pairs) -> np.ndarray:
+    """The distinct starts of an item in a text that pairs of runs of equal windows fix; a pair has the
+    run (place, step, many) of the text and that of the item."""
+    out = []
+    for a, s, m, p, t, n in pairs:
+        if s == t or m == 1 or n == 1:  # one run again
+            step = s if m > 1 else t
+            out.append(a - p + step * np.arange(-(n - 1), m, dtype=np.int64))
+        else:
+            out.append(((a + s * np.arange(m, dtype=np.int64))[:, None] - (p + t * np.arange(n, dtype=np.int64))[None, :]).ravel())
+    return np.unique(np.concatenate(out))
+
+
 def _verified(words: np.ndarray, item: np.ndarray, starts, coverage: float, min_words: int, run_words: int):
     """(equal words, item's words, first and last + 1 word of the text, alignments) if the item
     leaks into the text with these words, else None."""
@@ -139,33 +176,38 @@ def leaking_texts(docs: DataFrame, benchmark: DataFrame, masks=MASKS, coverage:
             for i, j in batches(them, 1_000_000):
                 yield from _seeds(keys.slice(i, j - i), them[i:j], places, used, n_masks, seen.value)
 
-    found = texts.mapInArrow(tidy(of_docs), _SEEDS).select(F.col("text_key").alias("doc_key"), "seed", F.col("place").alias("at")).distinct()
-    found = found.withColumn("salt", F.pmod(F.xxhash64("doc_key", "at"), F.lit(SALTS)).cast("int"))
-    sought = item_seeds.select(F.col("text_key").alias("item_key"), "seed", "place", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    hits = found.join(sought, ["seed", "salt"]).groupBy("doc_key", "item_key").agg(F.collect_set(F.col("at") - F.col("place")).alias("starts"))
-    hits = materialize(hits)
-
-    hit = texts.withColumnRenamed("text_key", "doc_key").join(hits.select("doc_key").distinct(), "doc_key", "left_semi")
-    hit = hit.groupBy("doc_key").agg(F.first("text").alias("doc_text"))
-    pairs = hits.join(hit, "doc_key").join(items.select(F.col("text_key").alias("item_key"), F.col("text").alias("item_text")), "item_key")
+    found = texts.mapInArrow(tidy(of_docs), _SEEDS).select(F.col("text_key").alias("doc_key"), "seed", *(F.col(c).alias(f"at_{c}") for c in _RUN)).distinct()
+    found = found.withColumn("salt", F.pmod(F.xxhash64("doc_key", "at_place"), F.lit(SALTS)).cast("int"))
+    sought = item_seeds.select(F.col("text_key").alias("item_key"), "seed", *_RUN, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    runs = F.struct(*(f"at_{c}" for c in _RUN), *_RUN)
+    hits = materialize(found.join(sought, ["seed", "salt"]).groupBy("doc_key", "item_key").agg(F.collect_set(runs).alias("runs")))
+
+    # a document's text is sent once for every PART_ITEMS items that hit it
+    parts = hits.groupBy("doc_key").agg(F.ceil(F.count("*") / PART_ITEMS).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("item_key"), F.col("parts")).cast("int").alias("part")
+    known = hits.join(items.select(F.col("text_key").alias("item_key"), F.col("text").alias("item_text")), "item_key")
+    cells = F.collect_list(F.struct("item_key", "item_text", "runs")).alias("items")
+    asked = known.join(parts, "doc_key").select("doc_key", part, "item_key", "item_text", "runs").groupBy("doc_key", "part").agg(cells)
+    hit = texts.withColumnRenamed("text_key", "doc_key").join(parts.select("doc_key"), "doc_key", "left_semi")
+    pairs = asked.join(hit.groupBy("doc_key").agg(F.first("text").alias("doc_text")), "doc_key").select("doc_key", "doc_text", "items")
 
     def verify(frames):
         for frame in frames:
-            doc_texts, item_texts, starts = (frame.column(c).to_pylist() for c in ("doc_text", "item_text", "starts"))
-            for i, j in batches(doc_texts, 1_000_000):
-                words, first = word_hashes(doc_texts[i:j], ALNUM)
-                item_words, item_first = word_hashes(item_texts[i:j], ALNUM)
-                rows = []
-                for k in range(j - i):
-                    got = _verified(words[first[k] : first[k + 1]], item_words[item_first[k] : item_first[k + 1]], starts[i + k], coverage, min_words, run_words)
-                    if got:
-                        rows.append((i + k, *got))
+            doc_keys, doc_texts = (frame.column(c).to_pylist() for c in ("doc_key", "doc_text"))
+            for k, (doc_key, text) in enumerate(zip(doc_keys, doc_texts, strict=True)):
+                words, rows = word_hashes([text], ALNUM)[0], []
+                them = frame.column("items")[k].as_py()
+                for i, j in batches([x["item_text"] for x in them], 1_000_000):
+                    item_words, first = word_hashes([x["item_text"] for x in them[i:j]], ALNUM)
+                    for x, a, b in zip(them[i:j], first, first[1:], strict=False):
+                        starts = alignments([tuple(r.values()) for r in x["runs"]])
+                        if got := _verified(words, item_words[a:b], starts.tolist(), coverage, min_words, run_words):
+                            rows.append((doc_key, x["item_key"], *got))
                 if rows:
-                    at, *figures = zip(*rows, strict=True)
-                    kept = [frame.column(c).take(pa.array(at)) for c in ("doc_key", "item_key")]
-                    yield pa.RecordBatch.from_arrays([*kept, *(pa.array(f, pa.int32()) for f in figures)], ["doc_key", "item_key", *(c.split()[0] for c in SCHEMA.split(", "))])
+                    doc, item, *figures = zip(*rows, strict=True)
+                    columns = [pa.array(doc, pa.binary()), pa.array(item, pa.binary()), *(pa.array(f, pa.int32()) for f in figures)]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_key", "item_key", *(c.split()[0] for c in SCHEMA.split(", "))])
 
-    pairs = pairs.select("doc_key", "item_key", "starts", "doc_text", "item_text")
     return materialize(pairs.mapInArrow(tidy(verify), f"doc_key binary, item_key binary, {SCHEMA}"))
 
 
