@@ -408,3 +408,32 @@ def test_network_against_plain_loops_and_finite_differences():
             value.append((states(way, run) * weights[:, 0]).sum())
         way.p[name][at] = keep
         assert grads[name][at] == pytest.approx((value[0] - value[1]) / (2 * step), rel=0.02, abs=2e-3)
+
+
+def test_runs_stand_for_all_pairs_of_places():
+    for text, item in (("a " * 300, "a " * 40), ("a b " * 90, "x a b a b a b a b a b y"), ("p q r " * 50 + "z " + "p q r " * 9, "q r p q r p q r p q r p q z z"), (words(50), words(50))):
+        (w, _), (v, _) = (decontamination.word_hashes([t], decontamination.ALNUM) for t in (text, item))
+        places = tuple(i for i, c in enumerate(decontamination.MASKS[0]) if c == "1")
+        h, g = decontamination.windows_hash(w, places), decontamination.windows_hash(v, places)
+        want = {i - j for i, x in enumerate(h.tolist()) for j, y in enumerate(g.tolist()) if x == y}
+        runs = []
+        for x in (h, g):
+            at = np.arange(len(x))
+            begins, step, many = decontamination._runs(np.zeros(len(x), int), x, at)
+            runs.append([(x[b], b, s, m) for b, s, m in zip(begins.tolist(), step.tolist(), many.tolist(), strict=True)])
+            back = sorted(b + s * k for _, b, s, m in runs[-1] for k in range(m))
+            assert back == at.tolist()
+        pairs = [(*r[1:], *q[1:]) for r in runs[0] for q in runs[1] if r[0] == q[0]]
+        assert (set(decontamination.alignments(pairs).tolist()) if pairs else set()) == want
+        if text.startswith("a a"):
+            assert len(pairs) == 1
+
+
+def test_decontamination_of_repeated_words_and_many_items(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "PART_ITEMS", 3)
+    long = words(3000)
+    items = [(i, " ".join(long.split()[i * 40 : i * 40 + 20])) for i in range(20)] + [(50, "tick " * 60), (51, "tick tock " * 30), (52, "")]
+    docs = [(1, long), (2, "tick " * 20_000), (3, "tick tock " * 3000), (4, words(50)), (5, ""), (6, None), (7, long)]
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, i) for d in (1, 7) for i in range(20)} | {(2, 50), (3, 51)}
+    assert {(r.matched_words, r.alignments) for r in got if r.item_id == 50} == {(60, 20_000 + 60 - 2 * 10 + 1)}
