@@ -1,19 +1,21 @@
 """Embedding near-dedup by dual traversal of cover trees, exact at the threshold.
 
-Equal vectors of a label are first counted as one. The distinct ones of a label are dealt
-into cells of about cell_rows vectors: ranges of their projection on a fixed direction, split
-further by hash when a label is very large. Two vectors above the threshold are at most
-sqrt(2 - 2 threshold) apart, so cells whose ranges lie further apart are not compared. For
-each remaining pair of cells one task builds a cover tree of each (nested levels, radii
-halving) and walks both at once: a pair of nodes is dropped when the angle of their centres
-exceeds the covering radii and the threshold's angle together; what reaches single vectors is
-compared by its cosine in double precision. A task returns a row for each linked vector: how
-many vectors it is linked to, and the smallest of its component there.
+Equal vectors of a label are first counted as one. The top of a label's tree is fitted on a bounded
+sample of its distinct vectors: centres in farthest-first order, of which those with an insertion
+radius above pi / 2**l are level l, so levels are nested and radii halve. Every vector goes to its
+nearest centre, its cell, and the covering radii of cells, taken over all vectors, give those of the
+levels above. The top is walked against itself: a pair of nodes is dropped when the angle of their
+centres exceeds the covering radii and the threshold's angle together. Of the pairs of cells
+that are left, a vector visits the second only if its angle to that centre is within its radius and
+the threshold's angle. A cell's vectors and its visitors then meet in tasks, block by block, where
+cover trees of both are built and walked in the same way; what reaches single vectors is compared by
+its cosine in double precision. A task returns a row for each linked vector: how many vectors it is
+linked to, and the smallest of its component there.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and
 rows with a null label link with nothing; vectors of different lengths do not link; repeated
 rows with the same vec_id count as vectors of their own; an empty table gives no rows; other
-columns are ignored.
+columns are ignored. vec_id is an integer.
 """
 
 from __future__ import annotations
@@ -28,7 +30,10 @@ from trellis.llm.components import connected_components, spanning_links
 
 THRESHOLD = 0.98
 CELL_ROWS = 1024
-RANGES = 256
+#: Centres of a label at most, and vectors of the sample for each.
+MOST_CELLS, SAMPLE_PER_CELL = 256, 16
+#: Vectors of a group that is dealt to cells, and of a block that meets another.
+GROUP_ROWS, BLOCK_ROWS = 8192, 2048
 #: Angles up to this are not told apart: near 0 the arc cosine of a double is off by some 1e-8.
 ROUNDING = 1e-6
 
@@ -113,13 +118,123 @@ def linked_pairs(x: np.ndarray, y: np.ndarray | None, threshold: float) -> tuple
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
+class Top:
+    """The top of a cover tree: centres, the level at which each appears, and its parent in the
+    level above. A node is a centre at a level from its own down to the last."""
+
+    def __init__(self, centres: np.ndarray, level: np.ndarray, parent: np.ndarray):
+        self.centres, self.level, self.parent = centres, level, parent
+        self.last = int(level.max(initial=0))
+        self.angle = _angle(centres, centres)
+        self.below: dict = {}
+        for k in range(1, len(centres)):
+            self.below.setdefault((int(parent[k]), int(level[k])), []).append(k)
+
+    @classmethod
+    def fit(cls, x: np.ndarray, most: int) -> Top:
+        order, level, parent = [0], [0], [-1]
+        d = _angle(x[:1], x)[0]
+        while len(order) < most and (far := float(d.max())) > ROUNDING:
+            k = int(np.argmax(d))
+            at = int(np.floor(np.log2(np.pi / far))) + 1  # the first level whose radius is below far
+            above = [i for i, n in enumerate(level) if n < at]
+            near = _angle(x[k : k + 1], x[[order[i] for i in above]])[0]
+            order.append(k)
+            level.append(at)
+            parent.append(above[int(np.argmin(near))])
+            d = np.minimum(d, _angle(x[k : k + 1], x)[0])
+        return cls(x[order], np.array(level), np.array(parent))
+
+    def children(self, k: int, n: int) -> list[int]:
+        return [k, *self.below.get((k, n + 1), ())]
+
+    def pairs(self, radius: np.ndarray, reach: float) -> list[tuple[int, int]]:
+        """Pairs of cells, i < j, that may hold linked vectors; radius is that of each cell, below 0
+        for cells without vectors."""
+        cover = {(k, self.last): float(r) if r >= 0 else -np.inf for k, r in enumerate(radius)}
+        for n in range(self.last - 1, -1, -1):
+            for k in np.flatnonzero(self.level <= n).tolist():
+                cover[k, n] = max(self.angle[k, c] * (c != k) + cover[c, n + 1] for c in self.children(k, n))
+        out, todo = [], [(0, 0, 0)]
+        while todo:
+            i, j, n = todo.pop()
+            if i != j and self.angle[i, j] > cover[i, n] + cover[j, n] + reach:
+                continue
+            if n == self.last:
+                if i != j:
+                    out.append((min(i, j), max(i, j)))
+                continue
+            a, b = self.children(i, n), self.children(j, n)
+            todo += [(p, q, n + 1) for p in a for q in b if i != j or p <= q]
+        return sorted(set(out))
+
+
+_CELLS = "label long, dim int, rep long, copies long, embedding array<double>"
+
+
+def _fitted(frame: pd.DataFrame) -> pd.DataFrame:
+    top = Top.fit(unit(frame.sort_values("rep")["embedding"]), int(frame["cells"].iloc[0]))
+    row = {"label": frame["label"].iloc[0], "dim": frame["dim"].iloc[0], "centres": top.centres.tolist(), "level": top.level.tolist(), "parent": top.parent.tolist()}
+    return pd.DataFrame([row])
+
+
+def _top_of(row) -> Top:
+    return Top(np.array([np.asarray(c, dtype=np.float64) for c in row["centres"]]), np.asarray(row["level"]), np.asarray(row["parent"]))
+
+
+def _dealt(rows: pd.DataFrame, tops: pd.DataFrame) -> pd.DataFrame:
+    """Each vector's cell and its angle to the centre; all in cell 0 of a label without a top."""
+    rows = rows.drop(columns="salt")
+    if not len(tops) or not len(rows):
+        return rows.assign(cell=0, angle=0.0)
+    d = _angle(unit(rows["embedding"]), _top_of(tops.iloc[0]).centres)
+    cell = d.argmin(axis=1)
+    return rows.assign(cell=cell, angle=d[np.arange(len(d)), cell])
+
+
+def _guide(reach: float):
+    def run(tops: pd.DataFrame, radii: pd.DataFrame) -> pd.DataFrame:
+        names = ["label", "dim", "centres", "radius", "first", "second"]
+        if not len(tops):
+            return pd.DataFrame(columns=names)
+        top = _top_of(tops.iloc[0])
+        radius = np.full(len(top.centres), -1.0)
+        radius[radii["cell"].to_numpy()] = radii["radius"].to_numpy()
+        pairs = top.pairs(radius, reach)
+        row = [tops["label"].iloc[0], tops["dim"].iloc[0], tops["centres"].iloc[0], radius.tolist(), [i for i, _ in pairs], [j for _, j in pairs]]
+        return pd.DataFrame([row], columns=names)
+
+    return run
+
+
+def _visitors(reach: float):
+    """The vectors of a group in their own cells, and in those that they visit."""
+
+    def run(rows: pd.DataFrame, guides: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop(columns="salt")
+        own = rows.drop(columns="angle").assign(guest=False)
+        if not len(guides) or not len(rows):
+            return own
+        g = guides.iloc[0]
+        centres, radius = np.array([np.asarray(c, dtype=np.float64) for c in g["centres"]]), np.asarray(g["radius"])
+        meets = np.zeros((len(centres), len(centres)), dtype=bool)
+        meets[np.asarray(g["first"], dtype=int), np.asarray(g["second"], dtype=int)] = True
+        row, cell = np.nonzero(meets[rows["cell"].to_numpy()] & (_angle(unit(rows["embedding"]), centres) <= radius + reach))
+        return pd.concat([own, own.iloc[row].assign(cell=cell, guest=True)])
+
+    return run
+
+
 def _pair(threshold: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("rep")
-        side = frame["cell"].to_numpy() == frame["first"].to_numpy()
-        same = side.all()
+        block, p, q = frame["block"].to_numpy(), frame["p"].iloc[0], frame["q"].iloc[0]
+        side = block == p
+        out = pd.DataFrame({"rep": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
+        if not side.any() or p != q and side.all():
+            return out
         x, ids, n = unit(frame["embedding"][side]), frame["rep"].to_numpy()[side], frame["copies"].to_numpy()[side]
-        if same:
+        if p == q:
             i, j = linked_pairs(x, None, threshold)
             other, m = ids, n
         else:
@@ -127,61 +242,72 @@ def _pair(threshold: float):
             i, j = linked_pairs(x, unit(frame["embedding"][~side]), threshold)
         links = pd.concat([pd.DataFrame({"rep": ids[i], "links": m[j]}), pd.DataFrame({"rep": other[j], "links": n[i]})]).groupby("rep", as_index=False)["links"].sum()
         root = spanning_links(ids[i].tolist(), other[j].tolist())
-        return links.assign(root=links["rep"].map(root))
+        return links.assign(root=links["rep"].map(root)) if len(links) else out
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell_rows: int = CELL_ROWS) -> DataFrame:
+def sent_to_cells(reps: DataFrame, threshold: float, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """reps (label, dim, rep, copies, embedding) with cell and guest: each in its cell, and as a guest in
+    those where a linked vector may lie."""
+    reach = float(np.arccos(threshold)) + ROUNDING
+    keys = ["label", "dim"]
+    stats = reps.groupBy(*keys).agg(F.count("*").alias("n"))
+    stats = stats.select(*keys, "n", F.least(F.ceil(F.col("n") / cell_rows), F.lit(MOST_CELLS)).cast("int").alias("cells"), F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("groups"))
+    stats = materialize(stats)
+    large = stats.filter("cells > 1")
+    draw = F.pmod(F.xxhash64("rep", F.lit("centres")), F.lit(1 << 30)) / float(1 << 30)
+    sample = reps.join(large, keys).filter(draw < SAMPLE_PER_CELL * F.col("cells") / F.col("n"))
+    tops = materialize(sample.groupBy(*keys).applyInPandas(_fitted, "label long, dim int, centres array<array<double>>, level array<int>, parent array<int>"))
+    salt = F.pmod(F.xxhash64("rep"), F.col("groups")).cast("int").alias("salt")
+    fields = ["label", "dim", "rep", "copies", "embedding"]
+    by = [*keys, "salt"]
+    spread = lambda t: t.join(stats.select(*keys, "groups"), keys).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+    rows = reps.join(stats, keys).select(*fields, salt)
+    placed = materialize(rows.groupBy(*by).cogroup(spread(tops).groupBy(*by)).applyInPandas(_dealt, f"{_CELLS}, cell int, angle double"))
+    radii = placed.groupBy(*keys, "cell").agg(F.max("angle").alias("radius"))
+    guides = materialize(tops.groupBy(*keys).cogroup(radii.groupBy(*keys)).applyInPandas(_guide(reach), "label long, dim int, centres array<array<double>>, radius array<double>, first array<int>, second array<int>"))
+    rows = placed.join(stats.select(*keys, "groups"), keys).select(*fields, "cell", "angle", salt)
+    return rows.groupBy(*by).cogroup(spread(guides).groupBy(*by)).applyInPandas(_visitors(reach), f"{_CELLS}, cell int, guest boolean")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """A row per row of vectors (vec_id, embedding, label): vec_id, n_links, component_id."""
     if not 0 < threshold < 1:
         raise ValueError("the threshold must lie between 0 and 1")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").alias("named"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    valid = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
+    valid = F.coalesce(F.col("vec_id").isNotNull() & F.col("named").isNotNull() & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
     good = rows.filter(valid)
-    grouped = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
-    # distinct vectors are known by numbers of their own: a vec_id may come with several
-    grouped = grouped.withColumn("rep", F.monotonically_increasing_id())
-    # 1/sqrt(d) times alternating signs: a unit vector
-    size = F.size("embedding")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
-    signed = F.aggregate(F.transform("embedding", lambda v, i: F.when(i % 2 == 0, v.cast("double")).otherwise(-v.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-    reps = materialize(grouped.withColumn("dim", size).withColumn("at", F.coalesce(F.try_divide(signed, norm * F.sqrt(size)), F.lit(0.0))))
-    stats = reps.groupBy("label", "dim").agg(
-        F.count("*").alias("n"), F.percentile_approx("at", [k / RANGES for k in range(1, RANGES)], 2000).alias("cuts")
-    )
-    cells = F.ceil(F.col("n") / cell_rows)
-    stats = stats.select(
-        "label", "dim", F.least(cells, F.lit(RANGES)).cast("int").alias("ranges"), F.ceil(cells / RANGES).cast("int").alias("salts"), "cuts",
-    )
-    placed = reps.join(stats, ["label", "dim"])
-    rank = F.size(F.filter("cuts", lambda c: c < F.col("at")))
-    placed = materialize(placed.select(
-        "rep", "copies", "label", "dim", "embedding", "at",
-        (F.floor(rank * F.col("ranges") / RANGES).cast("long") * F.col("salts") + F.pmod(F.xxhash64("rep"), F.col("salts"))).alias("cell"),
-    ))
-    extent = placed.groupBy("label", "dim", "cell").agg(F.min("at").alias("low"), F.max("at").alias("high"))
-    p, q = extent.alias("p"), extent.alias("q")
-    apart = float(np.sqrt(2 - 2 * threshold)) + 1e-6
-    pairs = p.join(
-        q,
-        (F.col("p.label") == F.col("q.label")) & (F.col("p.dim") == F.col("q.dim")) & (F.col("p.cell") <= F.col("q.cell"))
-        & (F.col("p.low") - F.col("q.high") <= apart) & (F.col("q.low") - F.col("p.high") <= apart),
-    ).select(F.col("p.label").alias("label"), F.col("p.dim").alias("dim"), F.col("p.cell").alias("first"), F.col("q.cell").alias("second"))
-    spread = pairs.withColumn("cell", F.explode(F.array_distinct(F.array("first", "second"))))
-    sent = placed.select("rep", "copies", "label", "dim", "embedding", "cell").join(spread, ["label", "dim", "cell"])
-    found = materialize(
-        sent.groupBy("label", "dim", "first", "second").applyInPandas(_pair(threshold), "rep long, links long, root long")
-    )
+    grouped = good.groupBy("named", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    # distinct vectors and labels are known by numbers of their own: a vec_id may come with several vectors
+    reps = materialize(grouped.withColumn("rep", F.monotonically_increasing_id()).withColumn("dim", F.size("embedding")))
+    names = materialize(reps.select("named").distinct().withColumn("label", F.monotonically_increasing_id()))
+    numbered = reps.join(names, "named").select("label", "dim", "rep", "copies", F.col("embedding").cast("array<double>").alias("embedding"))
+    sent = materialize(sent_to_cells(materialize(numbered), threshold, cell_rows))
+    keys = ["label", "dim", "cell"]
+    blocks = lambda guest: F.ceil(F.count(F.when(F.col("guest") == guest, True)) / block_rows).cast("int")
+    plan = sent.groupBy(*keys).agg(blocks(False).alias("own"), blocks(True).alias("guests")).filter("own > 0")
+    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("own"))).cast("int")
+    dealt = sent.join(plan, keys).withColumn("mine", mine)
+    pair = lambda p, q: F.struct(p.alias("p"), q.alias("q"))
+    upto = lambda n: F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+    among = F.transform(upto(F.col("own")), lambda k: pair(F.least(k, F.col("mine")), F.greatest(k, F.col("mine"))))
+    none = F.array().cast("array<struct<p:int,q:int>>")
+    hosts = F.when(F.col("guests") > 0, F.transform(upto(F.col("guests")), lambda k: pair(F.col("mine"), F.col("own") + k))).otherwise(none)
+    visit = F.transform(upto(F.col("own")), lambda k: pair(k, F.col("own") + F.col("mine")))
+    meets = F.when(F.col("guest"), visit).otherwise(F.concat(among, hosts))
+    block = F.when(F.col("guest"), F.col("own") + F.col("mine")).otherwise(F.col("mine")).alias("block")
+    asked = dealt.select(*keys, "rep", "copies", "embedding", block, F.explode(meets).alias("pair")).select(*keys, "rep", "copies", "embedding", "block", "pair.p", "pair.q")
+    found = materialize(asked.groupBy(*keys, "p", "q").applyInPandas(_pair(threshold), "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("other_links"))
     components = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     known = reps.join(links, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.withColumn("component", F.coalesce("component", "rep"))
-    known = materialize(known.select("label", "embedding", "component", "least", (F.col("copies") - 1 + F.coalesce("other_links", F.lit(0))).alias("n_links")))
+    known = materialize(known.select("named", "embedding", "component", "least", (F.col("copies") - 1 + F.coalesce("other_links", F.lit(0))).alias("n_links")))
     first = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = known.join(first, "component").select("label", "embedding", "n_links", "component_id")
-    counted = good.join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    known = known.join(first, "component").select("named", "embedding", "n_links", "component_id")
+    counted = good.join(known, ["named", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter(~valid).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return counted.unionByName(alone)
 
