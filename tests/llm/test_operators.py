@@ -437,3 +437,42 @@ def test_decontamination_of_repeated_words_and_many_items(spark, monkeypatch):
     got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(d, i) for d in (1, 7) for i in range(20)} | {(2, 50), (3, 51)}
     assert {(r.matched_words, r.alignments) for r in got if r.item_id == 50} == {(60, 20_000 + 60 - 2 * 10 + 1)}
+
+
+@pytest.mark.parametrize("cells", [1, 5, 40])
+def test_top_of_the_tree_routes_by_covering_radii(cells):
+    centres = rng.standard_normal((8, 12))
+    x = embedding_dedup.unit(np.concatenate([centres[i % 8] + 0.1 * rng.standard_normal((1, 12)) for i in range(400)]))
+    top = embedding_dedup.Top.fit(x[:200], cells)
+    assert len(top.centres) == cells and top.level[0] == 0
+    for k in range(1, cells):  # nested, radii halve
+        assert top.level[top.parent[k]] < top.level[k]
+        assert top.angle[k, top.parent[k]] <= np.pi / 2 ** (top.level[k] - 1) + 1e-9
+        before = top.angle[k, : k].min()
+        assert before > np.pi / 2 ** top.level[k] - 1e-9
+    d = embedding_dedup._angle(x, top.centres)
+    cell = d.argmin(axis=1)
+    radius = np.array([d[cell == k, k].max(initial=-1.0) for k in range(cells)])
+    reach = float(np.arccos(0.95)) + 1e-6
+    pairs = set(top.pairs(radius, reach))
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.95, 1))
+    assert {(min(a, b), max(a, b)) for a, b in zip(cell[i].tolist(), cell[j].tolist(), strict=True) if a != b} <= pairs
+    assert all(d[a, cell[b]] <= radius[cell[b]] + reach for a, b in zip(i.tolist(), j.tolist(), strict=True))
+    if cells > 8:
+        assert len(pairs) < cells * (cells - 1) / 4
+
+
+def test_near_duplicates_over_many_cells_and_labels(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "GROUP_ROWS", 64)
+    base = rng.standard_normal((40, 6))
+    vec = [(base[i % 40] + 0.05 * rng.standard_normal(6)) for i in range(420)]
+    rows = [(i, v.astype(np.float32).astype(float).tolist(), ("p", "q", None)[i % 7 // 3]) for i, v in enumerate(vec)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, 0.98, cell_rows=20, block_rows=8).collect()}
+    x = embedding_dedup.unit([r[1] for r in rows])
+    same = np.array([[a[2] is not None and a[2] == b[2] for b in rows] for a in rows])
+    link = (x @ x.T >= 0.98) & same & ~np.eye(len(rows), dtype=bool)
+    root = list(range(len(rows)))
+    for _ in rows:
+        root = [min([root[i], *(root[j] for j in np.flatnonzero(link[i]))]) for i in range(len(rows))]
+    assert got == {i: (int(link[i].sum()), root[i]) for i in range(len(rows))} and link.sum() > 400
