@@ -97,13 +97,25 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _lowered(word: str) -> str | None:
+    """A word of letters in lower case, if it is letters in a normal form before and after; the capital
+    sigma, whose lower case depends on its place, is left to the tokenizer."""
+    low = word.lower()
+    if word.isascii():
+        return low
+    if low == word:
+        return word if unicodedata.is_normalized("NFC", word) else None
+    good = low.isalpha() and "Σ" not in word and unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", low)
+    return low if good else None
+
+
 def _letters_stay(core: bytes) -> bool:
     """Whether a core is letters that end in a letter after lowering and normalising, too: marks
     behind a letter that is taken apart would belong to the same piece."""
     if core.isalpha():  # of bytes: ASCII letters
         return True
     text = core.decode("utf-8")
-    return text.isalpha() and text.lower() == text and unicodedata.is_normalized("NFC", text)
+    return text.isalpha() and _lowered(text) is not None
 
 
 class WordEncoder(Encoder):
@@ -118,7 +130,7 @@ class WordEncoder(Encoder):
         self.letters = _byte_letters()
         self.tokenize, self.older = self.tokenizer.model.tokenize, {}
         self.direct = True
-        probes = ["a", "word", "word.", "näher", "été,", "über||", "слово", "日本", "the)", "don", "ll", "s", "re.", "!!", "$$$", "ß", "ñandú"]
+        probes = ["a", "word", "word.", "näher", "été,", "über||", "слово", "日本", "the)", "don", "ll", "s", "re.", "!!", "$$$", "ß", "ñandú", "Word", "WORD.", "Été!", "ÜBER"]
         exact = super().encode(probes)
         got = [self._direct(p) for p in probes]
         self.direct = all(g is not None and np.array_equal(g, e) for g, e in zip(got, exact, strict=True))
@@ -130,12 +142,11 @@ class WordEncoder(Encoder):
             word, tail = core, word[len(core) :]
             if core and not core.isalpha():
                 return None
+        word = _lowered(word)
+        if word is None:
+            return None
         if not word.isascii():
-            if word.lower() != word or not unicodedata.is_normalized("NFC", word):
-                return None
             word = word.encode("utf-8").decode("latin-1").translate(self.letters)
-        elif word and not word.islower():
-            return None
         ids = [t.id for t in self.tokenize(word)] if word else []
         if tail:
             ids += [t.id for t in self.tokenize(tail)]
