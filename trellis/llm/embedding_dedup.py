@@ -20,6 +20,8 @@ columns are ignored. vec_id is an integer.
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -172,37 +174,49 @@ class Top:
 _CELLS = "label long, dim int, rep long, copies long, embedding array<double>"
 
 
-def _fitted(frame: pd.DataFrame) -> pd.DataFrame:
-    top = Top.fit(unit(frame.sort_values("rep")["embedding"]), int(frame["cells"].iloc[0]))
-    row = {"label": frame["label"].iloc[0], "dim": frame["dim"].iloc[0], "centres": top.centres.tolist(), "level": top.level.tolist(), "parent": top.parent.tolist()}
-    return pd.DataFrame([row])
+def _packed(**arrays) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
 
 
-def _top_of(row) -> Top:
-    return Top(np.array([np.asarray(c, dtype=np.float64) for c in row["centres"]]), np.asarray(row["level"]), np.asarray(row["parent"]))
+def _parted(frame: pd.DataFrame, name: str):
+    """The rows of a group, and the arrays that its one row with a value in `name` brings, or None."""
+    brings = frame[name].notna()
+    held = np.load(io.BytesIO(frame[name][brings].iloc[0])) if brings.any() else None
+    return frame[~brings].drop(columns=name), held
 
 
-def _dealt(rows: pd.DataFrame, tops: pd.DataFrame) -> pd.DataFrame:
+def _fitted(frame: pd.DataFrame) -> pd.DataFrame:
+    top = Top.fit(unit(frame.sort_values("rep")["embedding"]), int(frame["cells"].iloc[0]))
+    packed = _packed(centres=top.centres, level=top.level, parent=top.parent)
+    return pd.DataFrame([{"label": frame["label"].iloc[0], "dim": frame["dim"].iloc[0], "top": packed}])
+
+
+def _dealt(frame: pd.DataFrame) -> pd.DataFrame:
     """Each vector's cell and its angle to the centre; all in cell 0 of a label without a top."""
-    rows = rows.drop(columns="salt")
-    if not len(tops) or not len(rows):
+    rows, top = _parted(frame.drop(columns="salt"), "top")
+    if top is None or not len(rows):
         return rows.assign(cell=0, angle=0.0)
-    d = _angle(unit(rows["embedding"]), _top_of(tops.iloc[0]).centres)
+    d = _angle(unit(rows["embedding"]), top["centres"])
     cell = d.argmin(axis=1)
     return rows.assign(cell=cell, angle=d[np.arange(len(d)), cell])
 
 
 def _guide(reach: float):
-    def run(tops: pd.DataFrame, radii: pd.DataFrame) -> pd.DataFrame:
-        names = ["label", "dim", "centres", "radius", "first", "second"]
-        if not len(tops):
-            return pd.DataFrame(columns=names)
-        top = _top_of(tops.iloc[0])
+    """The pairs of cells of a label that may hold linked vectors, with centres and radii."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        radii, held = _parted(frame, "top")
+        if held is None:
+            return pd.DataFrame({"label": [], "dim": [], "guide": []})
+        top = Top(held["centres"], held["level"], held["parent"])
         radius = np.full(len(top.centres), -1.0)
         radius[radii["cell"].to_numpy()] = radii["radius"].to_numpy()
-        pairs = top.pairs(radius, reach)
-        row = [tops["label"].iloc[0], tops["dim"].iloc[0], tops["centres"].iloc[0], radius.tolist(), [i for i, _ in pairs], [j for _, j in pairs]]
-        return pd.DataFrame([row], columns=names)
+        meets = np.zeros((len(radius), len(radius)), dtype=bool)
+        for i, j in top.pairs(radius, reach):
+            meets[i, j] = True
+        return pd.DataFrame([{"label": frame["label"].iloc[0], "dim": frame["dim"].iloc[0], "guide": _packed(centres=top.centres, radius=radius, meets=meets)}])
 
     return run
 
@@ -210,16 +224,13 @@ def _guide(reach: float):
 def _visitors(reach: float):
     """The vectors of a group in their own cells, and in those that they visit."""
 
-    def run(rows: pd.DataFrame, guides: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="salt")
-        own = rows.drop(columns="angle").assign(guest=False)
-        if not len(guides) or not len(rows):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rows, g = _parted(frame.drop(columns="salt"), "guide")
+        own = rows.assign(guest=False)
+        if g is None or not len(rows):
             return own
-        g = guides.iloc[0]
-        centres, radius = np.array([np.asarray(c, dtype=np.float64) for c in g["centres"]]), np.asarray(g["radius"])
-        meets = np.zeros((len(centres), len(centres)), dtype=bool)
-        meets[np.asarray(g["first"], dtype=int), np.asarray(g["second"], dtype=int)] = True
-        row, cell = np.nonzero(meets[rows["cell"].to_numpy()] & (_angle(unit(rows["embedding"]), centres) <= radius + reach))
+        near = _angle(unit(rows["embedding"]), g["centres"]) <= g["radius"] + reach
+        row, cell = np.nonzero(g["meets"][rows["cell"].to_numpy()] & near)
         return pd.concat([own, own.iloc[row].assign(cell=cell, guest=True)])
 
     return run
@@ -258,17 +269,25 @@ def sent_to_cells(reps: DataFrame, threshold: float, cell_rows: int = CELL_ROWS)
     large = stats.filter("cells > 1")
     draw = F.pmod(F.xxhash64("rep", F.lit("centres")), F.lit(1 << 30)) / float(1 << 30)
     sample = reps.join(large, keys).filter(draw < SAMPLE_PER_CELL * F.col("cells") / F.col("n"))
-    tops = materialize(sample.groupBy(*keys).applyInPandas(_fitted, "label long, dim int, centres array<array<double>>, level array<int>, parent array<int>"))
+    tops = materialize(sample.groupBy(*keys).applyInPandas(_fitted, "label long, dim int, top binary"))
     salt = F.pmod(F.xxhash64("rep"), F.col("groups")).cast("int").alias("salt")
     fields = ["label", "dim", "rep", "copies", "embedding"]
     by = [*keys, "salt"]
-    spread = lambda t: t.join(stats.select(*keys, "groups"), keys).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
-    rows = reps.join(stats, keys).select(*fields, salt)
-    placed = materialize(rows.groupBy(*by).cogroup(spread(tops).groupBy(*by)).applyInPandas(_dealt, f"{_CELLS}, cell int, angle double"))
-    radii = placed.groupBy(*keys, "cell").agg(F.max("angle").alias("radius"))
-    guides = materialize(tops.groupBy(*keys).cogroup(radii.groupBy(*keys)).applyInPandas(_guide(reach), "label long, dim int, centres array<array<double>>, radius array<double>, first array<int>, second array<int>"))
-    rows = placed.join(stats.select(*keys, "groups"), keys).select(*fields, "cell", "angle", salt)
-    return rows.groupBy(*by).cogroup(spread(guides).groupBy(*by)).applyInPandas(_visitors(reach), f"{_CELLS}, cell int, guest boolean")
+
+    def with_guides(rows: DataFrame, guides: DataFrame, name: str) -> DataFrame:
+        """rows in groups of a bounded size, to each of which the label's guide is added as a row."""
+        grouped = rows.join(stats.select(*keys, "groups"), keys).select(*rows.columns, salt)
+        every = guides.join(stats.select(*keys, "groups"), keys).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+        empty = {"rep": F.lit(-1), "copies": F.lit(0), "embedding": F.lit(None), "cell": F.lit(-1)}
+        kinds = {f.name: f.dataType for f in grouped.schema}
+        more = every.select(*(F.col(c) if c in by else empty[c].cast(kinds[c]).alias(c) for c in grouped.columns), name)
+        return grouped.withColumn(name, F.lit(None).cast("binary")).unionByName(more)
+
+    placed = materialize(with_guides(reps.select(*fields), tops, "top").groupBy(*by).applyInPandas(_dealt, f"{_CELLS}, cell int, angle double"))
+    radii = placed.groupBy(*keys, "cell").agg(F.max("angle").alias("radius")).withColumn("top", F.lit(None).cast("binary"))
+    radii = radii.unionByName(tops.select(*keys, F.lit(-1).alias("cell"), F.lit(0.0).alias("radius"), "top"))
+    guides = materialize(radii.groupBy(*keys).applyInPandas(_guide(reach), "label long, dim int, guide binary"))
+    return with_guides(placed.drop("angle"), guides, "guide").groupBy(*by).applyInPandas(_visitors(reach), f"{_CELLS}, cell int, guest boolean")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
