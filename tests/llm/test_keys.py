@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trellis.llm import chat, decontamination, jaccard_join, language_id, packing, quality, sharding, suffix_dedup, token_counts
+from trellis.llm import decontamination, jaccard_join, language_id, packing, quality, sharding, suffix_dedup, token_counts
 from trellis.llm.words import ALNUM, word_hashes
 
 tokenizers = pytest.importorskip("public_tokenizers")
@@ -133,4 +133,15 @@ def test_pipeline_against_its_stages(spark):
     assert left[0] == set(ids) - rejected
     out = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in out} == left[3]
-    assert chat.format_windows is not None
+    lengths = defaultdict(int)
+    for r in out:
+        lengths[r.doc_id] += r.length
+    assert all(lengths[r.doc_id] == r.doc_tokens for r in out)
+
+
+def test_pipeline_on_an_empty_table(spark):
+    sf = "/root/testdata/sf0.001"
+    none = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, sf)
+        assert out.count() == 0 and (name == "packing" or out.columns == none.columns), name
