@@ -71,9 +71,67 @@ def test_catalogues(spark):
     rows = spark.createDataFrame([("t", 0, json.dumps(text | {"id": 0})), ("t", 1, json.dumps(text)), ("t", 2, json.dumps(text | {"id": 9})), ("t", 3, "[")], "topic string, n int, payload string")
     got = C.textbook_rows(rows, "n", 1).collect()
     assert [(r.id, r.url, r.content) for r in got] == [("otl_3", "o", f"# T\n\n**License:** CC BY\n**Subjects:** A, B\n\n## Overview\n{'d' * 150}")]
-    assert C.meta(F.lit(None).cast("array<struct<key:string,value:string>>"), "k") is not None
+    assert spark.range(1).select(C.meta(F.lit(None).cast("array<struct<key:string,value:string>>"), "k")).first()[0] == ""
 
 
 @pytest.mark.parametrize("title, nav", [("a/Index", True), ("Index", True), ("a/Indexes", False)])
 def test_navigation(spark, title, nav):
     assert spark.range(1).select(B.is_navigation(F.lit(title))).first()[0] is nav
+
+
+def test_module_texts_and_contents(spark):
+    ns = 'xmlns="http://cnx.rice.edu/cnxml"'
+    cases = {
+        f"<document {ns}>one <b>two</b> three <note>x <b>y</b> z</note> lost <c/> four<!-- c --> five<figure/>gone<d>  six\n seven </d></document>": "one two three four five six seven",
+        "<a><b>unclosed</a>": "", "": "", None: "", "no xml": "", "<note>all gone</note>": "", "<a>" * 300 + "deep" + "</a>" * 300: "deep",
+        f"<m:document xmlns:m='u'><m:media>x<m:image>y</m:image></m:media>tail<m:p>&amp; kept</m:p></m:document>": "& kept",
+    }
+    rows = spark.createDataFrame([(i, p, "x") for i, p in enumerate(cases)], "module long, payload string, title string")
+    assert {r.module: r.text for r in M.module_texts(rows).collect()} == dict(enumerate(cases.values()))
+    assert M.module_texts(rows).columns == ["module", "title", "text"]
+    col, md = "http://cnx.rice.edu/collxml", "http://cnx.rice.edu/mdml"
+    sub = lambda title, inner: f"<c:subcollection><m:title> {title}<i/>x</m:title><m:title>second</m:title><c:content>{inner}</c:content></c:subcollection>"
+    module = lambda k: f'<c:module document="{k}"/>'
+    deep = sub("U", module("m0") + sub("C1", module("m1") + sub("S", module("m2"))) + sub("", module("m3")) + sub("C2", "<c:module/>") + sub("C3", module("m4")))
+    toc = f'<c:collection xmlns:c="{col}" xmlns:m="{md}"><c:content>{deep}</c:content></c:collection>'
+    got = M.toc_chapters(spark.createDataFrame([("b", toc), ("n", None), ("x", "<c")], "book string, payload string")).collect()
+    assert [(r.book, r.place, r.unit, r.chapter, r.modules) for r in sorted(got, key=lambda r: r.place)] == [("b", 0, "U", "C1", ["m1", "m2"]), ("b", 1, "U", "C3", ["m4"]), ("b", 2, "C1", "S", ["m2"])]
+
+
+def test_resolved_roots(spark):
+    topics = spark.createDataFrame([("soil",), ("deep blue oceans",), ("tiny to an ant",), ("nothing here",), ("soil",)], "topic string")
+    pages = spark.createDataFrame([("soil",), ("Oceans",), ("Blue",), ("List of ants",), ("Ant hill",), ("Far hit",)], "title string")
+    hits = [("tiny to an ant", 0, "List of ants"), ("tiny to an ant", 1, "unknown"), ("tiny to an ant", 2, "Ant hill"), ("nothing here", 5, "Far hit"), ("soil", 0, "Blue"), (None, 0, "Blue")]
+    got = E.resolved_roots(topics, pages, spark.createDataFrame(hits, "topic string, hit int, title string"))
+    assert sorted(map(tuple, got.collect())) == [("deep blue oceans", 1, "Oceans"), ("soil", 0, "soil"), ("tiny to an ant", 2, "Ant hill")]
+    asked = []
+
+    def stage(found):
+        def run(still):
+            asked.append(sorted(r.topic for r in still.collect()))
+            return still.filter(F.col("topic").isin(found)).select("topic", F.lit(0).alias("rank"), F.lit("t").alias("title"))
+
+        return run
+
+    three = spark.createDataFrame([("a",), ("b",), ("c",)], "topic string")
+    E.first_stage(three, [stage(["a"]), stage(["b", "c"]), stage([])]).collect()
+    assert asked == [["a", "b", "c"], ["b", "c"]]  # nobody is left for the third
+
+
+def test_response_items(spark):
+    rows = [("list", '[{"a": 1}, 2, "x", null, {"b": [1, 2]}]'), ("wrapped", ' {"links": {}, "data": [{"a": 1}]}'), ("odd", '{"data": 5}'), ("broken", "["), ("null", None)]
+    df = spark.createDataFrame(rows, "topic string, payload string")
+    got = sorted((r.topic, r.place, json.loads(r.payload)) for r in C.response_items(df).collect())
+    assert got == [("list", 0, {"a": 1}), ("list", 4, {"b": [1, 2]})]
+    assert sorted((r.topic, r.place) for r in C.response_items(df, "data").collect()) == [("list", 0), ("list", 4), ("wrapped", 0)]
+
+
+def test_ingest(spark):
+    from trellis.sources import ingest as I
+
+    rows = lambda *ids: spark.createDataFrame([(i, "t", s, "u", i, s) for i, s in ids], I.MATERIAL)
+    old = rows(("a", "old"), ("b", "old"))
+    sources = {"one": lambda t: rows(("b", "one"), ("c", "one"), (None, "one")), "two": lambda t: rows(("c", "two")), "fails": lambda t: 1 / 0, "late": lambda t: rows(("z", "z")).withColumn("id", F.raise_error(F.lit("no")))}
+    got, failures = I.ingest(spark.range(1), sources, old)
+    assert {(r.id, r.source) for r in got.collect()} == {("a", "old"), ("b", "one"), ("c", "two")} and failures.keys() == {"fails", "late"}
+    assert {(r.source, r.rows) for r in I.material_totals(got).collect()} == {("old", 1), ("one", 1), ("two", 1)}
