@@ -68,7 +68,8 @@ def _searched(keys: pd.DataFrame, slugs: pd.DataFrame) -> pd.DataFrame:
                 if slug not in out or r < out[slug]:
                     out[slug] = r
     topic = slugs["topic_id"].iloc[0] if len(slugs) else None
-    return pd.DataFrame({"topic_id": topic, "slug": list(out), "rank": pd.Series(list(out.values()), dtype="int64")})
+    text = lambda values: pd.Series(values, dtype=object)  # noqa: E731  an empty column of strings too
+    return pd.DataFrame({"topic_id": text([topic] * len(out)), "slug": text(list(out)), "rank": pd.Series(list(out.values()), dtype="int64")})
 
 
 def resolve_names(names: DataFrame, concepts: DataFrame, shard: int = SHARD) -> DataFrame:

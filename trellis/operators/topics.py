@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellis.functions.text import tokens
-from trellis.operators.tables import insert_or_ignore
+from trellis.operators.tables import insert_or_ignore, ranked
 
 
 def topic_query(topic_id: Column) -> Column:
@@ -79,3 +79,25 @@ def layer_labels(levels: DataFrame) -> DataFrame:
     n = levels.groupBy("topic_id", "layer").agg(F.count("*").alias("concepts"))
     most = n.groupBy("topic_id").agg((F.max("layer") + 1).alias("layers"))
     return n.join(most, "topic_id").select("topic_id", "layer", F.concat(F.lit("Layer "), (F.col("layer") + 1).cast("string")).alias("label"), "concepts", "layers")
+
+
+def topic_list(topics: DataFrame) -> DataFrame:
+    """(place, id, name, status, concept_count) of topics by name and id, from 1; a missing count is 0."""
+    rows = ranked(topics.select("id", "name", "status", F.coalesce("concept_count", F.lit(0)).cast("long").alias("concept_count")), ["name", "id"], "place")
+    return rows.select((F.col("place") + 1).alias("place"), "id", "name", "status", "concept_count")
+
+
+def touched(topics: DataFrame, changed: DataFrame, status: str, at: Column | None = None) -> DataFrame:
+    """topics with the status and updated_at, by default now, of those in changed (id)."""
+    mark = changed.select("id").distinct().withColumn("_changed", F.lit(True))
+    now = F.current_timestamp() if at is None else at
+    t = topics.join(mark, "id", "left")
+    new = {"status": F.lit(status), "updated_at": now}
+    return t.select(*[F.when(F.col("_changed"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in topics.columns])
+
+
+def graph_counts(levels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(topic_id, layers, nodes, edges) of levels (topic_id, id, layer) and the edges between them."""
+    n = levels.groupBy("topic_id").agg((F.max("layer") + 1).alias("layers"), F.count("*").alias("nodes"))
+    e = edges.groupBy("topic_id").agg(F.count("*").alias("edges"))
+    return n.join(e, "topic_id", "left").select("topic_id", "layers", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"))
