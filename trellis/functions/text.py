@@ -85,14 +85,13 @@ def strip_tags(html: Column) -> Column:
     return collapse(F.regexp_replace(bare, "<[^>]+>", " "))
 
 
-def stop_words(lang: Column) -> Column:
-    """The stop words of a language, those of English for any other."""
-    words = lambda k: F.array(*map(F.lit, STOP_WORDS[k]))
+def is_stop_word(word: Column, lang: Column) -> Column:
+    """Whether a lower-case word is a stop word of a language, of English for any other."""
     out = F
-    for k in STOP_WORDS:
+    for k, words in STOP_WORDS.items():
         if k != "en":
-            out = out.when(lang == k, words(k))
-    return out.otherwise(words("en"))
+            out = out.when(lang == k, word.isin(words))
+    return out.otherwise(word.isin(STOP_WORDS["en"]))
 
 
 def page_summary(extract: Column, length: Column, least: int = 80) -> Column:
@@ -201,19 +200,19 @@ def json_items(raw: Column, key: str, item: str) -> Column:
     )
 
 
-def phrase_parts(text: Column, stop_words: Column) -> Column:
-    """Runs of words between stop words and marks, lower case, as an array: words are letters of any
-    script. stop_words is an array of lower-case words."""
+def phrase_parts(text: Column, lang: Column) -> Column:
+    """Runs of words between stop words of the language and marks, lower case, as an array: words are
+    letters of any script."""
     bare = collapse(F.regexp_replace(F.lower(text), r"[^\p{L}\s]+", " | "))
-    marked = F.array_join(F.transform(F.split(bare, " "), lambda w: F.when(F.array_contains(stop_words, w), "|").otherwise(w)), " ")
+    marked = F.array_join(F.transform(F.split(bare, " "), lambda w: F.when(is_stop_word(w, lang), "|").otherwise(w)), " ")
     return F.split(marked, r"\|")
 
 
-def phrase_candidates(docs: DataFrame, text: str, stop_words: Column, least: int = 2, most: int = 6) -> DataFrame:
+def phrase_candidates(docs: DataFrame, text: str, lang: str, least: int = 2, most: int = 6) -> DataFrame:
     """docs without text, a row for each distinct candidate `name` of each: runs of words between stop
-    words and marks, a leading determiner off, of `least` to `most` words, not a generic pair. Null
+    words of its language and marks, a leading determiner off, of `least` to `most` words, not a generic pair. Null
     and blank texts have none."""
-    parts = docs.withColumn("name", F.explode(phrase_parts(F.col(text), stop_words))).drop(text)
+    parts = docs.withColumn("name", F.explode(phrase_parts(F.col(text), F.col(lang)))).drop(text)
     named = parts.withColumn("name", strip_determiner(F.trim("name"))).filter("name <> ''")
     n = F.length("name") - F.length(F.replace("name", F.lit(" "))) + 1  # blanks are single
     first, last = F.substring_index("name", " ", 1), F.substring_index("name", " ", -1)

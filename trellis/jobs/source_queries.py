@@ -10,6 +10,7 @@ from trellis.jobs.register import query
 from trellis.sources import books as B
 from trellis.sources import catalogues as C
 from trellis.sources import encyclopedia as E
+from trellis.sources import ingest as I
 from trellis.sources import xml as M
 
 _LINE = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
@@ -140,19 +141,56 @@ def resolved_roots(spark, d):
 SELECT 'wiki_' || lower(replace(title, '/', '_')) AS id, lang AS topic_id, title, md5(trim('# ' || title || chr(10) || chr(10) || CASE WHEN length(x) > 50 THEN '## Introduction' || chr(10) || x || chr(10) || chr(10) ELSE '' END
 || CASE WHEN length(x) >= 60 THEN '## Threats' || chr(10) || x || chr(10) ELSE '' END, chr(10) || ' ')) AS digest FROM s""")
 def article_documents(spark, d):
+    return _articles(spark, d).select("id", "topic_id", "title", F.md5("content").alias("digest"))
+
+
+def _articles(spark, d):
     t = V.table(spark, d, "documents")
     extract = F.concat_ws("\n", "text", F.lit("== Threats =="), "text", F.lit("== See also =="), "text")
     page = F.struct(F.concat_ws("/", "source", "doc_id").alias("title"), F.lit("u").alias("fullurl"), extract.alias("extract"))
     landed = t.select(F.col("lang").alias("topic"), F.to_json(F.struct(F.struct(F.create_map(F.lit("1"), page).alias("pages")).alias("query"))).alias("payload"))
-    return E.article_documents(E.articles(landed)).select("id", "topic_id", "title", F.md5("content").alias("digest"))
+    return E.article_documents(E.articles(landed))
 
 
 @query(rf"""WITH {_PAGES}, r AS (SELECT root, title FROM c UNION ALL SELECT DISTINCT lang, lang FROM documents), x AS (SELECT r.root, r.title, regexp_replace(p.text, '^\s+|\s+$', '', 'g') AS text, CASE WHEN contains(r.title, '/') THEN regexp_replace(r.title, '^[^/]*/', '') ELSE r.title END AS chapter FROM r JOIN p USING (title))
 SELECT 'wikibooks_' || replace(replace(lower(title), ' ', '_'), '/', '__') AS id, root AS topic_id, 'https://en.wikibooks.org/wiki/' || replace(replace(title, ' ', '_'), '/', '%2F') AS url,
 CASE WHEN chapter <> root THEN root || ' — ' || chapter ELSE root END AS title, md5('# ' || root || ': ' || chapter || chr(10) || chr(10) || text) AS digest FROM x WHERE length(text) >= 400""")
 def book_documents(spark, d):
-    rows = _book_rows(spark, d).withColumn("topic", F.col("root"))
-    return B.book_documents(rows).select("id", "topic_id", "url", "title", F.md5("content").alias("digest"))
+    return _books(spark, d).select("id", "topic_id", "url", "title", F.md5("content").alias("digest"))
+
+
+def _books(spark, d):
+    return B.book_documents(_book_rows(spark, d).withColumn("topic", F.col("root")))
+
+
+@query(r"""WITH s AS (SELECT doc_id, lang, source || '/' || doc_id AS title FROM documents),
+a AS (SELECT 'wiki_' || lower(replace(title, '/', '_')) AS id, lang AS topic_id, 'wikipedia' AS source, title FROM s),
+o AS (SELECT 'wiki_' || lower(replace(title, '/', '_')) AS id, 'old' AS topic_id, 'old' AS source, title FROM s WHERE doc_id % 2 = 0 UNION ALL SELECT 'old_' || lang, 'old', 'old', lang FROM (SELECT DISTINCT lang FROM s)),
+c AS (SELECT 'corrected_' || lang AS id, lang AS topic_id, 'corrections' AS source, min(source) AS title FROM documents GROUP BY lang UNION ALL SELECT a.id, 'fixed', 'corrections', a.title FROM a WHERE title LIKE '%3')
+SELECT id, topic_id, source, title FROM c UNION ALL SELECT * FROM a WHERE id NOT IN (SELECT id FROM c) UNION ALL SELECT * FROM o WHERE id NOT IN (SELECT id FROM c) AND id NOT IN (SELECT id FROM a)""")
+def ingest_sources(spark, d):
+    """Old materials after three sources that work and two that fail, one at planning and one in its tasks."""
+    t = V.table(spark, d, "documents")
+    row = lambda df, source, i, topic, title: df.select(i.alias("id"), topic.alias("topic_id"), F.lit(source).alias("source"), F.lit("u").alias("url"), title.alias("title"), F.lit("c").alias("content"))
+    wiki = F.concat(F.lit("wiki_"), F.lower("source"), F.lit("_"), "doc_id")
+    title = F.concat_ws("/", "source", "doc_id")
+    old = row(t.filter("doc_id % 2 = 0"), "old", wiki, F.lit("old"), title).unionByName(row(t.select("lang").distinct(), "old", F.concat(F.lit("old_"), "lang"), F.lit("old"), F.col("lang")))
+    first = t.groupBy("lang").agg(F.min("source").alias("title"))
+
+    def corrections(topics):
+        whole = row(first.join(topics, first["lang"] == topics["topic"], "left_semi"), "corrections", F.concat(F.lit("corrected_"), "lang"), F.col("lang"), F.col("title"))
+        return whole.unionByName(row(t.filter(title.endswith("3")), "corrections", wiki, F.lit("fixed"), title))
+
+    sources = {
+        "wikipedia": lambda topics: _articles(spark, d),
+        "missing": lambda topics: spark.read.parquet(f"{d}/no such table.parquet"),
+        "broken": lambda topics: row(t, "broken", F.raise_error(F.lit("the payload is broken")).cast("string"), F.col("lang"), title),
+        "corrections": corrections,
+    }
+    materials, failures = I.ingest(t.select(F.col("lang").alias("topic")).distinct(), sources, old)
+    if failures.keys() != {"missing", "broken"}:
+        raise RuntimeError(f"sources failed: {failures}")
+    return materials.select("id", "topic_id", "source", "title")
 
 
 _BOOK = """t AS (SELECT p_type AS book, p_brand AS unit, p_name AS chapter, string_agg(text, chr(10) || chr(10) ORDER BY p_partkey) AS text FROM part JOIN documents ON doc_id = p_partkey WHERE text <> '' GROUP BY ALL),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trellis.functions import text as X
 from trellis.jobs import views as V
 from trellis.jobs.register import query
 from trellis.operators import graph as G
@@ -83,3 +84,31 @@ def material_counts(spark, d):
     return V.raw_materials(spark, d).groupBy("topic_id").agg(
         F.count("*").alias("materials"), long.alias("long"), F.coalesce(F.max(n), F.lit(0)).cast("long").alias("longest"), F.when(long >= 5, 2).otherwise(1).alias("least_docs")
     )
+
+
+@query("""SELECT CAST(row_number() OVER (ORDER BY name, id) AS BIGINT) AS place, id, name, status, CAST(coalesce(n, 0) AS BIGINT) AS concept_count FROM (
+SELECT p_brand AS id, max(p_name) AS name, CASE WHEN count(*) % 2 = 0 THEN 'ready' ELSE 'building' END AS status, CASE WHEN count(*) % 3 > 0 THEN count(*) END AS n FROM part GROUP BY p_brand)""")
+def topic_listing(spark, d):
+    n = F.count("*")
+    t = V.table(spark, d, "part").groupBy(F.col("p_brand").alias("id")).agg(F.max("p_name").alias("name"), F.when(n % 2 == 0, "ready").otherwise("building").alias("status"), F.when(n % 3 > 0, n).alias("concept_count"))
+    return T.topic_list(t)
+
+
+@query("""SELECT id, CASE WHEN n % 2 = 0 THEN 'ready' ELSE 'building' END AS status, CASE WHEN n % 2 = 0 THEN 1700000000 ELSE 1600000000 END AS updated_at FROM (SELECT p_brand AS id, count(*) AS n FROM part GROUP BY p_brand)""")
+def topics_touched(spark, d):
+    p = V.table(spark, d, "part").groupBy(F.col("p_brand").alias("id")).agg(F.count("*").alias("n"))
+    t = p.select("id", F.lit("building").alias("status"), F.timestamp_seconds(F.lit(1_600_000_000)).alias("updated_at"))
+    return T.touched(t, p.filter("n % 2 = 0"), "ready", F.timestamp_seconds(F.lit(1_700_000_000))).select("id", "status", F.unix_timestamp("updated_at").cast("int").alias("updated_at"))
+
+
+@query(V.with_views("""SELECT topic_id, CAST(max(layer) + 1 AS BIGINT) AS layers, CAST(count(*) AS BIGINT) AS nodes, CAST((SELECT count(*) FROM edges e WHERE e.topic_id = l.topic_id) AS BIGINT) AS edges
+FROM (SELECT c.topic_id, c.id, coalesce(max(w.n), 0) AS layer FROM concepts c LEFT JOIN walk w ON w.id = c.id GROUP BY ALL) l GROUP BY topic_id""",
+"walk AS (SELECT target_id AS id, 1 AS n FROM edges UNION SELECT e.target_id, w.n + 1 FROM walk w JOIN edges e ON e.source_id = w.id)", True))
+def graph_counts(spark, d):
+    e = V.edges(spark, d)
+    return T.graph_counts(G.layers(V.concepts(spark, d), e)[0], e)
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) > 300 THEN left(text, 300) || '…' ELSE text END AS preview FROM documents""")
+def previews(spark, d):
+    return V.table(spark, d, "documents").select("doc_id", X.preview(F.col("text")).alias("preview"))

@@ -21,7 +21,7 @@ def raw_materials(spark, sf_dir) -> DataFrame:
 def phrases(spark, sf_dir) -> DataFrame:
     """(doc_id, lang, n, name): candidate phrases of all documents, whole texts in all languages."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").alias("n"), "text")
-    return X.phrase_candidates(docs, "text", X.stop_words(F.col("lang")))
+    return X.phrase_candidates(docs, "text", "lang")
 
 
 def phrases_sql() -> str:

@@ -70,7 +70,7 @@ def peeled(edges: DataFrame) -> tuple[list[DataFrame], DataFrame]:
 def layers(concepts: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(topic_id, id, layer) and the edges left over. The layer is the length of the longest
     path from a root. Nodes on or behind a cycle are left over and have layer 0."""
-    found, left = peeled(edges.select("topic_id", "source_id", "target_id").distinct())
+    found, left = peeled(written(edges.select("topic_id", "source_id", "target_id").distinct()))
     return _layers(concepts, found, left), left
 
 
@@ -141,11 +141,12 @@ def _bit(block: str = "block", bits: str = "bits") -> list[Column]:
 def _graph_of(edges: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame | None]:
     """Edges by layer and nodes (topic_id, id, layer), with components contracted where there are
     cycles; their members are given then."""
-    edges = edges.select("topic_id", "source_id", "target_id").distinct()
+    edges = written(edges.select("topic_id", "source_id", "target_id").distinct())
     found, left = peeled(edges)
     members = None
     if not left.isEmpty():
         edges, members = condensed(edges)
+        edges = written(edges)
         found, left = peeled(edges)
     return found, written(_layers(_ends(edges), found, left)), members
 
