@@ -188,7 +188,20 @@ def leaking_texts(docs: DataFrame, benchmark: DataFrame, masks=MASKS, coverage:
     known = hits.join(items.select(F.col("text_key").alias("item_key"), F.col("text").alias("item_text")), "item_key")
     cells = F.collect_list(F.struct("item_key", "item_text", "runs")).alias("items")
     asked = known.join(parts, "doc_key").select("doc_key", part, "item_key", "item_text", "runs").groupBy("doc_key", "part").agg(cells)
-    hit = texts.withColumnRenamed("text_key", "doc_key").join(parts.select("doc_key"), "doc_key", "left_semi")
+    # few texts have a hit: a bitmap of their keys keeps the others from being shuffled
+    wanted = hits.select("doc_key").distinct()
+    held = spark.sparkContext.broadcast(_bitmap(wanted.select(F.xxhash64("doc_key").alias("seed"))))
+
+    def of_hits(frames):
+        for frame in frames:
+            seed = frame.column("seed").to_numpy().view(np.uint64)
+            bit = (seed >> np.uint64(64 - _FILTER_BITS)) & np.uint64(63)
+            word = (seed >> np.uint64(64 - _FILTER_BITS + 6)).astype(np.int64)
+            keep = ((held.value[word] >> bit) & np.uint64(1)).astype(bool)
+            yield frame.filter(pa.array(keep)).select(["doc_key", "text"])
+
+    keyed = texts.select(F.col("text_key").alias("doc_key"), "text", F.xxhash64("text_key").alias("seed"))
+    hit = keyed.mapInArrow(tidy(of_hits), "doc_key binary, text string").join(wanted, "doc_key", "left_semi")
     pairs = asked.join(hit.groupBy("doc_key").agg(F.first("text").alias("doc_text")), "doc_key").select("doc_key", "doc_text", "items")
 
     def verify(frames):
