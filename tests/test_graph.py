@@ -110,3 +110,34 @@ def test_names(spark):
         return index.get(s) or next((v for k, v in index.items() if s in k or k in s), None)
 
     assert {r.name: r.id for r in got.collect()} == {a: means(a) for a in asked}
+
+
+def test_names_in_shards(spark):
+    import random
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("ab c") for _ in range(r.randrange(1, 9)))
+    concepts = [("m", f"i{k}", word()) for k in range(60)] + [("n", "x", "!?")]
+    asked = sorted({("m", word()) for _ in range(60)} | {("n", "anything"), ("k", "none"), ("m", "")})
+    df = spark.createDataFrame(concepts, "topic_id string, id string, name string"), spark.createDataFrame(asked, "topic_id string, name string")
+    whole = {tuple(x) for x in N.resolve_names(df[1], df[0]).collect()}
+    assert whole == {tuple(x) for x in N.resolve_names(df[1], df[0], shard=7).collect()}
+    keys = sorted(((x.place, x.key, x.id) for x in N.name_index(df[0]).filter("topic_id = 'm'").collect()), key=lambda x: x[0])
+    by = {k: i for _, k, i in keys}
+    for topic, name, found in whole:
+        if topic == "m":
+            slug = "-".join(name.split())
+            assert found == (by[slug] if slug in by else next((i for _, k, i in keys if slug in k or k in slug), None))
+    assert ("n", "anything", "x") in whole and ("k", "none", None) in whole
+
+
+def test_tier_context_takes_the_hardest(spark):
+    from trellis.operators import build as B
+
+    rows = [("t", f"c{k:03}", f"n{k % 7}", 1 + k % 5) for k in range(200)] + [("u", "a", "a", 1), ("u", "b", "b", None)]
+    got = B.tier_context(spark.createDataFrame(rows, "topic_id string, id string, name string, difficulty int"), 10).collect()
+    band = lambda d: 1 if (d or 3) <= 2 else 2 if (d or 3) == 3 else 3
+    for at in (2, 3):
+        want = sorted((r for r in rows if r[0] == "t" and band(r[3]) < at), key=lambda r: (-r[3], r[2], r[1]))[:10]
+        assert [r.id for r in sorted((g for g in got if g.topic_id == "t" and g.tier == at), key=lambda g: g.rank)] == [r[1] for r in want]
+    assert [(g.tier, g.id) for g in got if g.topic_id == "u"] == [(2, "a")]
