@@ -117,3 +117,14 @@ def test_answers_on_the_table(spark):
         if len({names[n] for n in r.nodes}) == len(r.nodes):
             assert (r.topic_id, r.nodes[-1], r.nodes[0]) in gone
     assert closing and build_queries.model_answers(concepts, edges.selectExpr("*", "'' as rationale")).count() == len(first)
+
+
+def test_parts_are_finished_in_tasks(spark, monkeypatch):
+    """Many parts of a bounded size take no rounds of their own, however long their rings are."""
+    rings = [(g, 100 * k + i, 100 * k + (i + 1) % 12) for g in (0, 1) for k in range(8) for i in range(12)]
+    rows = rings + [(0, 5, 905), (0, 905, 906), (1, 950, 950)]  # a tail, and a loop alone
+    tables, plain = [], C.written
+    monkeypatch.setattr(C, "written", lambda df: tables.append(1) or plain(df))
+    got = {(r.g, r.n): r.component for r in C.strong_components(spark.createDataFrame(rows, "g long, s long, t long"), 30).collect()}
+    assert got == {(g, s): s // 100 * 100 for g, s, _ in rings} | {(1, 950): 950}
+    assert len(tables) < 16
