@@ -128,3 +128,17 @@ def test_parts_are_finished_in_tasks(spark, monkeypatch):
     got = {(r.g, r.n): r.component for r in C.strong_components(spark.createDataFrame(rows, "g long, s long, t long"), 30).collect()}
     assert got == {(g, s): s // 100 * 100 for g, s, _ in rings} | {(1, 950): 950}
     assert len(tables) < 16
+
+
+def test_components_are_parted_once(spark, monkeypatch):
+    """With answers the components are sought in the whole graph once; later searches go by component."""
+    rows = [(f"t{k % 2}", f"{k}-{i}", f"{k}-{(i + 1) % 4}", 1 - i / 10, "") for k in range(6) for i in range(4)] + [("t0", "0-0", "2-0", 0.5, "")]
+    edges = spark.createDataFrame(rows, EDGES + ", rationale string")
+    concepts = spark.createDataFrame(sorted({(r[0], x) for r in rows for x in r[1:3]}), "topic_id string, id string").selectExpr("*", "id AS name")
+    parted, plain = [], C.weak_parts
+    monkeypatch.setattr(C, "weak_parts", lambda e: parted.append(1) or plain(e))
+    monkeypatch.setattr(C.strong_components, "__defaults__", (6,))
+    answers = spark.createDataFrame([], "key string, response_json string")
+    gone = {(r.source_id, r.target_id) for r in B.cut_cycles(concepts, edges, answers).collect()}
+    assert gone == {(f"{k}-3", f"{k}-0") for k in range(6)}
+    assert len(parted) == 1
