@@ -135,3 +135,11 @@ def test_ingest(spark):
     got, failures = I.ingest(spark.range(1), sources, old)
     assert {(r.id, r.source) for r in got.collect()} == {("a", "old"), ("b", "one"), ("c", "two")} and failures.keys() == {"fails", "late"}
     assert {(r.source, r.rows) for r in I.material_totals(got).collect()} == {("old", 1), ("one", 1), ("two", 1)}
+
+
+def test_hits_are_limited_before_the_shuffle(spark):
+    """No task reads a whole language: each sends the hits that are wanted."""
+    from trellis.jobs import registry
+
+    plan = registry.queries()["book_roots"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan[plan.index("WindowGroupLimit"):]

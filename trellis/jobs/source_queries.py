@@ -59,10 +59,10 @@ def related_titles(spark, d):
 f AS (SELECT *, lower(source || ' ' || regexp_replace(text, '<[^>]+>', '', 'g')) AS low FROM h WHERE hit < 18 QUALIFY row_number() OVER (PARTITION BY topic, source ORDER BY hit) = 1)
 SELECT topic, source AS root, row_number() OVER (PARTITION BY topic ORDER BY hit) AS place FROM f WHERE contains(low, 'tion') QUALIFY place <= 3""")
 def book_roots(spark, d):
-    t = V.table(spark, d, "documents")
-    hit = (F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1).alias("hit")
+    # the limit on the plain row number is applied in each task before the shuffle, so no task reads a language
+    t = V.table(spark, d, "documents").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).filter(F.col("n") <= 3 * B.HITS_EACH)
     topic = F.concat(F.lit("The "), "lang", F.lit(" of tion")).alias("topic")
-    hits = t.select(topic, hit, F.concat_ws("/", "source", "doc_id").alias("title"), F.concat(F.lit("<b>"), "text", F.lit("</b>")).alias("snippet"))
+    hits = t.select(topic, (F.col("n") - 1).alias("hit"), F.concat_ws("/", "source", "doc_id").alias("title"), F.concat(F.lit("<b>"), "text", F.lit("</b>")).alias("snippet"))
     return B.book_roots(hits, 3)
 
 

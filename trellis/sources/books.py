@@ -9,6 +9,7 @@ from trellis.functions.text import tokens
 
 # Fixed values.
 STOP_WORDS = ["the", "a", "an", "of", "in", "and", "or", "for", "to", "with", "by"]
+HITS_EACH = 6
 NAVIGATION = ["Printable version", "Print version", "Cover", "Index", "Glossary", "Bibliography", "Appendix", "About", "Authors", "Contributors"]
 
 
@@ -27,7 +28,7 @@ def is_navigation(title: Column) -> Column:
     return F.element_at(F.split(title, "/"), -1).isin(NAVIGATION)
 
 
-def book_roots(hits: DataFrame, max_books: int, hits_each: int = 6) -> DataFrame:
+def book_roots(hits: DataFrame, max_books: int, hits_each: int = HITS_EACH) -> DataFrame:
     """(topic, root, place): hits (topic, hit, title, snippet) up to hits_each for each book wanted;
     a root is what comes before the first slash; its first hit decides whether a keyword of the
     topic is in it; the first max_books such roots."""
