@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from trellis.functions import text as X
 from trellis.jobs import registry
+from trellis.operators import build as B
 from trellis.operators import extract as E
 
 SMALL = "/root/testdata/sf0.001"
@@ -34,3 +35,17 @@ def test_candidates_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(E, "frequent_candidates", lambda *a, **k: calls.append(1) or made(*a, **k))
     registry.queries()["extract_concepts"](spark, SMALL)
     assert len(calls) == 1
+
+
+def test_responses_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(x):
+        seen.add(1)
+        return x
+
+    raw = spark.createDataFrame([("t", 1, 0, "red", "blue", 1.0, "")], "topic_id string, batch long, pos long, source string, target string, strength double, rationale string")
+    raw = raw.withColumn("source", F.udf(tell, "string").asNondeterministic()("source"))
+    plan = spark.createDataFrame([("t", "a", "red", 1), ("t", "b", "blue", 1)], "topic_id string, id string, name string, batch long")
+    assert [tuple(r)[3:5] for r in B.resolved_edges(raw, plan).collect()] == [("a", "b")]
+    assert seen.value == 1
