@@ -142,3 +142,28 @@ def test_components_are_parted_once(spark, monkeypatch):
     gone = {(r.source_id, r.target_id) for r in B.cut_cycles(concepts, edges, answers).collect()}
     assert gone == {(f"{k}-3", f"{k}-0") for k in range(6)}
     assert len(parted) == 1
+
+
+def test_cycles_are_searched_in_tasks(spark, monkeypatch):
+    """A long ring takes no level for each step; larger components give the same by levels."""
+    rings = [(t, f"{t}{i:02}", f"{t}{(i + 1) % n:02}", 1.0) for t, n in (("a", 15), ("b", 9)) for i in range(n)]
+    rows = rings + [("a", "a00", "a07", 1.0), ("a", "a03", "a08", 1.0), ("b", "b02", "b02", 1.0), ("c", "c0", "c1", 1.0), ("d", "d1", "d1", 1.0)]
+    edges, concepts = spark.createDataFrame(rows, EDGES), spark.createDataFrame(sorted({(r[0], x) for r in rows for x in r[1:3]}), "topic_id string, id string")
+    want = {"a": ["a00"] + [f"a{i:02}" for i in range(7, 15)], "b": [f"b{i:02}" for i in range(9)], "d": ["d1"]}
+    tables, plain = [], G.written
+    monkeypatch.setattr(G, "written", lambda df: tables.append(1) or plain(df))
+    assert {r.topic_id: r.nodes for r in G.detect_cycles(concepts, edges).collect()} == want
+    assert len(tables) < 12
+    assert {r.topic_id: r.nodes for r in G.detect_cycles(concepts, edges, 10).collect()} == want
+
+
+def test_parts_are_joined_in_tasks(spark, monkeypatch):
+    """A path in one range of nodes is one star without a round; batches of a task are joined by rounds."""
+    path = spark.createDataFrame([(0, k, k + 1) for k in range(50)] + [(1, 9, 9), (1, 7, 5)], "g long, s long, t long").coalesce(1)
+    tables, plain = [], C.written
+    monkeypatch.setattr(C, "written", lambda df: tables.append(1) or plain(df))
+    want = {(0, k): 0 for k in range(51)} | {(1, 5): 5, (1, 7): 5}
+    assert {(r.g, r.n): r.part for r in C.weak_parts(path).collect()} == want
+    assert len(tables) <= 4
+    stars = list(C._stars(iter([C.pd.DataFrame({"g": [0, 0], "a": [3, 2], "b": [2, 1]})])))
+    assert sorted(stars[0].itertuples(index=False, name=None)) == [(0, 2, 1), (0, 3, 1)]

@@ -6,6 +6,7 @@ graph and no component is gathered in one task, unless it is of a bounded size a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -16,6 +17,8 @@ from trellis.operators.storage import written
 
 #: Edges of a connected part or a component that one task may hold.
 LOCAL_EDGES = 20_000
+#: Edges that a task joins to stars at once.
+STAR_EDGES = 500_000
 
 
 def union(tables: list[DataFrame]) -> DataFrame:
@@ -47,12 +50,43 @@ def _coloured(edges: DataFrame) -> DataFrame:
             return state.drop("fell")
 
 
+def _stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges (g, a, b) of a task, some at a time, as stars: of the nodes that they join each points to the smallest."""
+    up: dict = {}
+
+    def top(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    def out() -> pd.DataFrame:
+        rows = [(*x, top(x)[1]) for x in list(up)]
+        up.clear()
+        return pd.DataFrame({k: pd.Series([r[i] for r in rows], dtype="int64") for i, k in enumerate("gab")})
+
+    for frame in frames:
+        for g, a, b in zip(frame["g"].tolist(), frame["a"].tolist(), frame["b"].tolist(), strict=True):
+            a, b = top((g, a)), top((g, b))
+            if a != b:
+                up[max(a, b)] = min(a, b)
+        if len(up) > STAR_EDGES:
+            yield out()
+    yield out()
+
+
 def weak_parts(edges: DataFrame) -> DataFrame:
     """(g, n, part) for the nodes of edges that are no loops: the smallest node of those that are joined
-    in any direction. By large and small stars in turn, so rounds grow with the logarithm of the nodes;
-    a round is one written table of no more rows than edges."""
-    now = written(edges.filter("s <> t").select("g", F.greatest("s", "t").alias("a"), F.least("s", "t").alias("b")).distinct())
+    in any direction. What lies in one task is joined there first, by ranges of nodes; then by large and
+    small stars in turn, so rounds grow with the logarithm of the nodes; a round is one written table of
+    no more rows than edges."""
+    near = edges.filter("s <> t").select("g", F.greatest("s", "t").alias("a"), F.least("s", "t").alias("b"))
+    now = written(near.repartitionByRange("g", "a").mapInPandas(_stars, "g long, a long, b long"))
     while True:
+        ends = now.select("g", F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("top")).unionByName(now.select("g", F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("top")))
+        # stars: a node points to one other at most, and to none if it is pointed to
+        if ends.groupBy("g", "n").agg(F.sum("up").alias("up"), F.max("top").alias("top")).filter("up + top > 1").isEmpty():
+            return now.select("g", F.col("a").alias("n"), F.col("b").alias("part")).unionByName(now.select("g", F.col("b").alias("n"), F.col("b").alias("part")).distinct())
         # large star: a node's larger neighbours point to its smallest neighbour or itself
         both = now.unionByName(now.select("g", F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("g", "a").agg(F.min("b").alias("m")).select("g", "a", F.least("a", "m").alias("m"))
@@ -61,10 +95,6 @@ def weak_parts(edges: DataFrame) -> DataFrame:
         first = large.groupBy("g", "a").agg(F.min("b").alias("m"))
         small = large.join(first, ["g", "a"]).filter("b <> m").select("g", F.col("b").alias("a"), F.col("m").alias("b"))
         now = written(small.unionByName(first.select("g", "a", F.col("m").alias("b"))).distinct())
-        ends = now.select("g", F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("top")).unionByName(now.select("g", F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("top")))
-        # stars: a node points to one other at most, and to none if it is pointed to
-        if ends.groupBy("g", "n").agg(F.sum("up").alias("up"), F.max("top").alias("top")).filter("up + top > 1").isEmpty():
-            return now.select("g", F.col("a").alias("n"), F.col("b").alias("part")).unionByName(now.select("g", F.col("b").alias("n"), F.col("b").alias("part")).distinct())
 
 
 def _small_components(frame: pd.DataFrame) -> pd.DataFrame:

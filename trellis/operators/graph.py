@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,7 +102,8 @@ def numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges with their ends as numbers s and t in one graph g, or in those that a column g tells apart,
     and the nodes (topic_id, id, n)."""
     edges = written(edges)
-    nodes = written(ranked(written(_ends(edges)), ["topic_id", "id"], "n"))
+    # neighbours in number are neighbours in topic, without a count before
+    nodes = written(_ends(edges).repartitionByRange("topic_id", "id").sortWithinPartitions("topic_id", "id").withColumn("n", F.monotonically_increasing_id()))
     a, b = (nodes.select("topic_id", F.col("id").alias(f"{k}_id"), F.col("n").alias(k[0])) for k in ("source", "target"))
     return written(edges.join(a, ["topic_id", "source_id"]).join(b, ["topic_id", "target_id"]).withColumn("g", F.col("g") if "g" in edges.columns else F.lit(0).cast("long"))), nodes
 
@@ -232,8 +234,13 @@ def topological_order(concepts: DataFrame, edges: DataFrame) -> DataFrame:
 
 def cycle_core(concepts: DataFrame, edges: DataFrame) -> DataFrame:
     """(topic_id, id) of all concepts on a cycle."""
-    rows, nodes = numbered(topic_edges(edges, concepts).select("topic_id", "source_id", "target_id", *_graph(edges)).distinct())
-    return strong_components(rows.select("g", "s", "t")).join(nodes, "n").select("topic_id", "id")
+    return _cyclic_nodes(topic_edges(edges, concepts)).select("topic_id", "id")
+
+
+def _cyclic_nodes(edges: DataFrame) -> DataFrame:
+    """(topic_id, id, component) of all nodes on a cycle."""
+    rows, nodes = numbered(edges.select("topic_id", "source_id", "target_id", *_graph(edges)).distinct())
+    return strong_components(rows.select("g", "s", "t")).join(nodes, "n").select("topic_id", "id", "component")
 
 
 def _graph(edges: DataFrame) -> list[str]:
@@ -250,28 +257,55 @@ def cyclic_edges(concepts: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.filter("s_c = t_c").withColumn("g", F.col("s_c")).select(*edges.columns, "g")
 
 
-def detect_cycles(concepts: DataFrame, edges: DataFrame) -> DataFrame:
+def detect_cycles(concepts: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(topic_id, nodes) with one cycle of each topic that has any: a shortest one through the
-    topic's smallest concept on a cycle, the first of these in order. A search by levels for all
-    topics at once; every concept keeps one path, so a level has no more rows than concepts."""
-    core = written(cycle_core(concepts, edges))
-    steps = edges.select("topic_id", F.col("source_id").alias("id"), F.col("target_id").alias("next")).distinct()
-    steps = steps.join(core, ["topic_id", "id"], "left_semi").join(core.withColumnRenamed("id", "next"), ["topic_id", "next"], "left_semi")
-    steps = written(steps)
-    front = core.groupBy("topic_id").agg(F.min("id").alias("id")).withColumn("nodes", F.array("id"))
-    front, known, found = written(front), None, []
+    topic's smallest concept on a cycle, the first of these in order. It lies in that concept's component:
+    one of up to local_edges edges is searched in a task, larger ones by levels for all topics at once,
+    where every concept keeps one path, so that a level has no more rows than concepts."""
+    steps = edges.select("topic_id", "source_id", "target_id", *_graph(edges)).distinct()
+    steps = written(topic_edges(steps.withColumn("strength", F.lit(1.0)), concepts).drop("strength"))
+    core = written(_cyclic_nodes(steps))
+    first = core.groupBy("topic_id").agg(F.min_by("component", "id").alias("component"), F.min("id").alias("first"))
+    near = written(core.join(first, ["topic_id", "component"]).select("topic_id", "id", "first"))
+    steps = steps.select("topic_id", F.col("source_id").alias("id"), F.col("target_id").alias("next")).distinct().join(near, ["topic_id", "id"])
+    steps = written(steps.join(near.select("topic_id", F.col("id").alias("next")), ["topic_id", "next"], "left_semi"))
+    large = written(steps.groupBy("topic_id").agg(F.count("*").alias("size")).filter(F.col("size") > local_edges).select("topic_id"))
+    found = steps.join(large, "topic_id", "left_anti").groupBy("topic_id").applyInPandas(_small_cycle, "topic_id string, nodes array<string>")
+    return found if large.isEmpty() else found.unionByName(_searched_cycles(written(steps.join(large, "topic_id", "left_semi"))))
+
+
+def _small_cycle(frame: pd.DataFrame) -> pd.DataFrame:
+    """The cycle of a topic whose steps (id, next) are few, as detect_cycles says."""
+    after: dict = {}
+    for a, b in zip(frame["id"], frame["next"], strict=True):
+        after.setdefault(a, []).append(b)
+    first = frame["first"].iloc[0]
+    front, known = {first: (first,)}, {first}
+    while True:
+        reached: dict = {}
+        for a, path in front.items():
+            for b in after[a]:
+                reached[b] = min(reached.get(b, path), path)
+        if first in reached:
+            return pd.DataFrame({"topic_id": [frame["topic_id"].iloc[0]], "nodes": [list(reached[first])]})
+        front = {b: (*path, b) for b, path in reached.items() if b not in known}
+        known |= front.keys()
+
+
+def _searched_cycles(steps: DataFrame) -> DataFrame:
+    """The cycles of topics by their steps (topic_id, id, next, first), as detect_cycles says."""
+    front = written(steps.filter("id = first").select("topic_id", "id", F.array("id").alias("nodes")).distinct())
+    known, found = None, []
+    hops = steps.select("topic_id", "id", "next")
     while not front.isEmpty():
         known = front.select("topic_id", "id") if known is None else known.unionByName(front.select("topic_id", "id"))
-        reached = front.join(steps, ["topic_id", "id"]).groupBy("topic_id", F.col("next").alias("id")).agg(F.min("nodes").alias("nodes"))
+        reached = front.join(hops, ["topic_id", "id"]).groupBy("topic_id", F.col("next").alias("id")).agg(F.min("nodes").alias("nodes"))
         reached = written(reached)
         closed = reached.filter(F.col("id") == F.col("nodes")[0]).select("topic_id", "nodes")
         found.append(closed)
         further = reached.join(closed, "topic_id", "left_anti").join(known, ["topic_id", "id"], "left_anti")
         front = written(further.select("topic_id", "id", F.concat("nodes", F.array("id")).alias("nodes")))
-    out = core.select("topic_id", F.array("id").alias("nodes")).limit(0)
-    for closed in found:
-        out = out.unionByName(closed)
-    return out
+    return union(found)
 
 
 def weakest_edges(cycles: DataFrame, edges: DataFrame) -> DataFrame:
