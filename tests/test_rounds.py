@@ -1,10 +1,12 @@
 """Steps that are taken once, and patterns that stand for several steps."""
 
+import duckdb
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from trellis.functions import text as X
 from trellis.jobs import registry
+from trellis.jobs import views as V
 from trellis.operators import build as B
 from trellis.operators import extract as E
 
@@ -49,3 +51,23 @@ def test_responses_are_read_once(spark):
     plan = spark.createDataFrame([("t", "a", "red", 1), ("t", "b", "blue", 1)], "topic_id string, id string, name string, batch long")
     assert [tuple(r)[3:5] for r in B.resolved_edges(raw, plan).collect()] == [("a", "b")]
     assert seen.value == 1
+
+
+def test_lines_are_joined_to_parts_once(spark, tmp_path, monkeypatch):
+    """Lines that could make no edge are gone before lines are paired; nulls and repeats make none, as in SQL."""
+    d = str(tmp_path)
+    lines = [(1, 1, 1), (1, 2, 2), (1, 3, 3), (1, 4, 1), (2, 1, 2), (2, 2, 1), (3, 1, 1), (4, 1, 4), (4, 2, 1), (5, 1, 5), (5, 2, 5), (None, 1, 1), (None, 2, 2), (6, None, 1), (6, 2, 2), (7, 1, 9), (7, 2, 1), (8, 1, None), (8, 2, 2), (9, 1, 6), (9, 2, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{d}/lineitem.parquet")
+    parts = [(1, "x", "B1", 1), (2, "y", "B1", 2), (3, "z", "B2", 3), (4, "u", None, 4), (5, "v", None, 2), (6, "w", "B1", None)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{d}/part.parquet")
+    duck = duckdb.connect()
+    for name in ("lineitem", "part", "documents"):
+        duck.sql(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet/*.parquet'" if name != "documents" else "CREATE TABLE documents (doc_id BIGINT, lang VARCHAR, source VARCHAR, text VARCHAR)")
+    tables, plain = [], V.written
+    monkeypatch.setattr(V, "written", lambda df: tables.append(plain(df)) or tables[-1])
+    for name, view in (("edges", V.edges), ("edges_cyclic", V.edges_cyclic)):
+        want = duck.sql(V.with_views(f"SELECT source_id, target_id, topic_id, strength FROM {name} ORDER BY ALL")).fetchall()
+        got = view(spark, d)
+        assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 0
+        assert got.schema.simpleString() == "struct<source_id:string,target_id:string,topic_id:string,strength:float>"
+    assert {r[0] for r in tables[0].select("l_orderkey").collect()} == {1, 2, 6, 9}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trellis.functions import text as X
+from trellis.operators.storage import written
+
+_SIZE = "CAST(1 + (p_size - 1) % 5 AS INT)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,19 +40,29 @@ def concepts(spark, sf_dir) -> DataFrame:
     name = F.when(F.col("p_partkey") % 7 == 0, F.concat("p_name", F.lit(" systems"))).otherwise(F.col("p_name"))
     return table(spark, sf_dir, "part").select(
         F.concat(F.lit("part-"), F.col("p_partkey")).alias("id"), F.col("p_brand").alias("topic_id"), name.alias("name"),
-        (1 + (F.col("p_size") - 1) % 5).cast("int").alias("difficulty"),
+        F.expr(_SIZE).alias("difficulty"),
     )
 
 
+def bought_together(spark, sf_dir) -> DataFrame:
+    """(l_orderkey, l_linenumber, part, topic_id, difficulty) of the lines whose order has another line of
+    their topic, as a table: few lines are left to be paired, and lines are shuffled once, by numbers."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("part")).filter("l_orderkey is not null")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("topic_id"), F.expr(_SIZE).alias("difficulty"))
+    bought = lines.join(parts, "part").filter("topic_id is not null")
+    many = F.count(F.lit(1)).over(Window.partitionBy("l_orderkey", "topic_id"))
+    return written(bought.withColumn("many", many).filter("many > 1").drop("many"))
+
+
 def _edges(spark, sf_dir, rising: bool) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("part-"), F.col("l_partkey")).alias("id"))
-    bought = lines.join(concepts(spark, sf_dir).select("id", "topic_id", "difficulty"), "id")
+    bought = bought_together(spark, sf_dir)
     a, b = bought.alias("a"), bought.alias("b")
-    order = F.col("a.difficulty") < F.col("b.difficulty") if rising else (F.col("a.l_linenumber") < F.col("b.l_linenumber")) & (F.col("a.id") != F.col("b.id"))
+    order = F.col("a.difficulty") < F.col("b.difficulty") if rising else (F.col("a.l_linenumber") < F.col("b.l_linenumber")) & (F.col("a.part") != F.col("b.part"))
     pairs = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.topic_id") == F.col("b.topic_id")) & order)
-    return pairs.groupBy(F.col("a.id").alias("source_id"), F.col("b.id").alias("target_id"), F.col("a.topic_id").alias("topic_id")).agg(
+    once = pairs.groupBy(F.col("a.part").alias("source"), F.col("b.part").alias("target"), F.col("a.topic_id").alias("topic_id")).agg(
         F.least(F.lit(1.0), F.count("*") / 3.0).cast("float").alias("strength")
     )
+    return once.select(F.concat(F.lit("part-"), F.col("source")).alias("source_id"), F.concat(F.lit("part-"), F.col("target")).alias("target_id"), "topic_id", "strength")
 
 
 def edges(spark, sf_dir) -> DataFrame:
