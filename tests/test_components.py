@@ -167,3 +167,16 @@ def test_parts_are_joined_in_tasks(spark, monkeypatch):
     assert len(tables) <= 4
     stars = list(C._stars(iter([C.pd.DataFrame({"g": [0, 0], "a": [3, 2], "b": [2, 1]})])))
     assert sorted(stars[0].itertuples(index=False, name=None)) == [(0, 2, 1), (0, 3, 1)]
+
+
+@pytest.mark.parametrize("local", [2, 1000])
+def test_reaches_by_part(spark, monkeypatch, local):
+    """Parts of a bounded size take no rounds, however long their paths are; larger ones give the same."""
+    edges = [("t", f"{k}-{i:02}", f"{k}-{i + 1:02}") for k in range(3) for i in range(12)] + [("t", "r0", "r1"), ("t", "r1", "r0"), ("t", "s", "s")]
+    asked = [("t", f"{k}-{i:02}", f"{m}-{j:02}") for k, m in ((0, 0), (1, 2)) for i in (0, 5, 12) for j in (0, 6, 12)] + [("t", "r0", "r0"), ("t", "s", "s"), ("u", "s", "s"), ("t", None, "s"), ("t", "r0", "s")]
+    rounds, plain = [], G.peeled
+    monkeypatch.setattr(G, "peeled", lambda e: rounds.append(1) or plain(e))
+    to = reach([e[1:] for e in edges])
+    got = G.reaches(spark.createDataFrame(edges, "topic_id string, source_id string, target_id string"), spark.createDataFrame(asked, "topic_id string, src string, dst string"), local_edges=local).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted(((t, a, b, t == "t" and b in to.get(a, ())) for t, a, b in asked), key=str)
+    assert bool(rounds) == (local == 2)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.functions.text import UMBRELLA_WORDS, tokens
-from trellis.operators.components import LOCAL_EDGES, closing_edges, strong_components, union
+from trellis.operators.components import LOCAL_EDGES, closing_edges, strong_components, union, weak_parts
 from trellis.operators.storage import written
 from trellis.operators.tables import ranked
 
@@ -182,9 +182,55 @@ def _fan_out(concepts: DataFrame, found: list[DataFrame], nodes: DataFrame, memb
     return ids.join(n, ["topic_id", "id"], "left").select("topic_id", "id", F.coalesce("fanout", F.lit(0)).alias("fanout"))
 
 
-def reaches(edges: DataFrame, pairs: DataFrame, labels: int = 4) -> DataFrame:
+def reaches(edges: DataFrame, pairs: DataFrame, labels: int = 4, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """pairs (topic_id, src, dst) with `reached`, whether a path of one edge or more leads from src to
-    dst, without a closure. Every node is labelled with its layer and, for some random orders of the
+    dst, without a closure. Weakly connected parts of up to local_edges edges, and ten times as many
+    pairs, are searched in tasks; pairs in the others by labels and rounds."""
+    rows, nodes = numbered(edges.select("topic_id", "source_id", "target_id").distinct())
+    nodes = written(nodes.withColumn("g", F.lit(0).cast("long")).join(weak_parts(rows.select("g", "s", "t")), ["g", "n"], "left").select("topic_id", "id", "n", F.coalesce(F.col("part"), F.col("n")).alias("part")))
+    rows = written(rows.join(nodes.select(F.col("n").alias("s"), "part"), "s").select("part", "s", "t", "topic_id", "source_id", "target_id"))
+    a, b = (nodes.select("topic_id", F.col("id").alias(k), F.col("n").alias(x), F.col("part").alias(f"{x}_part")) for k, x in (("src", "a"), ("dst", "b")))
+    asked = pairs.select("topic_id", "src", "dst").distinct().join(a, ["topic_id", "src"]).join(b, ["topic_id", "dst"])
+    asked = written(asked.filter("a_part = b_part").select("topic_id", "src", "dst", "a", "b", F.col("a_part").alias("part")))
+    sizes = rows.select("part", F.lit(1).alias("e"), F.lit(0).alias("q")).unionByName(asked.select("part", F.lit(0).alias("e"), F.lit(1).alias("q"))).groupBy("part").agg(F.sum("e").alias("e"), F.sum("q").alias("q"))
+    sizes = written(sizes.withColumn("large", (F.col("e") > local_edges) | (F.col("q") > 10 * local_edges)))
+    tasks = max(1, -(-(sizes.filter("not large and q > 0").agg(F.sum(F.greatest("e", F.col("q") / 10))).first()[0] or 0) // max(1, local_edges)))
+    dealt = sizes.filter("not large and q > 0").select("part", F.pmod(F.xxhash64("part"), F.lit(int(tasks))).alias("task"))
+    steps = rows.join(dealt, "part").select("task", "s", "t").groupBy("task")
+    hits = written(steps.cogroup(asked.join(dealt, "part").select(F.col("task").alias("at"), "a", "b").groupBy("at")).applyInPandas(_small_reaches, "a long, b long"))
+    reached = asked.join(hits, ["a", "b"], "left_semi").select("topic_id", "src", "dst")
+    large = sizes.filter("large").select("part")
+    if not large.isEmpty():
+        far = _searched(rows.join(large, "part", "left_semi"), asked.join(large, "part", "left_semi").select("topic_id", "src", "dst"), labels)
+        reached = reached.unionByName(far.filter("reached").drop("reached"))
+    return pairs.join(reached.withColumn("reached", F.lit(True)), ["topic_id", "src", "dst"], "left").withColumn("reached", F.coalesce("reached", F.lit(False)))
+
+
+def _small_reaches(steps: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """The pairs (a, b) of those asked for where b is reached from a by steps (s, t) of some small parts."""
+    after: dict = {}
+    for s, t in zip(steps["s"].tolist(), steps["t"].tolist(), strict=True):
+        after.setdefault(s, []).append(t)
+    goals: dict = {}
+    for a, b in zip(asked["a"].tolist(), asked["b"].tolist(), strict=True):
+        goals.setdefault(a, set()).add(b)
+    found = []
+    for a, left in goals.items():
+        seen: set = set()
+        todo = [a]
+        while todo and left:
+            for t in after.get(todo.pop(), ()):
+                if t not in seen:
+                    seen.add(t)
+                    todo.append(t)
+                    if t in left:
+                        left.discard(t)
+                        found.append((a, t))
+    return pd.DataFrame({k: pd.Series([x[i] for x in found], dtype="int64") for i, k in enumerate("ab")})
+
+
+def _searched(edges: DataFrame, pairs: DataFrame, labels: int) -> DataFrame:
+    """pairs (topic_id, src, dst) with `reached`, as reaches says. Every node is labelled with its layer and, for some random orders of the
     nodes, the smallest place among those it reaches and itself: a node that reaches another has a
     smaller layer and no label above the other's. A search for all pairs at once takes only steps to
     nodes whose labels still allow the goal; a pair that is found is not searched on."""
