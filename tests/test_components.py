@@ -180,3 +180,16 @@ def test_reaches_by_part(spark, monkeypatch, local):
     got = G.reaches(spark.createDataFrame(edges, "topic_id string, source_id string, target_id string"), spark.createDataFrame(asked, "topic_id string, src string, dst string"), local_edges=local).collect()
     assert sorted((tuple(r) for r in got), key=str) == sorted(((t, a, b, t == "t" and b in to.get(a, ())) for t, a, b in asked), key=str)
     assert bool(rounds) == (local == 2)
+
+
+@pytest.mark.parametrize("local", [0, 3, 1000])
+def test_fan_out_by_part(spark, monkeypatch, local):
+    """Parts of a bounded size take no layers, however long their paths are; larger ones give the same."""
+    rows = [("t", f"{k}-{i:02}", f"{k}-{i + 1:02}") for k in range(3) for i in range(8)] + [("t", "1-04", "1-02"), ("t", "1-02", "1-02"), ("t", "r0", "r1"), ("t", "r1", "r0"), ("t", "s", "s"), ("u", "r0", "r1"), ("u", "r0", "r1")]
+    concepts = sorted({(t, x) for t, *e in rows for x in e} | {("t", "alone"), ("u", "s")})
+    rounds, plain = [], G.peeled
+    monkeypatch.setattr(G, "peeled", lambda e: rounds.append(1) or plain(e))
+    to = {t: reach([e[1:] for e in rows if e[0] == t]) for t in "tu"}
+    got = G.fan_out(spark.createDataFrame(concepts, "topic_id string, id string"), spark.createDataFrame(rows, "topic_id string, source_id string, target_id string"), local)
+    assert sorted(map(tuple, got.collect())) == [(t, x, len(to[t].get(x, set()) - {x})) for t, x in concepts]
+    assert bool(rounds) == (local < 1000)

@@ -103,7 +103,7 @@ def _small_components(frame: pd.DataFrame) -> pd.DataFrame:
     for g, s, t in zip(frame["g"].tolist(), frame["s"].tolist(), frame["t"].tolist(), strict=True):
         after.setdefault((g, s), []).append((g, t))
     members: dict = {}
-    for n, c in _tarjan(after).items():
+    for n, c in tarjan(after).items():
         members.setdefault(c, []).append(n)
     found = [(*n, min(m)[1]) for m in members.values() if len(m) > 1 or m[0] in after.get(m[0], ()) for n in m]
     return pd.DataFrame({k: pd.Series([x[i] for x in found], dtype="int64") for i, k in enumerate(("g", "n", "component"))})
@@ -166,7 +166,7 @@ def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataF
         left, n = trimmed(rest)
 
 
-def _tarjan(after: dict) -> dict:
+def tarjan(after: dict) -> dict:
     """Component of each node of a small graph of lists, by Tarjan's search without recursion."""
     index, low, stack, held, out = {}, {}, [], set(), {}
     for root in after:
@@ -214,7 +214,7 @@ def _closing(edges: list[tuple]) -> list:
         for r, s, t in some:
             if r is None or r <= mid:
                 after.setdefault(s, []).append(t)
-        part = _tarjan(after)
+        part = tarjan(after)
         of = lambda x: part.get(x, x)
         inside, across = [], []
         for r, s, t in some:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.functions.text import UMBRELLA_WORDS, tokens
-from trellis.operators.components import LOCAL_EDGES, closing_edges, strong_components, union, weak_parts
+from trellis.operators.components import LOCAL_EDGES, closing_edges, strong_components, tarjan, union, weak_parts
 from trellis.operators.storage import written
 from trellis.operators.tables import ranked
 
@@ -159,10 +159,56 @@ def _ends(edges: DataFrame) -> DataFrame:
     return edges.select("topic_id", F.col("source_id").alias("id")).union(edges.select("topic_id", "target_id")).distinct()
 
 
-def fan_out(concepts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Number of concepts that depend on each one, directly or not, itself left out."""
-    found, nodes, members = _graph_of(edges)
-    return _fan_out(concepts, found, nodes, members)
+def fan_out(concepts: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """Number of concepts that depend on each one, directly or not, itself left out. Weakly connected
+    parts of up to local_edges edges are counted in tasks, the others by blocks of bits, layer by layer."""
+    rows, nodes = _parted(edges)
+    sizes = written(rows.groupBy("part").agg(F.count("*").alias("e")))
+    small = sizes.filter(F.col("e") <= local_edges)
+    tasks = max(1, -(-(small.agg(F.sum("e")).first()[0] or 0) // max(1, local_edges)))
+    dealt = rows.join(small.select("part", F.pmod(F.xxhash64("part"), F.lit(tasks)).alias("task")), "part")
+    n = dealt.select("task", "part", "s", "t").groupBy("task").applyInPandas(_small_fan_out, "n long, fanout long")
+    n = nodes.join(n, "n").select("topic_id", "id", "fanout")
+    large = sizes.filter(F.col("e") > local_edges).select("part")
+    if not large.isEmpty():
+        inside = written(nodes.join(large, "part", "left_semi").select("topic_id", "id"))
+        found, layered, members = _graph_of(rows.join(large, "part", "left_semi"))
+        n = n.unionByName(_fan_out(inside, found, layered, members))
+    return concepts.select("topic_id", "id").join(n, ["topic_id", "id"], "left").select("topic_id", "id", F.coalesce("fanout", F.lit(0)).cast("long").alias("fanout"))
+
+
+def _parted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct edges (part, s, t, topic_id, source_id, target_id), their ends as numbers s and t, and the
+    nodes (topic_id, id, n, part): part tells weakly connected parts apart."""
+    rows, nodes = numbered(edges.select("topic_id", "source_id", "target_id").distinct())
+    parts = weak_parts(rows.select("g", "s", "t")).select("n", "part")
+    nodes = written(nodes.join(parts, "n", "left").select("topic_id", "id", "n", F.coalesce("part", "n").alias("part")))
+    return written(rows.join(nodes.select(F.col("n").alias("s"), "part"), "s").select("part", "s", "t", "topic_id", "source_id", "target_id")), nodes
+
+
+def _small_fan_out(frame: pd.DataFrame) -> pd.DataFrame:
+    """(n, fanout) of the nodes of some small parts by their edges (part, s, t)."""
+    after, places = {}, {}
+    for p, s, t in zip(frame["part"].tolist(), frame["s"].tolist(), frame["t"].tolist(), strict=True):
+        after.setdefault(s, []).append(t)
+        bits = places.setdefault(p, {})
+        for n in (s, t):
+            bits.setdefault(n, len(bits))
+    bit = {n: k for bits in places.values() for n, k in bits.items()}
+    # components come with those that they reach before them
+    heads, members = tarjan(after), {}
+    for n, c in heads.items():
+        members.setdefault(c, []).append(n)
+    reached, found = {}, []
+    for c, inside in members.items():
+        seen = 0
+        for n in inside:
+            seen |= 1 << bit[n]
+            for d in {heads[t] for t in after.get(n, ())} - {c}:
+                seen |= reached[d]
+        reached[c] = seen
+        found += [(n, seen.bit_count() - 1) for n in inside]
+    return pd.DataFrame({k: pd.Series([x[i] for x in found], dtype="int64") for i, k in enumerate(("n", "fanout"))})
 
 
 def _fan_out(concepts: DataFrame, found: list[DataFrame], nodes: DataFrame, members: DataFrame | None) -> DataFrame:
@@ -186,9 +232,7 @@ def reaches(edges: DataFrame, pairs: DataFrame, labels: int = 4, local_edges: in
     """pairs (topic_id, src, dst) with `reached`, whether a path of one edge or more leads from src to
     dst, without a closure. Weakly connected parts of up to local_edges edges, and ten times as many
     pairs, are searched in tasks; pairs in the others by labels and rounds."""
-    rows, nodes = numbered(edges.select("topic_id", "source_id", "target_id").distinct())
-    nodes = written(nodes.withColumn("g", F.lit(0).cast("long")).join(weak_parts(rows.select("g", "s", "t")), ["g", "n"], "left").select("topic_id", "id", "n", F.coalesce(F.col("part"), F.col("n")).alias("part")))
-    rows = written(rows.join(nodes.select(F.col("n").alias("s"), "part"), "s").select("part", "s", "t", "topic_id", "source_id", "target_id"))
+    rows, nodes = _parted(edges)
     a, b = (nodes.select("topic_id", F.col("id").alias(k), F.col("n").alias(x), F.col("part").alias(f"{x}_part")) for k, x in (("src", "a"), ("dst", "b")))
     asked = pairs.select("topic_id", "src", "dst").distinct().join(a, ["topic_id", "src"]).join(b, ["topic_id", "dst"])
     asked = written(asked.filter("a_part = b_part").select("topic_id", "src", "dst", "a", "b", F.col("a_part").alias("part")))
