@@ -32,6 +32,12 @@ def test_plain_slugs(spark):
     assert [r[0] for r in rows] == ["two-words", "two-words", "led", "e-a-la", "a-b-c", "x", "", "strae-7", None]
 
 
+def test_slugs_of_long_texts(spark):
+    words = ["word"] * 200_000
+    rows = spark.createDataFrame([Row(name=" ".join(words)), Row(name=" ".join(words) + " é ")], "name string").select(X.slugify(F.col("name"))).collect()
+    assert [r[0] for r in rows] == ["-".join(words), "-".join([*words, "e"])]
+
+
 def test_candidates_are_made_once(spark, monkeypatch):
     calls, made = [], E.frequent_candidates
     monkeypatch.setattr(E, "frequent_candidates", lambda *a, **k: calls.append(1) or made(*a, **k))

@@ -52,8 +52,8 @@ def slugify(name: Column) -> Column:
     low = F.lower(name)
     plain = F.translate(low, ACCENTED, PLAIN)
     full = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9\s-]", ""), r"^\s+|\s+$", ""), r"\s+", "-")
-    # most names are plain words with one blank between them
-    return F.when(low.rlike(r"\A[a-z0-9]+( [a-z0-9]+)*\z"), F.translate(low, " ", "-")).otherwise(full)
+    # most names are plain words with one blank between them; the group is possessive, as else each word is a call on the stack
+    return F.when(low.rlike(r"\A[a-z0-9]++(?: [a-z0-9]++)*+\z"), F.translate(low, " ", "-")).otherwise(full)
 
 
 def tokens(text: Column) -> Column:
