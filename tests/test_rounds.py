@@ -38,6 +38,17 @@ def test_slugs_of_long_texts(spark):
     assert [r[0] for r in rows] == ["-".join(words), "-".join([*words, "e"])]
 
 
+def test_slug_queries_on_long_texts(spark, tmp_path):
+    texts = [(1, "word " * 100_000 + "end"), (2, "a b"), (3, " É " * 100_000), (4, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duck.sql(registry.oracle_sql()["slugify_names"] + " ORDER BY doc_id").fetchall()
+    assert len(want[0][1]) == 500_003
+    for name in ("slugify_texts", "slugify_names"):
+        assert sorted(tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect()) == want
+
+
 def test_candidates_are_made_once(spark, monkeypatch):
     calls, made = [], E.frequent_candidates
     monkeypatch.setattr(E, "frequent_candidates", lambda *a, **k: calls.append(1) or made(*a, **k))
