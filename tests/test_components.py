@@ -193,3 +193,59 @@ def test_fan_out_by_part(spark, monkeypatch, local):
     got = G.fan_out(spark.createDataFrame(concepts, "topic_id string, id string"), spark.createDataFrame(rows, "topic_id string, source_id string, target_id string"), local)
     assert sorted(map(tuple, got.collect())) == [(t, x, len(to[t].get(x, set()) - {x})) for t, x in concepts]
     assert bool(rounds) == (local < 1000)
+
+
+def test_graphs_in_a_task():
+    """Labels, closing edges and shortest cycles of random graphs, against brute force."""
+    rng = np.random.default_rng(7)
+    for nodes, many in ((6, 5), (12, 30), (25, 40), (40, 60)):
+        ends = sorted({(int(g), int(a), int(b)) for g, a, b in zip(rng.integers(0, 2, many), rng.integers(0, nodes, many), rng.integers(0, nodes, many), strict=True)})
+        g, s, t = (np.array(x) for x in zip(*ends, strict=True))
+        to = {k: reach([e[1:] for e in ends if e[0] == k]) for k in (0, 1)}
+        label = C.strong_labels(s[g == 0], t[g == 0], nodes)
+        assert label.tolist() == [min({n} | {m for m in to[0].get(n, ()) if n in to[0].get(m, ())}) for n in range(nodes)]
+        rank = rng.permutation(len(ends))
+        rank[: len(ends) // 5] = -1
+        want = set()
+        for k, (h, a, b) in enumerate(ends):
+            early = reach([e[1:] for e, q in zip(ends, rank, strict=True) if e[0] == h and q <= rank[k]])
+            if rank[k] >= 0 and (a == b or a in early.get(b, ())):
+                want.add(k)
+        assert sorted(C.closing_places(g, rank, s, t).tolist()) == sorted(want)
+        on = [n for n in to[0] if n in to[0][n]]
+        if on:
+            first = min(on)
+            inside = [(a, b) for h, a, b in ends if h == 0 and label[a] == label[first] == label[b]]
+            paths = [(first,)]
+            while not any((p[-1], first) in inside for p in paths):
+                paths = [(*p, b) for p in paths for a, b in inside if a == p[-1] and b not in p]
+            assert tuple(G._shortest_cycle(*zip(*inside, strict=True), first)) == min(p for p in paths if (p[-1], first) in inside)
+    empty = np.array([], dtype="int64")
+    assert len(C.closing_places(empty, empty, empty, empty)) == 0 == len(C.strong_labels(empty, empty, 0))
+
+
+@pytest.mark.parametrize("local", [9, 1000])
+def test_bounded_components_are_cut_in_tasks(spark, monkeypatch, local):
+    """Nothing is searched for components of a bounded size but in tasks; larger ones give the same."""
+    rng = np.random.default_rng(11)
+    pairs = sorted({(f"t{k % 2}", f"{k}-{a}", f"{k}-{b}") for k in range(6) for a, b in rng.integers(0, 4 + 2 * k, (8 + 3 * k, 2))})
+    rows = [(*p, float(x) / 8, "") for p, x in zip(pairs, rng.integers(0, 8, len(pairs)), strict=True)] + [(*pairs[0], None, "again")]
+    edges = spark.createDataFrame(rows, EDGES + ", rationale string")
+    concepts = spark.createDataFrame(sorted({(r[0], x) for r in rows for x in r[1:3]}), "topic_id string, id string").selectExpr("*", "id AS name")
+    best = {}
+    for *e, x, _ in rows:
+        best[tuple(e)] = max(best.get(tuple(e), 0), 1.0 if x is None else x)
+    order = sorted(best, key=lambda e: (best[e], *e[1:]), reverse=True)
+    want = {e for k, e in enumerate(order) if e[1] == e[2] or e[1] in reach([o[1:] for o in order[: k + 1] if o[0] == e[0]]).get(e[2], ())}
+    searched, plain = [], C.strong_components
+    monkeypatch.setattr(C, "strong_components", lambda *a: searched.append(1) or plain(*a))
+    monkeypatch.setattr(G, "strong_components", lambda *a: searched.append(1) or plain(*a))
+    assert {tuple(r) for r in G.resolve_cycles(concepts, edges, local).collect()} == want and len(want) > 20
+    inside = B.written(G.cyclic_edges(concepts, edges, local))
+    to = {t: reach([e[1:] for e in order if e[0] == t]) for t in ("t0", "t1")}
+    on = [r for r in rows if r[1] in to[r[0]].get(r[2], ()) or r[1] == r[2]]
+    assert sorted(tuple(r)[:3] for r in inside.collect()) == sorted(r[:3] for r in on)
+    assert {tuple(r) for r in G.resolve_cycles(concepts, inside, local).collect()} == want
+    cycles = {r.topic_id: r.nodes for r in G.detect_cycles(concepts, inside, local).collect()}
+    assert {t: n[0] for t, n in cycles.items()} == {t: min(r[1] for r in on if r[0] == t) for t in to}
+    assert bool(searched) == (local == 9)
