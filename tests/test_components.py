@@ -249,3 +249,15 @@ def test_bounded_components_are_cut_in_tasks(spark, monkeypatch, local):
     cycles = {r.topic_id: r.nodes for r in G.detect_cycles(concepts, inside, local).collect()}
     assert {t: n[0] for t, n in cycles.items()} == {t: min(r[1] for r in on if r[0] == t) for t in to}
     assert bool(searched) == (local == 9)
+
+
+def test_concepts_are_numbered_once(spark):
+    """Edges are numbered by the concepts, without a look at the edges' own ends, and are those of topic_edges."""
+    rows = [("t", "b", "a", None), ("t", "a", "b", 0.5), ("t", "a", "b", 0.5), ("t", "a", "x", 0.5), ("u", "a", "b", 0.5), ("u", "c", "c", 0.25), (None, "a", "b", 1.0), ("t", None, "a", 1.0)]
+    edges = spark.createDataFrame(rows, EDGES)
+    concepts = spark.createDataFrame([("t", "a"), ("t", "a"), ("t", "b"), ("u", "c"), ("u", "a"), (None, "a"), ("t", None)], "topic_id string, id string")
+    got = G.concept_edges(concepts, edges).collect()
+    assert sorted((r.topic_id, r.source_id, r.target_id, r.strength) for r in got) == sorted((r.topic_id, r.source_id, r.target_id, r.strength) for r in G.topic_edges(edges, concepts).collect())
+    number = {(r.topic_id, i): n for r in got for i, n in ((r.source_id, r.s), (r.target_id, r.t))}
+    assert len(got) == 4 and sorted(number) == sorted(number, key=number.get) and len(set(number.values())) == 3
+    assert sorted((r.source_id, r.target_id) for r in G.resolve_cycles(concepts, edges).collect()) == [("a", "b"), ("c", "c")]
